@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, media_ts, token_counts
-from veilwork.llm.common import documents
+from veilwork.llm import bpe, media_ts, quality, secret_scan, simhash, token_counts, warc
+from veilwork.llm.common import documents, pages
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -21,14 +21,36 @@ def op3_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf_dir))
+
+
+def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = warc.read_archives(warc.archives(pages(spark, sf_dir), least=0)).where("kind = 'record'")
+    return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
     "op3_whole_token_counts": op3_whole_token_counts,
+    "op5_line_quality": op5_line_quality,
+    "op6_secret_spans": op6_secret_spans,
+    "op7_warc_salvage": op7_warc_salvage,
     "op8_bpe_round_trip": op8_bpe_round_trip,
+    "op9_covering_simhash": op9_covering_simhash,
 }
 
 ORACLES: dict[str, str] = {}
