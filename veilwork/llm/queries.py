@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, media_ts, quality, secret_scan, simhash, token_counts, warc
+from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, token_counts, warc
 from veilwork.llm.common import documents, pages
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,6 +17,10 @@ def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_ts.read_streams(media_ts.write_streams(documents(spark, sf_dir)))
 
 
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.sampled(documents(spark, sf_dir), mixing.Target(repetition=2.0))
+
+
 def op3_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=512)
 
@@ -43,14 +47,20 @@ def op9_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.score_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
+    "op2_temperature_mix": op2_temperature_mix,
     "op3_whole_token_counts": op3_whole_token_counts,
     "op5_line_quality": op5_line_quality,
     "op6_secret_spans": op6_secret_spans,
     "op7_warc_salvage": op7_warc_salvage,
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_covering_simhash": op9_covering_simhash,
+    "op10_gru_scores": op10_gru_scores,
 }
 
 ORACLES: dict[str, str] = {}
