@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, token_counts, warc
+from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts, warc
 from veilwork.llm.common import documents, pages
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,10 @@ def op3_whole_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), limit=512)
 
 
+def op4_merged_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(documents(spark, sf_dir))
+
+
 def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return quality.judge(docs, quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_transport_streams": op1_transport_streams,
     "op2_temperature_mix": op2_temperature_mix,
     "op3_whole_token_counts": op3_whole_token_counts,
+    "op4_merged_suffixes": op4_merged_suffixes,
     "op5_line_quality": op5_line_quality,
     "op6_secret_spans": op6_secret_spans,
     "op7_warc_salvage": op7_warc_salvage,
