@@ -183,36 +183,33 @@ def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
     return b"".join(map(vocab.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
 
 
-def encode_documents(df: DataFrame, path: str) -> DataFrame:
-    """doc_id and token_ids of every row of df (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("token_ids", pa.list_(pa.int32()))])
+ROUND_TRIP = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, token_ids array<int>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = pa.array(list(encoder(path).encode(texts_of(batch))), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], schema=schema)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, token_ids array<int>")
+def round_trip(df: DataFrame, path: str) -> DataFrame:
+    """Encode and decode every row of df (doc_id, text): token ids, their number, digests of ids and decoded text."""
+    return _round_trip(df, path, True)
 
 
 def round_trip_digests(df: DataFrame, path: str) -> DataFrame:
-    """Encode and decode every row of df; counts and digests of the ids and of the decoded text."""
-    schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
-    )
+    """round_trip() without the ids themselves."""
+    return _round_trip(df, path, False).drop("token_ids")
+
+
+def _round_trip(df: DataFrame, path: str, with_ids: bool) -> DataFrame:
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())]
+    schema = pa.schema(list(zip([c.split()[0] for c in ROUND_TRIP.split(", ")], kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         digits = [str(i) for i in range(vocab.size)]
         for batch in batches:
-            n, of_ids, of_text = [], [], []
+            rows = []
             for ids in encoder(path).encode(texts_of(batch)):
-                n.append(len(ids))
-                of_ids.append(hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest())
-                of_text.append(hashlib.sha256(decode(vocab, ids).encode()).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids), pa.array(of_text)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema)], schema=schema)
-
-    return df.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+                of_ids = hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest()
+                of_text = hashlib.sha256(decode(vocab, ids).encode()).hexdigest()
+                rows.append((len(ids), of_ids, of_text, np.array(ids, np.int32) if with_ids else None))
+            columns = [batch.column("doc_id"), *(pa.array([r[k] for r in rows], kinds[k + 1]) for k in range(4))]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    return df.select("doc_id", "text").mapInArrow(run, ROUND_TRIP)

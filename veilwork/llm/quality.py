@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 from itertools import chain, count
 
 import numpy as np
@@ -226,6 +226,33 @@ def repeated_words(docs: list[list[bytes]]) -> list[int]:
     return np.bincount(doc[covered], minlength=len(docs)).tolist()
 
 
+@dataclass(frozen=True)
+class Verdict:
+    n_words: int
+    word_chars: int
+    n_symbols: int
+    n_dup_lines: int
+    n_repeat_words: int
+    base_failed: bool
+    kept: bool
+    n_lines: int
+    content_share: float
+
+
+def verdicts(texts: list[str], decoder: Decoder, least_share: float) -> Iterator[Verdict]:
+    for some in portions(texts):
+        words = [words_of(t) for t in some]
+        for text, own, repeated in zip(some, words, repeated_words(words)):
+            n = len(own)
+            features, sizes, again = featured_lines(text)
+            content = sum(s for s, good in zip(sizes, decoder.content(features)) if good)
+            share = content / sum(sizes) if sizes else 0.0
+            failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
+            chars = len(text) - sum(map(text.count, BLANKS))
+            symbols = sum(map(text.count, SYMBOLS))
+            yield Verdict(n, chars, symbols, again, repeated, failed, not failed and share >= least_share, len(sizes), share)
+
+
 RULES = """doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long,
  base_failed boolean, kept boolean, n_lines long, content_share double"""
 
@@ -238,19 +265,19 @@ def judge(df: DataFrame, fitted: Chain, least_share: float = CONTENT_SHARE) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(fitted)
         for batch in batches:
-            rows = []
-            for texts in portions(texts_of(batch)):
-                words = [words_of(t) for t in texts]
-                for text, own, repeated in zip(texts, words, repeated_words(words)):
-                    n = len(own)
-                    features, sizes, again = featured_lines(text)
-                    content = sum(s for s, good in zip(sizes, decoder.content(features)) if good)
-                    share = content / sum(sizes) if sizes else 0.0
-                    failed = n < LEAST_WORDS or 100 * repeated > MOST_REPEATED * n
-                    chars = len(text) - sum(map(text.count, BLANKS))
-                    symbols = sum(map(text.count, SYMBOLS))
-                    rows.append((n, chars, symbols, again, repeated, failed, not failed and share >= least_share, len(sizes), share))
+            rows = [astuple(v) for v in verdicts(texts_of(batch), decoder, least_share)]
             columns = [batch.column("doc_id"), *(pa.array([r[k] for r in rows], kinds[k + 1]) for k in range(9))]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return df.select("doc_id", "text").mapInArrow(run, RULES)
+
+
+def keep(df: DataFrame, fitted: Chain, least_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of df whose text is kept, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(fitted)
+        for batch in batches:
+            yield batch.filter(pa.array([v.kept for v in verdicts(texts_of(batch), decoder, least_share)], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from veilwork.llm.common import stored, utf8_of
 
@@ -65,16 +66,21 @@ def fingerprint(text: bytes) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed long) of every row of df (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def with_fingerprints(df: DataFrame, name: str = "fp") -> DataFrame:
+    """df with the fingerprint of its text, the bits as a signed long."""
+    shown = StructType([*df.schema.fields, StructField(name, LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in utf8_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], schema=schema)
+            yield batch.append_column(name, pa.array(fp))
+
+    return df.mapInArrow(run, shown)
 
-    return df.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+
+def fingerprints(df: DataFrame) -> DataFrame:
+    """doc_id and fp of every row of df (doc_id, text)."""
+    return with_fingerprints(df.select("doc_id", "text")).select("doc_id", "fp")
 
 
 def _signed(mask: int) -> Column:
@@ -224,14 +230,28 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(df: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row of df (doc_id, text)."""
-    docs = stored(fingerprints(df))
+def _classes(docs: DataFrame) -> DataFrame:
+    """fp and component_id of every fingerprint of docs (doc_id, fp)."""
     nodes = stored(docs.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     members = components(links(nodes))
     found = members.join(nodes.withColumnRenamed("fp", "a"), "a", "right")
     found = stored(found.select(F.col("a").alias("fp"), "rep", F.coalesce("root", "a").alias("root")))
     least = stored(found.groupBy("root").agg(F.min("rep").alias("component_id")))
-    of_fp = stored(found.join(least, "root").select("fp", "component_id"))
+    return stored(found.join(least, "root").select("fp", "component_id"))
+
+
+def near_duplicates(df: DataFrame) -> DataFrame:
+    """doc_id, fingerprint and component_id of every row of df (doc_id, text)."""
+    docs = stored(fingerprints(df))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return docs.join(of_fp, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return docs.join(_classes(docs), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame) -> DataFrame:
+    """The rows of df whose doc_id is the smallest of their class, and rows without doc_id, with all their columns."""
+    docs = stored(fingerprints(df))
+    later = docs.join(_classes(docs), "fp").where("doc_id > component_id")
+    later = stored(later.select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp")).distinct())
+    marked = with_fingerprints(df, "_own_fp")
+    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("_own_fp") == F.col("_fp"))
+    return marked.join(later, same, "left_anti").select(*df.columns)
