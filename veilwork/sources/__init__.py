@@ -1 +1 @@
-
+"""Readers and writers with declared schemas."""
