@@ -1,5 +1,357 @@
-"""SQL equivalents of the registered queries."""
+"""SQL equivalents of the registered queries, for DuckDB.
+
+They restate results with other means where there are any: joins for folds,
+windows for aggregates. Its regular expressions have no lookaround, so phone and
+social security numbers have no equivalent here; tests hold those rules.
+"""
 
 from __future__ import annotations
 
+from veilwork import fixtures as X
+from veilwork.functions.rules import CATEGORY_LABELS, CATEGORY_WORDS, DATASET_LABELS, MODEL_LABELS, OTHER_CATEGORY, OTHER_TYPE
+
+#: Rules in the dialect of the oracle; its classes are ASCII's.
+PATTERNS = {
+    "EMAIL": r"\b[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}\b",
+    "CREDIT_CARD": r"\b(?:\d[ -]*?){13,19}\b",
+    "IP_ADDRESS": r"\b(?:\d{1,3}\.){3}\d{1,3}\b",
+    "IBAN": r"\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b",
+    "URL": r"\bhttps?://[^\s<>\"']+\b",
+}
 ORACLES: dict[str, str] = {}
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def luhn(value: str) -> str:
+    """Sum of digits, every second from the right doubled; their number from 13 to 19."""
+    digits = rf"regexp_replace({value}, '\D', '', 'g')"
+    doubled = "lambda c, i: CASE WHEN i % 2 = 0 THEN CASE WHEN c::INT * 2 > 9 THEN c::INT * 2 - 9 ELSE c::INT * 2 END ELSE c::INT END"
+    total = f"list_sum(list_transform(list_reverse(string_split({digits}, '')), {doubled}))"
+    return f"(length({digits}) BETWEEN 13 AND 19 AND {total} % 10 = 0)"
+
+
+def spans(kind: str, source: str, key: str, text: str) -> str:
+    """key, start, end, type, value of the matches of a rule: offsets are sums of the lengths of all before."""
+    p = quoted(PATTERNS[kind])
+    length = "lambda x: length(x)"
+    before = f"coalesce(list_sum(list_transform(g[1:i], {length})), 0) + coalesce(list_sum(list_transform(m[1:i - 1], {length})), 0)"
+    good = f"WHERE {luhn('value')}" if kind == "CREDIT_CARD" else ""
+    return f"""SELECT {key}, start::BIGINT AS "start", (start + length(value))::BIGINT AS "end", '{kind}' AS type, value FROM (
+      SELECT {key}, {before} AS start, m[i] AS value FROM (
+        SELECT {key}, m, g, unnest(range(1, len(m) + 1)) AS i FROM (
+          SELECT {key}, regexp_extract_all({text}, {p}) AS m, string_split_regex({text}, {p}) AS g FROM {source}
+          WHERE regexp_matches({text}, {p})))) {good}"""
+
+
+def with_ord(sql: str, key: str) -> str:
+    return f'SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY "start", "end") - 1 AS ord, "start", "end", type, value FROM ({sql})'
+
+
+def all_spans(source: str, key: str, text: str, kinds=tuple(PATTERNS)) -> str:
+    return " UNION ALL ".join(f"({spans(k, source, key, text)})" for k in kinds)
+
+
+TEXTS = f"(SELECT doc_id::BIGINT AS doc_id, text FROM (VALUES {X.TEXTS}) AS t(doc_id, text))"
+BOTH = f"(SELECT doc_id, text FROM documents UNION ALL SELECT -doc_id, text FROM {TEXTS})"
+DOC_SPANS = all_spans("documents", "doc_id", "text")
+
+for name, kind, source, key, text in (
+    ("detect_email", "EMAIL", "documents", "doc_id", "text"),
+    ("detect_ip", "IP_ADDRESS", "documents", "doc_id", "text"),
+    ("detect_card_luhn", "CREDIT_CARD", "documents", "doc_id", "text"),
+    ("detect_url", "URL", "pages", "page_id", "url"),
+    ("detect_iban", "IBAN", BOTH, "doc_id", "text"),
+):
+    ORACLES[name] = with_ord(spans(kind, source, key, text), key)
+ORACLES["detect_entity_filter_alias"] = with_ord(all_spans("documents", "doc_id", "text", ("EMAIL", "IP_ADDRESS")), "doc_id")
+ORACLES["detect_unknown_types_only"] = with_ord(spans("EMAIL", "(SELECT * FROM documents WHERE false)", "doc_id", "text"), "doc_id")
+ORACLES["detect_all_spans"] = DOC_SPANS
+ORACLES["detect_all_pages"] = all_spans("pages", "page_id", "html")
+ORACLES["detect_all_conversations"] = all_spans("(SELECT conv_id || '/' || turn AS id, text FROM conversations)", "id", "text")
+ORACLES["multi_pass_detect"] = with_ord(DOC_SPANS, "doc_id")
+for by in ("lang", "source"):
+    ORACLES[f"detect_counts_by_{by}"] = f"SELECT d.{by}, s.type, count(*) AS n FROM ({DOC_SPANS}) s JOIN documents d USING (doc_id) GROUP BY ALL"
+LISTED = """string_agg("start" || '-' || "end" || ':' || type, ' ' ORDER BY "start")"""
+ORACLES["detect_view"] = f"""SELECT d.doc_id, d.text, coalesce(n, 0) AS n_spans, coalesce(l, '') AS spans FROM documents d LEFT JOIN
+ (SELECT doc_id, count(*) AS n, {LISTED} AS l FROM ({DOC_SPANS}) GROUP BY doc_id) s USING (doc_id)"""
+
+
+def case(table: dict[str, tuple[str, ...]], value: str, other: str) -> str:
+    whens = " ".join(f"WHEN {value} IN ({', '.join(map(quoted, labels))}) THEN '{kind}'" for kind, labels in table.items())
+    return f"CASE {whens} ELSE {other} END"
+
+
+CLEANED = "replace(replace(trim(lower(label)), ' ', '_'), '-', '_')"
+ORACLES["sanitize_labels"] = f"SELECT label, {case(MODEL_LABELS, CLEANED, quoted(OTHER_TYPE))} AS type FROM (VALUES {X.LABELS}) AS t(label)"
+_names = ", ".join(f"({quoted(x)})" for x in sorted(x for own in DATASET_LABELS.values() for x in own) + ["UNHEARDOF"])
+ORACLES["dataset_labels"] = f"SELECT label, {case(DATASET_LABELS, 'label', 'label')} AS type FROM (VALUES {_names}) AS t(label)"
+_words = " ".join(
+    f"WHEN regexp_matches(lower(text), {quoted('|'.join(words))}) THEN '{kind}'" for kind, words in CATEGORY_WORDS
+)
+ORACLES["classify_documents"] = f"SELECT doc_id, CASE {_words} ELSE '{OTHER_CATEGORY}' END AS category FROM {BOTH}"
+_names = ", ".join(f"({quoted(x)})" for own in CATEGORY_LABELS.values() for x in own)
+ORACLES["classify_labelled"] = f"SELECT label, {case(CATEGORY_LABELS, 'label', 'NULL')} AS category FROM (VALUES {_names}) AS t(label)"
+ORACLES["normalize_texts"] = r"""SELECT doc_id, sha256(regexp_replace(replace(text, chr(13) || chr(10), chr(10)),
+ '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f\x0b]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f\x0b]+$', '', 'g')) AS digest FROM documents"""
+
+# -- span algebra ------------------------------------------------------------------------------------------------------
+
+ORACLES["validate_offsets"] = f"""SELECT case_id::BIGINT AS case_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end"
+ FROM (VALUES {X.OFFSETS}) AS t(case_id, ord, "start", "end") WHERE "start" >= 0 AND "end" > "start" AND "end" <= 11"""
+# the fold, step by step: what is kept so far is a list
+ORACLES["dedupe_overlaps"] = f"""WITH RECURSIVE s AS (
+ SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY "start", "start" - "end", -confidence, ord) AS i,
+  {{'a': "start", 'b': "end", 't': type, 'c': confidence}} AS x FROM (VALUES {X.SPANS}) AS t(case_id, ord, "start", "end", type, confidence)),
+ f AS (SELECT case_id, 1 AS i, [x] AS kept FROM s WHERE i = 1 UNION ALL
+  SELECT s.case_id, s.i, CASE WHEN len(list_filter(kept, lambda k: k.a < s.x.b AND s.x.a < k.b AND k.c >= s.x.c)) > 0 THEN kept
+   ELSE list_append(list_filter(kept, lambda k: NOT (k.a < s.x.b AND s.x.a < k.b)), s.x) END FROM f JOIN s ON s.case_id = f.case_id AND s.i = f.i + 1)
+ SELECT case_id::BIGINT AS case_id, (SELECT string_agg(k.a || '-' || k.b || ':' || k.t, ' ' ORDER BY k.a) FROM (SELECT unnest(kept) AS k)) AS kept
+ FROM f WHERE (case_id, i) IN (SELECT case_id, max(i) FROM f GROUP BY case_id)"""
+_sides = f'(VALUES {X.SIDES}) AS t(doc_id, side, "start", "end", confidence)'
+ORACLES["fuse_consensus"] = ORACLES["fuse_by_anti_join"] = f"""SELECT doc_id::BIGINT AS doc_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end", side
+ FROM {_sides} WHERE side = 'rule' OR confidence >= 0.5 AND NOT EXISTS (SELECT 1 FROM {_sides.replace(" AS t(", " AS r(")}
+ WHERE r.side = 'rule' AND r.doc_id = t.doc_id AND r."start" < t."end" AND t."start" < r."end")"""
+_origin = "(-1, 0), (0, 0), (1, 0), (2, 0), (3, 0), (4, 5), (5, 6), (6, 7), (7, 8), (8, 9), (9, 10), (10, 10), (11, 10), (12, 10)"
+ORACLES["apply_and_remap"] = f"SELECT place::BIGINT AS place, origin::BIGINT AS origin, '[P1] and [P2]' AS text FROM (VALUES {_origin}) AS t(place, origin)"
+ORACLES["split_newlines"] = """WITH l AS (SELECT doc_id, i, parts[i] AS part, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x) + 1)), 0) AS pos
+ FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS ord, pos::BIGINT AS "start", (pos + length(part))::BIGINT AS "end" FROM l WHERE part <> ''"""
+ORACLES["normalize_annotations"] = f"""SELECT doc_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end", category FROM (
+ VALUES {X.ANNOTATIONS}) AS t(doc_id, "start", "end", category) WHERE doc_id <> 'multiline_invoice' UNION ALL
+ VALUES ('multiline_invoice', 15, 16, 'contextual'), ('multiline_invoice', 17, 37, 'contextual')"""
+
+
+def runs(side: str) -> str:
+    """Islands of covered characters: each character on its own, neighbours then counted together."""
+    chars = f"""SELECT DISTINCT s.doc_id, c FROM (VALUES {X.INTERVALS}) AS s(doc_id, side, a, b) JOIN (VALUES {X.LENGTHS}) AS l(doc_id, n) USING (doc_id),
+     range(0, 64) AS r(c) WHERE side = '{side}' AND c >= a AND c < b AND c < n"""
+    return f"""SELECT doc_id, min(c) AS a, max(c) + 1 AS b FROM (SELECT doc_id, c, c - row_number() OVER (PARTITION BY doc_id ORDER BY c) AS g FROM ({chars})) GROUP BY doc_id, g"""
+
+
+def _islands(chars: str) -> str:
+    return f"""SELECT doc_id::BIGINT AS doc_id, min(c)::BIGINT AS "start", (max(c) + 1)::BIGINT AS "end" FROM (
+     SELECT doc_id, c, c - row_number() OVER (PARTITION BY doc_id ORDER BY c) AS g FROM ({chars})) GROUP BY doc_id, g"""
+
+
+def _chars(side: str) -> str:
+    return f"(SELECT doc_id, c FROM ({runs(side)}) AS q, range(0, 64) AS r(c) WHERE c >= a AND c < b)"
+
+
+ORACLES["interval_union"] = _islands(_chars("prediction"))
+_every = f"SELECT doc_id, c FROM (VALUES {X.LENGTHS}) AS l(doc_id, n), range(0, 64) AS r(c) WHERE c < n"
+ORACLES["interval_gaps"] = _islands(f"SELECT * FROM ({_every}) EXCEPT SELECT * FROM {_chars('support')}")
+# prediction runs keep their borders where support parts them; touching runs have been merged before
+ORACLES["false_positive_runs"] = _islands(f"SELECT * FROM {_chars('prediction')} EXCEPT SELECT * FROM {_chars('support')}")
+ORACLES["span_coverage"] = f"""SELECT doc_id::BIGINT AS doc_id, a || '-' || b AS span_id, a::BIGINT AS "start", b::BIGINT AS "end",
+ (SELECT count(*) FROM {_chars('prediction')} AS p WHERE p.doc_id = s.doc_id AND p.c >= a AND p.c < b) / (b - a) AS coverage
+ FROM (VALUES {X.INTERVALS}) AS s(doc_id, side, a, b) WHERE side = 'support'"""
+ORACLES["touched_spans"] = f"""SELECT doc_id::BIGINT AS doc_id, a::BIGINT AS "start", b::BIGINT AS "end" FROM (VALUES {X.INTERVALS}) AS s(doc_id, side, a, b)
+ WHERE side = 'support' AND EXISTS (SELECT 1 FROM (VALUES {X.INTERVALS}) AS p(doc_id, side, c, d) WHERE p.side = 'prediction' AND p.doc_id = s.doc_id AND c < b AND a < d AND c < d)"""
+ORACLES["document_interval_union"] = f"""WITH w AS (SELECT doc_id, greatest(0, "start" - 40) AS a, least(length(text), "end" + 40) AS b FROM ({DOC_SPANS}) JOIN documents USING (doc_id)),
+ m AS (SELECT *, max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM w),
+ g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM m)
+ SELECT doc_id, min(a)::BIGINT AS "start", max(b)::BIGINT AS "end" FROM g GROUP BY doc_id, k"""
+
+# -- strategies --------------------------------------------------------------------------------------------------------
+
+
+def replaced(source: str, key: str, text: str, found: str, replacement: str) -> str:
+    """Texts with the spans of found (disjoint) replaced: pieces and replacements in turn."""
+    return f"""WITH f AS (SELECT *, {replacement} AS repl, lag("end", 1, 0) OVER (PARTITION BY {key} ORDER BY "start") AS prev FROM ({found})),
+     j AS (SELECT f.{key}, string_agg(substr({text}, prev::INT + 1, ("start" - prev)::INT) || repl, '' ORDER BY "start") AS head, max("end") AS last, count(*) AS n
+       FROM f JOIN {source} AS d USING ({key}) GROUP BY f.{key})
+     SELECT {key}, coalesce(n, 0) AS n_spans, CASE WHEN n IS NULL THEN {text} ELSE head || substr({text}, last::INT + 1) END AS redacted
+     FROM {source} AS d LEFT JOIN j USING ({key})"""
+
+
+_plain = replaced("documents", "doc_id", "text", DOC_SPANS, "'[REDACTED]'")
+ORACLES["redact_plain"] = _plain
+ORACLES["exact_dup_cache"] = f"SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_plain})"
+_pages = replaced("pages", "page_id", "html", all_spans("pages", "page_id", "html", ("EMAIL", "IP_ADDRESS")), "'[REDACTED]'")
+ORACLES["redact_pages"] = f"SELECT page_id, sha256(redacted) AS redacted_sha256, n_spans FROM ({_pages})"
+_mail = spans("EMAIL", "documents", "doc_id", "text")
+_masked = replaced("documents", "doc_id", "text", _mail, "'<EMAIL:' || right(value, 4) || '>'")
+ORACLES["apply_mask"] = f"SELECT doc_id, redacted AS masked FROM ({_masked}) WHERE n_spans > 0"
+
+
+def hmac(message: str, key: str = "pepper") -> str:
+    raw = key.encode().ljust(64, b"\0")
+    pad = lambda x: "'" + "".join(f"\\x{b ^ x:02X}" for b in raw) + "'::BLOB"
+    return f"sha256({pad(0x5C)} || unhex(sha256({pad(0x36)} || encode({message}))))"
+
+
+_hashed = replaced("documents", "doc_id", "text", _mail, f"'[HASH:' || substr({hmac('value')}, 1, 8) || ']'")
+ORACLES["apply_hash_hmac"] = f"SELECT doc_id, redacted AS hashed FROM ({_hashed}) WHERE n_spans > 0"
+ORACLES["entity_hashes"] = f'SELECT doc_id, "start", substr({hmac("value")}, 1, 8) AS tag FROM ({DOC_SPANS})'
+ORACLES["format_last4"] = f"""SELECT doc_id, "start", '[' || type || ' ' || right(value, 4) || ' ' || value || ' {{nope}}]' AS shown FROM ({DOC_SPANS})"""
+
+_found = f"SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY \"start\") - 1 AS i FROM ({all_spans('documents', 'doc_id', 'text', ('EMAIL', 'IBAN', 'CREDIT_CARD', 'IP_ADDRESS'))})"
+_deid = replaced("documents", "doc_id", "text", _found, "'[' || type || '_' || lpad(i::VARCHAR, 4, '0') || ']'")
+_relex = f"""SELECT doc_id, string_agg(value || '=' || p, ' ' ORDER BY value || '=' || p) AS relex FROM (
+  SELECT doc_id, value, '[' || arg_max(type, i) || '_' || lpad(max(i)::VARCHAR, 4, '0') || ']' AS p FROM ({_found}) GROUP BY doc_id, value) GROUP BY doc_id"""
+_policy = f"""SELECT doc_id, redacted, coalesce(l, '') AS spans, coalesce(relex, '') AS relex FROM ({_deid}) LEFT JOIN
+ (SELECT doc_id, {LISTED} AS l FROM ({_found}) GROUP BY doc_id) USING (doc_id) LEFT JOIN ({_relex}) USING (doc_id)"""
+# cards are gone before the later fields look for them
+ORACLES["redact_policy_default"] = ORACLES["redact_policy_strict"] = _policy
+_cards = spans("CREDIT_CARD", "documents", "doc_id", "text")
+_minimal = replaced("documents", "doc_id", "text", _cards, "'[CC-' || right(value, 4) || ']'")
+ORACLES["redact_policy_minimal"] = f"""SELECT doc_id, redacted, coalesce(l, '') AS spans, '' AS relex FROM ({_minimal}) LEFT JOIN
+ (SELECT doc_id, {LISTED} AS l FROM ({_cards}) GROUP BY doc_id) USING (doc_id)"""
+_ids = replaced(TEXTS, "doc_id", "text", spans("CREDIT_CARD", TEXTS, "doc_id", "text"), "'[ID]'")
+ORACLES["card_policy_stage_order"] = f"""SELECT doc_id, redacted, coalesce(l, '') AS spans, '' AS relex FROM ({_ids}) LEFT JOIN
+ (SELECT doc_id, {LISTED} AS l FROM ({spans("CREDIT_CARD", TEXTS, "doc_id", "text")}) GROUP BY doc_id) USING (doc_id)"""
+ORACLES["mask_and_hash_policies_do_nothing"] = f"SELECT doc_id, text AS redacted, '' AS spans, '' AS relex FROM {TEXTS}"
+ORACLES["policy_listing"] = """SELECT * FROM (VALUES ('default', '1.0.0', 'free_text,structured_ids,payment_cards,gender'),
+ ('minimal', '1.0.0', 'ssn,credit_cards,ibans'), ('strict', '1.0.0', 'free_text,structured_ids,payment_cards')) AS t(name, version, fields)"""
+_first = f"""SELECT *, min("start") OVER (PARTITION BY doc_id, type, value) AS first FROM ({DOC_SPANS})"""
+_numbers = f"""SELECT *, '[' || type || '_' || lpad((dense_rank() OVER (PARTITION BY doc_id, type ORDER BY first))::VARCHAR, 4, '0') || ']' AS placeholder FROM ({_first})"""
+_relexed = replaced("documents", "doc_id", "text", _numbers, "placeholder")
+ORACLES["relex_placeholders"] = f"SELECT doc_id, redacted AS relexed FROM ({_relexed}) WHERE n_spans > 0"
+ORACLES["relex_numbers"] = f"""SELECT DISTINCT doc_id, type, value, placeholder, placeholder || '-' || substr(sha256('s1|' || placeholder), 1, 4) AS signed FROM ({_numbers})"""
+_typed = f"""SELECT *, '[' || type || '_' || lpad((row_number() OVER (PARTITION BY doc_id, type ORDER BY "start"))::VARCHAR, 4, '0') || ']' AS p FROM ({DOC_SPANS})"""
+ORACLES["pipeline_typed_placeholders"] = f"""SELECT doc_id, {hmac('text')} AS digest, sha256(redacted) AS redacted_sha256, n_spans
+ FROM ({replaced('documents', 'doc_id', 'text', _typed, 'p')}) JOIN documents USING (doc_id)"""
+ORACLES["batch_redact"] = f"""SELECT (doc_id // 10)::BIGINT AS request_id, count(*) AS items, sum(length(text))::BIGINT AS text_chars, sum(coalesce(n, 0))::BIGINT AS n_spans
+ FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({DOC_SPANS}) GROUP BY doc_id) USING (doc_id) GROUP BY 1"""
+_ascii = """SELECT doc_id, i AS chunk_ix, substr(text, (i * 500 + 1)::INT, 500) AS chunk FROM (
+ SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents WHERE strlen(text) = length(text))"""
+ORACLES["chunk_ascii_text"] = _ascii
+ORACLES["sse_stream"] = f"""SELECT doc_id, chunk_ix AS event_ix, 'data: {{"chunk_ix":' || chunk_ix || '}}' || chr(10) || chr(10) AS line FROM ({_ascii}) UNION ALL
+ SELECT doc_id, max(chunk_ix) + 1, 'data: [DONE]' || chr(10) || chr(10) FROM ({_ascii}) GROUP BY doc_id"""
+
+# -- audit and evaluation ----------------------------------------------------------------------------------------------
+
+ORACLES["audit_summary"] = f"""SELECT type, count(*) AS count, round(avg(confidence::DOUBLE), 3) AS confidence_avg
+ FROM (VALUES {X.SPANS}) AS t(case_id, ord, "start", "end", type, confidence) GROUP BY type"""
+ORACLES["audit_summary_documents"] = f"SELECT source, type, count(*) AS count, 1.0::DOUBLE AS confidence_avg FROM ({DOC_SPANS}) JOIN documents USING (doc_id) GROUP BY ALL"
+ORACLES["audit_retention"] = f"""SELECT id::BIGINT AS id, ts, policy FROM (VALUES {X.AUDIT}) AS t(id, ts, policy)
+ WHERE try_cast(ts AS TIMESTAMPTZ) IS NULL OR try_cast(ts AS TIMESTAMPTZ) >= TIMESTAMPTZ '2024-02-01 00:00:00+00'"""
+ORACLES["audit_last_n"] = "SELECT event_id, ts, user_id FROM events ORDER BY ts DESC, event_id DESC LIMIT 100"
+ORACLES["audit_last_n_per_user"] = "SELECT event_id, ts, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 3"
+_gold = f'(VALUES {X.GOLD}) AS g(doc_id, "start", "end", type)'
+# what the rules find in the first eight texts, told apart from the rules
+_hits = f"""(SELECT * FROM {_gold} UNION ALL VALUES (7, 4, 15, 'SSN_US'), (8, 7, 27, 'EMAIL'), (8, 58, 74, 'CREDIT_CARD')) AS f(doc_id, "start", "end", type)"""
+_outcomes = f"""SELECT coalesce(g.type, f.type) AS type, count(*) FILTER (WHERE g.doc_id IS NOT NULL AND f.doc_id IS NOT NULL) AS tp,
+ count(*) FILTER (WHERE g.doc_id IS NULL) AS fp, count(*) FILTER (WHERE f.doc_id IS NULL) AS fn
+ FROM {_gold} FULL JOIN {_hits} ON g.doc_id = f.doc_id AND g."start" = f."start" AND g."end" = f."end" AND g.type = f.type GROUP BY 1"""
+ORACLES["eval_outcomes"] = _outcomes
+_scored = f"""SELECT *, coalesce(2 * precision * recall / nullif(precision + recall, 0), 0.0) AS f1 FROM (
+ SELECT *, coalesce(tp / nullif(tp + fp, 0), 0.0) AS precision, coalesce(tp / nullif(tp + fn, 0), 0.0) AS recall FROM (
+ SELECT coalesce(type, 'OVERALL') AS type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM ({_outcomes}) GROUP BY ROLLUP (type)))"""
+ORACLES["eval_prf1"] = _scored
+ORACLES["eval_table"] = f"SELECT type, printf('%-12s %6.3f %6.3f %6.3f', type, precision, recall, f1) AS line FROM ({_scored})"
+ORACLES["labels_by_pii"] = f"""SELECT quality, toxic, count(*) AS n, count(*) FILTER (WHERE d.doc_id IN (SELECT doc_id FROM ({DOC_SPANS}))) AS n_pii
+ FROM documents d JOIN labels USING (doc_id) GROUP BY ALL"""
+ORACLES["unlabelled_documents"] = "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"
+_columns = "(doc_id, n, d, n_mandatory, n_contextual, n_fp, skipped, r)"
+_rows = {
+    "rules": [("email_alice", 1, 1, 1, 0, 0, 0), ("email_john", 0, 0, 0, 0, 0, 1), ("email_phone", 0, 1, 1, 0, 0, 0),
+              ("multiline_invoice", 0, 0, 0, 0, 0, 1), ("note_over_redact", 0, 0, 0, 0, 0, 2), ("vehicle_record", 0, 2, 2, 0, 0, 1)],
+}
+_rows["empty"] = [("email_alice", 0, 1, 1, 0, 0, 0), *_rows["rules"][1:]]
+for name, rows in _rows.items():
+    listed = ", ".join(str((*r, r[1] / r[2] if r[2] else 0.0)) for r in rows)
+    ORACLES[f"rscore_per_doc_{name}"] = f"SELECT doc_id, n::DOUBLE AS n, d::DOUBLE AS d, n_mandatory::BIGINT AS n_mandatory, n_contextual::BIGINT AS n_contextual, n_fp::BIGINT AS n_fp, skipped::BIGINT AS skipped, r::DOUBLE AS r FROM (VALUES {listed}) AS t{_columns}"
+ORACLES["rscore_report"] = """SELECT category, round(mean::DOUBLE, 9) AS mean, p20::DOUBLE AS p20, p50::DOUBLE AS p50, n::BIGINT AS n FROM (VALUES
+ (NULL, 1 / 6, 0, 0, 6), ('emails', 1 / 3, 0, 0, 3), ('financial', 0, 0, 0, 1), ('operations', 0, 0, 0, 2)) AS t(category, mean, p20, p50, n)"""
+# p20 of emails interpolates between zeros
+ORACLES["corpus_structures"] = """SELECT category, CASE WHEN category IN ('code', 'files', 'logs', 'terminal') THEN 'structured' ELSE 'unstructured' END AS structure
+ FROM (VALUES ('emails'), ('medical'), ('legal'), ('academic'), ('financial'), ('government'), ('operations'), ('code'), ('files'), ('logs'), ('terminal')) AS t(category)"""
+ORACLES["template_rows"] = """SELECT id::BIGINT AS id, ['User bob logged in from 10.1.1.1', 'export KEY=abc', 'see a@b.org'][id % 3 + 1] AS text,
+ ['5-8 24-32', '11-14', '4-11'][id % 3 + 1] AS spans FROM range(0, 10) AS t(id)"""
+ORACLES["quota_sample"] = "SELECT doc_id, source, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5"
+ORACLES["first_rows"] = "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 50"
+
+_ratings = f"(SELECT unit_id, kind, redacted FROM (VALUES {X.RATINGS}) AS t(unit_id, kind, rater, redacted))"
+
+
+def _units(source: str) -> str:
+    return f"(SELECT kind, unit_id, count(*) AS m, count(*) FILTER (WHERE redacted) AS k FROM {source} GROUP BY kind, unit_id)"
+
+
+ORACLES["agreement_pairwise"] = f"SELECT round(coalesce(avg(k * (m - k) / (m * (m - 1) / 2)) FILTER (WHERE m >= 2), 0), 9) AS disagreement FROM {_units(_ratings)}"
+
+
+def _kinds(source: str) -> str:
+    return f"""SELECT kind, (count(*) FILTER (WHERE m >= 2))::DOUBLE AS n_qualifying, round(coalesce(avg(k * (m - k) / (m * (m - 1) / 2)) FILTER (WHERE m >= 2), 0), 9) AS disagreement,
+     round(coalesce(avg(k / m) FILTER (WHERE m >= 2), 0), 9) AS redaction_rate FROM {_units(source)} GROUP BY kind"""
+
+
+def _alpha(source: str, by: str) -> str:
+    return f"""SELECT {by} round(CASE WHEN n < 2 THEN {'0.0' if by else '1.0'} WHEN n1 = 0 OR n1 = n THEN 1.0
+     ELSE 1 - (s / n) / (2.0 * (n - n1) * n1 / (n * (n - 1))) END, 9)::DOUBLE AS alpha
+     FROM (SELECT {by} sum(m) AS n, sum(k) AS n1, coalesce(sum(2 * k * (m - k) / nullif(m - 1, 0)) FILTER (WHERE m >= 2), 0) AS s FROM {_units(source)} {"GROUP BY kind" if by else ""})"""
+
+
+ORACLES["agreement_by_kind"] = _kinds(_ratings)
+ORACLES["alpha_global"] = _alpha(_ratings, "")
+ORACLES["alpha_by_kind"] = _alpha(_ratings, "kind,")
+ORACLES["alpha_pooled_gaps"] = _alpha(f"(SELECT unit_id, CASE WHEN kind LIKE 'gap_%' THEN 'gap' ELSE kind END AS kind, redacted FROM {_ratings})", "kind,")
+ORACLES["disagreement_report"] = f"""SELECT (SELECT count(*) FROM {_units(_ratings)} WHERE m >= 2) AS n_qualifying_units, (SELECT count(*) FROM {_ratings} WHERE redacted) AS n_redact_votes,
+ (SELECT count(*) FROM {_ratings} WHERE NOT redacted) AS n_no_redact_votes, ({_alpha(_ratings, '')}) AS global_alpha"""
+_events = "(SELECT date_trunc('hour', ts)::VARCHAR AS unit_id, event_type AS kind, value > 50 AS redacted FROM events)"
+ORACLES["agreement_of_events"] = f"SELECT * FROM ({_kinds(_events)}) JOIN ({_alpha(_events, 'kind,')}) USING (kind)"
+_p, _z = "(k / n)", 1.96
+_half = f"{_z} / (1 + {_z * _z} / n) * sqrt({_p} * (1 - {_p}) / n + {_z * _z} / (4.0 * n * n))"
+_centre = f"({_p} + {_z * _z} / (2.0 * n)) / (1 + {_z * _z} / n)"
+ORACLES["wilson_of_labels"] = f"""SELECT lang, k, n, round(greatest(0.0, {_centre} - {_half}), 9) AS low, round(least(1.0, {_centre} + {_half}), 9) AS high
+ FROM (SELECT lang, count(*) FILTER (WHERE toxic = 1) AS k, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY lang)"""
+ORACLES["average_ranks"] = "SELECT p_partkey, rank() OVER (ORDER BY p_size) + (count(*) OVER (PARTITION BY p_size) - 1) / 2 AS rank FROM part"
+
+# -- operations --------------------------------------------------------------------------------------------------------
+
+_place = """SELECT event_id, user_id, (epoch_us(ts) // 1000000)::BIGINT AS e, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // ({s} * 1000000::BIGINT) ORDER BY ts, event_id) AS place FROM events"""
+ORACLES["rate_limit_minute"] = f"""SELECT event_id, user_id, place, place <= 1 AS accepted, CASE WHEN place > 1 THEN greatest(1, (e // 60 + 1) * 60 - e) END AS retry_after FROM ({_place.format(s=60)})"""
+ORACLES["rate_limit_day_report"] = f"SELECT e // 86400 * 86400 AS window_start, count(*) AS requests, count(*) FILTER (WHERE place > 2) AS rejected FROM ({_place.format(s=86400)}) GROUP BY 1"
+ORACLES["owner_tokens"] = "SELECT DISTINCT user_id, substr(sha256(user_id::VARCHAR), 1, 32) AS owner FROM events"
+ORACLES["scope_check"] = "SELECT id::BIGINT AS id, allowed FROM (VALUES (1, true), (2, false), (3, false), (4, true)) AS t(id, allowed)"
+ORACLES["request_checks"] = f"""SELECT id::BIGINT AS id, CASE WHEN regexp_full_match(given, '[A-Za-z0-9._:-]+') THEN given ELSE 'generated' END AS request_id,
+ (CASE WHEN has_policy AND has_types OR staged AND (has_policy OR has_types) OR chars < 1 THEN 422 WHEN chars > 100000 THEN 413 ELSE 200 END)::BIGINT AS status
+ FROM (VALUES {X.CALLERS}) AS t(id, given, chars, has_policy, has_types, staged)"""
+ORACLES["oversized_documents"] = """SELECT (CASE WHEN length(text) < 1 THEN 422 WHEN length(text) > 100000 OR length(text) * 100 > 1000000 THEN 413 ELSE 200 END)::BIGINT AS status,
+ count(*) AS n FROM documents GROUP BY 1"""
+ORACLES["status_counts"] = "SELECT event_type, count(*) AS n FROM events GROUP BY 1"
+_bounds = "(1.0), (2.5), (5.0), (10.0), (25.0), (50.0), (100.0), (250.0)"
+ORACLES["latency_histogram"] = f"""SELECT event_type, printf('%.1f', b::DOUBLE) AS le, count(*) FILTER (WHERE value <= b) AS n FROM events, (VALUES {_bounds}) AS t(b) GROUP BY event_type, b
+ UNION ALL SELECT event_type, '+Inf', count(value) FROM events GROUP BY 1"""
+_q = ", ".join(f"round(quantile_cont(value, {q}), 6) AS p{int(q * 100)}" for q in (0.5, 0.9, 0.95, 0.99))
+ORACLES["latency_percentiles"] = f"SELECT event_type, {_q}, round(avg(value), 6) AS mean, round(max(value), 6) AS most FROM events GROUP BY 1"
+
+
+def _exclusive(p: float) -> str:
+    low = f"greatest(1, least(floor({p} * (len(v) + 1))::INT, len(v) - 1))"
+    return f"round(v[{low}] + ({p} * (len(v) + 1) - {low}) * (v[{low} + 1] - v[{low}]), 6)"
+
+
+ORACLES["exclusive_quantiles"] = f"SELECT day, {_exclusive(0.95)} AS p95, {_exclusive(0.99)} AS p99 FROM (SELECT ts::DATE::VARCHAR AS day, list(value ORDER BY value) AS v FROM events GROUP BY 1)"
+ORACLES["error_ratio_sliding"] = """SELECT w AS window_start, count(*) FILTER (WHERE event_type = 'error') AS errors, round(count(*) FILTER (WHERE event_type = 'error') / count(*), 9) AS ratio,
+ count(*) FILTER (WHERE event_type = 'error') / count(*) > 0.01 AS alert FROM (
+ SELECT event_type, unnest([(epoch_us(ts) // 1000000)::BIGINT // 10800 * 10800, (epoch_us(ts) // 1000000)::BIGINT // 10800 * 10800 - 10800]) AS w FROM events) GROUP BY w"""
+ORACLES["increase_alerts"] = "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, count(*) > 60 AS alert FROM events GROUP BY 1, 2"
+ORACLES["heartbeat_sessions"] = """WITH f AS (SELECT *, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 4 * 3600000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+ g AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM f)
+ SELECT user_id, session, min(ts) AS start, max(ts) AS stop, count(*) AS beats FROM g GROUP BY 1, 2"""
+ORACLES["worker_capacity"] = f"""SELECT sum(greatest(0, active::INT))::BIGINT AS active, sum(greatest(0, most::INT))::BIGINT AS most FROM (VALUES {X.WORKERS}) AS t(worker, active, most)
+ WHERE try_cast(active AS INT) IS NOT NULL AND try_cast(most AS INT) IS NOT NULL"""
+ORACLES["job_state_replay"] = """SELECT job_id, status, applied::BIGINT AS applied FROM (VALUES ('a', 'done', 3), ('b', 'cancelled', 2), ('c', 'running', 2), ('d', 'none', 0), ('e', 'failed', 2))
+ AS t(job_id, status, applied)"""
+ORACLES["jobs_in_flight"] = "SELECT coalesce(o_custkey, -1) AS owner, count(*) FILTER (WHERE o_orderstatus = 'O') AS in_flight FROM orders GROUP BY ROLLUP (o_custkey)"
+ORACLES["oldest_open"] = "SELECT o_orderdate AS oldest, o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 1"
+ORACLES["stale_jobs"] = "SELECT job_id, 'failed' AS status, 'job lease expired' AS error FROM (VALUES ('a'), ('c')) AS t(job_id)"
+ORACLES["retry_backoff"] = "SELECT t AS try, CASE WHEN t < 5 THEN least(60.0, pow(2.0, t - 1))::DOUBLE END AS delay, t >= 5 AS dead_letter FROM range(1, 9) AS r(t)"
+_outcome = """CASE WHEN row_number() OVER w = 1 THEN 'acquired' WHEN fingerprint = first_value(fingerprint) OVER w THEN 'replayed' ELSE 'conflict' END AS outcome"""
+_w = "WINDOW w AS (PARTITION BY key ORDER BY seq)"
+ORACLES["idempotent_replay"] = f"SELECT key, seq::BIGINT AS seq, fingerprint, {_outcome} FROM (VALUES {X.REQUESTS}) AS t(key, seq, fingerprint) {_w}"
+ORACLES["idempotent_events"] = f"""SELECT outcome, count(*) AS n FROM (SELECT {_outcome} FROM (SELECT user_id || '/' || date_trunc('minute', ts) AS key, event_id AS seq, event_type AS fingerprint FROM events) {_w}) GROUP BY 1"""
+ORACLES["breaker_replay"] = """SELECT model, seq::BIGINT AS seq, allowed, state, failures::BIGINT AS failures FROM (VALUES
+ ('m', 1, true, 'closed', 0), ('m', 2, true, 'closed', 1), ('m', 3, true, 'closed', 2), ('m', 4, true, 'open', 3), ('m', 5, false, 'open', 3), ('m', 6, false, 'open', 3),
+ ('m', 7, true, 'open', 4), ('m', 8, false, 'open', 4), ('m', 9, true, 'closed', 0), ('m', 10, true, 'closed', 1), ('n', 1, true, 'closed', 1), ('n', 2, true, 'closed', 0))
+ AS t(model, seq, allowed, state, failures)"""
+ORACLES["job_admission"] = """SELECT seq::BIGINT AS seq, owner, admitted FROM (VALUES (1, 'x', true), (2, 'x', true), (3, 'x', false), (4, 'y', true), (5, 'y', true), (7, 'y', false), (9, 'z', true), (10, 'x', false))
+ AS t(seq, owner, admitted)"""
+ORACLES["saturation_signals"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) / 20 > 0.9 AS pool, count(DISTINCT user_id) > 10 AS queue, count(*) = 0 AS no_workers FROM events GROUP BY 1"""
+ORACLES["status_table"] = "SELECT * FROM (VALUES ('verified', 2::BIGINT), ('partial', 1), ('planned', 1)) AS t(status, n)"
+ORACLES["model_manifest"] = "SELECT * FROM (VALUES ('small', 'main', 'abc123'), ('large', 'v2', 'def456')) AS t(name, revision, digest)"
