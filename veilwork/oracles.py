@@ -355,3 +355,13 @@ ORACLES["job_admission"] = """SELECT seq::BIGINT AS seq, owner, admitted FROM (V
 ORACLES["saturation_signals"] = """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, count(*) / 20 > 0.9 AS pool, count(DISTINCT user_id) > 10 AS queue, count(*) = 0 AS no_workers FROM events GROUP BY 1"""
 ORACLES["status_table"] = "SELECT * FROM (VALUES ('verified', 2::BIGINT), ('partial', 1), ('planned', 1)) AS t(status, n)"
 ORACLES["model_manifest"] = "SELECT * FROM (VALUES ('small', 'main', 'abc123'), ('large', 'v2', 'def456')) AS t(name, revision, digest)"
+
+# -- records -----------------------------------------------------------------------------------------------------------
+
+_escaped = "replace(replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't'), chr(13), chr(92) || 'r')"
+ORACLES["cache_keys"] = f"""SELECT doc_id, sha256('{{"cache_version": 2, "detector": "", "entity_types": ["EMAIL"], "mode": "legacy", "model_revision": "", "policy": {{}}, "salt": "pepper", "text": "'
+ || {_escaped} || '"}}') AS key FROM documents"""
+ORACLES["request_fingerprints"] = f"""SELECT doc_id, sha256('{{"entity_types":[],"policy":{{}},"text":"' || {_escaped} || '","use_pipeline":true}}') AS fingerprint FROM {TEXTS}"""
+ORACLES["sealed_events"] = f"SELECT id::BIGINT AS id, true AS intact, false AS changed, false AS other_key FROM (VALUES {X.AUDIT}) AS t(id, ts, policy)"
+ORACLES["cache_envelopes"] = """SELECT id::BIGINT AS id, response FROM (VALUES (1, '{"a":1}'), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) AS t(id, response)"""
+ORACLES["encrypted_payloads"] = "SELECT conv_id, turn, true AS same, true AS lost FROM conversations"

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork import fixtures as X
+from veilwork.functions import records
 from veilwork.functions import spans as S
 from veilwork.functions import text as T
 from veilwork.functions.rules import CATEGORY_LABELS, DATASET_LABELS, inverted
-from veilwork.operators import agreement, chunks, detection, evaluation, intervals, operations, redaction, scoring
+from veilwork.operators import agreement, chunks, detection, evaluation, intervals, models, operations, redaction, scoring
 from veilwork.plans import policy
 from veilwork.sources import corpus, tables
 
@@ -26,7 +27,8 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.spread(df) if name in ("documents", "pages") else df
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -816,3 +818,61 @@ def status_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_manifest(values(spark, X.MANIFEST_LINES, "value"))
+
+
+# -- records and models ------------------------------------------------------------------------------------------------
+
+
+@query
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", records.cache_key(F.col("text"), entity_types=["EMAIL"], salt=SALT).alias("key"))
+
+
+@query
+def request_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return texts(spark).select("doc_id", records.fingerprint(F.col("text"), staged=True).alias("fingerprint"))
+
+
+@query
+def sealed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sealed and checked: as they are, changed, and with another key."""
+    plain = values(spark, X.AUDIT, "id, ts, policy").withColumn("event", F.to_json(F.struct("ts", "policy")))
+    done = plain.select("id", records.sealed(F.col("event"), SALT).alias("event"))
+    changed = F.regexp_replace("event", '"policy":"."', '"policy":"z"')
+    return numbered(
+        done.select(
+            "id",
+            records.intact(F.col("event"), SALT).alias("intact"),
+            records.intact(changed, SALT).alias("changed"),
+            records.intact(F.col("event"), "other").alias("other_key"),
+        )
+    )
+
+
+@query
+def cache_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(
+        spark,
+        """(1, '{"schema_version": 1, "response": {"a": 1}}'), (2, '{"schema_version": 2, "response": {"a": 1}}'), (3, 'not json'), (4, null),
+           (5, '{"schema_version": 1, "response": "text"}'), (6, '[1]')""",
+        "id, raw",
+    )
+    return numbered(rows.select("id", records.opened_envelope(F.col("raw")).alias("response")))
+
+
+@query
+def encrypted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, other = b"0123456789abcdef", b"fedcba9876543210"
+    sent = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", records.encrypted(F.col("text"), key).alias("sent"))
+    same = records.decrypted(F.col("sent"), key) == F.col("text")
+    return sent.select("conv_id", "turn", same.alias("same"), records.decrypted(F.col("sent"), other).isNull().alias("lost"))
+
+
+@query
+def model_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stand-in model in the staged pipeline, over all documents."""
+    detect = models.detector(lambda: models.Words({"the": ("WORD", 0.9), "and": ("WORD", 0.4)}))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("found", detect(F.col("text")))
+    done = redaction.staged(docs, "text", F.slice("found", 1, 5), F.lit(False), SALT)
+    return done.select("doc_id", F.size("model").cast("long").alias("n_model"), F.size("fused").cast("long").alias("n_fused"), F.sha2("redacted", 256).alias("redacted_sha256"))
