@@ -45,7 +45,7 @@ def spread(df: DataFrame) -> DataFrame:
     and a shuffle of the whole table would cost more than it gains.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
 
 
