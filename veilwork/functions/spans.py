@@ -19,10 +19,11 @@ def empty(ddl: str = SPANS) -> Column:
     return F.expr(f"cast(array() as {ddl})")
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: str, literal: str = "", hint: str = "") -> Column:
     """(start, end, value) of the non-overlapping matches of a pattern, from the left.
 
-    The texts between matches give their offsets; no builtin has them.
+    The texts between matches give their offsets; no builtin has them. Texts without the literal or the hint, which
+    every match contains, are told apart first.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
@@ -36,8 +37,11 @@ def matches(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
     walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    # most texts have no match: one scan finds that out
-    return F.when(text.rlike(pattern), walked).otherwise(none)
+    # most texts have no match: the cheapest test that shows it comes first
+    some = text.rlike(pattern)
+    some = text.rlike(hint) & some if hint else some
+    some = F.contains(text, F.lit(literal)) & some if literal else some
+    return F.when(some, walked).otherwise(none)
 
 
 def luhn_ok(value: Column) -> Column:
@@ -47,7 +51,7 @@ def luhn_ok(value: Column) -> Column:
 
 
 def _of_rule(text: Column, rule: Rule) -> Column:
-    found = matches(text, rule.pattern)
+    found = matches(text, rule.pattern, rule.literal, rule.hint)
     if rule.luhn:
         found = F.filter(found, lambda m: luhn_ok(m["value"]))
     return F.transform(
