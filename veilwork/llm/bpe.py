@@ -41,7 +41,7 @@ ASCII_TEXT = re.compile(
     + r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 #: Distinct words whose results a worker keeps; beyond it the store starts anew, which costs time only.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 250_000
 #: Characters of text whose new words are merged together.
 BATCH_CHARS = 2_000_000
 
@@ -139,6 +139,7 @@ class Encoder:
     def __init__(self, vocab: Vocabulary):
         self.vocab = vocab
         self.ids: dict[str, tuple[int, ...]] = {}
+        self.numbers = list(range(vocab.size))  # the same objects in all tuples
 
     def learn(self, words: Iterable[str]) -> None:
         if len(self.ids) > KEPT_WORDS:
@@ -147,7 +148,7 @@ class Encoder:
             self.ids = {s: (i,) for s, i in self.vocab.special.items()}
         new = list(set(words) - self.ids.keys())
         flat, begins = self.vocab.merge([w.encode() for w in new])
-        flat, begins = flat.tolist(), begins.tolist()
+        flat, begins = list(map(self.numbers.__getitem__, flat.tolist())), begins.tolist()
         for k, w in enumerate(new):
             self.ids[w] = tuple(flat[begins[k] : begins[k + 1]])
 
