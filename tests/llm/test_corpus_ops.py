@@ -150,7 +150,7 @@ def test_front_coding_and_loser_tree():
         for _ in range(rng.randrange(1, 9)):
             keys = sorted({bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(rng.randrange(12))})
             n = len(keys)
-            decoded = suffix_dedup.front_decode(suffix_dedup.front_code(suffix_dedup.Run(keys, [1] * n, [2] * n, [True] * n)))
+            decoded = suffix_dedup.front_decode(suffix_dedup.front_code(suffix_dedup.Run(keys, [1] * n, [2] * n, [3] * n)))
             assert decoded[0] == keys
             runs.append(decoded[:2])
         out = list(suffix_dedup.merged(runs))
