@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, suffix_dedup, token_counts, warc
+from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, sql, suffix_dedup, token_counts, warc
 from veilwork.llm.common import documents, pages
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -68,4 +68,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_gru_scores": op10_gru_scores,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op2_temperature_mix": sql.MIXED,
+    "op6_secret_spans": sql.SECRETS,
+    "op7_warc_salvage": sql.WARC,
+}
