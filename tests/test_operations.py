@@ -77,9 +77,11 @@ def stream(spark, tmp_path, rows, schema):
 
 
 def drained(spark, df, name, mode):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
     return spark.table(name).collect()
 
 
@@ -102,8 +104,12 @@ def test_idempotent_stream(spark, tmp_path):
 
 
 def test_job_stream_equals_batch(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1)
     rows = [("a", 0, "submit"), ("a", 1, "claim"), ("a", 2, "done"), ("a", 3, "failed"), ("b", 0, "submit"), ("b", 1, "cancel"), ("c", 0, "claim")]
-    live = stream(spark, tmp_path, rows, "job_id string, seq long, event string")
+    timed = [(*r, at + timedelta(seconds=i)) for i, r in enumerate(rows)]
+    live = stream(spark, tmp_path, timed, "job_id string, seq long, event string, ts timestamp")
     found = {r["job_id"]: r["status"] for r in drained(spark, stateful.job_lives(live), "jobs", "update")}
     batch = operations.job_states(spark.createDataFrame(rows, "job_id string, seq long, event string")).collect()
     assert found == {r["job_id"]: r["status"] for r in batch}
@@ -120,7 +126,7 @@ def test_worker_stream(spark, tmp_path):
 
 def test_redact_and_audit_stream(spark, tmp_path):
     live = stream(spark, tmp_path, [(1, "a@b.example"), (2, "none")], "doc_id long, text string")
-    stateful.redact_and_audit(live, str(tmp_path / "out"), str(tmp_path / "audit"), str(tmp_path / "check")).awaitTermination()
+    stateful.redact_and_audit(live, str(tmp_path / "out"), str(tmp_path / "audit"), str(tmp_path / "check")).awaitTermination(120)
     out = {r["doc_id"]: r["redacted"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert out == {1: "[REDACTED]", 2: "none"} and spark.read.parquet(str(tmp_path / "audit")).first()["type"] == "EMAIL"
     assert not any(plain.detect(t) for t in out.values())

@@ -15,7 +15,7 @@ def field(**options):
 @pytest.mark.parametrize(
     "raw",
     [
-        [], {"other": 1}, {"fields": []}, {"fields": {"": {"strategy": "regex"}}}, {"fields": {"a": 1}}, {"fields": {"a": {}}},
+        [], {"other": 1}, {"fields": [1]}, {"fields": {"": {"strategy": "regex"}}}, {"fields": {"a": 1}}, {"fields": {"a": {}}},
         {"fields": {"a": {"strategy": "hips"}}}, field(unknown=1), field(format=1), field(format="x" * 4097), field(entity_types="EMAIL"),
         field(entity_types=["x"] * 129), field(entity_types=["x" * 129]), field(entity_types=[""]), field(multi_pass=0), field(multi_pass=4),
         field(multi_pass=True), field(length=65), field(length=False), {"name": 3}, {"version": "v" * 4097},

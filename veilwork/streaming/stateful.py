@@ -40,7 +40,10 @@ MOVES = {
 
 
 def job_lives(events: DataFrame, lease_ms: int = 300_000) -> DataFrame:
-    """States of jobs from a stream (job_id, seq, event); one that is live when its lease runs out has failed."""
+    """States of jobs from a stream (job_id, seq, event, ts); one that is live when its lease runs out has failed.
+
+    Leases run by event time: with a clock as timeout the stream would never come to rest.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         status, last = state.get if state.exists else ("none", -1)
@@ -56,12 +59,13 @@ def job_lives(events: DataFrame, lease_ms: int = 300_000) -> DataFrame:
                 status, last = to, int(seq)
         state.update((status, last))
         if status in ("queued", "running"):
-            state.setTimeoutDuration(lease_ms)
+            last_ms = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last_ms, state.getCurrentWatermarkMs()) + lease_ms)
         yield pd.DataFrame({"job_id": [key[0]], "status": [status], "seq": [last]})
 
     shape = "job_id string, status string, seq long"
-    return events.groupBy("job_id").applyInPandasWithState(
-        run, shape, "status string, seq long", "update", GroupStateTimeout.ProcessingTimeTimeout
+    return events.withWatermark("ts", LATE).groupBy("job_id").applyInPandasWithState(
+        run, shape, "status string, seq long", "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
