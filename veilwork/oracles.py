@@ -365,3 +365,36 @@ ORACLES["request_fingerprints"] = f"""SELECT doc_id, sha256('{{"entity_types":[]
 ORACLES["sealed_events"] = f"SELECT id::BIGINT AS id, true AS intact, false AS changed, false AS other_key FROM (VALUES {X.AUDIT}) AS t(id, ts, policy)"
 ORACLES["cache_envelopes"] = """SELECT id::BIGINT AS id, response FROM (VALUES (1, '{"a":1}'), (2, NULL), (3, NULL), (4, NULL), (5, NULL), (6, NULL)) AS t(id, response)"""
 ORACLES["encrypted_payloads"] = "SELECT conv_id, turn, true AS same, true AS lost FROM conversations"
+
+# -- inline cases ------------------------------------------------------------------------------------------------------
+
+_fixture_rows = """(1, 12, 29, 'EMAIL'), (1, 33, 48, 'PHONE_E164'), (2, 5, 24, 'CREDIT_CARD'), (3, 10, 18, 'IP_ADDRESS'), (5, 6, 34, 'URL'), (6, 12, 34, 'IBAN'),
+ (7, 4, 15, 'SSN_US'), (8, 7, 27, 'EMAIL'), (8, 58, 74, 'CREDIT_CARD'), (9, 5, 18, 'PHONE_E164'), (9, 22, 38, 'PHONE_E164')"""
+FIXTURE_SPANS = f"""SELECT f.doc_id::BIGINT AS doc_id, "start"::BIGINT AS "start", "end"::BIGINT AS "end", type, substr(text, "start" + 1, "end" - "start") AS value
+ FROM (VALUES {_fixture_rows}) AS f(doc_id, "start", "end", type) JOIN {TEXTS} t ON t.doc_id = f.doc_id"""
+ORACLES["detect_fixture_texts"] = with_ord(FIXTURE_SPANS, "doc_id")
+# documents have neither: their phone numbers have parentheses, which the rule does not take
+for name, kind in (("detect_phone", "PHONE_E164"), ("detect_ssn", "SSN_US")):
+    ORACLES[name] = with_ord(f"SELECT * REPLACE (-doc_id AS doc_id) FROM ({FIXTURE_SPANS}) WHERE type = '{kind}'", "doc_id")
+_listed = f"(SELECT doc_id, {LISTED} AS l FROM ({{0}}) GROUP BY doc_id)"
+
+
+def _on_fixture(found: str, replacement: str, relex: str = "''") -> str:
+    done = replaced(TEXTS, "doc_id", "text", found, replacement)
+    return f"SELECT doc_id, redacted, coalesce(l, '') AS spans, coalesce({relex}, '') AS relex FROM ({done}) LEFT JOIN {_listed.format(found)} USING (doc_id)"
+
+
+ORACLES["redact_plain_fixture"] = f"SELECT doc_id, redacted, spans FROM ({_on_fixture(FIXTURE_SPANS, quoted('[REDACTED]'))})"
+_free = f"""SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") - 1 AS i FROM ({FIXTURE_SPANS}) WHERE type <> 'URL'"""
+_new = "CASE type WHEN 'SSN_US' THEN '[ID]' ELSE '[' || type || '_' || lpad(i::VARCHAR, 4, '0') || ']' END"
+_map = f"(SELECT string_agg(value || '=' || {_new}, ' ' ORDER BY value) FROM ({_free}) m WHERE m.doc_id = x.doc_id AND type <> 'SSN_US')"
+ORACLES["redact_policy_default_fixture"] = ORACLES["redact_policy_strict_fixture"] = f"SELECT doc_id, redacted, spans, coalesce({_map}, '') AS relex FROM ({_on_fixture(_free, _new)}) x"
+_some = f"SELECT * FROM ({FIXTURE_SPANS}) WHERE type IN ('SSN_US', 'CREDIT_CARD', 'IBAN')"
+ORACLES["redact_policy_minimal_fixture"] = _on_fixture(_some, "CASE type WHEN 'SSN_US' THEN '[SSN]' WHEN 'IBAN' THEN '[IBAN]' ELSE '[CC-' || right(value, 4) || ']' END")
+ORACLES["model_output_spans"] = """SELECT doc_id::BIGINT AS doc_id, ord::BIGINT AS ord, a::BIGINT AS "start", b::BIGINT AS "end", type, value, confidence::DOUBLE AS confidence FROM (VALUES
+ (1, 0, 0, 5, 'PERSON', 'Alice', 0.9), (1, 1, 10, 13, 'PERSON', 'Bob', 0.8), (2, 0, 3, 7, 'CITY', 'Rome', 1.0)) AS t(doc_id, ord, a, b, type, value, confidence)"""
+ORACLES["bio_decode"] = """SELECT doc_id::BIGINT AS doc_id, ord::BIGINT AS ord, a::BIGINT AS "start", b::BIGINT AS "end", type, 0.9::DOUBLE AS confidence FROM (VALUES
+ (1, 0, 0, 9, 'PER'), (1, 1, 13, 17, 'LOC'), (1, 2, 18, 22, 'LOC'), (1, 3, 23, 27, 'PER')) AS t(doc_id, ord, a, b, type)"""
+ORACLES["rscore_per_doc_predictions"] = """SELECT doc_id, round(n::DOUBLE, 9) AS n, d::DOUBLE AS d, m::BIGINT AS n_mandatory, c::BIGINT AS n_contextual, 0::BIGINT AS n_fp, s::BIGINT AS skipped, round((n / d)::DOUBLE, 9) AS r
+ FROM (VALUES ('vehicle_record', 2.0::DOUBLE, 2, 2, 0, 1), ('email_alice', 10 / 17, 1, 1, 0, 0), ('email_john', 4 / 11, 1, 0, 1, 0), ('note_over_redact', 5 / 10, 1, 0, 1, 1),
+ ('multiline_invoice', (8 / 20) / 2, 1, 0, 1, 0), ('email_phone', 9 / 13, 1, 1, 0, 0)) AS t(doc_id, n, d, m, c, s)"""
