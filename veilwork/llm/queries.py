@@ -70,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_temperature_mix": sql.MIXED,
+    "op4_merged_suffixes": sql.REPEATS,
     "op6_secret_spans": sql.SECRETS,
     "op7_warc_salvage": sql.WARC,
 }
