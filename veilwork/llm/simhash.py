@@ -251,7 +251,7 @@ def keep_first(df: DataFrame) -> DataFrame:
     """The rows of df whose doc_id is the smallest of their class, and rows without doc_id, with all their columns."""
     docs = stored(fingerprints(df))
     later = docs.join(_classes(docs), "fp").where("doc_id > component_id")
-    later = stored(later.select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp")).distinct())
+    later = stored(later.select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp")))
     marked = with_fingerprints(df, "_own_fp")
     same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("_own_fp") == F.col("_fp"))
     return marked.join(later, same, "left_anti").select(*df.columns)
