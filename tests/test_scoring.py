@@ -96,6 +96,15 @@ def test_agreement(spark):
     assert agreement.pairwise(got.where("false")).first()[0] == 0.0 and agreement.alpha(got.where("false")).first()[0] == 1.0
 
 
+def test_average_ranks(spark):
+    rng = random.Random(5)
+    for n, most in ((0, 1), (1, 1), (500, 40), (700, 10**6)):
+        values = [rng.randrange(most) / 4 for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+        found = {r["v"]: r["r"] for r in agreement.average_rank(df, "v", "r").collect()}
+        assert found == {v: sum(x < v for x in values) + (values.count(v) + 1) / 2 for v in values}
+
+
 def test_spearman(spark):
     line = spark.createDataFrame([(float(i), float(2 * i)) for i in range(5)], "x double, y double")
     assert agreement.spearman(line, "x", "y") == (1.0, 0.0)

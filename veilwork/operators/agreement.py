@@ -90,14 +90,27 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return F.when(n <= 0, 0.0).otherwise(low), F.when(n <= 0, 1.0).otherwise(high)
 
 
+RANK_PARTS = 64
+
+
 def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """df with the 1-based rank of value; ties share the mean of theirs.
+    """df with the 1-based rank of value; ties share the mean of theirs. Rows without a value have no rank and go.
 
-    A rank needs the count of smaller values. It comes from the distinct values, so ties meet before the window does.
+    A rank is the count of smaller values and of half the ties. Ties meet in one row first. Then values are dealt by
+    approximate quantiles: what stands below each part is a bounded number of sums, and within a part a window counts
+    on. No task holds more than a part.
     """
-    sizes = df.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = sizes.select(value, (upto - (F.col("_n") - 1) / 2).alias(name))
+    sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    shares = [i / RANK_PARTS for i in range(1, RANK_PARTS)]
+    bounds = sorted(set(sizes.agg(F.percentile_approx(value, shares)).first()[0] or []))
+    part = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col(value))) if bounds else F.lit(0)
+    parted = sizes.withColumn("_part", part)
+    below, total = {}, 0
+    for r in sorted(parted.groupBy("_part").agg(F.sum("_n").alias("n")).collect()):
+        below[r["_part"]], total = total, total + r["n"]
+    offset = F.create_map(*(F.lit(x) for pair in below.items() for x in pair))[F.col("_part")] if below else F.lit(0)
+    within = F.sum("_n").over(Window.partitionBy("_part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parted.select(value, (offset + within - (F.col("_n") - 1) / 2).alias(name))
     return df.join(ranked, value)
 
 
