@@ -153,3 +153,15 @@ def test_fixture_texts(spark):
     found = {(r["doc_id"], r["start"], r["end"], r["type"]) for r in QUERIES["detect_fixture_texts"](spark, "").collect()}
     texts = spark.sql(f"SELECT * FROM VALUES {X.TEXTS} AS t(doc_id, text)").collect()
     assert found == {(r["doc_id"], *s) for r in texts for s in plain.detect(r["text"])}
+
+
+def test_demonstration_profile(spark):
+    text = "Call (415) 555-2671 or +1 415.555.2671, 300.1.1.1 and 10.0.0.1, 123-45-6789, card 4532 0151 1283 0366, https://a.example/x."
+    df = spark.createDataFrame([(text,)], "text string")
+    spans = df.select(detection.demo_spans(F.col("text"))).first()[0]
+    found = [(s["type"], text[s["start"] : s["end"]]) for s in spans]
+    assert found == [
+        ("PHONE_E164", "(415) 555-2671"), ("PHONE_E164", "+1 415.555.2671"), ("IP", "10.0.0.1"), ("SSN", "123-45-6789"),
+        ("CREDIT_CARD", "4532 0151 1283 0366"), ("URL", "https://a.example/x."),
+    ]
+    assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))

@@ -66,20 +66,35 @@ def bio_spans(tokens: Column, confidence: float = 0.9) -> Column:
 
 #: Fixed values of the demonstration profile, whose rules are its own.
 DEMO_RULES = (
-    ("EMAIL", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"),
-    ("SSN_US", r"\b\d{3}-\d{2}-\d{4}\b"),
-    ("IP_ADDRESS", r"\b(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)\b"),
+    ("CREDIT_CARD", r"\b(?:\d[ -]*?){13,19}\b"),
+    ("EMAIL", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"),
+    ("URL", r"\bhttps?://[^\s<>\"']+"),
+    ("IP", r"\b(?:\d{1,3}\.){3}\d{1,3}\b"),
     ("IBAN", r"\b[A-Z]{2}\d{2}[A-Z0-9]{10,30}\b"),
-    ("URL", r"https?://[^\s<>\"']+"),
+    ("SSN", r"\b\d{3}-\d{2}-\d{4}\b"),
+    ("PHONE_E164", r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b"),
 )
 
 
+def _demo_holds(kind: str, value: Column) -> Column:
+    """What the demonstration asks of a match beside its pattern."""
+    if kind == "CREDIT_CARD":
+        return S.luhn_ok(value)
+    if kind == "PHONE_E164":
+        return F.length(F.regexp_replace(value, r"\D", "")).between(10, 15)
+    if kind == "IP":
+        return F.forall(F.split(value, r"\."), lambda p: p.cast("int") <= 255)
+    return F.lit(True)
+
+
 def demo_spans(text: Column) -> Column:
     """The demonstration profile: the earliest hit first, of these the longest; what overlaps a chosen one goes."""
-    parts = []
-    for kind, pattern in DEMO_RULES:
-        parts.append(_typed(S.matches(text, pattern), kind))
-    ordered = S.stable_sort(F.concat(*parts), lambda s: (s["start"], -(s["end"] - s["start"])))
+
+    def of(kind: str, pattern: str) -> Column:
+        return _typed(F.filter(S.matches(text, pattern), lambda m: _demo_holds(kind, m["value"])), kind)
+
+    found = F.concat(*(of(kind, pattern) for kind, pattern in DEMO_RULES))
+    ordered = S.stable_sort(found, lambda s: (s["start"], -(s["end"] - s["start"])))
 
     def step(kept: Column, s: Column) -> Column:
         return F.when(F.exists(kept, lambda k: S.overlap(k, s)), kept).otherwise(F.concat(kept, F.array(s)))
