@@ -19,7 +19,7 @@ def exploded(df: DataFrame, key: str, text: str, spans: Column) -> DataFrame:
 
 def span_table(df: DataFrame, key: str, text: str, entity_types: list[str] | None = None) -> DataFrame:
     """exploded() of what the rules find."""
-    found = df.select(key, text).withColumn("_spans", S.detect(F.col(text), entity_types)).where(F.size("_spans") > 0)
+    found = df.select(key, text).withColumn("_spans", S.detect(F.col(text), entity_types))
     return exploded(found, key, text, F.col("_spans")).drop("confidence")
 
 

@@ -27,8 +27,15 @@ def query(f: Query) -> Query:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return tables.spread(df) if name in ("documents", "pages") else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose every text is worked on, spread if it is small.
+
+    Not for queries that explode or filter by spans: the filter moves below the exchange, and the work with it.
+    """
+    return tables.spread(table(spark, sf_dir, name))
 
 
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
@@ -112,7 +119,7 @@ QUERIES["detect_counts_by_source"] = _counts("source")
 
 @query
 def detect_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = redaction.plain(table(spark, sf_dir, "documents"))
+    found = redaction.plain(texts_of(spark, sf_dir))
     return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), S.listed(F.col("spans")).alias("spans"))
 
 
@@ -306,7 +313,7 @@ def document_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redaction.plain(table(spark, sf_dir, "documents"))
+    done = redaction.plain(texts_of(spark, sf_dir))
     return done.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
@@ -317,13 +324,13 @@ def redact_plain_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redaction.plain(table(spark, sf_dir, "pages"), "html", ["EMAIL", "IP_ADDRESS"])
+    done = redaction.plain(texts_of(spark, sf_dir, "pages"), "html", ["EMAIL", "IP_ADDRESS"])
     return done.select("page_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query
 def exact_dup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.plain_once(table(spark, sf_dir, "documents")).select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
+    return redaction.plain_once(texts_of(spark, sf_dir)).select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
 @query
@@ -352,7 +359,7 @@ def format_last4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _policy(name: str, which: policy.Policy, fixture: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = texts(spark) if fixture else table(spark, sf_dir, "documents").select("doc_id", "text")
+        docs = texts(spark) if fixture else texts_of(spark, sf_dir).select("doc_id", "text")
         done = policy.redact(docs, which)
         entries = F.array_sort(F.transform(F.map_entries("relex_map"), lambda e: F.concat_ws("=", e["key"], e["value"])))
         return done.select("doc_id", "redacted", S.listed(F.col("spans")).alias("spans"), F.array_join(entries, " ").alias("relex"))
@@ -393,7 +400,7 @@ def relex_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline_typed_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts_of(spark, sf_dir).select("doc_id", "text")
     done = redaction.staged(docs, "text", S.empty(), F.lit(False), SALT)
     return done.select("doc_id", "digest", F.sha2("redacted", 256).alias("redacted_sha256"), F.size("fused").cast("long").alias("n_spans"))
 
@@ -413,7 +420,7 @@ def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten documents: one audit row each."""
-    docs = redaction.plain(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = redaction.plain(texts_of(spark, sf_dir).select("doc_id", "text"))
     batch = F.floor(F.col("doc_id") / 10).alias("request_id")
     return docs.groupBy(batch).agg(
         F.count("*").alias("items"), F.sum(F.length("text")).alias("text_chars"), F.sum(F.size("spans")).alias("n_spans")
@@ -422,7 +429,7 @@ def batch_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(chunks.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text", 500, 520))
+    return numbered(chunks.chunk_table(texts_of(spark, sf_dir), "doc_id", "text", 500, 520))
 
 
 @query
@@ -433,7 +440,7 @@ def chunk_ascii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chunks.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text", 500, 2000)
+    pieces = chunks.chunk_table(texts_of(spark, sf_dir), "doc_id", "text", 500, 2000)
     done = redaction.plain(pieces, "chunk")
     return numbered(done.select("doc_id", "chunk_ix", "redacted", S.listed(F.col("spans")).alias("spans")))
 
@@ -507,7 +514,7 @@ def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def labels_by_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.size(S.detect(F.col("text"))) > 0).alias("pii"))
+    docs = texts_of(spark, sf_dir).select("doc_id", (F.size(S.detect(F.col("text"))) > 0).alias("pii"))
     joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if("pii").alias("n_pii"))
 
@@ -550,7 +557,7 @@ def rscore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rscore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: what the rules find is mandatory, the demonstration profile predicts."""
     as_pairs = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("gold", S.dedupe(S.detect(F.col("text"))))
+    docs = texts_of(spark, sf_dir).select("doc_id", "text").withColumn("gold", S.dedupe(S.detect(F.col("text"))))
     spans = F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("mandatory").alias("category")))
     docs = docs.withColumn("spans", spans).withColumn("predictions", as_pairs(detection.demo_spans(F.col("text"))))
     return _rounded(scoring.scores(scoring.score_terms(docs)))
@@ -825,7 +832,7 @@ def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = texts_of(spark, sf_dir)
     return docs.select("doc_id", records.cache_key(F.col("text"), entity_types=["EMAIL"], salt=SALT).alias("key"))
 
 
@@ -873,6 +880,6 @@ def encrypted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in model in the staged pipeline, over all documents."""
     detect = models.detector(lambda: models.Words({"the": ("WORD", 0.9), "and": ("WORD", 0.4)}))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("found", detect(F.col("text")))
+    docs = texts_of(spark, sf_dir).select("doc_id", "text").withColumn("found", detect(F.col("text")))
     done = redaction.staged(docs, "text", F.slice("found", 1, 5), F.lit(False), SALT)
     return done.select("doc_id", F.size("model").cast("long").alias("n_model"), F.size("fused").cast("long").alias("n_fused"), F.sha2("redacted", 256).alias("redacted_sha256"))
