@@ -309,3 +309,10 @@ def test_network_beats_the_base_on_held_out_documents(spark, sf_dir):
     assert sum(r["score"] for r in rows) > 0.99 * sum(r["base_score"] for r in rows) and len(rows) > 50
     better = sum(r["score"] > r["base_score"] for r in rows)
     assert better > 0.8 * len(rows)
+
+
+def test_every_stretch_of_every_training_document_trains_once():
+    for doc_id, n in [(1, 1), (2, 64), (3, 65), (4, 700), (5, 5000), (None, 130)]:
+        found = [s for k in range(gru_lm.ROUNDS) for s in gru_lm._stretches(doc_id, list(range(n)), k)]
+        assert sum(sorted(w for _, w in found), []) == list(range(n))
+        assert all(before == (words[0] - 1 if words[0] else gru_lm.START) for before, words in found)

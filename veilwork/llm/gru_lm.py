@@ -4,9 +4,10 @@ The network reads words and predicts the next one by a class-factored softmax:
 first the class, then the word within it. Frequent words have places of their
 own; all others share one class, within which the corpus counts decide. It is
 trained by truncated backpropagation on all partitions at once: each trains a
-copy on runs of words from every document (TRAIN_EVERY sets their share), and
-the copies are averaged, ROUNDS times. Documents are scored whole: many at a
-time in lanes, window after window, with the state carried along.
+copy on runs of words, and the copies are averaged, ROUNDS times. Every run of
+every training document trains, each in one of the rounds. Documents are scored
+whole: many at a time in lanes, window after window, with the state carried along.
+Inside a window arrays have lanes or words last, so that numpy's loops are long.
 
 Counts cover every word of every training document. The most frequent words and
 their counts, a bounded number of bounded length, go to the workers; the counts
@@ -32,17 +33,17 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import stored, utf8_of
 
-END = ""  # the token at the end of every text; no word is empty
+END = b""  # the token at the end of every text; no word is empty
 FOLDS, HELD_OUT = 7, 2
 #: Width of the state, words per class, and classes of frequent words.
 HIDDEN, CLASS_WORDS, CLASSES = 16, 32, 32
 #: Frequent words whose counts go to every worker, and the longest of them in bytes.
 KNOWN_WORDS, KNOWN_BYTES = 100_000, 64
 COUNT_STEPS = 16  # of a doubling of counts
-#: Words in a stretch that trains, one of how many stretches trains per round, rounds, and the step size.
-STRETCH, TRAIN_EVERY, ROUNDS, STEP = 64, 32, 2, 0.01
+#: Words in a stretch that trains, rounds, and the step size. Each stretch trains in one round.
+STRETCH, ROUNDS, STEP = 64, 2, 0.01
 #: Steps of a window, and lanes in training and in scoring.
-TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 64, 32, 512
+TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 256, 32, 512
 #: Distinct words that a task counts before it hands them on, and bytes of text scored together.
 COUNTED_WORDS, SCORED_BYTES = 300_000, 8_000_000
 
@@ -51,9 +52,9 @@ def is_held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
-def tokens_of(text: bytes) -> list[str]:
-    """Words, ASCII letters in lower case, and the end."""
-    return [*(w.decode() for w in text.lower().split()), END]
+def tokens_of(text: bytes) -> list[bytes]:
+    """Words in UTF-8, ASCII letters in lower case, and the end."""
+    return [*text.lower().split(), END]
 
 
 @dataclass
@@ -106,41 +107,67 @@ RARE = CLASSES * CLASS_WORDS
 START = RARE + 1
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 def _step(net: Network, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, and what backpropagation needs."""
-    a = net.inputs[x] + net.gate_bias
-    u = h @ net.gates
-    zr = _sigmoid(a[:, : 2 * HIDDEN] + u[:, : 2 * HIDDEN])
-    z, r, un = zr[:, :HIDDEN], zr[:, HIDDEN:], u[:, 2 * HIDDEN :]
-    n = np.tanh(a[:, 2 * HIDDEN :] + r * un)
-    return n + z * (h - n), z, r, n, un
+    """The next state, and what backpropagation needs; a lane to a row."""
+    return tuple(a.T for a in _steps(net, h.T, x[None])[0])
+
+
+def _steps(net: Network, h: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """For each row of x the next state and what backpropagation needs; a lane to a column."""
+    half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(net.gates.dtype)  # sigmoid(x) = (tanh(x / 2) + 1) / 2
+    table, gates = (net.inputs + net.gate_bias) * half, np.ascontiguousarray((net.gates * half).T)
+    out = []
+    for row in x:
+        a, u = np.ascontiguousarray(table[row].T), gates @ h
+        zr = a[: 2 * HIDDEN] + u[: 2 * HIDDEN]
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
+        z, r, un = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN :]
+        n = r * un
+        n += a[2 * HIDDEN :]
+        np.tanh(n, out=n)
+        h = h - n
+        h *= z
+        h += n
+        out.append((h, z, r, n, un))
+    return out
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray, shares: bool = False) -> np.ndarray:
+    """The logarithm of each column's share at a place. x is used up; with shares it then holds the shares."""
+    x -= x.max(axis=0)
+    out = x[at, np.arange(len(at))]
+    np.exp(x, out=x)
+    total = x.sum(axis=0)
+    if shares:
+        x /= total
+    return out - np.log(total)
 
 
-def _by_class(cls: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Frequent classes that occur, with the rows that have them."""
-    order = np.argsort(cls, kind="stable")
-    bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+def _by_class(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Frequent classes that occur, and where they stand in sorted cls."""
+    bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
     for c in range(CLASSES):
         if bounds[c] < bounds[c + 1]:
-            yield c, order[bounds[c] : bounds[c + 1]]
+            yield c, slice(bounds[c], bounds[c + 1])
 
 
 def log_likelihoods(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Natural logarithm of the probability of each y after the state in the same row of h."""
+    return _log_likelihoods(net, h.T, y)
+
+
+def _log_likelihoods(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The same with a state to a column."""
+    order = np.argsort(np.minimum(y // CLASS_WORDS, CLASSES), kind="stable")
+    h, y = np.take(h, order, axis=1), y[order]
     cls = np.minimum(y // CLASS_WORDS, CLASSES)
-    out = _log_softmax(h @ net.classes + net.class_bias)[np.arange(len(y)), cls]
-    for c, rows in _by_class(cls):
-        within = _log_softmax(h[rows] @ net.words[c] + net.word_bias[c])
-        out[rows] += within[np.arange(len(rows)), y[rows] - c * CLASS_WORDS]
+    logs = _softmax(net.classes.T @ h + net.class_bias[:, None], cls)
+    for c, at in _by_class(cls):
+        logs[at] += _softmax(net.words[c].T @ h[:, at] + net.word_bias[c][:, None], y[at] - c * CLASS_WORDS)
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -150,54 +177,53 @@ def gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, there:
     x, y, there: inputs, what follows, and whether it counts; steps by lanes.
     """
     steps, lanes = x.shape
-    kept, states = [], []
-    for t in range(steps):
-        before = h
-        h, *rest = _step(net, h, x[t])
-        kept.append((before, *rest))
-        states.append(h)
-    flat = np.concatenate(states)
+    before = np.ascontiguousarray(h.T)
+    kept = _steps(net, before, x)
+    flat = np.concatenate([k[0] for k in kept], axis=1)
     on = np.flatnonzero(there.ravel())
-    n = max(1, len(on))
-    hs, ys = flat[on], y.ravel()[on]
-    cls = np.minimum(ys // CLASS_WORDS, CLASSES)
-    logp = _log_softmax(hs @ net.classes + net.class_bias)
-    loss = -logp[np.arange(len(on)), cls].sum()
-    d = np.exp(logp)
-    d[np.arange(len(on)), cls] -= 1
-    g_classes, g_class_bias = hs.T @ d, d.sum(0)
-    dh_on = d @ net.classes.T
+    cls = np.minimum(y.ravel()[on] // CLASS_WORDS, CLASSES)
+    order = np.argsort(cls, kind="stable")
+    on, cls, n = on[order], cls[order], max(1, len(on))
+    hs, ys = np.take(flat, on, axis=1), y.ravel()[on]
+    d = net.classes.T @ hs + net.class_bias[:, None]
+    loss = -_softmax(d, cls, True).sum()
+    d[cls, np.arange(len(on))] -= 1
+    g_classes, g_class_bias = hs @ d.T, d.sum(1)
+    dh_on = net.classes @ d
     g_words, g_word_bias = np.zeros_like(net.words), np.zeros_like(net.word_bias)
     for c, rows in _by_class(cls):
-        own = hs[rows]
-        logp = _log_softmax(own @ net.words[c] + net.word_bias[c])
-        at = ys[rows] - c * CLASS_WORDS
-        loss -= logp[np.arange(len(rows)), at].sum()
-        d = np.exp(logp)
-        d[np.arange(len(rows)), at] -= 1
-        g_words[c], g_word_bias[c] = own.T @ d, d.sum(0)
-        dh_on[rows] += d @ net.words[c].T
+        own, at = hs[:, rows], ys[rows] - c * CLASS_WORDS
+        d = net.words[c].T @ own + net.word_bias[c][:, None]
+        loss -= _softmax(d, at, True).sum()
+        d[at, np.arange(len(at))] -= 1
+        g_words[c], g_word_bias[c] = own @ d.T, d.sum(1)
+        dh_on[:, rows] += net.words[c] @ d
     dhs = np.zeros_like(flat)
-    dhs[on] = dh_on
-    dhs = dhs.reshape(steps, lanes, HIDDEN)
-    das = np.zeros((steps, lanes, 3 * HIDDEN), np.float32)
-    g_gates, dh = np.zeros_like(net.gates), np.zeros((lanes, HIDDEN), np.float32)
+    dhs[:, on] = dh_on
+    z, r, cand, un = (np.stack([k[i] for k in kept]) for i in range(1, 5))
+    last = np.stack([before, *(k[0] for k in kept[:-1])])
+    of_z, of_n, of_r = (last - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), un * r * (1 - r)
+    das = np.empty((steps, 3 * HIDDEN, lanes), net.gates.dtype)
+    dus, dh = np.empty_like(das), np.zeros_like(before)
     for t in range(steps - 1, -1, -1):
-        before, z, r, cand, un = kept[t]
-        dh = dh + dhs[t]
-        da = das[t]
-        dn = dh * (1 - z) * (1 - cand * cand)
-        da[:, :HIDDEN] = dh * (before - cand) * z * (1 - z)
-        da[:, HIDDEN : 2 * HIDDEN] = dn * un * r * (1 - r)
-        da[:, 2 * HIDDEN :] = dn
-        du = da.copy()
-        du[:, 2 * HIDDEN :] *= r
-        g_gates += before.T @ du
-        dh = dh * z + du @ net.gates.T
+        dh += dhs[:, t * lanes : (t + 1) * lanes]
+        da, du = das[t], dus[t]
+        np.multiply(dh, of_z[t], out=da[:HIDDEN])
+        dn = np.multiply(dh, of_n[t], out=da[2 * HIDDEN :])
+        np.multiply(dn, of_r[t], out=da[HIDDEN : 2 * HIDDEN])
+        du[: 2 * HIDDEN] = da[: 2 * HIDDEN]
+        np.multiply(dn, r[t], out=du[2 * HIDDEN :])
+        dh *= z[t]
+        dh += net.gates @ du
+    g_gates = np.matmul(last, dus.transpose(0, 2, 1)).sum(0)
+    # the sum of the rows of each word
+    order = np.argsort(x.ravel(), kind="stable")
+    words = x.ravel()[order]
+    begins = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
     g_inputs = np.zeros_like(net.inputs)
-    np.add.at(g_inputs, x.ravel(), das.reshape(-1, 3 * HIDDEN))
-    grads = [g_inputs, g_gates, das.sum((0, 1)), g_classes, g_class_bias, g_words, g_word_bias]
-    return [g / n for g in grads], h, float(loss)
+    g_inputs[words[begins]] = np.add.reduceat(das.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], begins, axis=0)
+    grads = [g_inputs, g_gates, das.sum((0, 2)), g_classes, g_class_bias, g_words, g_word_bias]
+    return [g / n for g in grads], kept[-1][0].T, float(loss)
 
 
 class Trainer:
@@ -249,26 +275,24 @@ def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     total = np.zeros(len(docs))
     waiting = np.argsort(sizes, kind="stable").tolist()  # the longest are taken first
     lanes = np.zeros(0, np.int64)
-    place, h = np.zeros(0, np.int64), np.zeros((0, HIDDEN), np.float32)
+    place, h = np.zeros(0, np.int64), np.zeros((HIDDEN, 0), np.float32)
     while waiting or len(lanes):
         free = min(LANES - len(lanes), len(waiting))
         new = np.array([waiting.pop() for _ in range(free)], np.int64)
         lanes = np.r_[lanes, new]
         place = np.r_[place, begins[new]]
-        h = np.concatenate([h, np.zeros((free, HIDDEN), np.float32)])
+        h = np.concatenate([h, np.zeros((HIDDEN, free), np.float32)], axis=1)
         at = place + np.arange(WINDOW)[:, None]
         there = at < ends[lanes]
         at = np.where(there, at, 0)
-        states = np.empty((WINDOW, len(lanes), HIDDEN), np.float32)
-        for t in range(WINDOW):
-            h = _step(net, h, before[at[t]])[0]
-            states[t] = h
+        states = [k[0] for k in _steps(net, h, before[at])]
+        h = states[-1]
         step, lane = np.nonzero(there)
-        logp = log_likelihoods(net, states[step, lane], flat[at[step, lane]])
+        logp = _log_likelihoods(net, np.concatenate(states, axis=1)[:, np.flatnonzero(there.ravel())], flat[at[step, lane]])
         total += np.bincount(lanes[lane], weights=logp, minlength=len(docs))
         place = place + WINDOW
         on = place < ends[lanes]
-        lanes, place, h = lanes[on], place[on], h[on]
+        lanes, place, h = lanes[on], place[on], h[:, on]
     return total / math.log(10)
 
 
@@ -277,7 +301,7 @@ def count_words(df: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter[str] = Counter()
+        counts: Counter[bytes] = Counter()
 
         def out() -> pa.RecordBatch:
             words = pa.array(list(counts.keys()), pa.string())
@@ -305,10 +329,10 @@ class Vocabulary:
     distinct: int
 
     def __post_init__(self) -> None:
-        self.place = {w: i for i, w in enumerate(list(self.counts)[:RARE])}
+        self.place = {w.encode(): i for i, w in enumerate(list(self.counts)[:RARE])}
         self.placed = sum(list(self.counts.values())[:RARE])
 
-    def numbers(self, tokens: list[str]) -> list[int]:
+    def numbers(self, tokens: list[bytes]) -> list[int]:
         place = self.place
         return [place.get(t, RARE) for t in tokens]
 
@@ -333,9 +357,9 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
 
 
 def _stretches(doc_id: int | None, numbers: list[int], round_: int) -> Iterator[tuple[int, list[int]]]:
-    """Those stretches of a document that train in a round."""
+    """Those stretches of a document that train in a round; all rounds together have each one once."""
     salt = zlib.crc32(str(doc_id).encode())
-    for k in range((round_ - salt) % TRAIN_EVERY, -(-len(numbers) // STRETCH), TRAIN_EVERY):
+    for k in range((round_ - salt) % ROUNDS, -(-len(numbers) // STRETCH), ROUNDS):
         begin = k * STRETCH
         yield numbers[begin - 1] if begin else START, numbers[begin : begin + STRETCH]
 
@@ -396,18 +420,18 @@ def _scored(df: DataFrame, vocab: Vocabulary, packed: bytes) -> DataFrame:
     schema = pa.schema(list(zip(names, kinds)))
     empty = Network.start([], 0)
 
-    def rows_of(net: Network, logs: dict[str, float], keys: list, texts: list[bytes]) -> pa.RecordBatch:
+    def rows_of(net: Network, codes: dict[bytes, int], logs: np.ndarray, keys: list, texts: list[bytes]) -> pa.RecordBatch:
         rows, docs = [], []
         for row, doc_id, text in zip(*keys, texts):
             tokens = tokens_of(text)
-            numbers = np.array(vocab.numbers(tokens), np.int64)
-            rare = [t for t, i in zip(tokens, numbers.tolist()) if i == RARE]
-            strange = Counter(t for t in rare if t not in logs)
+            at = np.array([codes.get(t, -1) for t in tokens], np.int64)
+            numbers = np.where(at < 0, RARE, np.minimum(at, RARE))
+            strange = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
             known = len(tokens) - strange.total()
-            all_logs = math.fsum(logs[t] for t in tokens if t in logs)
-            rare_logs = math.fsum(logs[t] for t in rare if t in logs)
-            others = [{"word": w, "n": n} for w, n in strange.items()]
-            rows.append([row, doc_id, is_held_out(doc_id), len(tokens), known, all_logs, len(rare), rare_logs, 0.0, others])
+            all_logs, rare_logs = float(logs[at[at >= 0]].sum()), float(logs[at[at >= RARE]].sum())
+            others = [{"word": w.decode(), "n": n} for w, n in strange.items()]
+            n_rare = int((numbers == RARE).sum())
+            rows.append([row, doc_id, is_held_out(doc_id), len(tokens), known, all_logs, n_rare, rare_logs, 0.0, others])
             docs.append(numbers)
         for r, s in zip(rows, score(net, docs).tolist()):
             r[8] = s
@@ -415,14 +439,15 @@ def _scored(df: DataFrame, vocab: Vocabulary, packed: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = empty.unpack(packed)
-        logs = {w: math.log10(n + 1) for w, n in vocab.counts.items()}
+        codes = {w.encode(): i for i, w in enumerate(vocab.counts)}
+        logs = np.log10(np.array([*vocab.counts.values()], float) + 1)
         for batch in batches:
             keys = [batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()]
             texts, begin, size = utf8_of(batch), 0, 0
             for k, text in enumerate(texts):
                 size += len(text)
                 if size >= SCORED_BYTES or k + 1 == len(texts):
-                    yield rows_of(net, logs, [c[begin : k + 1] for c in keys], texts[begin : k + 1])
+                    yield rows_of(net, codes, logs, [c[begin : k + 1] for c in keys], texts[begin : k + 1])
                     begin, size = k + 1, 0
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
