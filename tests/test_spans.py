@@ -1,6 +1,9 @@
 """Detection and span algebra against plain restatements."""
 
+import hashlib
 import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +14,7 @@ from veilwork.functions import spans as S
 from veilwork.functions import text as T
 from veilwork.functions.rules import active_rules
 from veilwork.operators import chunks, detection, redaction
+from veilwork.queries import QUERIES
 
 PIECES = [
     "alice@example.com", "a.b+c@mail.example.co", "10.0.0.1", "999.1.1.1", "4532015112830366", "4532 0151 1283 0366", "4532-0151-1283-0367",
@@ -165,3 +169,19 @@ def test_demonstration_profile(spark):
         ("CREDIT_CARD", "4532 0151 1283 0366"), ("URL", "https://a.example/x."),
     ]
     assert all(a["end"] <= b["start"] for a, b in zip(spans, spans[1:]))
+
+
+def test_model_detector_keeps_every_detection(spark, sf_dir):
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect():
+        rules = [(*s, 1.0) for s in plain.detect(r["text"])]
+        model = [(m.start(), m.end(), "WORD", 0.9) for m in re.finditer("the", r["text"])]
+        fused = plain.dedupe(rules + [m for m in model if not any(plain.overlap(x, m) for x in rules)])
+        seen, pairs = Counter(), []
+        for start, end, kind, _ in fused:
+            seen[kind] += 1
+            pairs.append(((start, end), f"[{kind}_{seen[kind]:04d}]"))
+        digest = hashlib.sha256(plain.splice(r["text"], pairs).encode()).hexdigest()
+        want[r["doc_id"]] = (len(model), len(fused), digest)
+    assert sum(n > 5 for n, _, _ in want.values()) > 20
+    assert {r["doc_id"]: tuple(r)[1:] for r in QUERIES["model_detector"](spark, sf_dir).collect()} == want

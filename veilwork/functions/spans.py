@@ -102,7 +102,15 @@ def dedupe(spans: Column) -> Column:
         beaten = F.exists(kept, lambda k: overlap(k, s) & (k["confidence"] >= s["confidence"]))
         return F.when(beaten, kept).otherwise(F.concat(F.filter(kept, lambda k: ~overlap(k, s)), F.array(s)))
 
-    folded = F.aggregate(ordered, empty(), step)
+    def step_last(kept: Column, s: Column) -> Column:
+        # kept ones are disjoint and start no later than s: if none is empty, only the last can reach into s
+        last = F.get(kept, F.size(kept) - 1)
+        meets = F.coalesce(last["end"] > s["start"], F.lit(False))
+        beaten = F.when(meets & (last["confidence"] >= s["confidence"]), kept)
+        return beaten.otherwise(F.concat(F.when(meets, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept), F.array(s)))
+
+    filled = F.forall(spans, lambda s: F.coalesce(s["end"] > s["start"], F.lit(False)))
+    folded = F.when(filled, F.aggregate(ordered, empty(), step_last)).otherwise(F.aggregate(ordered, empty(), step))
     return F.when(F.size(spans) < 2, spans).otherwise(stable_sort(folded, lambda s: (s["start"],)))
 
 

@@ -67,15 +67,23 @@ def relex_pairs(text: Column, spans: Column, seed: str | None = None, cache: Col
     return F.transform(spans, lambda s: F.struct(s.alias("span"), F.coalesce(cached[key(s)], names[key(s)]).alias("replacement")))
 
 
+TYPED = f"array<struct<span:{S.SPAN},replacement:string>>"
+COUNTED = "array<struct<type:string,n:int>>"
+
+
 def typed_pairs(spans: Column) -> Column:
     """(span, placeholder): per type numbered from 1, every occurrence anew."""
-    return F.transform(
-        spans,
-        lambda s, i: F.struct(
-            s.alias("span"),
-            T.placeholder(s["type"], F.size(F.filter(F.slice(spans, 1, i + 1), lambda x: F.upper(x["type"]) == F.upper(s["type"])))).alias("replacement"),
-        ),
-    )
+    start = F.struct(S.empty(COUNTED).alias("seen"), S.empty(TYPED).alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        kind = F.upper(s["type"])
+        n = F.coalesce(F.get(F.filter(acc["seen"], lambda c: c["type"] == kind), F.lit(0))["n"], F.lit(0)) + 1
+        others = F.filter(acc["seen"], lambda c: c["type"] != kind)
+        seen = F.concat(others, F.array(F.struct(kind.alias("type"), n.alias("n")))).cast(COUNTED)
+        pair = F.struct(s.alias("span"), T.placeholder(s["type"], n).alias("replacement"))
+        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(pair)).cast(TYPED).alias("out"))
+
+    return F.aggregate(spans, start, step, lambda acc: acc["out"])
 
 
 def staged(df: DataFrame, text: str, model_spans: Column, circuit_open: Column, salt: str = "", fail: bool = False) -> DataFrame:
