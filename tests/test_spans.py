@@ -185,3 +185,14 @@ def test_model_detector_keeps_every_detection(spark, sf_dir):
         want[r["doc_id"]] = (len(model), len(fused), digest)
     assert sum(n > 5 for n, _, _ in want.values()) > 20
     assert {r["doc_id"]: tuple(r)[1:] for r in QUERIES["model_detector"](spark, sf_dir).collect()} == want
+
+
+def test_every_document_has_its_event_stream(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()}
+    assert any(not t.isascii() for t in texts.values())
+    want = set()
+    for doc_id, text in texts.items():
+        n = len(chunks.split_chunks(text, 500, 520))
+        want |= {(doc_id, i, f'data: {{"chunk_ix":{i}}}\n\n') for i in range(n)} | {(doc_id, n, "data: [DONE]\n\n")}
+    rows = QUERIES["sse_stream_all"](spark, sf_dir).collect()
+    assert len(rows) == len(want) and {(r["doc_id"], r["event_ix"], r["line"]) for r in rows} == want

@@ -434,6 +434,7 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_ascii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII documents alone, as in its SQL; chunk_text has all."""
     docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
     return numbered(docs.select("doc_id", F.posexplode(chunks.ascii_chunks(F.col("text"), 500)).alias("chunk_ix", "chunk")))
 
@@ -447,10 +448,18 @@ def chunk_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ASCII documents alone, as in its SQL; sse_stream_all has all."""
     pieces = chunk_ascii_text(spark, sf_dir).withColumn("payload", F.to_json(F.struct("chunk_ix")))
     return chunks.event_lines(pieces, "doc_id", "payload", "chunk_ix")
 
 
+@query
+def sse_stream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream of every document's chunks; bytes bound them, so no SQL follows."""
+    pieces = chunk_text(spark, sf_dir).withColumn("payload", F.to_json(F.struct("chunk_ix")))
+    return chunks.event_lines(pieces, "doc_id", "payload", "chunk_ix")
+
+
 # -- audit and evaluation ----------------------------------------------------------------------------------------------
 
 
