@@ -1,8 +1,10 @@
 """Operators that judge each document or page on its own, against brute force and the libraries."""
 
 import hashlib
+import math
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -166,6 +168,74 @@ def test_quality_on_labelled_documents(spark, sf_dir):
     assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
 
 
+#: Lines with the label that a reader would give them: + content, - boilerplate.
+MIXED = """- Home | News | Sport | Contact | About
+- We use cookies to improve this site.
++ The town council met on Tuesday to talk about the new bridge over the river, and most of its members spoke in favour of the plan.
++ Work on it begins next spring and should be done within two years, the mayor said after the meeting.
+- Copyright 2020 All rights reserved
+- Subscribe to our newsletter!!
+- Terms of use | Privacy policy | Help | Jobs
+
+- MENU MENU MENU | SHOP | CART | LOGIN
+- $$$ *** ### SALE ### *** $$$
++ Bread needs little more than flour, water, salt and time, which is why bakers of every century have agreed on so much.
++ A dough that rests over night takes on a taste that no kneading gives, and it asks for less yeast as well.
++ Bake it hot at first, so that the crust opens, and let the oven cool while the inside dries.
+- click here | click here | click here | click here
+
++ Letters from the front reached the village once a month, and the teacher read them aloud to those who could not read.
++ Some were short, some ran over many pages, and all of them spoke of the weather before anything else.
+- www.example.com | share | tweet | like | pin
+- 2019 2018 2017 2016 2015 2014 2013"""
+
+
+def test_lines_of_mixed_documents_get_mixed_labels(spark, sf_dir):
+    big = sf_dir.replace("sf0.001", "sf0.01")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/labels.parquet")
+    fitted = quality.train(docs, labels)
+    assert fitted.moves == quality.MOVES and fitted.weights != quality.PRIOR
+    assert fitted == quality.train(docs.repartition(7), labels.unionAll(labels))
+    decoder = quality.Decoder(fitted)
+    right = []
+    for text in MIXED.split("\n\n"):
+        lines = [x.split(" ", 1) for x in text.split("\n")]
+        found = decoder.content(quality.featured_lines("\n".join(x for _, x in lines))[0])
+        assert set(found) == {True, False}
+        right += [f == (mark == "+") for f, (mark, _) in zip(found, lines)]
+    assert sum(right) >= 0.9 * len(right)
+    verdict = next(quality.verdicts(["\n".join(x[2:] for x in MIXED.split("\n\n")[0].split("\n"))], decoder, quality.CONTENT_SHARE))
+    assert verdict.kept and 0.5 < verdict.content_share < 0.7
+    # not a document classifier: texts of the corpus have both kinds of lines too
+    shares = [r["content_share"] for r in quality.judge(docs, fitted).collect()]
+    assert sum(0 < x < 1 for x in shares) >= 10
+
+
+def test_marginals_are_those_of_all_labellings():
+    from itertools import product
+
+    rng = random.Random(6)
+    emit = np.array([[rng.uniform(-2, 2) for _ in range(6)] for _ in range(4)])
+    there = np.arange(6) < np.array([[6], [4], [1], [3]])
+    emit *= there
+    found = quality.marginals(emit, there)
+    for row, on, got in zip(emit, there, found):
+        n = int(on.sum())
+        total, content = 0.0, np.zeros(6)
+        for ys in product((0, 1), repeat=n):
+            weight = math.exp(sum(e for e, y in zip(row, ys) if y) + sum(quality.MOVES[2 * a + b] for a, b in zip(ys, ys[1:])))
+            total += weight
+            content[:n] += weight * np.array(ys)
+        assert np.allclose(got, content / total)
+
+
+def test_contradicting_and_repeated_labels(spark, sf_dir):
+    docs = spark.createDataFrame([(1, "a line of plain words that goes on. " * 3), (1, "other words of the same id"), (2, "| | |")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (2, 0), (3, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.train(docs, labels) == quality.train(docs.unionAll(docs), labels.where("doc_id < 3").distinct())
+    assert quality.train(docs, labels.where("doc_id = 3")) == quality.Chain()
+
+
 def test_training_without_labels(spark, dirty):
     none = spark.createDataFrame([(None, 1, 0), (5, None, 0)], "doc_id long, quality int, toxic int")
     assert quality.train(dirty, none) == quality.Chain()

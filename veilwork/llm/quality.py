@@ -1,14 +1,21 @@
 """Quality rules: a linear-chain CRF labels the lines of a text as content or boilerplate.
 
-Each line with a word has yes-or-no features. The chain's weights start from
-PRIOR and are fitted by maximum a-posteriori likelihood (forward-backward in
-numpy) on a bounded sample of labelled documents, whose label stands for their
-lines; without labels PRIOR holds. Viterbi decoding finds the best labels of a
-whole text, and the share of characters in content lines decides retention.
+Each line with a word has yes-or-no features. The emission weights start from
+PRIOR and are fitted on a bounded sample of labelled documents; without labels
+PRIOR holds. A document's label is not a label of its lines: those stay hidden,
+and the label only bounds the share of characters that content lines may be
+expected to have, at least GOOD_SHARE in a good document and at most BAD_SHARE in
+a bad one (posterior regularisation: forward-backward in numpy, with a
+multiplier for each document that breaks its bound). Moves between states are
+MOVES, as no document's label tells of them. Viterbi decoding finds the best
+labels of a whole text, and the share of characters in content lines decides
+retention.
 
 Edge cases: a null text counts as empty; it has no words, so it fails the base
 rules; repeated rows give equal rows; an empty table gives an empty table; other
-columns are not read. Rows of labels with nulls are no training rows.
+columns are not read. Rows of labels with nulls, and documents with both
+qualities, are no training rows; of rows that share a doc_id one is taken, that
+whose lines come first in order.
 """
 
 from __future__ import annotations
@@ -34,12 +41,14 @@ FEATURES = (
     "always", "few_words", "many_words", "sentence_end", "capital_start", "symbols", "bars", "digits",
     "shouting", "marks_in_row", "same_words", "seen_before", "link", "notice",
 )
-#: Weights of content against boilerplate before any training, and of staying in a state against leaving it.
+#: Weights of content against boilerplate before any training, and log-odds of moves (from, to: 00, 01, 10, 11; 1 is content).
 PRIOR = (1.5, -0.2, 0.5, 0.5, 0.3, -2.0, -2.0, -1.0, -2.0, -2.0, -3.0, -0.5, -0.5, -1.0)
-STAY = 1.0
+MOVES = (1.0, 0.0, 0.0, 1.0)
 NOTICE = re.compile(r"(?i)cookie|copyright|all rights reserved|subscribe|click here|terms of use|privacy policy|licen[sc]e")
 #: Documents of each label that training takes, lines of each (a run from a hashed place), steps, and strength of the prior.
-SAMPLE, SAMPLE_LINES, STEPS, PRIOR_STRENGTH = 400, 64, 80, 2.0
+SAMPLE, SAMPLE_LINES, STEPS, PRIOR_STRENGTH = 400, 64, 150, 2.0
+#: Bounds of the expected content share of good and bad documents, and how fast multipliers follow what breaks them.
+GOOD_SHARE, BAD_SHARE, PACE = 0.8, 0.2, 2.0
 #: A text is kept if at least so much of its characters is content.
 CONTENT_SHARE = 0.5
 
@@ -49,7 +58,7 @@ class Chain:
     """Weights of content against boilerplate, and log-odds of moves between them."""
 
     weights: tuple[float, ...] = PRIOR
-    moves: tuple[float, float, float, float] = (STAY, 0.0, 0.0, STAY)  # from, to: 00, 01, 10, 11; 1 is content
+    moves: tuple[float, float, float, float] = MOVES
 
 
 def line_features(line: str, words: list[str], seen: bool) -> int:
@@ -118,77 +127,75 @@ class Decoder:
         return labels[::-1]
 
 
-def fit(lines: list[list[int]], labels: list[int]) -> Chain:
-    """The chain of greatest posterior for lines whose labels are those of their documents."""
+def marginals(emit: np.ndarray, there: np.ndarray) -> np.ndarray:
+    """Of each line (documents by lines) the probability that it is content, from log-odds of its features and MOVES."""
+    stay0, to1, to0, stay1 = MOVES
+    ahead, behind = emit.copy(), np.zeros_like(emit)  # log-odds of content, with what stands before or behind
+    for t in range(1, emit.shape[1]):
+        x = ahead[:, t - 1]
+        ahead[:, t] += np.logaddexp(x + stay1, to1) - np.logaddexp(x + to0, stay0)
+    for t in range(emit.shape[1] - 2, -1, -1):
+        x = emit[:, t + 1] + behind[:, t + 1]
+        behind[:, t] = np.where(there[:, t + 1], np.logaddexp(x + stay1, to0) - np.logaddexp(x + to1, stay0), 0)
+    return np.where(there, 1 / (1 + np.exp(-(ahead + behind))), 0)
+
+
+def fit(lines: list[list[int]], sizes: list[list[int]], labels: list[int]) -> Chain:
+    """The chain for documents' lines (features and characters) under the bounds that their labels set."""
     if not lines:
         return Chain()
     D, T, K = len(lines), max(map(len, lines)), len(FEATURES)
-    bits, there = np.zeros((D, T), np.int64), np.zeros((D, T), bool)
-    for d, row in enumerate(lines):
-        bits[d, : len(row)] = row
-        there[d, : len(row)] = True
+    bits, there, chars = np.zeros((D, T), np.int64), np.zeros((D, T), bool), np.zeros((D, T))
+    for d, (row, own) in enumerate(zip(lines, sizes)):
+        bits[d, : len(row)], chars[d, : len(row)], there[d, : len(row)] = row, own, True
     x = ((bits[:, :, None] >> np.arange(K)) & 1).astype(float) * there[:, :, None]
-    y = np.array(labels)
-    weights, moves = np.array(PRIOR), np.array(Chain().moves).reshape(2, 2)
-    start_w, start_m = weights.copy(), moves.copy()
-    balance = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
-    per_line = balance / np.maximum(1, there.sum(1))
-    first, second = np.zeros(K + 4), np.zeros(K + 4)
+    chars /= chars.sum(1, keepdims=True)
+    good = np.array(labels) == 1
+    sign, bound = np.where(good, 1.0, -1.0), np.where(good, GOOD_SHARE, BAD_SHARE)
+    per_line = np.where(good, 0.5 / max(1, good.sum()), 0.5 / max(1, (~good).sum())) / there.sum(1)
+    weights, multiplier = np.array(PRIOR), np.zeros(D)
+    first, second = np.zeros(K), np.zeros(K)
+    tilt = chars * there.sum(1, keepdims=True)
     for step in range(1, STEPS + 1):
-        emit = np.zeros((D, T, 2))
-        emit[:, :, 1] = x @ weights
-        ahead = np.zeros((D, T, 2))
-        ahead[:, 0] = emit[:, 0]
-        for t in range(1, T):
-            new = np.logaddexp.reduce(ahead[:, t - 1, :, None] + moves, axis=1) + emit[:, t]
-            ahead[:, t] = np.where(there[:, t, None], new, ahead[:, t - 1])
-        behind = np.zeros((D, T, 2))
-        total = np.logaddexp.reduce(ahead[:, -1], axis=1)
-        pairs = np.zeros((D, 2, 2))
-        for t in range(T - 2, -1, -1):
-            on = there[:, t + 1, None, None]
-            joint = moves + (emit[:, t + 1] + behind[:, t + 1])[:, None, :]
-            behind[:, t] = np.where(on[:, :, 0], np.logaddexp.reduce(joint, axis=2), behind[:, t + 1])
-            pairs += np.where(on, np.exp(ahead[:, t, :, None] + joint - total[:, None, None]), 0)
-        share = np.exp(ahead[:, :, 1] + behind[:, :, 1] - total[:, None]) * there
-        g_w = np.einsum("dt,dtk,d->k", y[:, None] * there - share, x, per_line)
-        steps_ = np.maximum(0, there.sum(1) - 1)
-        told = np.zeros((D, 2, 2))
-        told[np.arange(D), y, y] = steps_
-        g_m = np.einsum("dij,d->ij", told - pairs, per_line)
-        strength = PRIOR_STRENGTH / D
-        g = np.r_[g_w - strength * (weights - start_w), (g_m - strength * (moves - start_m)).ravel()]
+        emit = x @ weights
+        free = marginals(emit, there)
+        bounded = marginals(emit + (sign * multiplier)[:, None] * tilt, there)
+        multiplier = np.maximum(0, multiplier + PACE * sign * (bound - (bounded * chars).sum(1)))
+        g = np.einsum("dt,dtk,d->k", bounded - free, x, per_line) - PRIOR_STRENGTH / D * (weights - PRIOR)
         first = 0.9 * first + 0.1 * g
         second = 0.99 * second + 0.01 * g * g
-        move = 0.1 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        weights = weights + move[:K]
-        moves = moves + move[K:].reshape(2, 2)
-    return Chain(tuple(np.round(weights, 6).tolist()), tuple(np.round(moves, 6).ravel().tolist()))
+        weights = weights + 0.1 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
+    return Chain(tuple(np.round(weights, 6).tolist()))
 
 
 def train(df: DataFrame, labels: DataFrame) -> Chain:
     """Fit on a bounded sample of labelled rows: SAMPLE documents of each quality, SAMPLE_LINES lines of each."""
-    rows = labels.where("doc_id is not null and quality in (0, 1)").select("doc_id", "quality").distinct()
+    rows = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id")
+    rows = rows.agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
     order = F.xxhash64("doc_id")
     taken = [r for q in (0, 1) for r in rows.where(F.col("quality") == q).orderBy(order, "doc_id").limit(SAMPLE).collect()]
     quality = {r["doc_id"]: r["quality"] for r in taken}
-    schema = pa.schema([("doc_id", pa.int64()), ("lines", pa.list_(pa.int32()))])
+    lists = pa.list_(pa.int32())
+    schema = pa.schema([("doc_id", pa.int64()), ("lines", lists), ("sizes", lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), texts_of(batch)):
-                lines = featured_lines(text)[0]
-                begin = doc_id * 2654435761 % max(1, len(lines) - SAMPLE_LINES + 1)
-                out.append(lines[begin : begin + SAMPLE_LINES])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(pa.int32()))], schema=schema)
+            ids = batch.column("doc_id").cast(pa.int64())
+            lines, sizes = [], []
+            for doc_id, text in zip(ids.to_pylist(), texts_of(batch)):
+                features, chars, _ = featured_lines(text)
+                begin = doc_id * 2654435761 % max(1, len(features) - SAMPLE_LINES + 1)
+                lines.append(features[begin : begin + SAMPLE_LINES])
+                sizes.append(chars[begin : begin + SAMPLE_LINES])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(lines, lists), pa.array(sizes, lists)], schema=schema)
 
     if not quality:
         return Chain()
     some = df.where(F.col("doc_id").isin(list(quality))).select("doc_id", "text")
-    found = sorted({(r["doc_id"], tuple(r["lines"])) for r in some.mapInArrow(run, "doc_id long, lines array<int>").collect()})
-    found = [(d, row) for d, row in found if row]
-    return fit([list(row) for _, row in found], [quality[d] for d, _ in found])
+    cut = some.mapInArrow(run, "doc_id long, lines array<int>, sizes array<int>").where("size(lines) > 0")
+    one = cut.groupBy("doc_id").agg(F.min(F.struct("lines", "sizes")).alias("cut"))
+    found = sorted((r["doc_id"], r["cut"]["lines"], r["cut"]["sizes"]) for r in one.collect())
+    return fit([f[1] for f in found], [f[2] for f in found], [quality[f[0]] for f in found])
 
 
 def repeated_words(docs: list[list[bytes]]) -> list[int]:
