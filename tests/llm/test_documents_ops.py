@@ -3,10 +3,13 @@
 import hashlib
 import math
 import random
+import re
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tests.llm import brute
@@ -248,23 +251,68 @@ def test_secret_rows(dirty):
     assert "entropy_base64:0:" in spans[12] and spans[12].count("entropy") == 1
 
 
-def test_entropy_windows(spark):
+@pytest.mark.parametrize("kind", range(len(secret_scan.CLASSES)))
+def test_entropy_windows(spark, kind):
     rng = random.Random(8)
-    cls = secret_scan.CLASSES[1]
-    texts = ["".join(rng.choice(cls.alphabet[: rng.choice((8, 30, 66))]) for _ in range(rng.randrange(24, 90))) for _ in range(40)]
-    texts.append("".join(rng.choice("ab") for _ in range(60)) + "".join(rng.sample(cls.alphabet, 40)) + "a" * 50)
+    cls, n = secret_scan.CLASSES[kind], len(secret_scan.CLASSES[kind].alphabet)
+    texts = ["".join(rng.choice(cls.alphabet[: rng.choice((8, n // 2, n))]) for _ in range(rng.randrange(24, 90))) for _ in range(40)]
+    texts.append("".join(rng.choice(cls.alphabet[:2]) for _ in range(60)) + "".join(rng.sample(cls.alphabet, 22)) + cls.alphabet[0] * 50)
+    texts.append("".join(rng.choice(cls.alphabet if i // 60 % 3 else cls.alphabet[:2]) for i in range(4 * secret_scan.BLOCK)))  # over several blocks
     df = spark.createDataFrame([(t,) for t in texts], "text string")
-    from pyspark.sql import functions as F
-
-    found = df.select("text", secret_scan.suspect_runs(F.col("text"), cls).alias("runs")).collect()
+    found = df.select("text", secret_scan.suspect_runs(F.col("text"), F.lit(kind)).alias("runs")).collect()
     for r in found:
         assert [tuple(x) for x in r["runs"]] == brute.entropy_runs(r["text"], cls.window, cls.bits)
 
 
+def test_running_totals_over_blocks(spark):
+    rng = random.Random(9)
+    lists = [[rng.randrange(100) for _ in range(n)] for n in (0, 1, 255, 256, 257, 1000)]
+    df = spark.createDataFrame([(x,) for x in lists], "x array<int>")
+    for r in df.select("x", secret_scan._running(F.col("x"), 0, lambda a, b: a + b).alias("sums")).collect():
+        assert r["sums"] == [sum(r["x"][:i]) for i in range(len(r["x"]) + 1)]
+
+
+def test_long_candidates_and_many_matches_take_linear_time(spark):
+    rng = random.Random(10)
+    blob = "".join(rng.choice(secret_scan.CLASSES[1].alphabet) for _ in range(100_000))
+    words = " ".join("".join(rng.choice("0123456789abcdef") for _ in range(20)) for _ in range(10_000))
+    df = spark.createDataFrame([(1, "a b"), (2, "x " + blob + " y"), (3, words)], "doc_id long, text string")
+    secret_scan.scan(df.where("doc_id = 1")).collect()
+    began = time.time()
+    rows = {r["doc_id"]: r for r in secret_scan.scan(df).collect()}
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert time.time() - began < 30
+    assert rows[3]["n_hex"] == 10_000 and masked[3] == " ".join(["[SECRET]"] * 10_000)
+    windows = [s for s in rows[2]["spans"].split(",") if s.startswith("entropy_base64")]
+    assert windows == [f"entropy_base64:{a + 2}:{b + 2}" for a, b in brute.entropy_runs(blob, 24, 4.05)]
+
+
 def test_allow_list(spark):
-    rows = [(1, "3f2504e0-4f89-41d3-9a0c-0305e82c3301"), (2, "zK8vQ2pLx9RfT4mWc7YbNEXAMPLE1hJd6GsA3uE5oXi0")]
+    secret = "zK8vQ2pLx9RfT4mWc7YbN1hJd6GsA3uE5oXi0"
+    rows = [(1, "3f2504e0-4f89-41d3-9a0c-0305e82c3301"), (2, f"zK8vQ2pLx9_EXAMPLE_{secret}"), (3, f"/home/samples/{secret}"), (4, f"unexampled{secret}")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert [r["spans"] for r in secret_scan.scan(df).orderBy("doc_id").collect()] == ["", ""]
+    found = [r["spans"] for r in secret_scan.scan(df).orderBy("doc_id").collect()]
+    assert found[:2] == ["", ""] and found[2] and found[3]
+
+
+@pytest.mark.parametrize("name", ["row", "base", "found", "whole", "suspect", "masked", "x.y", "start"])
+def test_redaction_of_clashing_columns(spark, name):
+    df = spark.createDataFrame([(1, "password = abcdefghijkl", 7, 23)], f"doc_id long, text string, `{name}` int, n_chars int")
+    assert [tuple(r) for r in secret_scan.redact(df).collect()] == [(1, "[SECRET]", 7, 8)]
+    assert secret_scan.redact(df).schema.simpleString() == df.schema.simpleString()
+
+
+def test_masked_text_is_that_between_the_spans(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choice("aé日😀 \n") for _ in range(3 * secret_scan.TEXT_BLOCK))
+    for spans in ([], [(0, 5)], [(3, 9), (4, 6), (5, 20), (20, 30)], [(4090, 4100), (8192, 8193), (len(text) - 1, len(text))], [(0, len(text))]):
+        rows = spark.createDataFrame([(text, [{"start": a, "kind": 0, "end": b} for a, b in spans])], f"text string, spans {secret_scan.SPANS}")
+        found = rows.select(secret_scan.masked(F.col("text"), F.col("spans"))).first()[0]
+        gone = bytearray(len(text))
+        for a, b in spans:
+            gone[a:b] = b"\1" * (b - a)
+        marked = "".join("\0" if g else c for c, g in zip(text, gone))
+        assert found == re.sub("\0+", "[SECRET]", marked)
 
 
 def test_redaction(dirty):

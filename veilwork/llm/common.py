@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space that separates words everywhere in this subpackage.
 BLANK = "\x20\x09-\x0d"
@@ -21,15 +23,27 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
 
+def wrapped(df: DataFrame) -> DataFrame:
+    """df with all its columns in one, row, so that any other names are free."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+
+
+def unwrapped(df: DataFrame, columns: list[str], new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of row, some of them new."""
+    return df.select(*((new or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
     On a cluster it is what spark.checkpoint.dir names. A folder of our own is
-    made only where that is unset, as in tests on one machine.
+    made only where that is unset and all work is done on this machine, as in tests.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilwork-"))
     return context.getCheckpointDir()
 

@@ -5,14 +5,18 @@ maximal runs of a character class, and keeps the counts of the class's
 characters up to date: the entering character adds one, the leaving one takes
 one off. From the counts comes the sum of c * log2(c), which falls as the
 window's Shannon entropy rises. Windows over a class's threshold are merged into
-spans, unless the candidate is on the allow-list or inside a base span.
+spans, unless the candidate is on the allow-list, the span holds a whole part
+from it, or a base span has all of it.
 
 The sums are whole numbers of millionths of a bit, so results do not depend on
-the order of additions.
+the order of additions. Counts are five bits each, twelve to a number, of which
+a step changes two. Candidates are cut into blocks that overlap by a window, and
+lists are added up in blocks, so the work grows with the length of a text.
 
 Edge cases: a null text counts as empty and has no spans; repeated rows give
-equal rows; an empty table gives an empty table; other columns pass through
-redact() untouched and are not read by scan(). Offsets are code points.
+equal rows; an empty table gives an empty table; other columns, whatever their
+names, pass through redact() untouched and are not read by scan(). Offsets are
+code points.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.llm.common import unwrapped, wrapped
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -48,6 +54,11 @@ class CharacterClass:
     def pattern(self) -> str:
         return "[" + self.alphabet.replace("-", "\\-") + "]{" + str(self.window) + ",}"
 
+    @property
+    def places(self) -> list[int]:
+        """Of each ASCII code its place in the alphabet, -1 if it has none."""
+        return [self.alphabet.find(chr(i)) for i in range(128)]
+
 
 #: The base kinds. A run is maximal, so a longer minimum inside the pattern keeps the same matches.
 KINDS = (
@@ -58,16 +69,19 @@ KINDS = (
 CLASSES = (
     CharacterClass("entropy_hex", "0123456789ABCDEFabcdef", 20, 3.2),
     CharacterClass("entropy_base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", 24, 4.05),
+    CharacterClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.65),
+    CharacterClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.65),
 )
-#: Candidates that match one of these are not secrets.
+#: Candidates that match this as a whole (words, numbers, UUIDs) are not secrets, nor are spans with one of these words as a part.
 ALLOWED = (
-    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*$",
-    r"^[0-9]+(?:[-_/][0-9]+)*$",
-    r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"(?i)example|sample|dummy|placeholder",
+    r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*$|^[0-9]+(?:[-_/][0-9]+)*$"
+    r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 )
+ALLOWED_PARTS = r"(?i)(?:^|[-_/+])(?:example|sample|dummy|placeholder)(?:[-_/+]|$)"
 MASK = "[SECRET]"
 MILLION = 1_000_000
+#: Counts in one number and bits of each; windows of a block of a candidate; members of a list that are added up at once.
+PACKED, COUNT_BITS, BLOCK, LISTED = 12, 5, 1024, 256
 
 
 def weight(count: int) -> int:
@@ -80,106 +94,201 @@ def most_weight(c: CharacterClass) -> int:
     return math.floor(MILLION * c.window * (math.log2(c.window) - c.bits))
 
 
-def _matches(text: Column, pattern: str, group: int) -> Column:
-    """(start, end, what) of all matches; what is the text of the group."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(found.alias("found"), shown.alias("shown"), F.slice(gaps, 1, F.greatest(F.size(found), F.lit(1))).alias("gap"))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,what:string>>)")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _running(values: Column, first: int, both: Callable[[Column, Column], Column]) -> Column:
+    """Of each member of an array of ints what both() makes of first and all members before it, and of all of them last.
+
+    An array that a fold extends is copied at each step, so the folds go over blocks of LISTED members.
+    """
+    ints = "array<int>"
+
+    def within(block: Column) -> Column:
+        start = F.struct(F.lit(first).alias("at"), F.array().cast(ints).alias("out"))
+        walked = F.aggregate(block, start, lambda acc, x: F.struct(both(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        return walked
+
+    def of(all_values: Column) -> Column:
+        last = F.floor((F.size(all_values) - 1) / LISTED).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: within(F.slice(all_values, k * LISTED + 1, LISTED)))
+        return let(blocks, joined)
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["found"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["shown"].alias("what"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def joined(blocks: Column) -> Column:
+        start = F.struct(F.lit(first).alias("at"), F.array().cast(ints).alias("out"))
+        before = F.aggregate(blocks, start, lambda acc, b: F.struct(both(acc["at"], b["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+        every = lambda w: F.flatten(F.zip_with(blocks, w["out"], lambda b, x: F.transform(b["out"], lambda y: both(x, y))))
+        return let(before, lambda w: F.concat(every(w), F.array(w["at"])))
 
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    walked = F.aggregate(zipped, first, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), walked).otherwise(empty)
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array(F.lit(first))))
 
 
-def _span(start: Column, kind: int, end: Column) -> Column:
-    return F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
+def _literals(values: list) -> Column:
+    """A constant array of numbers or of arrays of numbers."""
+    return F.expr(str(values).replace("[", "array(").replace("]", ")"))
+
+
+FOUND = "array<struct<start:int,end:int,what:string>>"
+
+
+def _matches(text: Column, patterns: list[tuple[str, int]]) -> Column:
+    """Of each pattern (start, end, what) of all matches; what is the text of the pattern's group."""
+
+    def zipped(pattern: str, group: int) -> Column:
+        found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+        parts = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), found.alias("own"), shown.alias("what"))
+        none = F.array().cast("array<struct<gap:string,own:string,what:string>>")
+        return F.when(text.rlike(pattern), parts).otherwise(none)
+
+    def placed(parts: Column) -> Column:
+        ends = _running(F.transform(parts, lambda p: F.length(p["gap"]) + F.length(p["own"])), 0, lambda a, b: a + b)
+        return F.zip_with(
+            parts,
+            F.slice(ends, 2, F.size(parts)),
+            lambda p, end: F.struct((end - F.length(p["own"])).alias("start"), end.alias("end"), p["what"].alias("what")),
+        )
+
+    # behind the last match stands one more gap, which has no match
+    every = F.array(*(zipped(p, g) for p, g in patterns))
+    return F.transform(every, lambda z: let(F.filter(z, lambda p: p["own"].isNotNull()), placed).cast(FOUND))
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def base_spans(text: Column) -> Column:
-    def of(i: int, kind: Kind) -> Column:
-        good = F.filter(_matches(text, kind.pattern, kind.group), lambda m: F.length(m["what"]) >= kind.least)
-        return F.transform(good, lambda m: _span(m["start"], i, m["end"]))
-
-    return F.array_sort(F.concat(*(of(i, k) for i, k in enumerate(KINDS)))).cast(SPANS)
-
-
-def suspect_runs(candidate: Column, c: CharacterClass) -> Column:
-    """(start, end) in the candidate of merged windows over the threshold, by incremental counts."""
-    letters = F.split(candidate, "(?!^)(?!$)")
-    codes = F.transform(letters, lambda x: F.instr(F.lit(c.alphabet), x) - 1)
-    table = F.array(*[F.lit(weight(n)).cast("long") for n in range(c.window + 1)])
-    counts = F.array_repeat(F.lit(0), len(c.alphabet))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    first = F.struct(counts.alias("counts"), F.lit(0).cast("long").alias("sum"), none.alias("runs"))
-
-    def step(acc: Column, x: Column) -> Column:
-        entering, leaving, at = x["entering"], x["leaving"], x["at"]
-        less = F.greatest(acc["counts"][F.greatest(leaving, F.lit(0))], F.lit(1))
-        without = acc["sum"] + F.when(leaving >= 0, table[less - 1] - table[less]).otherwise(0)
+    least = _literals([k.least for k in KINDS])
+
+    def of(found: Column, i: Column) -> Column:
+        good = F.filter(found, lambda m: F.length(m["what"]) >= F.get(least, i))
+        return F.transform(good, lambda m: F.struct(m["start"].alias("start"), i.alias("kind"), m["end"].alias("end")))
+
+    every = _matches(text, [(k.pattern, k.group) for k in KINDS])
+    return F.array_sort(F.flatten(F.transform(every, of)).cast(SPANS))
+
+
+def _merged(runs: Column) -> Column:
+    """Spans (start, end) whose starts and ends both rise, with those that touch as one."""
+
+    def of(r: Column) -> Column:
+        starts = F.filter(r, lambda x, i: (i == 0) | (x["start"] > F.get(r, i - 1)["end"]))
+        ends = F.filter(r, lambda x, i: (i == F.size(r) - 1) | (F.get(r, i + 1)["start"] > x["end"]))
+        return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end"))).cast("array<struct<start:int,end:int>>")
+
+    return let(runs, of)
+
+
+RUNS = "array<struct<start:int,end:int>>"
+
+
+def suspect_runs(candidate: Column, kind: Column) -> Column:
+    """(start, end) in a candidate of a class (its number) of merged windows over the threshold, by incremental counts."""
+    places, windows = _literals([c.places for c in CLASSES]), _literals([c.window for c in CLASSES])
+    most = _literals([most_weight(c) for c in CLASSES])
+    table = _literals([weight(n) for n in range(max(c.window for c in CLASSES) + 2)])
+    numbers = range(-(-max(len(c.alphabet) for c in CLASSES) // PACKED))
+    zero = F.lit(0).cast("long")
+
+    def unit(code: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), code % PACKED * COUNT_BITS)
+
+    def count(acc: Column, code: Column) -> Column:
+        held = F.get(F.array(*(acc[f"c{k}"] for k in numbers)), F.floor(code / PACKED).cast("int"))
+        return F.call_function("shiftright", held, code % PACKED * COUNT_BITS).bitwiseAND(F.lit(31)).cast("int")
+
+    def told(acc: Column, x: Column) -> Column:
+        """What a step changes: the number and the unit that the characters have, and the sum."""
+        entering, leaving = x["entering"], x["leaving"]
+        gone = leaving >= 0
+        less = F.when(gone, count(acc, leaving)).otherwise(1)
         # the leaving character has gone when the entering one is counted
-        more = acc["counts"][entering] - F.when(leaving == entering, 1).otherwise(0)
-        new_sum = without + table[more + 1] - table[more]
-        counted = F.transform(
-            acc["counts"],
-            lambda n, k: n + F.when(k == entering, 1).otherwise(0) - F.when(k == leaving, 1).otherwise(0),
+        more = count(acc, entering) - F.when(leaving == entering, 1).otherwise(0)
+        total = acc["sum"] + F.when(gone, F.get(table, less - 1) - F.get(table, less)).otherwise(0)
+        return F.struct(
+            (total + F.get(table, more + 1) - F.get(table, more)).cast("long").alias("sum"),
+            F.floor(entering / PACKED).alias("into"),
+            F.when(gone, F.floor(leaving / PACKED)).otherwise(-1).alias("from"),
+            unit(entering).alias("more"),
+            F.when(gone, unit(leaving)).otherwise(0).alias("less"),
         )
-        begin = at - c.window + 1
-        hit = (begin >= 0) & (new_sum <= most_weight(c))
+
+    def step(p: Column, begin: Column, acc: Column, x: Column, t: Column) -> Column:
+        moved = [(acc[f"c{k}"] + F.when(t["into"] == k, t["more"]).otherwise(0) - F.when(t["from"] == k, t["less"]).otherwise(0)).alias(f"c{k}") for k in numbers]
+        end = begin + acc["at"] + 1
+        start = end - p["window"]
+        hit = (acc["at"] + 1 >= p["window"]) & (t["sum"] <= p["most"])
         last = F.element_at(acc["runs"], -1)
-        grown = F.concat(
-            F.slice(acc["runs"], 1, F.greatest(F.size(acc["runs"]) - 1, F.lit(0))),
-            F.array(F.struct(last["start"].alias("start"), (at + 1).alias("end"))),
+        goes_on = (F.size(acc["runs"]) > 0) & (last["end"] >= start)
+        kept = F.slice(acc["runs"], 1, F.size(acc["runs"]) - F.when(goes_on, 1).otherwise(0))
+        one = F.array(F.struct(F.when(goes_on, last["start"]).otherwise(start).alias("start"), end.alias("end")))
+        runs = F.when(hit, F.concat(kept, one)).otherwise(acc["runs"])
+        return F.struct(*moved, t["sum"].alias("sum"), (acc["at"] + 1).alias("at"), runs.cast(RUNS).alias("runs"))
+
+    def of_block(p: Column, k: Column) -> Column:
+        """Runs of the windows that begin in block k."""
+        first = F.struct(*(zero.alias(f"c{k}") for k in numbers), zero.alias("sum"), F.lit(0).alias("at"), F.array().cast(RUNS).alias("runs"))
+        pairs = lambda o: F.zip_with(
+            o,
+            F.slice(F.concat(F.array_repeat(F.lit(-1), p["window"]), o), 1, F.size(o)),
+            lambda x, y: F.struct(x.alias("entering"), y.alias("leaving")),
         )
-        added = F.concat(acc["runs"], F.array(F.struct(begin.alias("start"), (at + 1).alias("end"))))
-        runs = F.when(~hit, acc["runs"]).when((F.size(acc["runs"]) > 0) & (last["end"] >= begin), grown).otherwise(added)
-        return F.struct(counted.alias("counts"), new_sum.alias("sum"), runs.cast("array<struct<start:int,end:int>>").alias("runs"))
-
-    steps = F.transform(
-        codes,
-        lambda x, i: F.struct(
-            x.alias("entering"),
-            F.when(i >= c.window, F.element_at(codes, F.greatest(i - c.window + 1, F.lit(1)))).otherwise(-1).alias("leaving"),
-            i.alias("at"),
-        ),
-    )
-    return F.aggregate(steps, first, step, lambda acc: acc["runs"])
+        walk = let(F.slice(p["codes"], k * BLOCK + 1, F.lit(BLOCK - 1) + p["window"]), pairs)
+        return F.aggregate(walk, first, lambda acc, x: let(told(acc, x), lambda t: step(p, k * BLOCK, acc, x, t)), lambda acc: acc["runs"])
 
+    def of(p: Column) -> Column:
+        last = F.floor((F.size(p["codes"]) - p["window"]) / BLOCK).cast("int")
+        runs = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda k: of_block(p, k)))
+        return F.when(last >= 0, _merged(runs)).otherwise(F.array().cast(RUNS))
 
-def entropy_spans(text: Column, base: Column) -> Column:
-    def inside(start: Column, end: Column) -> Column:
-        return F.exists(base, lambda b: (b["start"] <= start) & (end <= b["end"]))
+    codes = let(F.get(places, kind), lambda own: F.transform(F.split(candidate, "(?!^)(?!$)"), lambda x: F.get(own, F.ascii(x))))
+    return let(F.struct(codes.alias("codes"), F.get(windows, kind).alias("window"), F.get(most, kind).alias("most")), of)
 
-    def of(i: int, c: CharacterClass) -> Column:
-        suspect = F.filter(
-            _matches(text, c.pattern, 0), lambda m: ~inside(m["start"], m["end"]) & ~_allowed(m["what"])
-        )
-        shifted = F.transform(
-            suspect,
-            lambda m: F.transform(
-                suspect_runs(m["what"], c), lambda r: _span(m["start"] + r["start"], len(KINDS) + i, m["start"] + r["end"])
-            ),
-        )
-        return F.filter(F.flatten(shifted), lambda s: ~inside(s["start"], s["end"])).cast(SPANS)
 
-    return F.concat(*(of(i, c) for i, c in enumerate(CLASSES)))
+HELD = "array<struct<start:int,late:int,end:int,kind:int,what:string>>"
+
+
+def _outside(spans: Column, base: Column) -> Column:
+    """Those of the spans (start, late, end, kind, what; late: 1) that no base span has all of.
+
+    One sorted list has both; of the base spans that begin before or with a span, the one that ends last decides.
+    """
+    begun = F.transform(base, lambda b: F.struct(b["start"], F.lit(0), b["end"], b["kind"], F.lit("")))
+
+    def of(points: Column) -> Column:
+        ends = _running(F.transform(points, lambda p: F.when(p["late"] == 0, p["end"]).otherwise(-1)), -1, F.greatest)
+        told = F.zip_with(points, ends, lambda p, covered: F.struct(p.alias("p"), covered.alias("covered")))
+        free = F.filter(told, lambda t: (t["p"]["late"] == 1) & (t["covered"] < t["p"]["end"]))
+        return F.transform(free, lambda t: t["p"])
+
+    every = F.array_sort(F.concat(begun.cast(HELD), spans))
+    return let(spans, lambda s: F.when(F.size(s) > 0, let(every, of)).otherwise(F.array().cast(HELD)))
+
+
+def candidates(text: Column) -> Column:
+    """Candidates of all classes that are not on the allow-list."""
+
+    def of(found: Column, i: Column) -> Column:
+        unlisted = F.filter(found, lambda m: ~m["what"].rlike(ALLOWED))
+        return F.transform(unlisted, lambda m: F.struct(m["start"], F.lit(1), m["end"], i, m["what"])).cast(HELD)
+
+    return F.flatten(F.transform(_matches(text, [(c.pattern, 0) for c in CLASSES]), of))
 
 
-def _allowed(candidate: Column) -> Column:
-    found = F.lit(False)
-    for pattern in ALLOWED:
-        found = found | candidate.rlike(pattern)
-    return found
+def suspects(whole: Column) -> Column:
+    """Suspect spans of candidates, without those that hold an allowed part."""
+
+    def of(m: Column) -> Column:
+        shown = lambda r: F.substring(m["what"], r["start"] + 1, r["end"] - r["start"])
+        spans = F.transform(
+            suspect_runs(m["what"], m["kind"]),
+            lambda r: F.struct(m["start"] + r["start"], F.lit(1), m["start"] + r["end"], m["kind"], shown(r)),
+        ).cast(HELD)
+        return F.filter(spans, lambda s: ~s["what"].rlike(ALLOWED_PARTS))
+
+    return F.flatten(F.transform(whole, of))
 
 
 def _listed(spans: Column) -> Column:
@@ -187,43 +296,75 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
 
 
-def with_spans(df: DataFrame, base: str = "_base", found: str = "_found") -> DataFrame:
-    """df with its base spans and all its spans, each sorted by start, then kind as listed."""
-    df = df.withColumn(base, base_spans(F.coalesce("text", F.lit(""))))
-    every = F.concat(F.col(base), entropy_spans(F.coalesce("text", F.lit("")), F.col(base)))
-    return df.withColumn(found, F.array_sort(every))
+def with_spans(df: DataFrame) -> DataFrame:
+    """row (all columns of df), text, base and found: base spans and all spans, each sorted by start, then kind as listed."""
+    rows = wrapped(df).withColumn("text", F.coalesce(F.col("row.text"), F.lit("")))
+    rows = rows.withColumn("base", base_spans(F.col("text"))).withColumn("whole", candidates(F.col("text")))
+    rows = rows.withColumn("whole", _outside(F.col("whole"), F.col("base"))).withColumn("suspect", suspects(F.col("whole")))
+    rows = rows.withColumn("suspect", _outside(F.col("suspect"), F.col("base")))
+    added = F.transform("suspect", lambda s: F.struct(s["start"], s["kind"] + len(KINDS), s["end"])).cast(SPANS)
+    return rows.select("row", "text", "base", F.array_sort(F.concat("base", added)).alias("found"))
 
 
 def _is(kind: int) -> Callable[[Column], Column]:
-    return lambda k: k == kind
+    return lambda s: s["kind"] == kind
 
 
 def scan(df: DataFrame) -> DataFrame:
     """Counts, digest of the base spans, and all spans of every row of df (doc_id, text)."""
     found = with_spans(df.select("doc_id", "text"))
-    counts = [
-        F.size(F.filter(F.transform("_base", lambda s: s["kind"]), _is(i))).cast("long").alias(f"n_{k.name}")
-        for i, k in enumerate(KINDS)
-    ]
-    digest = F.sha2(_listed(F.col("_base")), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, digest, _listed(F.col("_found")).alias("spans"))
+    counts = [F.size(F.filter("base", _is(i))).cast("long").alias(f"n_{k.name}") for i, k in enumerate(KINDS)]
+    digest = F.sha2(_listed(F.col("base")), 256).alias("base_sha256")
+    return found.select("row.doc_id", *counts, digest, _listed(F.col("found")).alias("spans"))
+
+
+TEXT_BLOCK = 4096  # code points that are skipped to reach a place in a text
+
+
+def masked(text: Column, spans: Column) -> Column:
+    """text with MASK in place of every span (sorted by start); spans that overlap are masked as one, also those that touch.
+
+    The text is cut into blocks first, as a place far inside of a text is found by counting from its begin.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+
+    def joined(merged: Column) -> Column:
+        return let(blocks, lambda own: F.array_join(F.transform(F.sequence(F.lit(0), F.size(merged)), lambda i: gap(own, merged, i)), MASK))
+
+    def gap(own: Column, merged: Column, i: Column) -> Column:
+        """The text between spans i - 1 and i."""
+        return let(
+            F.struct(
+                F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)).alias("a"),
+                F.coalesce(F.get(merged, i)["start"], F.length(text)).alias("b"),
+            ),
+            lambda g: let(
+                F.struct(g["a"], g["b"], F.floor(g["a"] / TEXT_BLOCK).cast("int").alias("k")),
+                lambda p: F.substring(
+                    F.array_join(F.slice(own, p["k"] + 1, F.floor(p["b"] / TEXT_BLOCK).cast("int") - p["k"] + 1), ""),
+                    p["a"] - p["k"] * TEXT_BLOCK + 1,
+                    p["b"] - p["a"],
+                ),
+            ),
+        )
+
+    # ends rise once every span reaches as far as those before it
+    reach = lambda found: F.zip_with(
+        found,
+        F.slice(_running(F.transform(found, lambda s: s["end"]), 0, F.greatest), 2, F.size(found)),
+        lambda s, end: F.struct(s["start"].alias("start"), end.alias("end")),
+    )
+    return let(_merged(let(spans, reach)), joined)
 
 
 def redact(df: DataFrame) -> DataFrame:
-    """df with every span of its text masked; spans that overlap are masked as one. n_chars, if there, follows."""
-    columns = df.columns
+    """df with every span of its text masked. n_chars, if there, follows."""
     found = with_spans(df)
-    empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        begins = s["start"] >= acc["at"]
-        kept = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(begins, kept).otherwise(acc["out"]).alias("out"))
-
-    tail = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
-    masked = F.when(F.size("_found") == 0, F.col("text")).otherwise(F.aggregate("_found", empty, step, tail))
-    found = found.withColumn("text", masked)
-    if "n_chars" in columns:
-        changed = F.when(F.size("_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-        found = found.withColumn("n_chars", changed)
-    return found.select(*columns)
+    hit = F.size("found") > 0
+    text = F.when(hit, masked(F.col("text"), F.col("found"))).otherwise(F.col("row.text"))
+    found = found.withColumn("masked", text)
+    new = {"text": F.col("masked")}
+    if "n_chars" in df.columns:
+        kind = df.schema["n_chars"].dataType
+        new["n_chars"] = F.when(hit, F.length("masked").cast(kind)).otherwise(F.col("row.n_chars"))
+    return unwrapped(found, df.columns, new)

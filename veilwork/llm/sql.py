@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilwork.llm import mixing, secret_scan
+from veilwork.llm import mixing
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -33,29 +33,50 @@ def _matches(pattern: str, group: int) -> str:
       string_split_regex(text, {p}) AS g FROM documents WHERE regexp_matches(text, {p}))))"""
 
 
+#: Base kinds as the contract gives them (pattern, group, fewest characters), and classes of the method: (pattern, window, bits of entropy).
+_KINDS = {
+    "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+    "access": ("AKIA[A-Z0-9]+", 0, 18),
+    "hex": ("[0-9a-f]+", 0, 16),
+}
+_CLASSES = {
+    "entropy_hex": ("[0-9A-Fa-f]{20,}", 20, 3.2),
+    "entropy_base64": ("[A-Za-z0-9+/_-]{24,}", 24, 4.05),
+    "entropy_lower": ("[a-z0-9]{20,}", 20, 3.65),
+    "entropy_upper": ("[A-Z0-9]{20,}", 20, 3.65),
+}
+_ALLOWED = (
+    "^[A-Za-z]+([-_/][A-Za-z]+)*$",
+    "^[0-9]+([-_/][0-9]+)*$",
+    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
+)
+_ALLOWED_PARTS = "(?i)(^|[-_/+])(example|sample|dummy|placeholder)([-_/+]|$)"
+
+
 def _secrets() -> str:
     base = " UNION ALL ".join(
-        f"SELECT doc_id, a, {k} AS kind, b FROM ({_matches(x.pattern, x.group)}) WHERE length(w) >= {x.least}" for k, x in enumerate(secret_scan.KINDS)
+        f"SELECT doc_id, a, {k} AS kind, b FROM ({_matches(pattern, group)}) WHERE length(w) >= {least}" for k, (pattern, group, least) in enumerate(_KINDS.values())
     )
+    outside = "NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = q.doc_id AND z.a <= q.a AND q.b <= z.b)"
+    allowed = " OR ".join(f"regexp_matches(v, {_quoted(p)})" for p in _ALLOWED)
     parts = []
-    for k, c in enumerate(secret_scan.CLASSES):
-        weights = "[" + ", ".join(str(secret_scan.weight(n)) for n in range(c.window + 1)) + "]"
-        total = f"list_sum(list_transform(map_values(list_histogram(string_split(substr(v, i::INT + 1, {c.window}), ''))), lambda n: {weights}[n::INT + 1]))"
-        allowed = " OR ".join(f"regexp_matches(v, {_quoted(p)})" for p in secret_scan.ALLOWED)
-        outside = "NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = q.doc_id AND z.a <= q.a AND q.b <= z.b)"
-        parts.append(f"""SELECT doc_id, a + min(i) AS a, {len(secret_scan.KINDS) + k} AS kind, a + max(i) + {c.window} AS b FROM (
-         SELECT *, sum(CASE WHEN i > before + {c.window} OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM (
+    for k, (pattern, window, bits) in enumerate(_CLASSES.values()):
+        # the entropy in bits is log2(window) less the sum of c * log2(c) over the window's characters, by window; the sum in millionths
+        total = f"list_sum(list_transform(map_values(list_histogram(string_split(substr(v, i::INT + 1, {window}), ''))), lambda n: round(1e6 * n * log2(n))::BIGINT))"
+        most = f"floor(1e6 * {window} * (log2({window}) - {bits}))"
+        parts.append(f"""SELECT doc_id, a + min(i) AS a, {len(_KINDS) + k} AS kind, a + max(i) + {window} AS b, substr(any_value(v), min(i)::INT + 1, (max(i) - min(i))::INT + {window}) AS what FROM (
+         SELECT *, sum(CASE WHEN i > before + {window} OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM (
           SELECT *, lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) AS before FROM (
-           SELECT doc_id, a, v, unnest(range(0, length(v) - {c.window} + 1)) AS i FROM ({_matches(c.pattern, 0)}) q WHERE {outside} AND NOT ({allowed}))
-          WHERE {total} <= {secret_scan.most_weight(c)})) GROUP BY doc_id, a, run""")
-    names = "[" + ", ".join(_quoted(x.name) for x in (*secret_scan.KINDS, *secret_scan.CLASSES)) + "]"
+           SELECT doc_id, a, v, unnest(range(0, length(v) - {window} + 1)) AS i FROM ({_matches(pattern, 0)}) q WHERE {outside} AND NOT ({allowed}))
+          WHERE {total} <= {most})) GROUP BY doc_id, a, run""")
+    names = "[" + ", ".join(map(_quoted, (*_KINDS, *_CLASSES))) + "]"
     listed = f"string_agg({names}[kind + 1] || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, kind, b)"
-    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{x.name}" for k, x in enumerate(secret_scan.KINDS))
+    counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(_KINDS))
     return f"""WITH base AS MATERIALIZED ({base}),
-     added AS (SELECT * FROM ({" UNION ALL ".join(parts)}) q WHERE NOT EXISTS (SELECT 1 FROM base z WHERE z.doc_id = q.doc_id AND z.a <= q.a AND q.b <= z.b)),
+     added AS (SELECT doc_id, a, kind, b FROM ({" UNION ALL ".join(parts)}) q WHERE {outside} AND NOT regexp_matches(what, {_quoted(_ALLOWED_PARTS)})),
      x AS (SELECT doc_id, {counts}, {listed} AS l FROM base GROUP BY doc_id),
      y AS (SELECT doc_id, {listed} AS l FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
-     SELECT d.doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in secret_scan.KINDS)}, sha256(coalesce(x.l, '')) AS base_sha256, coalesce(y.l, '') AS spans
+     SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)}, sha256(coalesce(x.l, '')) AS base_sha256, coalesce(y.l, '') AS spans
      FROM documents d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id"""
 
 
