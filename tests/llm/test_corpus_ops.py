@@ -207,14 +207,14 @@ def test_mix_repetition_limit(spark):
     for i, s, _, _ in rows:
         tokens[s] += words[i]
     for r in found:
-        drawn[r["source"]] += r["_tokens"]
-        assert r["_tokens"] == words[r["doc_id"]]
-    assert {r["doc_id"] for r in found} == set(words)  # nothing is lost
-    assert max(Counter(r["doc_id"] for r in found).values()) <= 2
+        drawn[r["source"]] += r["n_tokens"]
+        assert r["n_tokens"] == words[r["row"]["doc_id"]]
+    assert {r["row"]["doc_id"] for r in found} == set(words)  # nothing is lost
+    assert max(Counter(r["row"]["doc_id"] for r in found).values()) <= 2
     ratio = {s: drawn[s] / tokens[s] for s in tokens}
     assert ratio["big"] == 1.0 and 1.8 < max(ratio.values()) <= 2.0
     # weights are shares to one power, and what is drawn follows them
-    weight = {r["source"]: r["_weight"] for r in found}
+    weight = {r["source"]: r["weight"] for r in found}
     total = sum(tokens.values())
     power = {s: math.log(weight[s] / weight["big"]) / math.log(tokens[s] / tokens["big"]) for s in tokens if s != "big"}
     assert max(power.values()) - min(power.values()) < 1e-6 and 0 < min(power.values()) < 1
@@ -227,24 +227,50 @@ def test_mix_entropy_and_budget(spark):
     rng = random.Random(2)
     rows = [(i, "abcd"[min(3, i % 11)], random_words(rng, 20), 0) for i in range(600)]
     df, found = mixed(rows, spark, repetition=None, entropy=1.2, budget=6000)
-    weight = {r["source"]: r["_weight"] for r in found}
+    weight = {r["source"]: r["weight"] for r in found}
     assert abs(-sum(w * math.log(w) for w in weight.values()) - 1.2) < 1e-4
     drawn = Counter()
     for r in found:
-        drawn[r["source"]] += r["_tokens"]
+        drawn[r["source"]] += r["n_tokens"]
     assert sum(drawn.values()) <= 6000 and all(6000 * w - 21 <= drawn[s] <= 6000 * w + 1 for s, w in weight.items())
 
 
 def test_mix_of_dirty_rows(spark):
     rows = [(1, None, None, 0), (None, "a", "x y", 0), (2, "a", "", 0), (2, "a", "", 0), (3, "b", "w " * 50_000, 0), (4, "", "one", 0), (4, "", "one", 0)]
     df, found = mixed(rows, spark)
-    taken = Counter((r["doc_id"], r["source"]) for r in found)
+    taken = Counter((r["row"]["doc_id"], r["row"]["source"]) for r in found)
     assert all(taken[(i, s)] >= n for (i, s), n in Counter((r[0], r[1]) for r in rows).items())
     assert mixing.mix(df).columns == df.columns and mixing.mix(df.where("false")).count() == 0
     blank = df.where("doc_id = 2")
     assert mixing.mix(blank).count() == 2
 
 
+@pytest.mark.parametrize("name", ["row", "copies", "epoch", "room", "whole", "full_epochs", "weight", "crossing", "last", "n_tokens", "block", "a.b"])
+def test_mix_of_clashing_columns(spark, name):
+    rows = [(i, "ab"[i % 5 == 0], "w " * (1 + i % 7), -i) for i in range(200)]
+    df = spark.createDataFrame(rows, f"doc_id long, source string, text string, `{name}` int")
+    found = mixing.mix(df)
+    assert found.schema.simpleString() == df.schema.simpleString()
+    assert set(map(tuple, found.collect())) == set(rows)
+
+
+def test_mix_orders_rows_that_share_everything_but_text(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", 1)  # a source is one block, which crosses the budget
+    rows = [(1, "a", f"{c} {c} {c}", i) for i, c in enumerate("abcdefghij")] + [(2, "b", "w " * 300, 0)]
+    seen = []
+    for k in (1, 3, 7):
+        df, found = mixed(rows, spark, repetition=None, budget=160)
+        df = df.repartition(k)
+        seen.append(Counter(map(tuple, mixing.mix(df, mixing.Target(repetition=None, budget=160)).collect())))
+    assert seen[0] == seen[1] == seen[2] and sum(seen[0].values())
+
+
+def test_mix_shuffles_no_text_but_of_crossing_blocks(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = mixing.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1 and plan.count("Aggregate") == 0
+
+
 def test_mix_is_native(spark, sf_dir):
     plan = QUERIES["op2_temperature_mix"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan

@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force."""
 
 import hashlib
+import os
 import re
 from collections import Counter
 
@@ -10,7 +11,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm import brute
-from veilwork.llm import quality
+from veilwork.llm import common, quality
 
 
 def rows(df):
@@ -96,3 +97,53 @@ def test_dirty_and_empty_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf_dir)
         assert {r["doc_id"] for r in docs.collect()} == ids
+
+
+INNER = ("row", "text_", "own", "key", "fp", "_fp", "_doc_id", "_own_fp", "_tokens", "_source", "_block", "_base", "_found", "room", "whole", "full_epochs", "a.b")
+
+
+@pytest.mark.parametrize("names", [INNER[k : k + 3] for k in range(0, len(INNER), 3)])
+def test_columns_with_any_names_pass_through(spark, names):
+    text = "Many plain words number {} stand here so that the rules have nothing to say against it at all, token = abcdefghijkl."
+    rows = [(i, text.format(i % 4), "en", "ab"[i % 2], 5, *[i + k for k in range(len(names))]) for i in range(8)]
+    more = ", ".join(f"`{n}` int" for n in names)
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        found = stage(spark, docs, "")
+        assert found.schema.simpleString() == docs.schema.simpleString(), name
+        assert {(r[0], *r[5:]) for r in found.collect()} <= {(r[0], *r[5:]) for r in rows}, name
+        assert name == "near_dedup" or {r[0] for r in found.collect()} == set(range(8)), name
+
+
+def test_quality_stage_keeps_any_columns(spark):
+    rows = [(1, "Many plain words stand here so that the rules have nothing to say against it.", 7, [1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept int, `a.b` array<int>")
+    assert [tuple(r) for r in quality.keep(docs, quality.Chain()).collect()] == rows
+
+
+def test_repeated_rows_are_one_document(spark, sf_dir):
+    rows = [(1, "one two three four five six"), (1, "one two three four five six"), (2, "one two three four five six"), (None, "one two three four five six")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = corpus_pipeline.keep_first(spark, docs, sf_dir).collect()
+    assert sorted(r[0] or 0 for r in found) == [0, 1, 1]
+
+
+def test_stored_tables_are_cleared(spark):
+    common.stored(spark.range(3)).count()
+    folder = common.session_folder(spark)
+    assert os.listdir(folder.removeprefix("file:"))
+    common.clear(spark)
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
+def test_a_shared_folder_is_asked_for_off_this_machine():
+    class Session:
+        class sparkContext:  # noqa: N801
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_folder(Session)

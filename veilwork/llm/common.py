@@ -48,14 +48,28 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def session_folder(spark: SparkSession) -> str:
+    """Where this session's tables lie, in the shared folder."""
+    return f"{shared_folder(spark)}/veilwork-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    A query's result may read these tables; clear() removes them when results have been written.
+    """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{session_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Remove all tables that stored() wrote in this session. Results of operators that were not written are lost."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null text is an empty one."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -8,15 +8,19 @@ epochs, each a permutation of the source's blocks: all blocks in every full
 epoch, and in the last one whole blocks of the permutation up to the budget,
 then rows of the block that crosses it, in an order of their own.
 
-Hot sources are dealt by block, so no task holds more than a block of any
-source; what the driver gets are sums, and their number does not depend on the
-number of sources.
+The hashed order of blocks makes the choice a comparison: of a source only the
+last whole block and the one that crosses the budget are told to the rows, in a
+table with a row for each source, and rows decide on their own. Just those of
+crossing blocks are put in an order, a block to a task; the number of blocks
+follows the rows, so its size does not. No other row is shuffled. What the
+driver gets are sums, and their number does not depend on the number of sources.
 
 Edge cases: words are counted as tokens, a null text has none; a null source
 counts as the source with the empty name; sources without tokens have weight 0
 and are taken once; rows without tokens come with their block. Repeated rows are
-rows of their own. An empty table gives an empty table; other columns pass
-through untouched.
+rows of their own; of rows that share id, source and word count the hashes of
+their texts and of their other columns decide the order. An empty table gives an
+empty table; other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from veilwork.llm.common import WORD, stored
+from veilwork.llm.common import WORD, stored, unwrapped, wrapped
 
-#: Blocks of a source, levels of bisection that one pass over the sources settles, and passes.
-BLOCKS, LEVELS, PASSES = 1024, 5, 6
+#: Blocks of a source at least, rows of a source's block at most (on average), levels of bisection that one pass over the
+#: sources settles, and passes.
+BLOCKS, BLOCK_ROWS, LEVELS, PASSES = 1024, 500_000, 5, 6
 SEED = "mix"
 
 
@@ -126,60 +132,78 @@ def _key(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(SEED), *parts))
 
 
-def block_of(doc_id: Column) -> Column:
-    return F.conv(F.substring(_key(doc_id), 1, 8), 16, 10).cast("long") % BLOCKS
+def block_of(doc_id: Column, blocks: int) -> Column:
+    return F.conv(F.substring(_key(doc_id), 1, 8), 16, 10).cast("long") % blocks
 
 
-def block_table(df: DataFrame, plan: DataFrame) -> DataFrame:
-    """How the last epoch takes each block: whole, or up to so many tokens (room), or not at all."""
-    sums = df.groupBy("source", "block").agg(F.sum("n_tokens").alias("block_tokens"))
-    blocks = sums.join(plan, "source")
-    order = Window.partitionBy("source").orderBy(_key("full_epochs", "source", "block"), "block")
+def block_table(sums: DataFrame, plan: DataFrame) -> DataFrame:
+    """How the last epoch takes each block of sums (source, block, n_tokens): whole, or up to so many tokens (room), or not at all."""
+    blocks = sums.withColumnRenamed("n_tokens", "block_tokens").join(plan, "source")
+    blocks = blocks.withColumn("place", F.struct(_key("full_epochs", "source", "block").alias("key"), "block"))
+    order = Window.partitionBy("source").orderBy("place")
     upto = F.sum("block_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
     blocks = blocks.withColumn("upto", upto).withColumn("block_rank", F.row_number().over(order).cast("long"))
     whole = (F.col("rest") > 0) & (F.col("upto") <= F.col("rest"))
     room = F.greatest(F.col("rest") - F.col("upto") + F.col("block_tokens"), F.lit(0))
-    return stored(blocks.select("source", "block", "block_rank", "weight", "full_epochs", whole.alias("whole"), room.alias("room")))
+    return stored(blocks.select("source", "block", "place", "block_rank", "weight", "full_epochs", whole.alias("whole"), room.alias("room")))
+
+
+def cut_table(blocks: DataFrame) -> DataFrame:
+    """Of each source the place of its last whole block, the block that crosses the budget, and the room in it."""
+    crosses = ~F.col("whole") & (F.col("room") > 0)
+    return stored(
+        blocks.groupBy("source").agg(
+            F.max("weight").alias("weight"),
+            F.max("full_epochs").alias("full_epochs"),
+            F.max(F.when(F.col("whole"), F.col("place"))).alias("last"),
+            F.max(F.when(crosses, F.struct("block", "room"))).alias("crossing"),
+        )
+    )
+
+
+def _dealt(df: DataFrame, target: Target) -> tuple[DataFrame, DataFrame]:
+    """The draws of df, and the table of blocks."""
+    rows, row = wrapped(df), F.col("row")
+    own = F.coalesce(row["doc_id"].cast("string"), F.lit(""))
+    blocks = max(BLOCKS, -(-df.count() // BLOCK_ROWS))
+    rows = rows.select(
+        "row",
+        F.coalesce(row["source"], F.lit("")).alias("source"),
+        count_words(row["text"]).alias("n_tokens"),
+        block_of(own, blocks).alias("block"),
+    )
+    sums = stored(rows.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")))
+    told = block_table(sums, plan_table(source_table(sums), target))
+    joined = rows.join(cut_table(told), "source")
+    crosses = F.coalesce(F.col("block") == F.col("crossing.block"), F.lit(False))
+    place = F.struct(_key("full_epochs", "source", "block").alias("key"), "block")
+    whole = F.coalesce(place <= F.col("last"), F.lit(False))
+    shown = ("row", "source", "n_tokens", "block", "weight")
+    plain = joined.where(~crosses).select(*shown, (F.col("full_epochs") + whole.cast("long")).alias("copies"))
+    rest = [row[f.name] for f in df.schema.fields if not isinstance(f.dataType, MapType)]
+    order = Window.partitionBy("source").orderBy(_key("full_epochs", own), "n_tokens", F.xxhash64(row["text"]), F.xxhash64(*rest))
+    upto = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    edge = joined.where(crosses).withColumn("upto", upto)
+    edge = edge.select(*shown, (F.col("full_epochs") + (F.col("upto") <= F.col("crossing.room")).cast("long")).alias("copies"))
+    taken = plain.union(edge).where("copies > 0")
+    return taken.select(*shown, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("epoch")), told
 
 
 def draws(df: DataFrame, target: Target = Target()) -> DataFrame:
     """Every row of df (doc_id, source, text and others) as often as the mix takes it.
 
-    New columns: _tokens, _block, _rank (of the block in the last epoch's permutation), _weight, _epoch.
+    row (all columns of df), source, n_tokens, block, weight of the source, epoch.
     """
-    columns = df.columns
-    df = df.withColumn("_source", F.coalesce("source", F.lit(""))).withColumn("_tokens", count_words(F.col("text")))
-    df = df.withColumn("_block", block_of(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    slim = df.select(F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_block").alias("block"))
-    slim = stored(slim.groupBy("source", "block").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("rows")))
-    plan = plan_table(source_table(slim), target)
-    blocks = block_table(slim, plan)
-    renamed = {"source": "_source", "block": "_block", "block_rank": "_rank", "weight": "_weight"}
-    joined = df.join(blocks.withColumnsRenamed(renamed), ["_source", "_block"])
-    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    order = Window.partitionBy("_source", "_block").orderBy(_key("full_epochs", own), "_tokens")
-    upto = F.sum("_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    last = F.col("whole") | ((F.col("room") > 0) & (F.col("_upto") <= F.col("room")))
-    copies = F.col("full_epochs") + F.when(last, 1).otherwise(0)
-    taken = joined.withColumn("_upto", upto).withColumn("_copies", copies).where("_copies > 0")
-    epochs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1))
-    return taken.select(*columns, "_tokens", "_block", "_rank", "_weight", epochs.alias("_epoch"))
+    return _dealt(df, target)[0]
 
 
 def mix(df: DataFrame, target: Target = Target()) -> DataFrame:
     """The rows of df, each as often as the mix takes it."""
-    return draws(df, target).select(*df.columns)
+    return unwrapped(draws(df, target), df.columns)
 
 
 def sampled(df: DataFrame, target: Target = Target()) -> DataFrame:
-    """What mix() takes, without texts: doc_id, source, n_tokens, epoch, block, block_rank and weight of every draw."""
-    found = draws(df.select("doc_id", "source", "text"), target)
-    return found.select(
-        "doc_id",
-        F.coalesce("source", F.lit("")).alias("source"),
-        F.col("_tokens").alias("n_tokens"),
-        F.col("_epoch").alias("epoch"),
-        F.col("_block").alias("block"),
-        F.col("_rank").alias("block_rank"),
-        F.round("_weight", 9).alias("weight"),
-    )
+    """What mix() takes, without texts: doc_id, source, n_tokens, epoch, block, block_rank (in the last epoch) and weight of every draw."""
+    found, blocks = _dealt(df.select("doc_id", "source", "text"), target)
+    found = found.select("row.doc_id", "source", "n_tokens", "epoch", "block", F.round("weight", 9).alias("weight"))
+    return found.join(blocks.select("source", "block", "block_rank"), ["source", "block"])

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.bpe import portions
-from veilwork.llm.common import texts_of
+from veilwork.llm.common import texts_of, unwrapped, wrapped
 
 #: Fixed values of the base rules.
 SYMBOLS, BLANKS = "#*$%&|<>", "\x20\x09\x0a\x0b\x0c\x0d"
@@ -287,4 +287,5 @@ def keep(df: DataFrame, fitted: Chain, least_share: float = CONTENT_SHARE) -> Da
         for batch in batches:
             yield batch.filter(pa.array([v.kept for v in verdicts(texts_of(batch), decoder, least_share)], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    rows = wrapped(df).select("row", "row.text")
+    return unwrapped(rows.mapInArrow(run, rows.schema), df.columns)

@@ -29,12 +29,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from veilwork.llm.common import stored, utf8_of
+from veilwork.llm.common import stored, unwrapped, utf8_of, wrapped
 
 BITS, RADIUS, WORDS, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared directly, and over which a bucket is dealt again across tasks.
 DIRECT, HOT = 1024, 20_000
-#: Hashes whose bits are counted at once.
+#: Shingles that are hashed and whose bits are counted at once.
 BLOCK = 1 << 16
 
 
@@ -51,36 +51,31 @@ def fingerprint(text: bytes) -> int:
     words = text.lower().split()
     if not words:
         return 0
-    joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= WORDS:
-        hashes = [hashed(joined, SEED)]
-    else:
-        ends = list(accumulate(len(w) + 1 for w in words))
-        begins = [0, *ends]
-        hashes = [hashed(joined[a : b - 1], SEED) for a, b in zip(begins, ends[WORDS - 1 :])]
+    hashed, n = xxhash.xxh64_intdigest, max(1, len(words) - WORDS + 1)
     ones = np.zeros(BITS, np.int64)
-    for k in range(0, len(hashes), BLOCK):
-        some = np.array(hashes[k : k + BLOCK], np.uint64).view(np.uint8).reshape(-1, 8)
+    for k in range(0, n, BLOCK):
+        own = words[k : k + BLOCK + WORDS - 1]
+        if len(own) <= WORDS:
+            hashes = [hashed(b" ".join(own), SEED)]
+        else:
+            joined, ends = b" ".join(own), list(accumulate(len(w) + 1 for w in own))
+            hashes = [hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[WORDS - 1 :])]
+        some = np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8)
         ones += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
+    bits = np.packbits(2 * ones > n, bitorder="little")
     return int(bits.view(np.uint64)[0])
 
 
-def with_fingerprints(df: DataFrame, name: str = "fp") -> DataFrame:
-    """df with the fingerprint of its text, the bits as a signed long."""
-    shown = StructType([*df.schema.fields, StructField(name, LongType())])
+def fingerprints(df: DataFrame) -> DataFrame:
+    """df (text and others) with the fingerprint of the text in its place: fp, the bits as a signed long."""
+    others = [f for f in df.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(t) for t in utf8_of(batch)], np.uint64).view(np.int64)
-            yield batch.append_column(name, pa.array(fp))
+            yield batch.select([f.name for f in others]).append_column("fp", pa.array(fp))
 
-    return df.mapInArrow(run, shown)
-
-
-def fingerprints(df: DataFrame) -> DataFrame:
-    """doc_id and fp of every row of df (doc_id, text)."""
-    return with_fingerprints(df.select("doc_id", "text")).select("doc_id", "fp")
+    return df.mapInArrow(run, StructType([*others, StructField("fp", LongType())]))
 
 
 def _signed(mask: int) -> Column:
@@ -242,16 +237,20 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of df (doc_id, text)."""
-    docs = stored(fingerprints(df))
+    docs = stored(fingerprints(df.select("doc_id", "text")))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return docs.join(_classes(docs), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
 
 
 def keep_first(df: DataFrame) -> DataFrame:
-    """The rows of df whose doc_id is the smallest of their class, and rows without doc_id, with all their columns."""
-    docs = stored(fingerprints(df))
+    """The rows of df whose doc_id is the smallest of their class, with all their columns.
+
+    A row that repeats another's doc_id and text is the same document: both stay or go. Rows without doc_id stay.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    docs = stored(fingerprints(df.select("doc_id", key.alias("key"), "text")))
     later = docs.join(_classes(docs), "fp").where("doc_id > component_id")
-    later = stored(later.select(F.col("doc_id").alias("_doc_id"), F.col("fp").alias("_fp")))
-    marked = with_fingerprints(df, "_own_fp")
-    same = (F.col("doc_id") == F.col("_doc_id")) & (F.col("_own_fp") == F.col("_fp"))
-    return marked.join(later, same, "left_anti").select(*df.columns)
+    later = stored(later.select("doc_id", "key"))
+    rows = wrapped(df).withColumn("own", F.xxhash64(F.coalesce("row.text", F.lit(""))))
+    same = (F.col("row.doc_id") == F.col("doc_id")) & (F.col("own") == F.col("key"))
+    return unwrapped(rows.join(later, same, "left_anti"), df.columns)

@@ -88,7 +88,7 @@ def _mixed(repetition: float) -> str:
     upto = "ROWS UNBOUNDED PRECEDING"
     return rf"""WITH RECURSIVE docs AS MATERIALIZED (
       SELECT doc_id, coalesce(source, '') AS source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
-       ('0x' || substr({key("doc_id")}, 1, 8))::BIGINT % {mixing.BLOCKS} AS block FROM documents),
+       ('0x' || substr({key("doc_id")}, 1, 8))::BIGINT % (SELECT greatest({mixing.BLOCKS}, ceil(count(*) / {mixing.BLOCK_ROWS}.0))::BIGINT FROM documents) AS block FROM documents),
      src AS MATERIALIZED (SELECT source, sum(n_tokens)::BIGINT AS tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM docs) AS p FROM docs GROUP BY source),
      ends AS (SELECT min(p) AS least, max(p) AS most FROM src WHERE tokens > 0),
      b AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL
