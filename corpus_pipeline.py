@@ -6,7 +6,8 @@
 4. mixing: documents are repeated by whole epochs and blocks until the source weights are met; none goes.
 5. tokens: the token ids of every text, and digests that show the way back.
 
-Null texts count as empty, so the first stage rejects them. Rows that share a
+Null texts count as empty, so the first stage rejects them. Rows that share doc_id
+and text are one document: they stay or go together. Other rows that share a
 doc_id are judged row by row. Other columns pass through all stages but the last.
 """
 
