@@ -39,6 +39,17 @@ def test_good_policies(tmp_path):
         policy.resolve({}, [])
 
 
+def test_configured_default(tmp_path):
+    (tmp_path / "good.yaml").write_text("name: good\nversion: '2'\n")
+    (tmp_path / "bad.yaml").write_text("other: 1\n")
+    assert policy.configured(None, "good") is None and policy.configured(str(tmp_path), None) is None
+    good = policy.configured(str(tmp_path), "good")
+    assert policy.version_of(policy.resolve(None, None, good)) == "2" and policy.version_of(policy.resolve(None, ["EMAIL"], good)) == "default"
+    for name in ("bad", "missing"):
+        with pytest.raises(policy.PolicyUnavailable):
+            policy.configured(str(tmp_path), name)
+
+
 def one(spark, text, raw, detectors=None):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     r = policy.redact(df, policy.parse(raw), detectors=detectors).first()

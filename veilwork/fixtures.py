@@ -125,3 +125,37 @@ STATUS_LINES = """
  ('| scaling | partial | notes |'), ('| audit | verified | tests |'), ('| gpu | planned | none |'), ('| broken | row |')
 """
 MANIFEST_LINES = "('# name revision digest'), ('small main abc123'), ('large v2 def456'), (''), ('too few')"
+
+#: id, body: event streams. JSON lines that are no objects, and lines of other kinds, end nothing.
+STREAMS = r"""
+ (1, 'data: {"chunk_ix":0}\n\ndata: [DONE]\n\n'), (2, 'data: {"chunk_ix":0}\n\n'), (3, 'data: {"error":"timeout"}\n\ndata: [DONE]\n\n'),
+ (4, 'data: oops\ndata: ["error"]\n  data: [DONE]  \ndata: {"error":1}'), (5, ''), (6, 'event: [DONE]'), (7, 'data: {"a":"error"}\r\ndata: [DONE]\r\n')
+"""
+
+#: job_id, tries, ok, decoded, error, at: tries of jobs.
+TRIES = """
+ ('a', 1, false, true, 'timeout', 10), ('a', 2, true, true, null, 20), ('b', 4, false, true, 'timeout', 40), ('b', 5, false, true, 'timeout', 50),
+ ('c', 1, false, false, 'undecodable payload', 30), ('d', 5, false, true, 'refused', 5), ('e', 2, false, false, 'undecodable payload', 70)
+"""
+
+#: key, seq, at, event, fingerprint, token: what callers ask of idempotency leases that end after 100.
+LEASES = """
+ ('k', 1, 0, 'reserve', 'f', 't1'), ('k', 2, 10, 'reserve', 'f', 't2'), ('k', 3, 20, 'complete', 'f', 't2'), ('k', 4, 30, 'complete', 'f', 't1'),
+ ('k', 5, 40, 'reserve', 'f', 't3'), ('k', 6, 50, 'reserve', 'g', 't4'), ('l', 1, 0, 'reserve', 'f', 't1'), ('l', 2, 5, 'release', 'f', 't1'),
+ ('l', 3, 6, 'reserve', 'f', 't2'), ('l', 4, 200, 'complete', 'f', 't2'), ('l', 5, 210, 'reserve', 'f', 't3'), ('l', 6, 220, 'complete', 'f', 't3'),
+ ('l', 7, 400, 'reserve', 'g', 't4')
+"""
+
+#: model, seq, at, event, probe: a breaker that replicas share.
+PROBES = """
+ ('m', 1, 0D, 'allow', false), ('m', 2, 1D, 'failure', false), ('m', 3, 2D, 'failure', false), ('m', 4, 3D, 'failure', false), ('m', 5, 4D, 'allow', false),
+ ('m', 6, 8D, 'allow', false), ('m', 7, 9D, 'allow', false), ('m', 8, 9.5D, 'failure', true), ('m', 9, 10D, 'allow', false), ('m', 10, 14.5D, 'allow', false),
+ ('m', 11, 15D, 'success', true), ('m', 12, 16D, 'allow', false)
+"""
+
+#: id, language, source_text, privacy_mask: rows of a corpus to convert.
+MASKED = """
+ (1, 'en', 'Alice has a@b in mail', array(named_struct('start', 9, 'end', 12, 'label', 'EMAIL'), named_struct('start', 0, 'end', 5, 'label', 'FIRSTNAME'))),
+ (2, 'de', 'Nichts', array(named_struct('start', 0, 'end', 2, 'label', 'EMAIL'))), (3, 'en', 'None here', array()), (4, 'en', ' \\r\\n ', array(named_struct('start', 0, 'end', 1, 'label', 'EMAIL'))),
+ (1, 'en', 'Once more', array(named_struct('start', 0, 'end', 2, 'label', 'EMAIL'))), (6, 'en', 'Odd label', array(named_struct('start', 1, 'end', 2, 'label', 'STRANGE')))
+"""

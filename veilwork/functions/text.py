@@ -8,7 +8,7 @@ from itertools import chain
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilwork.functions.rules import CATEGORY_LABELS, CATEGORY_WORDS, MODEL_LABELS, OTHER_CATEGORY, OTHER_TYPE, inverted
+from veilwork.functions.rules import CATEGORY_LABELS, CATEGORY_WORDS, MODEL_LABELS, OTHER_CATEGORY, OTHER_TYPE
 
 
 def hmac_sha256(key: str, message: Column) -> Column:
@@ -46,7 +46,7 @@ def sanitize_label(label: Column) -> Column:
     # the ends lose Unicode white space before spaces and dashes within become underscores
     bare = F.regexp_replace(F.lower(label), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     cleaned = F.replace(F.replace(bare, F.lit(" "), F.lit("_")), F.lit("-"), F.lit("_"))
-    return F.coalesce(lookup(inverted(MODEL_LABELS) | {"driver's_license_number": OTHER_TYPE}, cleaned), F.lit(OTHER_TYPE))
+    return F.coalesce(lookup(MODEL_LABELS, cleaned), F.lit(OTHER_TYPE))
 
 
 def category(text: Column, labels: Column | None = None) -> Column:
@@ -69,3 +69,8 @@ def category(text: Column, labels: Column | None = None) -> Column:
 def normalize_text(text: Column) -> Column:
     """Line ends as \\n, no white space at either end."""
     return F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
+def benchmark_text(mode: Column, text: Column, number: Column) -> Column:
+    """The text of a load test's request: with its number for cold caches, as it is for hot ones."""
+    return F.when(mode == "cache-cold", F.concat(text, F.lit(" request-"), number.cast("string"))).otherwise(text)

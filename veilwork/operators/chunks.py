@@ -58,3 +58,12 @@ def event_lines(df: DataFrame, key: str, payload: str, order: str) -> DataFrame:
     lines = df.select(key, F.col(order).cast("long").alias("event_ix"), F.concat(F.lit("data: "), F.col(payload), F.lit("\n\n")).alias("line"))
     ends = df.groupBy(key).agg((F.max(order) + 1).cast("long").alias("event_ix"))
     return lines.unionByName(ends.withColumn("line", F.lit("data: [DONE]\n\n")))
+
+
+def stream_completed(body: Column) -> Column:
+    """Whether an event stream told that all came, before any error: the first line that tells either decides."""
+    data = F.regexp_extract_all(body, F.lit(r"(?m)^(?:[ \t]*data: \[DONE\][ \t]*\r?$|data: .*)"), F.lit(0))
+    done = lambda line: F.trim(F.replace(line, F.lit("\r"))) == "data: [DONE]"
+    failed = lambda line: F.coalesce(F.array_contains(F.json_object_keys(F.substring(line, 7, 1 << 30)), "error"), F.lit(False))
+    first = F.get(F.filter(data, lambda line: done(line) | failed(line)), F.lit(0))
+    return F.coalesce(done(first), F.lit(False))

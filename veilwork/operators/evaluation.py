@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -57,3 +57,27 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *by: str) -> DataF
     entries = [F.struct(F.lit(float(b)).alias("le"), F.col(f"b{i}").alias("n")) for i, b in enumerate(bounds)]
     entries.append(F.struct(F.lit(float("inf")).alias("le"), F.col("all").alias("n")))
     return one.select(*by, F.explode(F.array(*entries)).alias("bucket")).select(*by, "bucket.le", "bucket.n")
+
+
+def exclusive_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float]) -> DataFrame:
+    """Quantiles of each group by the exclusive method, from the two ranks at which each lies; no group becomes an array."""
+    place = Window.partitionBy(by)
+    ranked = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.row_number().over(place.orderBy(value)).alias("i"), F.count("*").over(place).alias("n"))
+    out = []
+    for name, q in wanted.items():
+        at = F.col("n") * q + q  # q (n + 1)
+        low = F.least(F.greatest(F.floor(at), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
+        weight = F.max(at - low)
+        a, b = F.max(F.when(F.col("i") == low, F.col("v"))), F.max(F.when(F.col("i") == low + 1, F.col("v")))
+        out.append((a + weight * F.coalesce(b - a, F.lit(0.0))).alias(name))
+    return ranked.groupBy(by).agg(*out)
+
+
+def bucket_quantile(counted: DataFrame, q: float, *by: str) -> DataFrame:
+    """A quantile from cumulative buckets (le, n), linear within its bucket; the last bound if it lies beyond."""
+    order = Window.partitionBy(*by).orderBy("le")
+    total = F.max("n").over(Window.partitionBy(*by))
+    told = counted.select(*by, "le", "n", F.lag("n", 1, 0).over(order).alias("below"), F.lag("le", 1, 0.0).over(order).alias("low"), total.alias("total"))
+    inside = F.col("low") + (F.col("le") - F.col("low")) * (F.lit(q) * F.col("total") - F.col("below")) / (F.col("n") - F.col("below"))
+    value = F.when(F.col("le") > 1e300, F.col("low")).otherwise(inside)
+    return told.where(F.col("n") >= F.lit(q) * F.col("total")).groupBy(*by).agg(F.min_by(value, "le").alias("quantile"))

@@ -154,3 +154,77 @@ def request_status(chars: Column, batch_chars: Column, policy: Column, types: Co
         .when((chars > 100_000) | (batch_chars > 1_000_000), 413)
         .otherwise(200)
     )
+
+
+def dead_letters(tries: DataFrame, most: int) -> DataFrame:
+    """The last most records of jobs that failed for good (job_id, tries, ok, decoded, error, at), without payloads.
+
+    A job fails for good at its last try, or at once if its payload cannot be read.
+    """
+    dead = tries.where(~F.col("ok") & ((F.col("tries") >= MOST_TRIES) | ~F.col("decoded")))
+    last = dead.orderBy(F.desc("at"), F.desc("job_id")).limit(most)
+    return last.select(F.lit(1).alias("schema_version"), "job_id", "error", F.col("tries").alias("attempts"), F.col("at").alias("recorded_at"))
+
+
+def lease_log(log: DataFrame, ttl: int) -> DataFrame:
+    """outcome of each event (key, seq, at, event, fingerprint, token) on idempotency keys.
+
+    reserve: conflict with a result of another fingerprint, completed by a result of the same, acquired if no lease
+    holds, else in_progress. complete publishes a result, and release gives the lease back, for the holder alone; any
+    other has lost it. Leases and results end ttl after they begin. A key's events are folded in order inside one row.
+    """
+    row = "array<struct<seq:bigint,outcome:string>>"
+    logs = log.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "at", "event", "fingerprint", "token"))).alias("h"))
+
+    def step(acc: Column, e: Column) -> Column:
+        result = F.when(acc["kept_until"] > e["at"], acc["result"])
+        holder = F.when(acc["held_until"] > e["at"], acc["holder"])
+        own = F.coalesce(holder == e["token"], F.lit(False))
+        reserved = (
+            F.when(result != e["fingerprint"], "conflict").when(result.isNotNull(), "completed").when(holder.isNull(), "acquired").otherwise("in_progress")
+        )
+        outcome = F.when(e["event"] == "reserve", reserved).when(~own, "lost").when(e["event"] == "complete", "published").otherwise("released")
+        takes, ends = outcome == "acquired", outcome.isin("published", "released")
+        one = F.struct(e["seq"].cast("long").alias("seq"), outcome.alias("outcome"))
+        return F.struct(
+            F.when(outcome == "published", e["fingerprint"]).otherwise(result).alias("result"),
+            F.when(outcome == "published", e["at"] + ttl).otherwise(acc["kept_until"]).alias("kept_until"),
+            F.when(takes, e["token"]).when(~ends, holder).alias("holder"),
+            F.when(takes, e["at"] + ttl).otherwise(acc["held_until"]).alias("held_until"),
+            F.concat(acc["out"], F.array(one)).cast(row).alias("out"),
+        )
+
+    none, zero = F.lit(None).cast("string"), F.lit(0)
+    first = F.struct(none.alias("result"), zero.alias("kept_until"), none.alias("holder"), zero.alias("held_until"), F.array().cast(row).alias("out"))
+    return logs.select("key", F.explode(F.aggregate("h", first, step, lambda acc: acc["out"])).alias("r")).select("key", "r.*")
+
+
+def shared_breaker(log: DataFrame, threshold: int = FAILURES_TO_OPEN, cooldown: float = COOLDOWN) -> DataFrame:
+    """allowed (of allow events) and the state after each event of a breaker that replicas share.
+
+    log: model, seq, at, event (allow, success, failure), probe (whether what succeeded or failed was a probe). Open, and
+    after the cooldown, one probe is let through at a time. A model's log is folded in order inside one row.
+    """
+    row = "array<struct<seq:bigint,allowed:boolean,state:string>>"
+    logs = log.groupBy("model").agg(F.array_sort(F.collect_list(F.struct("seq", "at", "event", "probe"))).alias("h"))
+
+    def step(acc: Column, e: Column) -> Column:
+        asks, works, fails = (e["event"] == k for k in ("allow", "success", "failure"))
+        ready = (acc["state"] == "open") & (e["at"] - acc["opened"] >= cooldown) & ~acc["probing"]
+        failures = F.when(works, 0).when(fails, acc["failures"] + 1).otherwise(acc["failures"])
+        opens = fails & (e["probe"] | (failures >= threshold))
+        state = F.when(works, "closed").when(opens, "open").otherwise(acc["state"])
+        probing = F.when(works | opens, False).when(asks & ready, True).otherwise(acc["probing"])
+        one = F.struct(e["seq"].cast("long").alias("seq"), F.when(asks, (acc["state"] == "closed") | ready).alias("allowed"), state.alias("state"))
+        return F.struct(
+            state.alias("state"),
+            failures.alias("failures"),
+            F.when(works, 0.0).when(opens, e["at"]).otherwise(acc["opened"]).alias("opened"),
+            probing.alias("probing"),
+            F.concat(acc["out"], F.array(one)).cast(row).alias("out"),
+        )
+
+    first = F.struct(
+        F.lit("closed").alias("state"), F.lit(0).alias("failures"), F.lit(0.0).alias("opened"), F.lit(False).alias("probing"), F.array().cast(row).alias("out")
+    )
+    return logs.select("model", F.explode(F.aggregate("h", first, step, lambda acc: acc["out"])).alias("r")).select("model", "r.*")

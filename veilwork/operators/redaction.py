@@ -110,3 +110,8 @@ def first_appearance_numbers(entities: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id", "type").orderBy("first")
     numbered = firsts.withColumn("number", F.dense_rank().over(order))
     return numbered.withColumn("placeholder", T.placeholder(F.col("type"), F.col("number")))
+
+
+def total_latency(stages: Column) -> Column:
+    """Milliseconds of all stages; one that did not run took none."""
+    return F.aggregate(stages, F.lit(0.0), lambda acc, ms: acc + F.coalesce(ms, F.lit(0.0)))

@@ -8,7 +8,7 @@ social security numbers have no equivalent here; tests hold those rules.
 from __future__ import annotations
 
 from veilwork import fixtures as X
-from veilwork.functions.rules import CATEGORY_LABELS, CATEGORY_WORDS, DATASET_LABELS, MODEL_LABELS, OTHER_CATEGORY, OTHER_TYPE
+from veilwork.functions.rules import CATEGORY_WORDS, OTHER_CATEGORY
 
 #: Rules in the dialect of the oracle; its classes are ASCII's.
 PATTERNS = {
@@ -79,21 +79,55 @@ ORACLES["detect_view"] = f"""SELECT d.doc_id, d.text, coalesce(n, 0) AS n_spans,
  (SELECT doc_id, count(*) AS n, {LISTED} AS l FROM ({DOC_SPANS}) GROUP BY doc_id) s USING (doc_id)"""
 
 
-def case(table: dict[str, tuple[str, ...]], value: str, other: str) -> str:
-    whens = " ".join(f"WHEN {value} IN ({', '.join(map(quoted, labels))}) THEN '{kind}'" for kind, labels in table.items())
-    return f"CASE {whens} ELSE {other} END"
+CLEANED = "replace(replace(trim(lower(label)), ' ', '_'), '-', '_')"
+#: Types and categories of labels, written out here so that the tables under test are held to something.
+MODEL_TYPES = """
+ ('account_number', 'CREDIT_CARD'), ('api_key', 'URL'), ('bank_routing_number', 'CREDIT_CARD'),
+ ('certificate_license_number', 'URL'), ('credit_card_number', 'CREDIT_CARD'), ('credit_debit_card', 'CREDIT_CARD'),
+ ('cvv', 'CREDIT_CARD'), ('device_identifier', 'URL'), ('email', 'EMAIL'), ('employee_id', 'URL'),
+ ('fax_number', 'PHONE_E164'), ('health_plan_beneficiary_number', 'SSN_US'), ('ipv4', 'IP_ADDRESS'),
+ ('ipv6', 'IP_ADDRESS'), ('mac_address', 'URL'), ('medical_record_number', 'SSN_US'), ('passport_number', 'URL'),
+ ('phone_number', 'PHONE_E164'), ('social_security_number', 'SSN_US'), ('ssn', 'SSN_US'), ('tax_id', 'SSN_US'),
+ ('url', 'URL'), ('iban', 'IBAN'), ('account_id', 'URL'), ('username', 'EMAIL'), ('driver''s_license_number', 'URL'),
+ ('license_number', 'URL'), ('first_name', 'PERSON'), ('last_name', 'PERSON'), ('name', 'PERSON'),
+ ('date_of_birth', 'PERSON'), ('age', 'PERSON'), ('gender', 'PERSON'), ('occupation', 'URL'), ('address', 'URL'),
+ ('city', 'URL'), ('state', 'URL'), ('zipcode', 'URL'), ('postcode', 'URL'), ('street_address', 'URL'), ('date', 'URL'),
+ ('time', 'URL'), ('company_name', 'URL'), ('organization', 'URL')
+"""
+DATASET_TYPES = """
+ ('EMAIL', 'EMAIL'), ('PHONENUMBER', 'PHONE_E164'), ('PHONEIMEI', 'PHONE_E164'), ('CREDITCARDNUMBER', 'CREDIT_CARD'),
+ ('CREDITCARDISSUER', 'CREDIT_CARD'), ('CREDITCARDCVV', 'CREDIT_CARD'), ('IBAN', 'IBAN'),
+ ('ACCOUNTNUMBER', 'CREDIT_CARD'), ('ACCOUNTNAME', 'CREDIT_CARD'), ('SSN', 'SSN_US'), ('VEHICLEVIN', 'URL'),
+ ('VEHICLEVRM', 'URL'), ('TAXNUM', 'SSN_US'), ('DRIVERLICENSENUM', 'URL'), ('PASSPORT', 'URL'), ('IDCARDNUM', 'SSN_US'),
+ ('IPV4', 'IP_ADDRESS'), ('IPV6', 'IP_ADDRESS'), ('IP', 'IP_ADDRESS'), ('URL', 'URL'), ('USERNAME', 'EMAIL'),
+ ('BITCOINADDRESS', 'IBAN'), ('ETHEREUMADDRESS', 'IBAN'), ('LITECOINADDRESS', 'IBAN'), ('SWIFT', 'IBAN'),
+ ('BIC', 'IBAN'), ('FIRSTNAME', 'PERSON'), ('LASTNAME', 'PERSON'), ('MIDDLENAME', 'PERSON'), ('PREFIX', 'PERSON'),
+ ('AGE', 'PERSON'), ('GENDER', 'PERSON'), ('SEX', 'PERSON'), ('HEIGHT', 'PERSON'), ('EYECOLOR', 'PERSON'),
+ ('ZODIACSIGN', 'PERSON'), ('DOB', 'PERSON'), ('DATE', 'URL'), ('MASKEDNUMBER', 'PERSON'), ('BUILDINGNUMBER', 'URL'),
+ ('STREET', 'URL'), ('CITY', 'URL'), ('COUNTY', 'URL'), ('STATE', 'URL'), ('ZIPCODE', 'URL'),
+ ('NEARBYGPSCOORDINATE', 'IP_ADDRESS'), ('COUNTRY', 'URL'), ('COMPANYNAME', 'URL'), ('JOBTITLE', 'URL'),
+ ('JOBTYPE', 'URL'), ('JOBAREA', 'URL'), ('EMPLOYEEID', 'URL'), ('SECONDARYADDRESS', 'URL'), ('ORDINALDIRECTION', 'URL'),
+ ('TIME', 'URL'), ('PASSWORD', 'URL'), ('USERAGENT', 'URL'), ('CURRENCY', 'URL'), ('CURRENCYCODE', 'URL'),
+ ('CURRENCYNAME', 'URL'), ('CURRENCYSYMBOL', 'URL'), ('AMOUNT', 'URL')
+"""
 
 
-CLEANED = "replace(replace(trim(lower(label)), ' ', '_'), '-', '_')"
-ORACLES["sanitize_labels"] = f"SELECT label, {case(MODEL_LABELS, CLEANED, quoted(OTHER_TYPE))} AS type FROM (VALUES {X.LABELS}) AS t(label)"
-_names = ", ".join(f"({quoted(x)})" for x in sorted(x for own in DATASET_LABELS.values() for x in own) + ["UNHEARDOF"])
-ORACLES["dataset_labels"] = f"SELECT label, {case(DATASET_LABELS, 'label', 'label')} AS type FROM (VALUES {_names}) AS t(label)"
+ORACLES["sanitize_labels"] = f"""SELECT l.label, coalesce(t.type, 'URL') AS type FROM (VALUES {X.LABELS}) AS l(label)
+ LEFT JOIN (VALUES {MODEL_TYPES}) AS t(label, type) ON t.label = {CLEANED.replace('label', 'l.label')}"""
+ORACLES["dataset_labels"] = f"SELECT label, type FROM (VALUES {DATASET_TYPES}, ('UNHEARDOF', 'UNHEARDOF')) AS t(label, type)"
 _words = " ".join(
     f"WHEN regexp_matches(lower(text), {quoted('|'.join(words))}) THEN '{kind}'" for kind, words in CATEGORY_WORDS
 )
 ORACLES["classify_documents"] = f"SELECT doc_id, CASE {_words} ELSE '{OTHER_CATEGORY}' END AS category FROM {BOTH}"
-_names = ", ".join(f"({quoted(x)})" for own in CATEGORY_LABELS.values() for x in own)
-ORACLES["classify_labelled"] = f"SELECT label, {case(CATEGORY_LABELS, 'label', 'NULL')} AS category FROM (VALUES {_names}) AS t(label)"
+CATEGORY_TYPES = """
+ ('MEDICALRECORDNUMBER', 'medical'), ('HEALTHPLANID', 'medical'), ('BLOODTYPE', 'medical'),
+ ('BIOMETRICIDENTIFIER', 'medical'), ('SSN', 'government'), ('VEHICLEVIN', 'government'), ('VEHICLEVRM', 'government'),
+ ('DRIVERLICENSENUM', 'government'), ('TAXNUM', 'financial'), ('IBAN', 'financial'), ('CREDITCARDNUMBER', 'financial'),
+ ('CREDITCARDISSUER', 'financial'), ('CREDITCARDCVV', 'financial'), ('ACCOUNTNUMBER', 'financial'),
+ ('ACCOUNTNAME', 'financial'), ('BITCOINADDRESS', 'financial'), ('ETHEREUMADDRESS', 'financial'),
+ ('LITECOINADDRESS', 'financial'), ('BIC', 'financial'), ('PIN', 'financial')
+"""
+ORACLES["classify_labelled"] = f"SELECT label, category FROM (VALUES {CATEGORY_TYPES}) AS t(label, category)"
 ORACLES["normalize_texts"] = r"""SELECT doc_id, sha256(regexp_replace(replace(text, chr(13) || chr(10), chr(10)),
  '^[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f\x0b]+|[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x1c-\x1f\x0b]+$', '', 'g')) AS digest FROM documents"""
 
@@ -174,7 +208,7 @@ _pages = replaced("pages", "page_id", "html", all_spans("pages", "page_id", "htm
 ORACLES["redact_pages"] = f"SELECT page_id, sha256(redacted) AS redacted_sha256, n_spans FROM ({_pages})"
 _mail = spans("EMAIL", "documents", "doc_id", "text")
 _masked = replaced("documents", "doc_id", "text", _mail, "'<EMAIL:' || right(value, 4) || '>'")
-ORACLES["apply_mask"] = f"SELECT doc_id, redacted AS masked FROM ({_masked}) WHERE n_spans > 0"
+ORACLES["apply_mask"] = f"SELECT doc_id, redacted AS masked FROM ({_masked})"
 
 
 def hmac(message: str, key: str = "pepper") -> str:
@@ -184,7 +218,7 @@ def hmac(message: str, key: str = "pepper") -> str:
 
 
 _hashed = replaced("documents", "doc_id", "text", _mail, f"'[HASH:' || substr({hmac('value')}, 1, 8) || ']'")
-ORACLES["apply_hash_hmac"] = f"SELECT doc_id, redacted AS hashed FROM ({_hashed}) WHERE n_spans > 0"
+ORACLES["apply_hash_hmac"] = f"SELECT doc_id, redacted AS hashed FROM ({_hashed})"
 ORACLES["entity_hashes"] = f'SELECT doc_id, "start", substr({hmac("value")}, 1, 8) AS tag FROM ({DOC_SPANS})'
 ORACLES["format_last4"] = f"""SELECT doc_id, "start", '[' || type || ' ' || right(value, 4) || ' ' || value || ' {{nope}}]' AS shown FROM ({DOC_SPANS})"""
 
@@ -209,18 +243,27 @@ ORACLES["policy_listing"] = """SELECT * FROM (VALUES ('default', '1.0.0', 'free_
 _first = f"""SELECT *, min("start") OVER (PARTITION BY doc_id, type, value) AS first FROM ({DOC_SPANS})"""
 _numbers = f"""SELECT *, '[' || type || '_' || lpad((dense_rank() OVER (PARTITION BY doc_id, type ORDER BY first))::VARCHAR, 4, '0') || ']' AS placeholder FROM ({_first})"""
 _relexed = replaced("documents", "doc_id", "text", _numbers, "placeholder")
-ORACLES["relex_placeholders"] = f"SELECT doc_id, redacted AS relexed FROM ({_relexed}) WHERE n_spans > 0"
+ORACLES["relex_placeholders"] = f"SELECT doc_id, redacted AS relexed FROM ({_relexed})"
 ORACLES["relex_numbers"] = f"""SELECT DISTINCT doc_id, type, value, placeholder, placeholder || '-' || substr(sha256('s1|' || placeholder), 1, 4) AS signed FROM ({_numbers})"""
 _typed = f"""SELECT *, '[' || type || '_' || lpad((row_number() OVER (PARTITION BY doc_id, type ORDER BY "start"))::VARCHAR, 4, '0') || ']' AS p FROM ({DOC_SPANS})"""
 ORACLES["pipeline_typed_placeholders"] = f"""SELECT doc_id, {hmac('text')} AS digest, sha256(redacted) AS redacted_sha256, n_spans
  FROM ({replaced('documents', 'doc_id', 'text', _typed, 'p')}) JOIN documents USING (doc_id)"""
 ORACLES["batch_redact"] = f"""SELECT (doc_id // 10)::BIGINT AS request_id, count(*) AS items, sum(length(text))::BIGINT AS text_chars, sum(coalesce(n, 0))::BIGINT AS n_spans
  FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM ({DOC_SPANS}) GROUP BY doc_id) USING (doc_id) GROUP BY 1"""
-_ascii = """SELECT doc_id, i AS chunk_ix, substr(text, (i * 500 + 1)::INT, 500) AS chunk FROM (
- SELECT doc_id, text, unnest(range(0, (length(text) + 499) // 500)) AS i FROM documents WHERE strlen(text) = length(text))"""
-ORACLES["chunk_ascii_text"] = _ascii
-ORACLES["sse_stream"] = f"""SELECT doc_id, chunk_ix AS event_ix, 'data: {{"chunk_ix":' || chunk_ix || '}}' || chr(10) || chr(10) AS line FROM ({_ascii}) UNION ALL
- SELECT doc_id, max(chunk_ix) + 1, 'data: [DONE]' || chr(10) || chr(10) FROM ({_ascii}) GROUP BY doc_id"""
+def chunked(chars: int, most_bytes: int) -> str:
+    """doc_id, chunk_ix, chunk: the longest head of what is left of a text within both budgets, again and again."""
+    head = f"list_filter(range(1, {chars + 1}), lambda j: strlen(substr(rest, 1, j::INT)) <= {most_bytes})"
+    return f"""SELECT doc_id, ix::BIGINT AS chunk_ix, chunk FROM (WITH RECURSIVE c AS (
+     SELECT doc_id, -1 AS ix, '' AS chunk, coalesce(text, '') AS rest FROM documents UNION ALL
+     SELECT doc_id, ix + 1, substr(rest, 1, k::INT), substr(rest, k::INT + 1) FROM (
+      SELECT *, CASE WHEN strlen(substr(rest, 1, {chars})) <= {most_bytes} THEN {chars} ELSE greatest(1, len({head})) END AS k FROM c WHERE rest <> ''))
+     SELECT * FROM c WHERE ix >= 0)"""
+
+
+_chunks = chunked(500, 520)
+ORACLES["chunk_text"] = ORACLES["chunk_ascii_text"] = _chunks
+ORACLES["sse_stream"] = ORACLES["sse_stream_all"] = f"""SELECT doc_id, chunk_ix AS event_ix, 'data: {{"chunk_ix":' || chunk_ix || '}}' || chr(10) || chr(10) AS line FROM ({_chunks}) UNION ALL
+ SELECT doc_id, max(chunk_ix) + 1, 'data: [DONE]' || chr(10) || chr(10) FROM ({_chunks}) GROUP BY doc_id"""
 
 # -- audit and evaluation ----------------------------------------------------------------------------------------------
 
@@ -398,3 +441,25 @@ ORACLES["bio_decode"] = """SELECT doc_id::BIGINT AS doc_id, ord::BIGINT AS ord,
 ORACLES["rscore_per_doc_predictions"] = """SELECT doc_id, round(n::DOUBLE, 9) AS n, d::DOUBLE AS d, m::BIGINT AS n_mandatory, c::BIGINT AS n_contextual, 0::BIGINT AS n_fp, s::BIGINT AS skipped, round((n / d)::DOUBLE, 9) AS r
  FROM (VALUES ('vehicle_record', 2.0::DOUBLE, 2, 2, 0, 1), ('email_alice', 10 / 17, 1, 1, 0, 0), ('email_john', 4 / 11, 1, 0, 1, 0), ('note_over_redact', 5 / 10, 1, 0, 1, 1),
  ('multiline_invoice', (8 / 20) / 2, 1, 0, 1, 0), ('email_phone', 9 / 13, 1, 1, 0, 0)) AS t(doc_id, n, d, m, c, s)"""
+
+# -- service logs ------------------------------------------------------------------------------------------------------
+
+ORACLES["dead_letters"] = """SELECT 1::BIGINT AS schema_version, job_id, error, tries::BIGINT AS attempts, recorded::BIGINT AS recorded_at FROM (
+ VALUES ('c', 'undecodable payload', 1, 30), ('b', 'timeout', 5, 50), ('e', 'undecodable payload', 2, 70)) AS t(job_id, error, tries, recorded)"""
+ORACLES["idempotency_leases"] = """SELECT key, seq::BIGINT AS seq, outcome FROM (VALUES ('k', 1, 'acquired'), ('k', 2, 'in_progress'), ('k', 3, 'lost'),
+ ('k', 4, 'published'), ('k', 5, 'completed'), ('k', 6, 'conflict'), ('l', 1, 'acquired'), ('l', 2, 'released'), ('l', 3, 'acquired'),
+ ('l', 4, 'lost'), ('l', 5, 'acquired'), ('l', 6, 'published'), ('l', 7, 'acquired')) AS t(key, seq, outcome)"""
+ORACLES["shared_breaker"] = """SELECT model, seq::BIGINT AS seq, allowed, state FROM (VALUES ('m', 1, true, 'closed'), ('m', 2, NULL, 'closed'), ('m', 3, NULL, 'closed'),
+ ('m', 4, NULL, 'open'), ('m', 5, false, 'open'), ('m', 6, true, 'open'), ('m', 7, false, 'open'), ('m', 8, NULL, 'open'), ('m', 9, false, 'open'),
+ ('m', 10, true, 'open'), ('m', 11, NULL, 'closed'), ('m', 12, true, 'closed')) AS t(model, seq, allowed, state)"""
+ORACLES["bucket_quantiles"] = """WITH b AS (SELECT unnest([1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0, 'inf'::DOUBLE]) AS le),
+ h AS (SELECT event_type, le, count(*) FILTER (WHERE value <= le) AS n FROM events, b GROUP BY ALL),
+ w AS (SELECT *, lag(n, 1, 0) OVER o AS below, lag(le, 1, 0.0) OVER o AS low, max(n) OVER (PARTITION BY event_type) AS total FROM h WINDOW o AS (PARTITION BY event_type ORDER BY le)),
+ f AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY le) AS i FROM w WHERE n >= 0.99 * total)
+ SELECT event_type, round(CASE WHEN isinf(le) THEN low ELSE low + (le - low) * (0.99 * total - below) / (n - below) END, 6) AS p99 FROM f WHERE i = 1"""
+ORACLES["streams_completed"] = """SELECT id::BIGINT AS id, done FROM (VALUES (1, true), (2, false), (3, false), (4, true), (5, false), (6, false), (7, true)) AS t(id, done)"""
+ORACLES["benchmark_texts"] = """SELECT doc_id, mode, sha256(text || CASE WHEN mode = 'cache-cold' THEN ' request-' || doc_id ELSE '' END) AS digest
+ FROM documents, (VALUES ('cache-hot'), ('cache-cold')) AS m(mode)"""
+ORACLES["pipeline_latency"] = "SELECT * FROM (VALUES (1::BIGINT, 6.5::DOUBLE), (2, 0.0), (3, 4.25)) AS t(id, total_ms)"
+ORACLES["policy_versions"] = "SELECT * FROM (VALUES ('own', '7'), ('own without version', '0.0.0'), ('types', 'default'), ('default', '1.0.0')) AS t(request, version)"
+ORACLES["converted_corpus"] = """SELECT doc_id, spans FROM (VALUES ('c_1', '0-5:PERSON 9-12:EMAIL'), ('c_6', '1-2:URL')) AS t(doc_id, spans)"""

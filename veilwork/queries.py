@@ -11,7 +11,7 @@ from veilwork import fixtures as X
 from veilwork.functions import records
 from veilwork.functions import spans as S
 from veilwork.functions import text as T
-from veilwork.functions.rules import CATEGORY_LABELS, DATASET_LABELS, inverted
+from veilwork.functions.rules import CATEGORY_LABELS, DATASET_LABELS
 from veilwork.operators import agreement, chunks, detection, evaluation, intervals, models, operations, redaction, scoring
 from veilwork.plans import policy
 from veilwork.sources import corpus, tables
@@ -169,9 +169,9 @@ def sanitize_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def dataset_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = sorted(inverted(DATASET_LABELS)) + ["UNHEARDOF"]
+    names = [*DATASET_LABELS, "UNHEARDOF"]
     df = spark.createDataFrame([(n,) for n in names], "label string")
-    return df.select("label", detection.typed_labels(inverted(DATASET_LABELS), F.col("label")).alias("type"))
+    return df.select("label", detection.typed_labels(DATASET_LABELS, F.col("label")).alias("type"))
 
 
 @query
@@ -182,7 +182,7 @@ def classify_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def classify_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = sorted(inverted(CATEGORY_LABELS))
+    names = [label for own in CATEGORY_LABELS.values() for label in own]
     df = spark.createDataFrame([(n, [n, "CITY"]) for n in names], "label string, labels array<string>")
     return df.select("label", T.category(F.lit("dear court"), F.col("labels")).alias("category"))
 
@@ -336,13 +336,13 @@ def exact_dup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def apply_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("spans", S.detect(F.col("text"), ["EMAIL"]))
-    return docs.where(F.size("spans") > 0).select("doc_id", redaction.apply_mask(F.col("text"), F.col("spans"), "<{type}:{last4}>").alias("masked"))
+    return docs.select("doc_id", redaction.apply_mask(F.col("text"), F.col("spans"), "<{type}:{last4}>").alias("masked"))
 
 
 @query
 def apply_hash_hmac(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("spans", S.detect(F.col("text"), ["EMAIL"]))
-    return docs.where(F.size("spans") > 0).select("doc_id", redaction.apply_hash(F.col("text"), F.col("spans"), SALT).alias("hashed"))
+    return docs.select("doc_id", redaction.apply_hash(F.col("text"), F.col("spans"), SALT).alias("hashed"))
 
 
 @query
@@ -388,7 +388,7 @@ def policy_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def relex_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("spans", S.dedupe(S.detect(F.col("text"))))
     pairs = redaction.relex_pairs(F.col("text"), F.col("spans"))
-    return docs.where(F.size("spans") > 0).select("doc_id", S.splice_disjoint(F.col("text"), pairs).alias("relexed"))
+    return docs.select("doc_id", S.splice_disjoint(F.col("text"), pairs).alias("relexed"))
 
 
 @query
@@ -434,9 +434,11 @@ def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_ascii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII documents alone, as in its SQL; chunk_text has all."""
-    docs = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return numbered(docs.select("doc_id", F.posexplode(chunks.ascii_chunks(F.col("text"), 500)).alias("chunk_ix", "chunk")))
+    """chunk_text, with texts of ASCII alone cut in the JVM: only the others depend on bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    ascii_only = F.octet_length("text") == F.length("text")
+    quick = docs.where(ascii_only).select("doc_id", F.posexplode(chunks.ascii_chunks(F.col("text"), 500)).alias("chunk_ix", "chunk"))
+    return numbered(quick.unionByName(chunks.chunk_table(docs.where(~ascii_only), "doc_id", "text", 500, 520)))
 
 
 @query
@@ -448,18 +450,24 @@ def chunk_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sse_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ASCII documents alone, as in its SQL; sse_stream_all has all."""
+    """The event stream of every document's chunks."""
     pieces = chunk_ascii_text(spark, sf_dir).withColumn("payload", F.to_json(F.struct("chunk_ix")))
     return chunks.event_lines(pieces, "doc_id", "payload", "chunk_ix")
 
 
 @query
 def sse_stream_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event stream of every document's chunks; bytes bound them, so no SQL follows."""
+    """The same from chunk_text."""
     pieces = chunk_text(spark, sf_dir).withColumn("payload", F.to_json(F.struct("chunk_ix")))
     return chunks.event_lines(pieces, "doc_id", "payload", "chunk_ix")
 
 
+@query
+def streams_completed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, X.STREAMS, "id, body")
+    return numbered(rows.select("id", chunks.stream_completed(F.col("body")).alias("done")))
+
+
 # -- audit and evaluation ----------------------------------------------------------------------------------------------
 
 
@@ -724,8 +732,16 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def exclusive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    by_day = events(spark, sf_dir).groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.collect_list("value").alias("v"))
-    return by_day.select("day", F.round(evaluation.exclusive_quantile(F.col("v"), 0.95), 6).alias("p95"), F.round(evaluation.exclusive_quantile(F.col("v"), 0.99), 6).alias("p99"))
+    by_day = events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("day"), "value")
+    found = evaluation.exclusive_quantiles(by_day, "day", "value", {"p95": 0.95, "p99": 0.99})
+    return found.select("day", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
+
+
+@query
+def bucket_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounds = [1.0, 2.5, 5.0, 10.0, 25.0, 50.0, 100.0, 250.0]
+    counted = evaluation.histogram(events(spark, sf_dir), "value", bounds, "event_type")
+    return evaluation.bucket_quantile(counted, 0.99, "event_type").select("event_type", F.round("quantile", 6).alias("p99"))
 
 
 @query
@@ -892,3 +908,54 @@ def model_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = texts_of(spark, sf_dir).select("doc_id", "text").withColumn("found", detect(F.col("text")))
     done = redaction.staged(docs, "text", F.col("found"), F.lit(False), SALT)
     return done.select("doc_id", F.size("model").cast("long").alias("n_model"), F.size("fused").cast("long").alias("n_fused"), F.sha2("redacted", 256).alias("redacted_sha256"))
+
+
+@query
+def dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tries = values(spark, X.TRIES, "job_id, tries, ok, decoded, error, at")
+    return numbered(operations.dead_letters(tries, most=3))
+
+
+@query
+def idempotency_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = values(spark, X.LEASES, "key, seq, at, event, fingerprint, token")
+    return numbered(operations.lease_log(log, ttl=100))
+
+
+@query
+def shared_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = values(spark, X.PROBES, "model, seq, at, event, probe")
+    return numbered(operations.shared_breaker(log))
+
+
+@query
+def benchmark_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts for hot and cold caches, over all documents."""
+    modes = F.explode(F.array(F.lit("cache-hot"), F.lit("cache-cold"))).alias("mode")
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", modes)
+    return rows.select("doc_id", "mode", F.sha2(T.benchmark_text(F.col("mode"), F.col("text"), F.col("doc_id")), 256).alias("digest"))
+
+
+@query
+def pipeline_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, "(1, array(1.5D, 5D)), (2, array()), (3, array(4.25D, null))", "id, ms")
+    return numbered(rows.select("id", redaction.total_latency(F.col("ms").cast("array<double>")).alias("total_ms")))
+
+
+@query
+def policy_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = {
+        "own": policy.resolve({"version": "7"}, None),
+        "own without version": policy.resolve({}, None),
+        "types": policy.resolve(None, ["EMAIL"]),
+        "default": policy.resolve(None, None),
+    }
+    return spark.createDataFrame([(k, policy.version_of(p)) for k, p in asked.items()], "request string, version string")
+
+
+@query
+def converted_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = values(spark, X.MASKED, "id, language, source_text, privacy_mask")
+    found = corpus.converted(rows, "c_")
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", F.concat_ws("-", s["start"], s["end"]), s["type"])), " ")
+    return found.select("doc_id", listed.alias("spans"))

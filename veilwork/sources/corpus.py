@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork.functions import spans as S
+from veilwork.functions import text as T
+from veilwork.functions.rules import DATASET_LABELS, OTHER_TYPE
 
 DOCUMENT = "id string, text string, category string, genre string, source string"
 LABELLED = "array<struct<start:int,end:int,category:string>>"
@@ -82,4 +84,20 @@ def from_templates(spark: SparkSession, templates: list[tuple[str, list[str]]],
         "entities",
         lambda v: F.struct((F.instr(F.col("text"), v) - 1).alias("start"), (F.instr(F.col("text"), v) - 1 + F.length(v)).alias("end")),
     )
-    return numbered.join(F.broadcast(table), "template").select("id", "text", spans.alias("spans"))  # a handful of rows
+    return numbered.join(table, "template").select("id", "text", spans.alias("spans"))
+
+
+def converted(rows: DataFrame, prefix: str) -> DataFrame:
+    """doc_id, text, category and typed spans of masked rows (id, language, source_text, privacy_mask).
+
+    Rows in other languages, without a mask or without text are dropped; of rows with one id the first in order of text stays.
+    """
+    text = T.normalize_text(F.col("source_text"))
+    good = rows.where((F.col("language") == "en") & (F.size("privacy_mask") > 0)).withColumn("text", text).where("text <> ''")
+    one = good.groupBy("id").agg(F.min_by(F.struct("text", "privacy_mask"), "text").alias("r")).select("id", "r.*")
+    kind = lambda m: F.coalesce(T.lookup(DATASET_LABELS, m["label"]), F.lit(OTHER_TYPE))
+    typed = F.transform("privacy_mask", lambda m: F.struct(m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), kind(m).alias("type")))
+    labels = F.transform("privacy_mask", lambda m: m["label"])
+    return one.select(
+        F.concat(F.lit(prefix), F.col("id").cast("string")).alias("doc_id"), "text", T.category(F.col("text"), labels).alias("category"), F.array_sort(typed).alias("spans")
+    )
