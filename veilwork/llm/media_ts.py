@@ -8,8 +8,9 @@ elementary packets and stores time stamps with random-access points.
 
 Edge cases: a null text counts as empty and its payload is one block of spaces;
 equal texts give equal streams; repeated rows give equal rows; an empty table
-gives an empty table; other columns are not read. A stream with lost, damaged
-or foreign packets is read as far as it goes and its faults are counted.
+gives an empty table; other columns are not read. In a stream with lost, damaged
+or foreign bytes the next three packets in a row are searched for and faults are
+counted; of other streams than program maps name, packets are counted as skipped.
 """
 
 from __future__ import annotations
@@ -153,33 +154,68 @@ class Stream:
     continuity_errors: int = 0
     duplicates: int = 0
     short_units: int = 0
+    skipped: int = 0  # packets of PIDs that no table names, but for null packets
     payload: bytes = b""
     #: (time stamp, place of the unit in the payload, is a random-access point) of every unit
     units: list[tuple[int | None, int, bool]] = field(default_factory=list)
 
 
 def _read_tables(packets: np.ndarray, begins: np.ndarray, own: np.ndarray, table_id: int, out: Stream) -> Iterator[bytes]:
-    """Bodies of the sections that start in the packets own and pass their checksum."""
+    """Bodies of the distinct sections in the packets own that pass their checksum; a section may go on over packets."""
     seen: dict[bytes, bytes | None] = {}
-    for i in own[(packets[own, 1] & 0x40) > 0].tolist():
-        data = packets[i, begins[i] :].tobytes()
-        data = data[1 + data[0] :] if data else b""
+
+    def section(data: bytes) -> None:
         if data not in seen:
             size = 3 + (int.from_bytes(data[1:3], "big") & 0xFFF) if len(data) >= 3 else 0
             good = 12 <= size <= len(data) and data[0] == table_id and crc32_mpeg(data[:size]) == 0
             seen[data] = data[:size] if good else None
-        if seen[data] is None:
-            out.table_errors += 1
+        out.table_errors += seen[data] is None
+
+    open_section = None
+    for i in own.tolist():
+        data = packets[i, begins[i] :].tobytes()
+        if packets[i, 1] & 0x40:
+            pointer = data[0] if data else 0
+            if open_section is not None:
+                section(open_section + data[1 : 1 + pointer])
+            open_section = data[1 + pointer :]
+        elif open_section is not None:
+            open_section += data
+    if open_section is not None:
+        section(open_section)
     yield from (s[8:-4] for s in seen.values() if s is not None)
 
 
+def _packets(media: bytes, out: Stream) -> np.ndarray:
+    """Whole packets; where one has no packet behind it, the next place is searched where three begin in a row."""
+    data = np.frombuffer(media, np.uint8)
+    whole = len(data) // PACKET * PACKET
+    if whole == len(data) and (data[::PACKET] == SYNC).all():
+        return data.reshape(-1, PACKET)
+    sync = np.r_[data == SYNC, np.ones(2 * PACKET, bool)]  # behind the end all is well
+    n = max(0, len(data) - PACKET + 1)
+    two = sync[:n] & sync[PACKET : PACKET + n]
+    three = np.flatnonzero(two & sync[2 * PACKET : 2 * PACKET + n])
+    starts, at = [], 0
+    while at < n:
+        # as far as packets follow each other
+        row = two[at::PACKET]
+        run = int(np.argmin(row)) if not row.all() else len(row)
+        starts.append(at + PACKET * np.arange(run))
+        at += PACKET * run
+        if at >= n:
+            break
+        out.lost_sync += 1
+        k = int(np.searchsorted(three, at + 1))
+        at = int(three[k]) if k < len(three) else len(data)
+    out.lost_sync += at < len(data)
+    found = np.concatenate(starts) if starts else np.zeros(0, np.int64)
+    return data[found[:, None] + np.arange(PACKET)]
+
+
 def read_stream(media: bytes) -> Stream:
     out = Stream()
-    whole = len(media) // PACKET * PACKET
-    packets = np.frombuffer(media, np.uint8, whole).reshape(-1, PACKET)
-    good = packets[:, 0] == SYNC
-    out.lost_sync = int((~good).sum()) + (whole < len(media))
-    packets = packets[good]
+    packets = _packets(media, out)
     out.packets = len(packets)
     pids = (packets[:, 1].astype(np.int32) & 0x1F) << 8 | packets[:, 2]
     has_field, has_data = (packets[:, 3] & 0x20) > 0, (packets[:, 3] & 0x10) > 0
@@ -209,10 +245,10 @@ def read_stream(media: bytes) -> Stream:
             while k + 5 <= len(body):
                 out.streams[int.from_bytes(body[k + 1 : k + 3], "big") & 0x1FFF] = body[k]
                 k += 5 + (int.from_bytes(body[k + 3 : k + 5], "big") & 0xFFF)
+    known = np.array([PAT_PID, NULL_PID, *out.programs.values(), *out.streams])
+    out.skipped = int((~np.isin(pids, known)).sum())
     data, at = [], 0
-    for pid, kind in out.streams.items():
-        if kind != PRIVATE_DATA:
-            continue
+    for pid in out.streams:
         own = of_pid(pid)
         mine = packets[own]
         bytes_ = mine[np.arange(PACKET) >= begins[own][:, None]].tobytes()
@@ -225,7 +261,7 @@ def read_stream(media: bytes) -> Stream:
             if unit[:3] != b"\x00\x00\x01" or len(unit) < 9:
                 out.short_units += 1
                 continue
-            size = 6 + int.from_bytes(unit[4:6], "big")
+            size = 6 + int.from_bytes(unit[4:6], "big") if any(unit[4:6]) else len(unit)  # 0: up to the next one
             out.short_units += size > len(unit)
             stamp = None
             if unit[7] & 0x80 and len(unit) >= PES_HEADER:
@@ -248,7 +284,7 @@ def feature_of(s: Stream) -> str:
     return (
         f"programs={programs} streams={streams} packets={s.packets} units={len(s.units)} stamps={span} steps={steps} "
         f"lost_sync={s.lost_sync} table_errors={s.table_errors} continuity_errors={s.continuity_errors} "
-        f"duplicates={s.duplicates} short_units={s.short_units} access={zlib.crc32(points.encode()):08x}/{points.count('@')}"
+        f"duplicates={s.duplicates} short_units={s.short_units} skipped={s.skipped} access={zlib.crc32(points.encode()):08x}/{points.count('@')}"
     )
 
 

@@ -8,13 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from veilwork.llm import bpe, gru_lm, media_ts, mixing, quality, secret_scan, simhash, sql, suffix_dedup, token_counts, warc
-from veilwork.llm.common import documents, pages
+from veilwork.llm.common import documents, pages, stored
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_ts.read_streams(media_ts.write_streams(documents(spark, sf_dir)))
+    return media_ts.read_streams(stored(media_ts.write_streams(documents(spark, sf_dir))))
 
 
 def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,8 @@ def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.read_archives(warc.archives(pages(spark, sf_dir), least=0)).where("kind = 'record'")
+    """The archives have damage between their records, so reading takes the search."""
+    read = warc.read_archives(warc.archives(pages(spark, sf_dir), least=0, damage_every=warc.DAMAGE_EVERY)).where("kind = 'record'")
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

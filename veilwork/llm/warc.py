@@ -7,6 +7,11 @@ record. After a failed check it searches for the next valid member (or, in
 plain archives, the next version line with a valid header), goes on there, and
 logs the bytes between as a quarantined gap.
 
+archives() can put damage between records, seeded by page: the head of a torn
+copy, a copy whose checksum does not hold, or stray bytes that look like the
+begin of a member or of a version line. Each page still comes back, by way of
+the search, and gap_log() has what lay between.
+
 Edge cases: null html counts as an empty payload, a null url as an empty one.
 Rows that share page_id and payload are all responses if that page_id is the
 smallest. Rows without page_id are responses, unless another page has their
@@ -36,6 +41,8 @@ REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"  # pages carry no time
 #: Bytes of payload after which an archive is closed.
 ARCHIVE_BYTES = 8_000_000
+#: One in so many records of the query is followed by damage, on average.
+DAMAGE_EVERY = 8
 #: Bytes of a member that are inflated at once.
 INFLATE_BYTES = 1 << 14
 
@@ -175,33 +182,54 @@ def read_archive(data: bytes) -> Iterator[Record | Gap]:
 def with_firsts(pages: DataFrame, least: int = 0) -> DataFrame:
     """page_id, url, html and first: the page that has the same payload and comes first, null for itself.
 
-    Payloads of fewer than least bytes are never compared.
+    Payloads of fewer than least bytes are never compared. Pages meet by key without their html; just the ids of later
+    pages meet the pages again, so a payload that very many have moves no html.
     """
-    keyed = pages.select("page_id", "url", "html").withColumn("payload_key", F.sha2(F.coalesce("html", F.lit("")), 256))
-    compared = keyed.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
-    firsts = stored(compared.groupBy("payload_key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    joined = keyed.join(firsts, "payload_key", "left")
-    other = F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))
-    return joined.select("page_id", "url", "html", other.alias("first"))
-
-
-def archives(pages: DataFrame, least: int = 0) -> DataFrame:
+    payload = F.coalesce("html", F.lit(""))
+    keyed = pages.select("page_id", "url", "html", F.sha2(payload, 256).alias("key"))
+    slim = keyed.where(F.octet_length(payload) >= least).select("page_id", "key")
+    firsts = stored(slim.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
+    later = slim.join(firsts, "key").where(~F.col("first").eqNullSafe(F.col("page_id")))
+    later = stored(later.select(F.col("page_id").alias("own"), F.col("key").alias("same"), "first").distinct())
+    joined = keyed.join(later, F.col("page_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("same")), "left")
+    return joined.select("page_id", "url", "html", "first")
+
+
+def damage(page_id: int | None, record: bytes, every: int) -> bytes:
+    """What stands behind a record: nothing, or bytes that are no record. The same for the same page."""
+    dealt = zlib.crc32(f"damage {page_id}".encode())
+    if not every or dealt % every:
+        return b""
+    kind = dealt // every % 3
+    if kind == 0:  # torn: its deflate stream breaks off
+        return record[: len(record) // 2]
+    if kind == 1:  # the checksum in the last eight bytes of a member is another
+        return record[:-8] + bytes(b ^ 0x55 for b in record[-8:-4]) + record[-4:]
+    return MAGIC + b"stray" + VERSION + b"\r\nWARC-Type: response\r\n\r\n" + dealt.to_bytes(4, "big")
+
+
+def archives(pages: DataFrame, least: int = 0, damage_every: int = 0) -> DataFrame:
     """Archives (content) with a record for every row of pages (page_id, url, html)."""
     schema = pa.schema([("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         info = pack([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:info>"), ("WARC-Date", DATE)], b"format: WARC/1.1\r\n")
-        records, size = [info], 0
+        parts, size = [info], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], schema=schema)
+
         for batch in batches:
             for page_id, url, html, first in zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "html", "first"))):
                 payload = (html or "").encode()
-                records.append(page_record(page_id, url, payload, first))
+                record = page_record(page_id, url, payload, first)
+                parts += [record, damage(page_id, record, damage_every)]
                 size += len(payload)
                 if size >= ARCHIVE_BYTES:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)])], schema=schema)
-                    records, size = [info], 0
-        if len(records) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(records)])], schema=schema)
+                    yield out()
+                    parts, size = [info], 0
+        if len(parts) > 1:
+            yield out()
 
     return with_firsts(pages, least).mapInArrow(run, "content binary")
 
@@ -240,3 +268,8 @@ def read_archives(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return df.select("content").mapInArrow(run, READ)
+
+
+def gap_log(df: DataFrame) -> DataFrame:
+    """at, length and reason of every quarantined gap of the archives of df (content)."""
+    return read_archives(df).where("kind = 'gap'").select("at", "length", "reason")
