@@ -41,9 +41,9 @@ ASCII_TEXT = re.compile(
     + r"|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 #: Distinct words whose results a worker keeps; beyond it the store starts anew, which costs time only.
-KEPT_WORDS = 250_000
+KEPT_WORDS = 120_000
 #: Characters of text whose new words are merged together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 500_000
 
 
 class Vocabulary:

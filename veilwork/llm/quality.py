@@ -285,7 +285,8 @@ def keep(df: DataFrame, fitted: Chain, least_share: float = CONTENT_SHARE) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(fitted)
         for batch in batches:
-            yield batch.filter(pa.array([v.kept for v in verdicts(texts_of(batch), decoder, least_share)], pa.bool_()))
+            texts = ["" if t is None else t for t in batch.column("row").field("text").to_pylist()]
+            yield batch.filter(pa.array([v.kept for v in verdicts(texts, decoder, least_share)], pa.bool_()))
 
-    rows = wrapped(df).select("row", "row.text")
+    rows = wrapped(df)
     return unwrapped(rows.mapInArrow(run, rows.schema), df.columns)
