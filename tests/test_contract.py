@@ -59,3 +59,9 @@ def test_without_the_optional_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1_') or n == 'pipeline' for n in q), q; e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": str(tmp_path / "r")})
     assert done.returncode == 0, done.stderr
+
+
+def test_without_a_library_of_the_optional_parts():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; assert e.queries() and 'op9_covering_simhash' not in e.queries()"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120, env={**os.environ, "PYTHONPATH": ROOT})
+    assert done.returncode == 0, done.stderr
