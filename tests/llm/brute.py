@@ -138,3 +138,60 @@ def groups(rows, key):
     for r in rows:
         out[r[key]].append(r)
     return out
+
+
+def periodic_runs(words):
+    """(start, length, period) of all runs by comparing every word with that at every distance, and the words kept."""
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i < len(words) - q:
+            first = i
+            while i < len(words) - q and words[i] == words[i + q]:
+                i += 1
+            if i - first + q >= max(12, 2 * q):
+                found.setdefault((first, i + q), q)
+            i += 1
+    runs = sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+    gone = {i for a, n, q in runs for i in range(a + q, a + n)}
+    return runs, [w for i, w in enumerate(words) if i not in gone]
+
+
+def made_periodic(doc_id, words):
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+
+
+def lowered_words(text):
+    low = re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+
+
+def importance(documents, target, least_words=20, percent=10, seed=2024, buckets=10_000, longest=1):
+    """doc_id: (n_features, weight, score, rank) of (doc_id, text) rows with distinct ids."""
+
+    def runs(text):
+        words = lowered_words(text)
+        return [zlib.crc32(" ".join(words[i : i + n]).encode()) % buckets for n in range(1, longest + 1) for i in range(len(words) - n + 1)]
+
+    ours, theirs = Counter(b for _, t in documents for b in runs(t)), Counter(b for t in target for b in runs(t))
+    s_all, t_all = sum(ours.values()) + buckets, sum(theirs.values()) + buckets
+    gain = lambda b: math.floor(1000 * math.log((theirs[b] + 1) * s_all / ((ours[b] + 1) * t_all)))
+    out, able = {}, []
+    for doc_id, text in documents:
+        own = runs(text)
+        h = int(hashlib.sha256(f"{seed}:{'' if doc_id is None else doc_id}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, own))
+        score = weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
+        out[doc_id] = [len(own), weight, score, None]
+        if len(lowered_words(text)) >= least_words:
+            able.append(doc_id)
+    able.sort(key=lambda i: (-out[i][2], i is None, i or 0))
+    for place, doc_id in enumerate(able[: percent * len(able) // 100]):
+        out[doc_id][3] = place + 1
+    return {i: tuple(v) for i, v in out.items()}

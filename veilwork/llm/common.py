@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.sources.shared import clear, session_folder, shared_folder, stored
+
+__all__ = ["BLANK", "WORD", "clear", "documents", "pages", "session_folder", "shared_folder", "stored", "texts_of", "unwrapped", "utf8_of", "wrapped"]
+
 #: ASCII white space that separates words everywhere in this subpackage.
 BLANK = "\x20\x09-\x0d"
 WORD = rf"[^\x20\x09-\x0D]+"
@@ -33,43 +33,6 @@ def unwrapped(df: DataFrame, columns: list[str], new: dict[str, Column] | None =
     return df.select(*((new or {}).get(c, F.col("row").getField(c)).alias(c) for c in columns))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    On a cluster it is what spark.checkpoint.dir names. A folder of our own is
-    made only where that is unset and all work is done on this machine, as in tests.
-    """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[[^,\]]*(,[^\]]*)?\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="veilwork-"))
-    return context.getCheckpointDir()
-
-
-def session_folder(spark: SparkSession) -> str:
-    """Where this session's tables lie, in the shared folder."""
-    return f"{shared_folder(spark)}/veilwork-{spark.sparkContext.applicationId}"
-
-
-def stored(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors.
-
-    A query's result may read these tables; clear() removes them when results have been written.
-    """
-    spark = df.sparkSession
-    path = f"{session_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear(spark: SparkSession) -> None:
-    """Remove all tables that stored() wrote in this session. Results of operators that were not written are lost."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(session_folder(spark))
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-
-
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The texts of a batch; a null text is an empty one."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

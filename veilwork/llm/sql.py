@@ -121,3 +121,47 @@ REPEATS = """WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''
  k AS (SELECT doc_id, string_agg(substr(h, 2 * prev + 1, 2 * (a - prev)), '' ORDER BY a) AS head, max(b) AS last, sum(b - a) AS gone, count(*) AS spans FROM p JOIN d USING (doc_id) GROUP BY doc_id)
  SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0) AS n_spans,
  sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE head || substr(h, 2 * last + 1) END)) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LETTERS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CRC_TABLE = "list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i))"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text by a table in column crc, byte by byte."""
+    own = f"list_transform(range(strlen({text})), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({own}, lambda s, b: xor(s >> 8, crc[(xor(s, b) & 255) + 1]), 4294967295), 4294967295)"
+
+
+IMPORTANCE = f"""WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+ d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_LETTERS}') AS words FROM documents),
+ w AS MATERIALIZED (SELECT doc_id, unnest(words) AS w FROM d),
+ g AS MATERIALIZED (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_LETTERS}')) AS w FROM benchmark),
+ b AS MATERIALIZED (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM w UNION SELECT w FROM g), t),
+ s AS (SELECT b, count(*) AS n FROM w JOIN b USING (w) GROUP BY b), u AS (SELECT b, count(*) AS n FROM g JOIN b USING (w) GROUP BY b),
+ k AS MATERIALIZED (SELECT x.b, floor(1000 * ln((coalesce(u.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)::DOUBLE
+  / ((coalesce(s.n, 0) + 1)::DOUBLE * ((SELECT count(*) FROM g) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT DISTINCT b FROM b) x LEFT JOIN s ON s.b = x.b LEFT JOIN u ON u.b = x.b),
+ o AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM w JOIN b USING (w) JOIN k USING (b) GROUP BY doc_id),
+ z AS MATERIALIZED (SELECT d.doc_id, len(words)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+  (coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5)::DOUBLE / 4294967296))))::BIGINT AS score
+  FROM d LEFT JOIN o ON o.doc_id = d.doc_id),
+ r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS n FROM z)
+ SELECT doc_id, n_features, n_features AS n_words, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * n // 100 THEN place END AS rank FROM r"""
+
+PERIODS = f"""WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
+ d AS MATERIALIZED (SELECT doc_id, {_crc32("doc_id::VARCHAR")} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS v FROM documents, t),
+ e AS MATERIALIZED (SELECT doc_id, v, len(v) AS n, h % 10 = 0 AS made, h // 10 AS g FROM d),
+ m AS MATERIALIZED (SELECT doc_id, n, CASE WHEN made AND n > 0 THEN list_transform(range(n), lambda i: v[CASE WHEN i < g % n THEN i
+  ELSE g % n + (i - g % n) % (1 + (n - g % n) // (3 + g % 8)) END + 1]) ELSE v END AS v FROM e),
+ w AS MATERIALIZED (SELECT doc_id, n, v[i + 1] AS w, i FROM (SELECT *, unnest(range(n)) AS i FROM m)),
+ p AS (SELECT a.doc_id, b.i - a.i AS q, a.i FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.w = b.w AND a.i < b.i WHERE 2 * (b.i - a.i) <= a.n),
+ s AS (SELECT doc_id, q, min(i) AS a, max(i) + 1 AS b FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM p) GROUP BY doc_id, q, k),
+ r AS MATERIALIZED (SELECT doc_id, a, len, min(q) AS q FROM (SELECT doc_id, a, b - a + q AS len, q FROM s) WHERE len >= 12 AND len >= 2 * q GROUP BY doc_id, a, len),
+ x AS (SELECT doc_id, count(*) AS n_runs, string_agg(a || ',' || len || ',' || q || chr(10), '' ORDER BY a, q) AS lines,
+  first(a ORDER BY len DESC, a, q) AS "start", first(len ORDER BY len DESC, a, q) AS length, first(q ORDER BY len DESC, a, q) AS period FROM r GROUP BY doc_id),
+ z AS (SELECT DISTINCT w.doc_id, w.i FROM w JOIN r ON r.doc_id = w.doc_id AND w.i >= r.a + r.q AND w.i < r.a + r.len),
+ c AS (SELECT w.doc_id, string_agg(w.w, ' ' ORDER BY w.i) AS kept FROM w LEFT JOIN z ON z.doc_id = w.doc_id AND z.i = w.i WHERE z.i IS NULL GROUP BY w.doc_id)
+ SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, "start", length, period, 1000 * length // period AS exponent_milli,
+ sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+ FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
