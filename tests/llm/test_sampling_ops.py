@@ -1,14 +1,16 @@
-"""Periodic runs and importance resampling against brute force."""
+"""Licence scans, periodic runs and importance resampling against brute force."""
 
 import hashlib
 import random
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tests.llm import brute
-from veilwork.llm import importance, periods
+from veilwork.llm import importance, license_scan, periods
+from veilwork.llm.queries import ORACLES, QUERIES
 
 
 def fibonacci(n):
@@ -118,3 +120,61 @@ def test_draw_of_dirty_rows(spark):
     assert importance.drawn(df.limit(0), target).collect() == []
     assert {r["weight"] for r in importance.drawn(df, target.limit(0)).collect() if r["doc_id"] in (40, 41)} == {0}
     assert np.all(importance.gains(df.limit(0), target.limit(0), plan) == 0)
+
+
+# --- licence scans ---------------------------------------------------------------------------------------------------
+
+NOTICE = "Permission is hereby granted, free of charge, to any person obtaining a copy of this Software and associated documentation files"
+BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+LICENSE_ROWS = [
+    (1, None, 0, None, None, "", "", 0.0),
+    (2, "", 0, None, None, "", "", 0.0),
+    (3, "Released UNDER the MIT License.", 1, 1, 1, "mit", "mit", 1.0),
+    (4, "under the mit licenses; under mit license; xunder the mit license", 0, None, None, "", "", 0.0),
+    (5, "under the MIT-license\nunder--the (mit) License, Apache License version 2", 3, 0, 8, "apache-2,mit", "apache-2,mit", 1.0),
+    (6, f"x {NOTICE} y", 0, None, None, "", "mit", 1.0),
+    (7, NOTICE.replace("any person", "any good old person"), 0, None, None, "", "mit", 1.0),
+    (8, NOTICE.replace("free of charge", "for a fee"), 0, None, None, "", "", 0.0),
+    (9, f"{BSD} ... {NOTICE}", 0, None, None, "", "bsd,mit", 1.0),
+    (10, "mit " * 20_000, 0, None, None, "", "", 0.0),
+    (11, "under the mit license " * 500, 500, 0, 1996, "mit", "mit", 1.0),
+    (12, "under the mit lıcense apache lKcense version 2 éunder the mit license", 0, None, None, "", "", 0.0),
+    (13, "Licensed under CC BY-NC 4.0. cc by nc", 1, 2, 2, "cc-by-nc", "cc-by-nc", 1.0),
+    (13, "Licensed under CC BY-NC 4.0. cc by nc", 1, 2, 2, "cc-by-nc", "cc-by-nc", 1.0),
+    (None, "cc by nc cc by nc", 2, 0, 3, "cc-by-nc", "cc-by-nc", 1.0),
+]
+
+
+def test_license_rows(spark):
+    df = spark.createDataFrame([(i, t, "x") for i, t, *_ in LICENSE_ROWS], "doc_id long, text string, words string").repartition(3)
+    out = license_scan.scan(df)
+    shown = ("doc_id", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    got = sorted((tuple(r[c] for c in shown) for r in out.collect()), key=str)
+    assert got == sorted(((i, *rest) for i, _, *rest in LICENSE_ROWS), key=str)
+    assert {r["doc_id"]: r["n_words"] for r in out.collect()} == {i: len(brute.lowered_words(t)) for i, t, *_ in LICENSE_ROWS}
+    spans = {r["doc_id"]: [(g["label"], g["start"], g["end"]) for g in r["found"]] for r in out.collect()}
+    assert spans[6] == [("mit", 0, 22)] and spans[1] == []
+    assert license_scan.scan(df.limit(0)).collect() == []
+
+
+def test_own_templates_and_overlapping_phrases(spark):
+    own = (license_scan.Template("house", "Only for use inside of the house", ("inside of the house",)),)
+    df = spark.createDataFrame([(1, "only for use INSIDE of the house; go go go go")], "doc_id long, text string")
+    [r] = license_scan.scan(df, own, {"go go": "go"}).collect()
+    assert (r["n_base"], r["first_word"], r["last_word"], r["labels"], r["base_labels"]) == (3, 7, 9, "go,house", "go")
+
+
+def test_license_plan_is_native(spark, sf_dir):
+    plan = QUERIES["op11_license_scan"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+@pytest.mark.parametrize("name", ["op11_license_scan", "op12_periodic_runs", "op13_importance_draw"])
+def test_queries_equal_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = QUERIES[name](spark, sf_dir)
+    columns = sorted(df.columns)
+    theirs = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted((tuple(r[c] for c in columns) for r in df.collect()), key=str) == sorted(theirs, key=str)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veilwork.llm import bpe, gru_lm, importance, media_ts, mixing, periods, quality, secret_scan, simhash, sql, suffix_dedup, token_counts, warc
+from veilwork.llm import bpe, gru_lm, importance, license_scan, media_ts, mixing, periods, quality, secret_scan, simhash, sql, suffix_dedup, token_counts, warc
 from veilwork.llm.common import documents, pages, stored
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -56,6 +56,10 @@ def op10_gru_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gru_lm.score_documents(documents(spark, sf_dir))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("found")
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periods.digests(periods.find(periods.planted(documents(spark, sf_dir))))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_round_trip": op8_bpe_round_trip,
     "op9_covering_simhash": op9_covering_simhash,
     "op10_gru_scores": op10_gru_scores,
+    "op11_license_scan": op11_license_scan,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_importance_draw": op13_importance_draw,
 }
@@ -84,6 +89,7 @@ ORACLES: dict[str, str] = {
     "op4_merged_suffixes": sql.REPEATS,
     "op6_secret_spans": sql.SECRETS,
     "op7_warc_salvage": sql.WARC,
+    "op11_license_scan": sql.LICENSES,
     "op12_periodic_runs": sql.PERIODS,
     "op13_importance_draw": sql.IMPORTANCE,
 }

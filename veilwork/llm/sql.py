@@ -165,3 +165,65 @@ PERIODS = f"""WITH t AS MATERIALIZED (SELECT {_CRC_TABLE} AS crc),
  SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, "start", length, period, 1000 * length // period AS exponent_milli,
  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
  FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id"""
+
+#: Written out again, so that the SQL does not read what it checks: base phrases, function words, and notices (label, text, phrases).
+_PHRASES = (("mit", "under the mit license"), ("apache-2", "apache license version 2"), ("cc-by-nc", "cc by nc"))
+_COMMON = "a all and any are as at be by for has in into is it no of on or that the this to use which will with without you"
+_NOTICES = (
+    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software foundation either version 3", "gnu affero general public license"),
+    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("artistic-2", "distributed under the terms of the artistic license 2 0", "artistic license 2"),
+    ("boost-1", "distributed under the boost software license version 1 0", "boost software license"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "source and binary forms", "following conditions"),
+    ("bsd", "use of this source code is governed by a bsd style license", "bsd style license"),
+    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
+    ("cc-by", "licensed under cc by 4 0", "cc by 4"),
+    ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
+    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", "attribution noncommercial 4 0"),
+    ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", "attribution sharealike 4 0"),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work cc0 1 0 universal", "cc0 1 0"),
+    ("epl-2", "are made available under the terms of the eclipse public license 2 0", "eclipse public license"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "gnu general public license", "version 2"),
+    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license", "version 3"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "free of charge", "permission is hereby granted"),
+    ("mit", "released under the mit license", "the mit license"),
+    ("mit", "spdx license identifier mit", "license identifier mit"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages", "express or implied warranty"),
+)
+
+
+def _licenses() -> str:
+    notices = ", ".join(f"({k}, '{n[0]}', string_split('{n[1]}', ' '))" for k, n in enumerate(_NOTICES))
+    keys = ", ".join(f"({k}, ' {phrase} ')" for k, n in enumerate(_NOTICES) for phrase in n[2:])
+    phrases = ", ".join(f"('{label}', string_split('{phrase}', ' '))" for label, phrase in _PHRASES)
+    common = ", ".join(f"'{w}'" for w in _COMMON.split())
+    listed = "list_aggregate(list_sort(list_distinct({})), 'string_agg', ',')"
+    return f"""WITH n(t, label, ws) AS (VALUES {notices}), k(t, key) AS (VALUES {keys}), f(label, ps) AS (VALUES {phrases}),
+     tw AS MATERIALIZED (SELECT t, label, ws, unnest(range(len(ws))) AS p, unnest(ws) AS w FROM n),
+     idf AS (SELECT w, round(1000 * ln({len(_NOTICES) + 1}.0 / count(DISTINCT t)))::BIGINT AS v FROM tw GROUP BY w),
+     ix AS MATERIALIZED (SELECT t, label, len(ws) AS size, p, w, v FROM tw JOIN idf USING (w) WHERE w NOT IN ({common}) QUALIFY row_number() OVER (PARTITION BY t ORDER BY v DESC, p) <= 8),
+     total AS (SELECT t, sum(v) AS v FROM ix GROUP BY t),
+     d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_LETTERS}') AS ws FROM documents),
+     w AS MATERIALIZED (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM d),
+     b AS MATERIALIZED (SELECT doc_id, i, label FROM w JOIN f ON ps[1] = w JOIN d USING (doc_id) WHERE ws[i + 1:i + len(ps)] = ps),
+     o AS (SELECT doc_id, t, label, size, p, v, i - p AS o FROM w JOIN ix USING (w)),
+     r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, t ORDER BY o) AS run FROM (
+      SELECT *, CASE WHEN o <= lag(o) OVER (PARTITION BY doc_id, t ORDER BY o) + 3 THEN 0 ELSE 1 END AS fresh FROM o)),
+     g AS (SELECT doc_id, t, label, size, run, min(low) AS low, max(high) AS high, sum(v) AS v FROM (
+      SELECT doc_id, t, label, size, run, p, v, min(o) AS low, max(o) AS high FROM r GROUP BY doc_id, t, label, size, run, p, v) GROUP BY doc_id, t, label, size, run),
+     s AS (SELECT doc_id, g.t, label, g.v::DOUBLE / total.v AS score, ' ' || array_to_string(ws[greatest(low - 3, 0) + 1:least(high + size + 3, len(ws))], ' ') || ' ' AS shown
+      FROM g JOIN total ON total.t = g.t JOIN d USING (doc_id) WHERE g.v::DOUBLE / total.v >= 0.6),
+     h AS (SELECT doc_id, label, score FROM s WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.t = s.t AND NOT contains(s.shown, k.key))),
+     x AS (SELECT doc_id, count(*) AS n_base, min(i) AS a, max(i) AS z, list(label) AS labels FROM b GROUP BY doc_id),
+     y AS (SELECT doc_id, max(score) AS score, list(label) AS labels FROM h GROUP BY doc_id)
+     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, a AS first_word, z AS last_word, coalesce({listed.format("x.labels")}, '') AS base_labels,
+     coalesce({listed.format("list_concat(coalesce(x.labels, []), coalesce(y.labels, []))")}, '') AS labels, CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0) END::DOUBLE AS score
+     FROM d LEFT JOIN x ON x.doc_id = d.doc_id LEFT JOIN y ON y.doc_id = d.doc_id"""
+
+
+LICENSES = _licenses()
