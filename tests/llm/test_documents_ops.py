@@ -5,6 +5,7 @@ import math
 import random
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -321,10 +322,33 @@ def test_long_candidates_and_many_matches_take_linear_time(spark):
 
 def test_allow_list(spark):
     secret = "zK8vQ2pLx9RfT4mWc7YbN1hJd6GsA3uE5oXi0"
-    rows = [(1, "3f2504e0-4f89-41d3-9a0c-0305e82c3301"), (2, f"zK8vQ2pLx9_EXAMPLE_{secret}"), (3, f"/home/samples/{secret}"), (4, f"unexampled{secret}")]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
+    n = len(secret)
+    rows = [
+        ("3f2504e0-4f89-41d3-9a0c-0305e82c3301", ""),
+        (f"zK8vQ2pLx9_EXAMPLE_{secret}", f"entropy_base64:19:{19 + n}"),
+        (f"/home/samples/{secret}", f"entropy_base64:4:{14 + n}"),
+        (f"/home/sample/{secret}", f"entropy_base64:13:{13 + n}"),
+        (f"{secret}-dummy-sample/placeholder", f"entropy_base64:0:{n}"),
+        (f"{secret}/dummy/{secret}", f"entropy_base64:0:{n},entropy_base64:{n + 7}:{2 * n + 7}"),
+        ("sample/example-dummy_placeholder", ""),
+        ("some/long/path/to/a/sample/of/many/other/words/in/it", ""),
+        (f"ü {secret[:12]}/sample/{secret[12:24]}", ""),  # both sides are short
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     found = [r["spans"] for r in secret_scan.scan(df).orderBy("doc_id").collect()]
-    assert found[:2] == ["", ""] and found[2] and found[3]
+    # where a suspect window begins or ends within a word next to a secret is the entropy's doing
+    assert [found[i] for i in (0, 1, 3, 4, 5, 6, 7, 8)] == [rows[i][1] for i in (0, 1, 3, 4, 5, 6, 7, 8)] and found[2]
+    assert [r["text"] for r in secret_scan.redact(df).orderBy("doc_id").collect()][3] == "/home/sample/[SECRET]"
+
+
+def test_secrets_behind_allowed_parts_are_found_as_often(spark):
+    rng = random.Random(20)
+    for kind in secret_scan.CLASSES:
+        tokens = ["".join(rng.choice(kind.alphabet) for _ in range(40)) for _ in range(200)]
+        around = ["{}", "path/sample/{}", "x_EXAMPLE_{}", "a-dummy-{}", "{}/placeholder"]
+        df = spark.createDataFrame([(k, f" {a.format(t)} ") for k, a in enumerate(around) for t in tokens], "doc_id long, text string")
+        hit = Counter(r["doc_id"] for r in secret_scan.scan(df).collect() if r["spans"])
+        assert min(hit.values()) >= hit[0] - 4 and hit[0] >= 190 and len(hit) == len(around)
 
 
 @pytest.mark.parametrize("name", ["row", "base", "found", "whole", "suspect", "masked", "x.y", "start"])

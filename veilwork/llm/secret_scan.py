@@ -5,8 +5,9 @@ maximal runs of a character class, and keeps the counts of the class's
 characters up to date: the entering character adds one, the leaving one takes
 one off. From the counts comes the sum of c * log2(c), which falls as the
 window's Shannon entropy rises. Windows over a class's threshold are merged into
-spans, unless the candidate is on the allow-list, the span holds a whole part
-from it, or a base span has all of it.
+spans, unless the candidate is on the allow-list or a base span has all of the
+span. Allowed parts end a candidate: what stands before and behind them are
+candidates of their own, so a secret next to a placeholder is found.
 
 The sums are whole numbers of millionths of a bit, so results do not depend on
 the order of additions. Counts are five bits each, twelve to a number, of which
@@ -72,12 +73,15 @@ CLASSES = (
     CharacterClass("entropy_lower", "abcdefghijklmnopqrstuvwxyz0123456789", 20, 3.65),
     CharacterClass("entropy_upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.65),
 )
-#: Candidates that match this as a whole (words, numbers, UUIDs) are not secrets, nor are spans with one of these words as a part.
+#: Candidates that match this as a whole (words, numbers, UUIDs) are not secrets; candidates are cut at the words of ALLOWED_PARTS.
 ALLOWED = (
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*$|^[0-9]+(?:[-_/][0-9]+)*$"
     r"|^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
 )
-ALLOWED_PARTS = r"(?i)(?:^|[-_/+])(?:example|sample|dummy|placeholder)(?:[-_/+]|$)"
+ALLOWED_PARTS = (
+    r"(?i)(?:^|[-_/+])(?:example|sample|dummy|placeholder)"
+    r"(?:[-_/+](?:example|sample|dummy|placeholder))*(?:[-_/+]|$)"
+)
 MASK = "[SECRET]"
 MILLION = 1_000_000
 #: Counts in one number and bits of each; windows of a block of a candidate; members of a list that are added up at once.
@@ -267,26 +271,41 @@ def _outside(spans: Column, base: Column) -> Column:
     return let(spans, lambda s: F.when(F.size(s) > 0, let(every, of)).otherwise(F.array().cast(HELD)))
 
 
+def _cut(m: Column) -> Column:
+    """What of a match (start, end, what) stands between allowed parts; start and end follow."""
+    parts = F.split(m["what"], ALLOWED_PARTS, -1)
+    gone = F.transform(F.regexp_extract_all(m["what"], F.lit(ALLOWED_PARTS), F.lit(0)), lambda x: F.length(x))
+
+    def placed(own: Column) -> Column:
+        ends = _running(F.zip_with(own, gone, lambda x, y: F.length(x) + F.coalesce(y, F.lit(0))), 0, lambda a, b: a + b)
+        starts = F.slice(ends, 1, F.size(own))
+        return F.zip_with(own, starts, lambda x, at: F.struct((m["start"] + at).alias("start"), (m["start"] + at + F.length(x)).alias("end"), x.alias("what")))
+
+    whole = F.array(F.struct(m["start"].alias("start"), m["end"].alias("end"), m["what"].alias("what")))
+    return F.when(m["what"].rlike(ALLOWED_PARTS), let(parts, placed)).otherwise(whole)
+
+
 def candidates(text: Column) -> Column:
-    """Candidates of all classes that are not on the allow-list."""
+    """Candidates of all classes, cut at allowed parts, that are long enough and not on the allow-list."""
+    windows = _literals([c.window for c in CLASSES])
 
     def of(found: Column, i: Column) -> Column:
-        unlisted = F.filter(found, lambda m: ~m["what"].rlike(ALLOWED))
+        cut = F.flatten(F.transform(found, _cut))
+        unlisted = F.filter(cut, lambda m: (F.length(m["what"]) >= F.get(windows, i)) & ~m["what"].rlike(ALLOWED))
         return F.transform(unlisted, lambda m: F.struct(m["start"], F.lit(1), m["end"], i, m["what"])).cast(HELD)
 
     return F.flatten(F.transform(_matches(text, [(c.pattern, 0) for c in CLASSES]), of))
 
 
 def suspects(whole: Column) -> Column:
-    """Suspect spans of candidates, without those that hold an allowed part."""
+    """Suspect spans of candidates."""
 
     def of(m: Column) -> Column:
         shown = lambda r: F.substring(m["what"], r["start"] + 1, r["end"] - r["start"])
-        spans = F.transform(
+        return F.transform(
             suspect_runs(m["what"], m["kind"]),
             lambda r: F.struct(m["start"] + r["start"], F.lit(1), m["start"] + r["end"], m["kind"], shown(r)),
         ).cast(HELD)
-        return F.filter(spans, lambda s: ~s["what"].rlike(ALLOWED_PARTS))
 
     return F.flatten(F.transform(whole, of))
 

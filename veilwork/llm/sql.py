@@ -23,6 +23,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _between(rows: str, pattern: str) -> str:
+    """doc_id, a, b, v of what stands between the matches of a pattern in the texts v of rows (doc_id, a, v)."""
+    p, size = _quoted(pattern), "lambda x: length(x)"
+    return f"""SELECT doc_id, a, a + length(v) AS b, v FROM (
+     SELECT doc_id, a + coalesce(list_sum(list_transform(g[1:i - 1], {size})), 0)::BIGINT + coalesce(list_sum(list_transform(m[1:i - 1], {size})), 0)::BIGINT AS a, g[i] AS v
+     FROM (SELECT *, unnest(range(1, len(g) + 1)) AS i FROM (SELECT doc_id, a, string_split_regex(v, {p}) AS g, regexp_extract_all(v, {p}) AS m FROM ({rows}))))"""
+
+
 def _matches(pattern: str, group: int) -> str:
     """doc_id, a, b, v (the match), w (its group) of all matches, from the texts between them."""
     p = _quoted(pattern)
@@ -50,7 +58,7 @@ _ALLOWED = (
     "^[0-9]+([-_/][0-9]+)*$",
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
 )
-_ALLOWED_PARTS = "(?i)(^|[-_/+])(example|sample|dummy|placeholder)([-_/+]|$)"
+_ALLOWED_PARTS = "(?i)(^|[-_/+])(example|sample|dummy|placeholder)([-_/+](example|sample|dummy|placeholder))*([-_/+]|$)"
 
 
 def _secrets() -> str:
@@ -64,16 +72,16 @@ def _secrets() -> str:
         # the entropy in bits is log2(window) less the sum of c * log2(c) over the window's characters, by window; the sum in millionths
         total = f"list_sum(list_transform(map_values(list_histogram(string_split(substr(v, i::INT + 1, {window}), ''))), lambda n: round(1e6 * n * log2(n))::BIGINT))"
         most = f"floor(1e6 * {window} * (log2({window}) - {bits}))"
-        parts.append(f"""SELECT doc_id, a + min(i) AS a, {len(_KINDS) + k} AS kind, a + max(i) + {window} AS b, substr(any_value(v), min(i)::INT + 1, (max(i) - min(i))::INT + {window}) AS what FROM (
+        parts.append(f"""SELECT doc_id, a + min(i) AS a, {len(_KINDS) + k} AS kind, a + max(i) + {window} AS b FROM (
          SELECT *, sum(CASE WHEN i > before + {window} OR before IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, a ORDER BY i) AS run FROM (
           SELECT *, lag(i) OVER (PARTITION BY doc_id, a ORDER BY i) AS before FROM (
-           SELECT doc_id, a, v, unnest(range(0, length(v) - {window} + 1)) AS i FROM ({_matches(pattern, 0)}) q WHERE {outside} AND NOT ({allowed}))
+           SELECT doc_id, a, v, unnest(range(0, length(v) - {window} + 1)) AS i FROM ({_between(_matches(pattern, 0), _ALLOWED_PARTS)}) q WHERE {outside} AND length(v) >= {window} AND NOT ({allowed}))
           WHERE {total} <= {most})) GROUP BY doc_id, a, run""")
     names = "[" + ", ".join(map(_quoted, (*_KINDS, *_CLASSES))) + "]"
     listed = f"string_agg({names}[kind + 1] || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, kind, b)"
     counts = ", ".join(f"count(*) FILTER (WHERE kind = {k}) AS n_{name}" for k, name in enumerate(_KINDS))
     return f"""WITH base AS MATERIALIZED ({base}),
-     added AS (SELECT doc_id, a, kind, b FROM ({" UNION ALL ".join(parts)}) q WHERE {outside} AND NOT regexp_matches(what, {_quoted(_ALLOWED_PARTS)})),
+     added AS (SELECT doc_id, a, kind, b FROM ({" UNION ALL ".join(parts)}) q WHERE {outside}),
      x AS (SELECT doc_id, {counts}, {listed} AS l FROM base GROUP BY doc_id),
      y AS (SELECT doc_id, {listed} AS l FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY doc_id)
      SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in _KINDS)}, sha256(coalesce(x.l, '')) AS base_sha256, coalesce(y.l, '') AS spans
