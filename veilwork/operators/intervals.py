@@ -1,12 +1,18 @@
-"""Unions, gaps, differences and coverage of intervals, as windows and joins by document.
+"""Unions, gaps, differences and coverage of intervals, as sweeps by document.
 
-Tables have doc_id, start, end (exclusive). All keys are documents: a document's
-spans meet in one task, whole documents spread over all tasks.
+Tables have doc_id, start, end (exclusive). Starts, ends and the places asked
+about are one stream, sorted within each document, and windows carry along what
+has been passed: how many characters are covered, how far spans reach, how many
+are open. So the work is that of a sort, however many spans meet, and no pair of
+spans is ever formed. All keys are documents: a document's spans meet in one
+task, whole documents spread over all tasks.
+
+Null ids are a document of their own; spans with a null end meet nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -33,34 +39,67 @@ def gaps(runs: DataFrame, texts: DataFrame) -> DataFrame:
     return walked.where(F.col("from") < F.col("start")).select("doc_id", F.col("from").alias("start"), F.col("start").alias("end"))
 
 
-def difference(runs: DataFrame, others: DataFrame, texts: DataFrame) -> DataFrame:
-    """What of the runs lies outside of the others: the runs cut with the others' gaps."""
-    free = gaps(others, texts).withColumnsRenamed({"start": "gap_start", "end": "gap_end"})
-    met = runs.join(free, "doc_id").where("start < gap_end and gap_start < end")
-    return met.select("doc_id", F.greatest("start", "gap_start").alias("start"), F.least("end", "gap_end").alias("end"))
+def _so_far(*order: str | Column, by: tuple[str, ...] = ("doc_id",), last: int = 0) -> WindowSpec:
+    return Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
 
 
-def coverage(spans: DataFrame, runs: DataFrame) -> DataFrame:
-    """spans (doc_id, span_id, start, end) with the share of their characters that lies in the runs."""
-    r = runs.withColumnsRenamed({"start": "run_start", "end": "run_end"})
-    on = (spans["doc_id"] == r["doc_id"]) & (r["run_start"] < spans["end"]) & (spans["start"] < r["run_end"])
-    met = spans.join(r, on, "left").select(
-        spans["*"], F.greatest(F.lit(0), F.least("end", "run_end") - F.greatest("start", "run_start")).alias("hit")
+def difference(runs: DataFrame, others: DataFrame) -> DataFrame:
+    """What of the runs lies outside of the others. Both sides may overlap themselves; runs that touch stay apart."""
+    ends = lambda df, kind: df.where("start < end").select(
+        "doc_id", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("step")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("step")))).alias("e"), F.lit(kind).alias("kind")
+    )
+    marks = ends(runs, "run").unionByName(ends(others, "other")).select("doc_id", "e.at", "e.step", "kind")
+    steps = marks.groupBy("doc_id", "at").agg(
+        F.sum(F.when(F.col("kind") == "run", F.col("step")).otherwise(0)).alias("run"),
+        F.sum(F.when(F.col("kind") == "other", F.col("step")).otherwise(0)).alias("other"),
+        F.max(F.col("kind") == "run").alias("cuts"),
     )
+    open_ = _so_far("at")
+    free = (F.sum("run").over(open_) > 0) & (F.sum("other").over(open_) == 0)
+    told = steps.withColumn("free", free).withColumn("next", F.lead("at").over(Window.partitionBy("doc_id").orderBy("at")))
+    # pieces that only a border of the others parts, which hold nothing there, are one
+    fresh = F.when(F.coalesce(~F.lag("free").over(Window.partitionBy("doc_id").orderBy("at")), F.lit(True)) | F.col("cuts"), 1).otherwise(0)
+    pieces = told.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(open_)).where("free")
+    return pieces.groupBy("doc_id", "piece").agg(F.min("at").alias("start"), F.max("next").alias("end")).drop("piece")
+
+
+def coverage(spans: DataFrame, runs: DataFrame) -> DataFrame:
+    """spans (doc_id, span_id, start, end) with the share of their characters that lies in the runs, which are disjoint.
+
+    Covered characters before a place are those of all runs that have begun, less what the last of them has to go.
+    """
+    none = F.lit(None)
+    begun = runs.where("start < end").select("doc_id", F.col("start").alias("at"), F.col("end").alias("reach"), (F.col("end") - F.col("start")).alias("size"), none.cast("string").alias("span_id"), none.alias("side"))
+    asked = spans.select("doc_id", "span_id", "start", "end", F.explode(F.array(F.lit("start"), F.lit("end"))).alias("side"))
+    asked = asked.select("doc_id", F.when(F.col("side") == "start", F.col("start")).otherwise(F.col("end")).alias("at"), none.alias("reach"), F.lit(0).alias("size"), "span_id", "side", "start", "end")
+    order = _so_far("at")
+    points = asked.unionByName(begun, allowMissingColumns=True)
+    to_go = F.greatest(F.coalesce(F.max("reach").over(order), F.col("at")) - F.col("at"), F.lit(0))
+    points = points.withColumn("before", F.sum("size").over(order) - to_go).where("side is not null")
+    side = lambda n: F.max(F.when(F.col("side") == n, F.col("before")))
+    summed = points.groupBy("doc_id", "span_id", "start", "end").agg((side("end") - side("start")).alias("hit"))
     total = F.col("end") - F.col("start")
-    summed = met.groupBy("doc_id", "span_id", "start", "end").agg(F.coalesce(F.sum("hit"), F.lit(0)).alias("hit"))
     return summed.withColumn("coverage", F.when(total > 0, F.col("hit") / total).otherwise(0.0)).drop("hit")
 
 
+def _met(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """spans with _met: whether some other one begins before a span's end and reaches beyond its start."""
+    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
+    asked = spans.select(F.col("doc_id").alias("_doc"), F.col("end").alias("_at"), F.lit(0).alias("_late"), F.lit(None).alias("_reach"), row.alias("_row"))
+    begun = others.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_at"), F.lit(1).alias("_late"), F.col("end").alias("_reach"))
+    points = asked.unionByName(begun, allowMissingColumns=True)
+    # of what begins at a span's end nothing counts, so spans come first
+    reach = F.max("_reach").over(_so_far("_at", "_late", by=("_doc",)))
+    met = F.coalesce(reach > F.col("_row.start"), F.lit(False)) & F.col("_doc").isNotNull() & F.col("_at").isNotNull()
+    told = points.withColumn("_met", met).where("_late = 0")
+    return told.select(*(F.col("_row").getField(c).alias(c) for c in spans.columns), "_met")
+
+
 def touched(spans: DataFrame, others: DataFrame) -> DataFrame:
     """Spans that some other one overlaps."""
-    o = others.select(F.col("doc_id").alias("o_doc"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    on = (F.col("doc_id") == F.col("o_doc")) & (F.col("o_start") < F.col("end")) & (F.col("start") < F.col("o_end"))
-    return spans.join(o, on, "left_semi")
+    return _met(spans, others).where("_met").drop("_met")
 
 
 def untouched(spans: DataFrame, others: DataFrame) -> DataFrame:
     """Spans that no other one overlaps."""
-    o = others.select(F.col("doc_id").alias("o_doc"), F.col("start").alias("o_start"), F.col("end").alias("o_end"))
-    on = (F.col("doc_id") == F.col("o_doc")) & (F.col("o_start") < F.col("end")) & (F.col("start") < F.col("o_end"))
-    return spans.join(o, on, "left_anti")
+    return _met(spans, others).where("not _met").drop("_met")

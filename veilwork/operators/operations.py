@@ -18,13 +18,14 @@ def owner_token(key: Column) -> Column:
 def fixed_window(df: DataFrame, key: str, ts: str, order: str, limit: int, seconds: int = 60) -> DataFrame:
     """df with the window's start, place in it, accepted, and seconds to wait.
 
-    The place is counted per key and window, so a busy key is spread over its windows. Keys that are null bypass the
-    limit, and so does everything if it is not positive.
+    The place is counted per key and window, so a busy key is spread over its windows. Rows without a key bypass the
+    limit and have no place, so they meet nowhere; everything passes if the limit is not positive.
     """
     epoch = F.unix_seconds(F.col(ts).cast("timestamp"))
     df = df.withColumn("window_start", F.floor(epoch / seconds) * seconds)
     place = F.row_number().over(Window.partitionBy(key, "window_start").orderBy(ts, order))
-    df = df.withColumn("place", place)
+    keyed = df.where(F.col(key).isNotNull()).withColumn("place", place)
+    df = keyed.unionByName(df.where(F.col(key).isNull()).withColumn("place", F.lit(None).cast("int")))
     accepted = F.lit(True) if limit <= 0 else F.col(key).isNull() | (F.col("place") <= limit)
     wait = F.greatest(F.lit(1), F.col("window_start") + seconds - epoch)
     return df.withColumn("accepted", accepted).withColumn("retry_after", F.when(~F.col("accepted"), wait))

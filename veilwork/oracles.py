@@ -33,9 +33,9 @@ def luhn(value: str) -> str:
     return f"(length({digits}) BETWEEN 13 AND 19 AND {total} % 10 = 0)"
 
 
-def spans(kind: str, source: str, key: str, text: str) -> str:
+def spans(kind: str, source: str, key: str, text: str, pattern: str = "") -> str:
     """key, start, end, type, value of the matches of a rule: offsets are sums of the lengths of all before."""
-    p = quoted(PATTERNS[kind])
+    p = quoted(pattern or PATTERNS[kind])
     length = "lambda x: length(x)"
     before = f"coalesce(list_sum(list_transform(g[1:i], {length})), 0) + coalesce(list_sum(list_transform(m[1:i - 1], {length})), 0)"
     good = f"WHERE {luhn('value')}" if kind == "CREDIT_CARD" else ""
@@ -201,6 +201,42 @@ def replaced(source: str, key: str, text: str, found: str, replacement: str) ->
      FROM {source} AS d LEFT JOIN j USING ({key})"""
 
 
+#: Patterns of the demonstration rules whose spans are compared with the rules'.
+_DEMO = {
+    "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "URL": r"\bhttps?://[^\s<>\"']+",
+    "PHONE_E164": r"(?:\+?\d{1,3}[\s.-]?)?\(?\d{3}\)?[\s.-]?\d{3}[\s.-]?\d{4}\b",
+}
+
+
+def _demo_spans() -> str:
+    parts = []
+    for kind, pattern in _DEMO.items():
+        parts.append(f"""SELECT doc_id, '{kind}' || '-' || "start" || '-' || "end" AS span_id, "start", "end" FROM ({spans(kind, "documents", "doc_id", "text", pattern)})""")
+    return " UNION ALL ".join(parts)
+
+
+def _merged(rows: str) -> str:
+    """Disjoint runs of rows (doc_id, a, b), cut to the documents; what touches is one."""
+    return f"""SELECT doc_id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY a, b) AS k FROM (
+     SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM (
+     SELECT doc_id, greatest(0, least(a, length(text))) AS a, greatest(0, least(b, length(text))) AS b FROM ({rows}) JOIN documents USING (doc_id)) WHERE a < b)) GROUP BY doc_id, k"""
+
+
+_sides = f"""r AS MATERIALIZED (SELECT doc_id, "start" - 40 AS a, "end" + 40 AS b FROM ({DOC_SPANS})), d AS MATERIALIZED ({_demo_spans()}),
+ ru AS MATERIALIZED ({_merged("SELECT * FROM r")}), du AS MATERIALIZED ({_merged('SELECT doc_id, "start" - 60 AS a, "end" + 60 AS b FROM d')}),
+ rg AS MATERIALIZED (SELECT doc_id, p AS a, a AS b FROM (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS p
+  FROM (SELECT doc_id, a, b FROM ru UNION ALL SELECT doc_id, length(text), length(text) FROM documents)) WHERE p < a)"""
+_hits = "EXISTS (SELECT 1 FROM r WHERE r.doc_id = d.doc_id AND r.a < d.\"end\" AND d.\"start\" < r.b)"
+ORACLES["document_interval_gaps"] = f'WITH {_sides} SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end" FROM rg'
+ORACLES["document_interval_difference"] = f"""WITH {_sides} SELECT du.doc_id, greatest(du.a, rg.a)::BIGINT AS "start", least(du.b, rg.b)::BIGINT AS "end"
+ FROM du JOIN rg ON du.doc_id = rg.doc_id AND du.a < rg.b AND rg.a < du.b"""
+ORACLES["document_span_coverage"] = f"""WITH {_sides} SELECT w.doc_id, span_id, s::BIGINT AS "start", e::BIGINT AS "end",
+ round(sum(CASE WHEN ru.a IS NULL THEN 0 ELSE greatest(0, least(e, ru.b) - greatest(s, ru.a)) END)::DOUBLE / (e - s), 9) AS coverage
+ FROM (SELECT doc_id, span_id, "start" - 60 AS s, "end" + 60 AS e FROM d) w LEFT JOIN ru ON ru.doc_id = w.doc_id GROUP BY w.doc_id, span_id, s, e"""
+ORACLES["document_touched_spans"] = f'WITH {_sides} SELECT doc_id, span_id, "start", "end" FROM d WHERE {_hits}'
+ORACLES["document_fused_spans"] = f"""WITH {_sides} SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end", 'rule' AS side FROM r
+ UNION ALL SELECT doc_id, "start", "end", 'demo' FROM d WHERE NOT {_hits}"""
 _plain = replaced("documents", "doc_id", "text", DOC_SPANS, "'[REDACTED]'")
 ORACLES["redact_plain"] = _plain
 ORACLES["exact_dup_cache"] = f"SELECT doc_id, sha256(redacted) AS redacted_sha256 FROM ({_plain})"

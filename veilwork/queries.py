@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilwork import fixtures as X
@@ -30,14 +30,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def texts_of(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    """A table whose every text is worked on, spread if it is small.
-
-    Not for queries that explode or filter by spans: the filter moves below the exchange, and the work with it.
-    """
-    return tables.spread(table(spark, sf_dir, name))
-
-
 def values(spark: SparkSession, rows: str, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
 
@@ -119,7 +111,7 @@ QUERIES["detect_counts_by_source"] = _counts("source")
 
 @query
 def detect_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = redaction.plain(texts_of(spark, sf_dir))
+    found = redaction.plain(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "text", F.size("spans").cast("long").alias("n_spans"), S.listed(F.col("spans")).alias("spans"))
 
 
@@ -285,7 +277,7 @@ def interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def false_positive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans, lengths = _interval(spark, "prediction")
     support = intervals.union(_interval(spark, "support")[0], lengths)
-    return numbered(intervals.difference(intervals.union(spans, lengths), support, lengths))
+    return numbered(intervals.difference(intervals.union(spans, lengths), support))
 
 
 @query
@@ -300,6 +292,61 @@ def touched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered(intervals.touched(_interval(spark, "support")[0], _interval(spark, "prediction")[0].where("start < end")))
 
 
+#: Rules and demonstration rules whose spans in documents are compared with each other.
+SIDE_RULES = ("EMAIL", "IP_ADDRESS", "CREDIT_CARD", "IBAN", "URL")
+SIDE_DEMO = ("EMAIL", "URL", "PHONE_E164")
+
+
+def _document_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Spans of rules, each with 40 characters around it; spans of demonstration rules, all of them with an id; lengths of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rules = detection.span_table(docs, "doc_id", "text", list(SIDE_RULES)).select("doc_id", (F.col("start") - 40).alias("start"), (F.col("end") + 40).alias("end"))
+
+    def of(kind: str, pattern: str) -> Column:
+        return F.transform(S.matches(F.col("text"), pattern), lambda m: F.struct(F.lit(kind).alias("type"), m["start"].alias("start"), m["end"].alias("end")))
+
+    found = [of(kind, pattern) for kind, pattern in detection.DEMO_RULES if kind in SIDE_DEMO]
+    demo = docs.select("doc_id", F.explode(F.concat(*found)).alias("s")).select("doc_id", "s.*")
+    demo = demo.select("doc_id", F.concat_ws("-", "type", "start", "end").alias("span_id"), "start", "end")
+    return rules, demo, docs.select("doc_id", F.length("text").alias("length"))
+
+
+@query
+def document_interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, _, lengths = _document_sides(spark, sf_dir)
+    return numbered(intervals.gaps(intervals.union(rules, lengths), lengths))
+
+
+@query
+def document_interval_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What demonstration rules find, with 60 characters around it, beyond what the rules' surroundings cover."""
+    rules, demo, lengths = _document_sides(spark, sf_dir)
+    wide = demo.select("doc_id", (F.col("start") - 60).alias("start"), (F.col("end") + 60).alias("end"))
+    return numbered(intervals.difference(intervals.union(wide, lengths), intervals.union(rules, lengths)))
+
+
+@query
+def document_span_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, demo, lengths = _document_sides(spark, sf_dir)
+    wide = demo.select("doc_id", "span_id", (F.col("start") - 60).alias("start"), (F.col("end") + 60).alias("end"))
+    covered = intervals.coverage(wide, intervals.union(rules, lengths))
+    return numbered(covered.withColumn("coverage", F.round("coverage", 9)))
+
+
+@query
+def document_touched_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules, demo, _ = _document_sides(spark, sf_dir)
+    return numbered(intervals.touched(demo, rules))
+
+
+@query
+def document_fused_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rule spans' surroundings, and what demonstration rules find outside of them."""
+    rules, demo, _ = _document_sides(spark, sf_dir)
+    sure = rules.withColumn("side", F.lit("rule"))
+    return numbered(sure.unionByName(intervals.untouched(demo, rules).drop("span_id").withColumn("side", F.lit("demo"))))
+
+
 @query
 def document_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union and gaps over all documents: what the rules find, widened by 40 characters."""
@@ -313,7 +360,7 @@ def document_interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redaction.plain(texts_of(spark, sf_dir))
+    done = redaction.plain(table(spark, sf_dir, "documents"))
     return done.select("doc_id", F.size("spans").cast("long").alias("n_spans"), "redacted")
 
 
@@ -324,13 +371,13 @@ def redact_plain_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def redact_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redaction.plain(texts_of(spark, sf_dir, "pages"), "html", ["EMAIL", "IP_ADDRESS"])
+    done = redaction.plain(table(spark, sf_dir, "pages"), "html", ["EMAIL", "IP_ADDRESS"])
     return done.select("page_id", F.sha2("redacted", 256).alias("redacted_sha256"), F.size("spans").cast("long").alias("n_spans"))
 
 
 @query
 def exact_dup_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return redaction.plain_once(texts_of(spark, sf_dir)).select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
+    return redaction.plain_once(table(spark, sf_dir, "documents")).select("doc_id", F.sha2("redacted", 256).alias("redacted_sha256"))
 
 
 @query
@@ -359,7 +406,7 @@ def format_last4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _policy(name: str, which: policy.Policy, fixture: bool) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        docs = texts(spark) if fixture else texts_of(spark, sf_dir).select("doc_id", "text")
+        docs = texts(spark) if fixture else table(spark, sf_dir, "documents").select("doc_id", "text")
         done = policy.redact(docs, which)
         entries = F.array_sort(F.transform(F.map_entries("relex_map"), lambda e: F.concat_ws("=", e["key"], e["value"])))
         return done.select("doc_id", "redacted", S.listed(F.col("spans")).alias("spans"), F.array_join(entries, " ").alias("relex"))
@@ -400,7 +447,7 @@ def relex_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pipeline_typed_placeholders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts_of(spark, sf_dir).select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = redaction.staged(docs, "text", S.empty(), F.lit(False), SALT)
     return done.select("doc_id", "digest", F.sha2("redacted", 256).alias("redacted_sha256"), F.size("fused").cast("long").alias("n_spans"))
 
@@ -420,7 +467,7 @@ def pipeline_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def batch_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of ten documents: one audit row each."""
-    docs = redaction.plain(texts_of(spark, sf_dir).select("doc_id", "text"))
+    docs = redaction.plain(table(spark, sf_dir, "documents").select("doc_id", "text"))
     batch = F.floor(F.col("doc_id") / 10).alias("request_id")
     return docs.groupBy(batch).agg(
         F.count("*").alias("items"), F.sum(F.length("text")).alias("text_chars"), F.sum(F.size("spans")).alias("n_spans")
@@ -429,7 +476,7 @@ def batch_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return numbered(chunks.chunk_table(texts_of(spark, sf_dir), "doc_id", "text", 500, 520))
+    return numbered(chunks.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text", 500, 520))
 
 
 @query
@@ -443,7 +490,7 @@ def chunk_ascii_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def chunk_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = chunks.chunk_table(texts_of(spark, sf_dir), "doc_id", "text", 500, 2000)
+    pieces = chunks.chunk_table(table(spark, sf_dir, "documents"), "doc_id", "text", 500, 2000)
     done = redaction.plain(pieces, "chunk")
     return numbered(done.select("doc_id", "chunk_ix", "redacted", S.listed(F.col("spans")).alias("spans")))
 
@@ -531,7 +578,7 @@ def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def labels_by_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts_of(spark, sf_dir).select("doc_id", (F.size(S.detect(F.col("text"))) > 0).alias("pii"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.size(S.detect(F.col("text"))) > 0).alias("pii"))
     joined = docs.join(table(spark, sf_dir, "labels"), "doc_id")
     return joined.groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.count_if("pii").alias("n_pii"))
 
@@ -574,7 +621,7 @@ def rscore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rscore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents: what the rules find is mandatory, the demonstration profile predicts."""
     as_pairs = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
-    docs = texts_of(spark, sf_dir).select("doc_id", "text").withColumn("gold", S.dedupe(S.detect(F.col("text"))))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("gold", S.dedupe(S.detect(F.col("text"))))
     spans = F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("mandatory").alias("category")))
     docs = docs.withColumn("spans", spans).withColumn("predictions", as_pairs(detection.demo_spans(F.col("text"))))
     return _rounded(scoring.scores(scoring.score_terms(docs)))
@@ -857,7 +904,7 @@ def model_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = texts_of(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents")
     return docs.select("doc_id", records.cache_key(F.col("text"), entity_types=["EMAIL"], salt=SALT).alias("key"))
 
 
@@ -905,7 +952,7 @@ def encrypted_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stand-in model in the staged pipeline, over all documents."""
     detect = models.detector(lambda: models.Words({"the": ("WORD", 0.9), "and": ("WORD", 0.4)}))
-    docs = texts_of(spark, sf_dir).select("doc_id", "text").withColumn("found", detect(F.col("text")))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("found", detect(F.col("text")))
     done = redaction.staged(docs, "text", F.col("found"), F.lit(False), SALT)
     return done.select("doc_id", F.size("model").cast("long").alias("n_model"), F.size("fused").cast("long").alias("n_fused"), F.sha2("redacted", 256).alias("redacted_sha256"))
 

@@ -90,11 +90,12 @@ def from_templates(spark: SparkSession, templates: list[tuple[str, list[str]]],
 def converted(rows: DataFrame, prefix: str) -> DataFrame:
     """doc_id, text, category and typed spans of masked rows (id, language, source_text, privacy_mask).
 
-    Rows in other languages, without a mask or without text are dropped; of rows with one id the first in order of text stays.
+    Rows in other languages, without a mask or without text are dropped; of rows with one id the first in order of text,
+    and of these the first in order of its mask, stays.
     """
     text = T.normalize_text(F.col("source_text"))
     good = rows.where((F.col("language") == "en") & (F.size("privacy_mask") > 0)).withColumn("text", text).where("text <> ''")
-    one = good.groupBy("id").agg(F.min_by(F.struct("text", "privacy_mask"), "text").alias("r")).select("id", "r.*")
+    one = good.groupBy("id").agg(F.min(F.struct("text", "privacy_mask")).alias("r")).select("id", "r.*")
     kind = lambda m: F.coalesce(T.lookup(DATASET_LABELS, m["label"]), F.lit(OTHER_TYPE))
     typed = F.transform("privacy_mask", lambda m: F.struct(m["start"].cast("int").alias("start"), m["end"].cast("int").alias("end"), kind(m).alias("type")))
     labels = F.transform("privacy_mask", lambda m: m["label"])

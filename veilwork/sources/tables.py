@@ -34,21 +34,6 @@ def tree_digest(spark: SparkSession, folder: str) -> DataFrame:
     return each.agg(F.count("*").alias("n_files"), F.sha2(F.coalesce(text, F.lit("")), 256).alias("digest"))
 
 
-#: Bytes up to which a table in fewer files than cores is dealt out anew.
-SMALL_BYTES = 256_000_000
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """A small table in fewer files than there are cores, dealt out to all of them; any other table as it is.
-
-    A file with one row group is one task, however many cores wait. Beyond SMALL_BYTES files have row groups enough,
-    and a shuffle of the whole table would cost more than it gains.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size <= SMALL_BYTES and len(df.inputFiles()) < cores else df
-
-
 def write_audit(events: DataFrame, path: str) -> None:
     """Audit events as JSON lines, in a folder for each day."""
     dated = events.withColumn("day", F.coalesce(F.to_date(F.try_to_timestamp(F.col("ts"))).cast("string"), F.lit("unknown")))
