@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from veilwork.llm.common import texts_of
+from veilwork.llm.common import texts_of, thin
 
 #: Fixed values of byte-level BPE: how a text is cut before merging, and the bytes that stand for themselves.
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -204,7 +204,7 @@ def _round_trip(df: DataFrame, path: str, with_ids: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         digits = [str(i) for i in range(vocab.size)]
-        for batch in batches:
+        for batch in thin(batches):
             rows = []
             for ids in encoder(path).encode(texts_of(batch)):
                 of_ids = hashlib.sha256(",".join(map(digits.__getitem__, ids)).encode()).hexdigest()

@@ -48,8 +48,8 @@ KNOWN_WORDS, KNOWN_BYTES = 100_000, 64
 COUNT_STEPS = 16  # of a doubling of counts
 #: Words of a document through which training carries the state, rounds, and the step size. Each segment trains in one round.
 SEGMENT, ROUNDS, STEP = 1024, 2, 0.02
-#: Training words of the corpus to a shard, most shards (4096 copies of 270 KB are averaged in two steps), and words that wait together.
-SHARD_WORDS, MOST_SHARDS, GROUP_WORDS = 2_000_000, 4096, 1_000_000
+#: Training words of the corpus to a shard, copies (of 270 KB) that are averaged together, and words that wait together.
+SHARD_WORDS, AVERAGED, GROUP_WORDS = 2_000_000, 32, 1_000_000
 #: Steps of a window, and lanes in training and in scoring.
 TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 512, 32, 512
 #: Distinct words that a task counts before it hands them on, bytes of text numbered together, and words scored together.
@@ -472,8 +472,7 @@ def train(rows: DataFrame, vocab: Vocabulary) -> Network:
     net = Network.start(list(vocab.counts.values())[:RARE], vocab.total - vocab.placed)
     schema = pa.schema([("shard", pa.int32()), ("words", pa.int64()), ("weights", pa.binary())])
     shown = "shard int, words long, weights binary"
-    shards = max(1, min(MOST_SHARDS, -(-vocab.total // SHARD_WORDS)))
-    parts = math.isqrt(shards - 1) + 1
+    shards = max(1, -(-vocab.total // SHARD_WORDS))
     every = segments(rows, shards)
 
     def row_of(shard: int, words: int, weights: bytes) -> pa.RecordBatch:
@@ -519,7 +518,12 @@ def train(rows: DataFrame, vocab: Vocabulary) -> Network:
         mine = every.where(F.col("round") == round_).select("shard", "hash", "numbers", "before")
         mine = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "hash")
         trained = mine.select("shard", "numbers", "before").mapInArrow(run, shown)
-        means = trained.groupBy((F.col("shard") % parts).alias("part")).applyInArrow(average, shown).collect()
+        # shards follow the words, so copies are averaged in as many levels as bring them down to what the driver averages
+        left = shards
+        while left > AVERAGED:
+            trained = trained.groupBy(F.floor(F.col("shard") / AVERAGED).cast("int").alias("part")).applyInArrow(average, shown)
+            left = -(-left // AVERAGED)
+        means = trained.collect()
         if means:
             net = net.unpack(mean_of([(r["shard"], r["words"], bytes(r["weights"])) for r in means])[1])
     return net

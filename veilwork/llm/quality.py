@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.bpe import portions
-from veilwork.llm.common import texts_of, unwrapped, wrapped
+from veilwork.llm.common import texts_of, thin, unwrapped, wrapped
 
 #: Fixed values of the base rules.
 SYMBOLS, BLANKS = "#*$%&|<>", "\x20\x09\x0a\x0b\x0c\x0d"
@@ -284,7 +284,7 @@ def keep(df: DataFrame, fitted: Chain, least_share: float = CONTENT_SHARE) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(fitted)
-        for batch in batches:
+        for batch in thin(batches):
             texts = ["" if t is None else t for t in batch.column("row").field("text").to_pylist()]
             yield batch.filter(pa.array([v.kept for v in verdicts(texts, decoder, least_share)], pa.bool_()))
 
