@@ -1,11 +1,12 @@
 """The redaction score and rater agreement: worked examples and properties."""
 
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.operators import agreement, evaluation, scoring
+from veilwork.operators import agreement, evaluation, ranks, scoring
 from veilwork.queries import QUERIES, ratings
 
 VEHICLE = 'Vehicle: "5N1AT2MK4FC824170" "2015 Nissan Rogue" plate= 321ABC'
@@ -116,12 +117,17 @@ def test_spearman(spark):
         agreement.spearman(line.limit(2), "x", "y")
 
 
-def test_exclusive_quantiles(spark):
-    from statistics import quantiles
-
+@pytest.mark.parametrize("exclusive", [False, True])
+def test_quantiles(spark, monkeypatch, exclusive):
+    monkeypatch.setattr(ranks, "PART_ROWS", 20)  # groups go over several parts
     rng = random.Random(3)
-    for n in (30, 99, 250):
-        sample = [rng.random() for _ in range(n)]
-        df = spark.createDataFrame([(sample,)], "v array<double>")
-        found = df.select(evaluation.exclusive_quantile(F.col("v"), 0.95)).first()[0]
-        assert found == pytest.approx(quantiles(sample, n=20)[18])
+    groups = {"a": [rng.random() for _ in range(101)], "b": [1.0, 2.0], "c": [5.0], None: [rng.randrange(3) * 1.0 for _ in range(40)]}
+    rows = [(k, v) for k, own in groups.items() for v in own] + [("a", None), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    method = "exclusive" if exclusive else "inclusive"
+    out = {r["g"]: r for r in evaluation.quantiles(df, ["g"], "v", {"low": 0.05, "mid": 0.5, "high": 0.95}, exclusive).collect()}
+    assert set(out) == set(groups)
+    for k, own in groups.items():
+        cuts = statistics.quantiles(own, n=100, method=method) if len(own) > 1 else own * 99
+        assert [out[k]["low"], out[k]["mid"], out[k]["high"]] == pytest.approx([cuts[4], cuts[49], cuts[94]]), k
+    assert evaluation.quantiles(df.limit(0), ["g"], "v", {"p": 0.5}).collect() == []

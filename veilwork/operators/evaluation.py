@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilwork.operators.ranks import numbered
+from veilwork.sources.shared import stored
+
 
 def outcomes(gold: DataFrame, found: DataFrame) -> DataFrame:
     """tp, fp, fn of each type; both sides (doc_id, start, end, type) are sets."""
@@ -37,16 +40,6 @@ def span_summary(spans: DataFrame, *by: str) -> DataFrame:
     )
 
 
-def exclusive_quantile(values: Column, p: float) -> Column:
-    """The p-quantile at place p * (n + 1) of the sorted sample; its ends hold beyond them. values: an array column."""
-    x = F.array_sort(values)
-    n = F.size(x)
-    at = F.lit(p) * (n + 1)
-    low = F.greatest(F.lit(1), F.least(F.floor(at).cast("int"), n - 1))
-    part = at - low
-    return F.element_at(x, low) + part * (F.element_at(x, low + 1) - F.element_at(x, low))
-
-
 def histogram(df: DataFrame, value: str, bounds: list[float], *by: str) -> DataFrame:
     """Cumulative buckets: how many values are at most each bound, and all at +Inf, by the given columns.
 
@@ -59,18 +52,29 @@ def histogram(df: DataFrame, value: str, bounds: list[float], *by: str) -> DataF
     return one.select(*by, F.explode(F.array(*entries)).alias("bucket")).select(*by, "bucket.le", "bucket.n")
 
 
-def exclusive_quantiles(df: DataFrame, by: str, value: str, wanted: dict[str, float]) -> DataFrame:
-    """Quantiles of each group by the exclusive method, from the two ranks at which each lies; no group becomes an array."""
-    place = Window.partitionBy(by)
-    ranked = df.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.row_number().over(place.orderBy(value)).alias("i"), F.count("*").over(place).alias("n"))
-    out = []
+def quantiles(df: DataFrame, by: list[str], value: str, wanted: dict[str, float], exclusive: bool = False) -> DataFrame:
+    """Exact quantiles of each group, linear between the two values at whose ranks each lies; nulls are no values.
+
+    The p-quantile of n values lies at rank 1 + p (n - 1), or by the exclusive method at p (n + 1), on the line through the first or last two values where that lies beyond.
+    All groups are put in one order by range parts, so a group is a stretch of places, however large it is, and no task
+    holds more than a part; of each group only the few rows at the wanted places meet.
+    """
+    rows = stored(df.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v")))
+    placed = numbered(rows, [*(F.col(c) for c in by), F.col("_v")], "_at")
+    groups = placed.groupBy(*by).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    n, entries = F.col("_n"), []
     for name, q in wanted.items():
-        at = F.col("n") * q + q  # q (n + 1)
-        low = F.least(F.greatest(F.floor(at), F.lit(1)), F.greatest(F.col("n") - 1, F.lit(1)))
-        weight = F.max(at - low)
-        a, b = F.max(F.when(F.col("i") == low, F.col("v"))), F.max(F.when(F.col("i") == low + 1, F.col("v")))
-        out.append((a + weight * F.coalesce(b - a, F.lit(0.0))).alias(name))
-    return ranked.groupBy(by).agg(*out)
+        at = n * q + q if exclusive else 1 + (n - 1) * q
+        low = F.least(F.greatest(F.floor(at), F.lit(1)), F.greatest(n - 1, F.lit(1)))
+        for side, rank in (("low", low), ("high", F.least(low + 1, n))):
+            entries.append(F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (F.col("_first") + rank - 1).alias("at"), (at - low).alias("weight")))
+    asked = groups.select(*by, F.explode(F.array(*entries)).alias("_asked"))
+    found = asked.join(placed.select("_at", "_v"), F.col("_asked.at") == F.col("_at"))
+    of = lambda name, side: F.max(F.when((F.col("_asked.name") == name) & (F.col("_asked.side") == side), F.col("_v")))
+    weight = lambda name: F.max(F.when(F.col("_asked.name") == name, F.col("_asked.weight")))
+    # 0 times an infinite difference would be no number
+    between = lambda m: F.when(weight(m) == 0, of(m, "low")).otherwise(of(m, "low") + weight(m) * (of(m, "high") - of(m, "low")))
+    return found.groupBy(*by).agg(*(between(name).alias(name) for name in wanted))
 
 
 def bucket_quantile(counted: DataFrame, q: float, *by: str) -> DataFrame:

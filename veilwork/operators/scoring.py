@@ -8,7 +8,7 @@ nothing mandatory, else its uncovered share to the denominator. Each false
 positive run adds 1 to the denominator, 2 if it swallows a gap.
 
 Delimiters nest and hits spread until nothing changes, so the terms of a document
-come from one Arrow function; sums and percentiles are aggregates.
+come from one Arrow function; sums are aggregates, percentiles come from places in one order.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilwork.operators import evaluation
+
 #: Which characters connect, and which come in pairs.
 NO_CONNECTORS = "\\/@[]{}()<>\"'`"
 BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">"}
@@ -230,9 +232,10 @@ def scores(scored: DataFrame) -> DataFrame:
 
 def report(score: DataFrame, categories: DataFrame) -> DataFrame:
     """Mean, p20, p50 and number of documents over all (category is null) and by category; empty categories have no row."""
-    joined = score.join(categories, "doc_id", "left")
-    rows = joined.groupingSets([[], [F.col("category")]], "category").agg(
-        F.avg("r").alias("mean"), F.percentile("r", 0.2).alias("p20"), F.percentile("r", 0.5).alias("p50"),
-        F.count("*").alias("n"), F.grouping("category").alias("_all"),
-    )
-    return rows.where("_all = 1 or coalesce(category, '') <> ''").drop("_all")
+    joined = score.join(categories, "doc_id", "left").select("r", F.col("category").alias("own"))
+    groups = F.array(F.struct(F.lit(True).alias("_all"), F.lit(None).cast("string").alias("category")), F.struct(F.lit(False).alias("_all"), F.col("own").alias("category")))
+    rows = joined.select("r", F.explode(groups).alias("g")).select("r", "g.*").where("_all or coalesce(category, '') <> ''")
+    means = rows.groupBy("_all", "category").agg(F.avg("r").alias("mean"), F.count("*").alias("n"))
+    parts = evaluation.quantiles(rows, ["_all", "category"], "r", {"p20": 0.2, "p50": 0.5})
+    parts = parts.select(F.col("_all").alias("_a"), F.col("category").alias("_c"), "p20", "p50")
+    return means.join(parts, (F.col("_all") == F.col("_a")) & F.col("category").eqNullSafe(F.col("_c"))).select("category", "mean", "p20", "p50", "n")

@@ -773,14 +773,17 @@ def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = [F.round(F.percentile("value", q), 6).alias(f"p{int(q * 100)}") for q in (0.5, 0.9, 0.95, 0.99)]
-    return events(spark, sf_dir).groupBy("event_type").agg(*p, F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    rows = events(spark, sf_dir)
+    wanted = {f"p{int(q * 100)}": q for q in (0.5, 0.9, 0.95, 0.99)}
+    found = evaluation.quantiles(rows, ["event_type"], "value", wanted).select(F.col("event_type").alias("_type"), *(F.round(c, 6).alias(c) for c in wanted))
+    sums = rows.groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+    return sums.join(found, F.col("event_type").eqNullSafe(F.col("_type")), "left").drop("_type")
 
 
 @query
 def exclusive_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_day = events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("day"), "value")
-    found = evaluation.exclusive_quantiles(by_day, "day", "value", {"p95": 0.95, "p99": 0.99})
+    found = evaluation.quantiles(by_day, ["day"], "value", {"p95": 0.95, "p99": 0.99}, exclusive=True)
     return found.select("day", F.round("p95", 6).alias("p95"), F.round("p99", 6).alias("p99"))
 
 
