@@ -6,7 +6,8 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from veilwork.operators import agreement, evaluation, ranks, scoring
+from veilwork.operators import agreement, evaluation, intervals, ranks, scoring
+from tests import plain_score as plain
 from veilwork.queries import QUERIES, ratings
 
 VEHICLE = 'Vehicle: "5N1AT2MK4FC824170" "2015 Nissan Rogue" plate= 321ABC'
@@ -23,7 +24,7 @@ def of(terms, kind):
 
 
 def test_micro_cases():
-    score = scoring.terms
+    score = plain.terms
     assert total(score("abcdefghij", [(0, 5)], [], [(0, 3)])) == 3 / 5
     assert total(score("abcXXXdef", [(0, 3)], [], [(0, 3), (3, 6)])) == 0.5
     assert of(score("AAAA bbb CCCC", [(5, 8)], [], [(0, 5), (5, 8)]), "false_positive") == [(0.0, 2.0)]
@@ -33,19 +34,19 @@ def test_micro_cases():
 
 
 def test_vehicle():
-    everything = scoring.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(0, 62)])
+    everything = plain.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(0, 62)])
     assert sorted(d for _, d in of(everything, "false_positive")) == [1, 2, 2] and total(everything) == pytest.approx(2 / 7)
-    assert total(scoring.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(9, 10)])) == 0.0
-    assert of(scoring.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(27, 28)]), "contextual")[0] == (0.0, 0.5)
+    assert total(plain.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(9, 10)])) == 0.0
+    assert of(plain.terms(VEHICLE, VEHICLE_RED, VEHICLE_YELLOW, [(27, 28)]), "contextual")[0] == (0.0, 0.5)
 
 
 def test_structure():
-    s = scoring.Structure("127.0.0.1", [(0, 3), (4, 7), (8, 9)], [])
+    s = plain.Structure("127.0.0.1", [(0, 3), (4, 7), (8, 9)], [])
     assert s.reds.sets() == [[0, 1, 2]] and s.markers == {"."}
-    s = scoring.Structure("(415) 555", [(0, 5), (6, 9)], [])
+    s = plain.Structure("(415) 555", [(0, 5), (6, 9)], [])
     assert len(s.reds.sets()) == 2 and s.markers == {")", " "}
-    assert scoring.Structure("[ABC]", [], [(1, 4)]).pairs == [(0, 4)]
-    assert scoring.Structure('"ABC" "DEF"', [], [(1, 4), (7, 10)]).pairs == [(0, 4), (6, 10)]
+    assert plain.Structure("[ABC]", [], [(1, 4)]).pairs == [(0, 4)]
+    assert plain.Structure('"ABC" "DEF"', [], [(1, 4), (7, 10)]).pairs == [(0, 4), (6, 10)]
 
 
 def test_perfect_and_empty_predictions():
@@ -55,20 +56,57 @@ def test_perfect_and_empty_predictions():
         places = sorted(rng.sample(range(61), 8))
         spans = list(zip(places[::2], places[1::2]))
         red, yellow = spans[:2], spans[2:]
-        perfect = scoring.terms(text, red, yellow, red + yellow)
+        perfect = plain.terms(text, red, yellow, red + yellow)
         assert total(perfect) == pytest.approx(1.0) and not of(perfect, "false_positive")
-        assert total(scoring.terms(text, red, yellow, [])) == 0.0
-        some = total(scoring.terms(text, red, yellow, [(rng.randrange(60), rng.randrange(61)) for _ in range(4)]))
+        assert total(plain.terms(text, red, yellow, [])) == 0.0
+        some = total(plain.terms(text, red, yellow, [(rng.randrange(60), rng.randrange(61)) for _ in range(4)]))
         assert 0 <= some <= 1
 
 
+def test_plan_equals_plain_loops(spark):
+    """Random texts of delimiters and connectors with nested, crossing and repeated spans, and chains of pairs."""
+    rng = random.Random(7)
+    kinds = ["mandatory", "contextual", "contextual", "contextual"]
+    rows = []
+    for i in range(400):
+        n = rng.choice([0, 8, 30, 60, 600])
+        text = "".join(rng.choice("ab1é ()[]<>\"'/.,\n\t") for _ in range(n))
+        some = lambda k, wide: [(a, min(n, a + 1 + rng.randrange(wide))) for a in (rng.randrange(n) for _ in range(k if n else 0))]  # noqa: E731, B023
+        spans = [(a, b, rng.choice(kinds[i % 2 :])) for a, b in some(rng.randrange(20), rng.choice([1, 3, 12]))]
+        rows.append((i, text, spans + spans[:1], some(rng.randrange(5), 20)))
+    chain = "".join(f'"a" {c}' for c in "bcdefgh")
+    marks = [(i, i + 1, "contextual") for i, c in enumerate(chain) if c != " "]
+    rows += [(400, chain, marks, [(0, 1)]), (401, None, None, None), (402, "abcdef", None, [(0, 6)]), (403, "((((a))))", [(4, 5, "contextual"), (0, 1, "contextual")], [(0, 1)])]
+    span = "array<struct<start:int,end:int,category:string>>"
+    df = spark.createDataFrame(rows, f"doc_id long, text string, spans {span}, predictions array<struct<start:int,end:int>>")
+    found = {}
+    for r in scoring.score_terms(df).collect():
+        found.setdefault(r["doc_id"], []).append((r["kind"], round(r["n"], 9), round(r["d"], 9)))
+    for i, text, spans, predicted in rows:
+        of_kind = lambda c: [(a, b) for a, b, k in spans or [] if k == c]  # noqa: E731, B023
+        wanted = [(k, round(n, 9), round(d, 9)) for k, n, d in plain.terms(text or "", of_kind("mandatory"), of_kind("contextual"), predicted or [])]
+        assert sorted(found.get(i, [])) == sorted(wanted), (i, text, spans, predicted)
+    assert any(k == "skipped" for own in found.values() for k, _, _ in own)
+    assert scoring.scores(df).count() == len(rows)
+    assert scoring.scores(df.limit(0)).collect() == []
+
+
+def test_holding(spark):
+    rng = random.Random(9)
+    some = lambda k: [(rng.randrange(4), a, a + rng.randrange(1, 9)) for a in (rng.randrange(30) for _ in range(k))]
+    spans, others = some(60), some(12)
+    of = lambda rows: spark.createDataFrame(rows, "doc_id int, start int, end int")
+    found = sorted(tuple(r) for r in intervals.holding(of(spans), of(others)).collect())
+    assert found == sorted((d, a, b, any(d == x and a <= c and e <= b for x, c, e in others)) for d, a, b in spans)
+
+
 def test_runs_and_differences_by_characters():
     rng = random.Random(2)
     chars = lambda runs: {c for a, b in runs for c in range(a, b)}
     for _ in range(500):
         some = lambda: [(rng.randrange(-3, 30), rng.randrange(-3, 33)) for _ in range(rng.randrange(5))]
-        runs, others = scoring.runs_of(some(), 30), scoring.runs_of(some(), 30)
-        left = scoring.outside(runs, others)
+        runs, others = plain.runs_of(some(), 30), plain.runs_of(some(), 30)
+        left = plain.outside(runs, others)
         assert chars(left) == chars(runs) - chars(others)
         assert all(b < c for (_, b), (c, _) in zip(runs, runs[1:])) and left == sorted(left)
 

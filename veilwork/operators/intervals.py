@@ -103,3 +103,16 @@ def touched(spans: DataFrame, others: DataFrame) -> DataFrame:
 def untouched(spans: DataFrame, others: DataFrame) -> DataFrame:
     """Spans that no other one overlaps."""
     return _met(spans, others).where("not _met").drop("_met")
+
+
+def holding(spans: DataFrame, others: DataFrame) -> DataFrame:
+    """spans with _holds: whether some other one lies whole inside; ends may coincide."""
+    row = F.struct(*(F.col(f"`{c}`") for c in spans.columns))
+    asked = spans.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_at"), F.lit(1).alias("_late"), F.lit(None).alias("_end"), row.alias("_row"))
+    begun = others.select(F.col("doc_id").alias("_doc"), F.col("start").alias("_at"), F.lit(0).alias("_late"), F.col("end").alias("_end"))
+    points = asked.unionByName(begun, allowMissingColumns=True)
+    # from the end of the text on: of all that begins at or behind a span's start, the least end
+    least = F.min("_end").over(_so_far(F.col("_at").desc(), "_late", by=("_doc",)))
+    holds = F.coalesce(least <= F.col("_row.end"), F.lit(False)) & F.col("_doc").isNotNull() & F.col("_at").isNotNull()
+    told = points.withColumn("_holds", holds).where("_late = 1")
+    return told.select(*(F.col("_row").getField(c).alias(c) for c in spans.columns), "_holds")

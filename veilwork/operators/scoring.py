@@ -1,4 +1,4 @@
-"""The character-level redaction score.
+"""The character-level redaction score, as plans over all documents at once.
 
 A document's mandatory and contextual spans form entities: neighbours that only a
 connector parts belong together, and so do contextual spans inside a pair of
@@ -7,227 +7,253 @@ the prediction has tried to hit adds its coverage over 1 if the document has
 nothing mandatory, else its uncovered share to the denominator. Each false
 positive run adds 1 to the denominator, 2 if it swallows a gap.
 
-Delimiters nest and hits spread until nothing changes, so the terms of a document
-come from one Arrow function; sums are aggregates, percentiles come from places in one order.
+Texts are read once: of each span only the characters at its ends are kept, and
+of each text its matched delimiters. From there on all is rows of offsets.
+Neighbours are a window; groups of neighbours are running sums of breaks. Pairs
+of delimiters nest, so only outermost ones decide which spans are one entity, and
+as those lie in order, entities are running sums as well. Hits spread from group
+to pair to group in rounds, as semi-joins with what the last round has added.
+Coverage, containment and gaps are sweeps (intervals.py). Whether a quote opens
+or closes depends on all that is open, so delimiters are matched by one pass over
+each text's delimiters in an Arrow function, which gets nothing else; that is all the Python there is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
-from veilwork.operators import evaluation
+from veilwork.operators import evaluation, intervals
+from veilwork.sources.shared import stored
 
 #: Which characters connect, and which come in pairs.
 NO_CONNECTORS = "\\/@[]{}()<>\"'`"
 BRACKETS = {"(": ")", "[": "]", "{": "}", "<": ">"}
 QUOTES = "\"'`"
-ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-DIGITS = "0123456789"
 LEAST_GAP = 3
 
-Span = tuple[int, int]
-
-
-class Groups:
-    """Disjoint sets of positions in a list."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        self.up[self.root(j)] = self.root(i)
-
-    def sets(self) -> list[list[int]]:
-        out: dict[int, list[int]] = {}
-        for i in range(len(self.up)):
-            out.setdefault(self.root(i), []).append(i)
-        return list(out.values())
-
-
-def runs_of(spans: list[Span], length: int) -> list[Span]:
-    """Disjoint runs of the spans inside the text; what touches is one."""
-    out: list[Span] = []
-    for a, b in sorted(spans):
-        a, b = max(0, min(a, length)), max(0, min(b, length))
-        if a >= b:
-            continue
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
-def outside(runs: list[Span], others: list[Span]) -> list[Span]:
-    """What of the runs lies in none of the others; both are disjoint and sorted."""
-    out = []
-    for a, b in runs:
-        for c, d in others:
-            if d <= a or c >= b:
-                continue
-            if a < c:
-                out.append((a, c))
-            a = max(a, d)
-        if a < b:
-            out.append((a, b))
-    return out
-
-
-def covered(span: Span, runs: list[Span]) -> float:
-    size = span[1] - span[0]
-    return sum(max(0, min(b, span[1]) - max(a, span[0])) for a, b in runs) / size if size > 0 else 0.0
-
-
-def _connector(text: str, a: Span, b: Span) -> tuple[str, str]:
-    """How two neighbours are connected: both colours, yellow only or not; and the characters that do it."""
-    between, ending = text[a[1] : b[0]], text[a[0] : a[1]][-1:]
-    if between[:1] == " " and ending and ending in BRACKETS.values():
-        return "yellow", ending + " "
-    if len(between) == 1:
-        if between not in NO_CONNECTORS and between not in ALNUM:
-            return "both", between
-        digits = all(c in DIGITS for c in text[a[0] : a[1]] + text[b[0] : b[1]])
-        return ("yellow", between) if between == "/" and digits else ("", "")
-    if len(between) == 2 and between[0] in BRACKETS.values() and between[1] in " \t":
-        return "yellow", between
-    return "", ""
-
-
-def _delimited(text: str) -> Iterator[Span]:
-    """Matched pairs of delimiters by the place of their end, both places included. A wrong closer drops its opener."""
-    stack: list[int] = []
-    for i, c in enumerate(text):
-        if c in QUOTES and stack and text[stack[-1]] == c:
-            yield stack.pop(), i
-        elif c in QUOTES or c in BRACKETS:
-            stack.append(i)
-        elif c in BRACKETS.values() and stack:
-            opener = stack.pop()
-            if BRACKETS.get(text[opener]) == c:
-                yield opener, i
-
-
-class Structure:
-    """Connections between the spans of a document."""
-
-    def __init__(self, text: str, red: list[Span], yellow: list[Span]):
-        self.red, self.yellow = red, yellow
-        self.reds, self.yellows = Groups(len(red)), Groups(len(yellow))
-        self.markers: set[str] = set()
-        order = sorted([(s, 0, i) for i, s in enumerate(red)] + [(s, 1, i) for i, s in enumerate(yellow)], key=lambda x: x[0])
-        for (a, colour_a, i), (b, colour_b, j) in zip(order, order[1:]):
-            how, marks = _connector(text, a, b)
-            self.markers.update(marks)
-            if colour_a == colour_b == 0 and how == "both":
-                self.reds.join(i, j)
-            if colour_a == colour_b == 1 and how:
-                self.yellows.join(i, j)
-        self.pairs: list[Span] = []
-        for o, e in _delimited(text) if yellow else ():
-            touches = any(a < e + 1 and b > o for a, b in yellow)
-            if touches and not any(a >= o and b <= e + 1 for a, b in red):
-                self.pairs.append((o, e))
-                self.markers.update((text[o], text[e]))
-
-    def hit(self, predicted: list[Span]) -> set[int]:
-        """Contextual spans that the prediction touches, and all that these carry along."""
-        found = {i for i, (a, b) in enumerate(self.yellow) if any(c < b and a < d for c, d in predicted)}
-        at = lambda p: next((i for i, (a, b) in enumerate(self.yellow) if a <= p < b), None)
-        ends = [(at(o), at(e), o, e) for o, e in self.pairs]
-        before = -1
-        while found and len(found) != before:
-            before = len(found)
-            roots = {self.yellows.root(i) for i in found}
-            found |= {i for i in range(len(self.yellow)) if self.yellows.root(i) in roots}
-            for x, y, o, e in ends:
-                if x in found or y in found:
-                    found |= {i for i, (a, b) in enumerate(self.yellow) if a >= o and b <= e}
-        return found
-
-    def contextual(self, text: str) -> list[list[int]]:
-        """Contextual entities: connected ones and all inside a pair; lone markers are none."""
-        groups = Groups(len(self.yellow))
-        for members in self.yellows.sets():
-            for i in members[1:]:
-                groups.join(members[0], i)
-        for o, e in self.pairs:
-            inside = [i for i, (a, b) in enumerate(self.yellow) if a >= o and b <= e + 1]
-            for i in inside[1:]:
-                groups.join(inside[0], i)
-        lone = lambda g: len(g) == 1 and text[slice(*self.yellow[g[0]])] in self.markers
-        return [g for g in groups.sets() if not lone(g)]
-
-
-def terms(text: str, red: list[Span], yellow: list[Span], predicted: list[Span]) -> list[tuple[str, float, float]]:
-    """(kind, numerator, denominator) of all entities and false positives; skipped entities have zeros."""
-    red, yellow = sorted(set(red)), sorted(set(yellow))
-    length, runs = len(text), runs_of(predicted, len(text))
-    support = runs_of(red + yellow, length)
-    structure = Structure(text, red, yellow)
-    out = []
-    for group in structure.reds.sets():
-        out.append(("mandatory", sum(covered(red[i], runs) for i in group) / len(group), 1.0))
-    hit = structure.hit(predicted)
-    for group in structure.contextual(text):
-        active = [i for i in group if i in hit]
-        if not active:
-            out.append(("skipped", 0.0, 0.0))
-            continue
-        share = sum(covered(yellow[i], runs) for i in active) / len(active)
-        out.append(("contextual", 0.0, 1.0 - share) if red else ("contextual", share, 1.0))
-    gaps = [g for g in outside([(0, length)], support) if g[1] - g[0] >= LEAST_GAP]
-    for a, b in outside(runs, support):
-        out.append(("false_positive", 0.0, 2.0 if any(a <= c and d <= b for c, d in gaps) else 1.0))
-    return out
+#: Characters of the pieces that texts are cut into, so that looking up a place costs a piece and not the text before it.
+PIECE = 512
+DELIMITERS = r"[\[\](){}<>\"'`]"
+PAIRS = ArrayType(StructType().add("o", "integer").add("e", "integer").add("opener", "string").add("closer", "string"))
+
+
+def _matched(signs: list[dict]) -> list[dict]:
+    """Matched pairs of one text's delimiters, in order of their ends; a wrong closer drops what it meets."""
+    open_: list[dict] = []
+    pairs = []
+    for sign in signs:
+        quote = sign["c"] in QUOTES
+        if not quote and sign["c"] in BRACKETS or quote and not (open_ and open_[-1]["c"] == sign["c"]):
+            open_.append(sign)
+        elif open_:
+            first = open_.pop()
+            if quote or BRACKETS.get(first["c"]) == sign["c"]:
+                pairs.append({"o": first["at"], "e": sign["at"], "opener": first["c"], "closer": sign["c"]})
+    return pairs
+
+
+@F.arrow_udf(PAIRS)
+def matched_pairs(signs: pa.Array) -> pa.Array:
+    """Matched pairs of delimiters of texts, from their delimiters with places in order."""
+    pair = pa.struct([("o", pa.int32()), ("e", pa.int32()), ("opener", pa.string()), ("closer", pa.string())])
+    return pa.array([_matched(own or []) for own in signs.to_pylist()], pa.list_(pair))
+
+
+def _delimiters(pieces: Column) -> Column:
+    """Delimiters with their places, from a text's pieces. Characters are split only where a piece has any."""
+
+    def of(piece: Column, i: Column) -> Column:
+        signs = F.transform(F.split(piece, ""), lambda c, k: F.struct((i * PIECE + k).alias("at"), c.alias("c")))
+        return F.when(piece.rlike(DELIMITERS), F.filter(signs, lambda s: s["c"].rlike(DELIMITERS))).otherwise(F.array().cast("array<struct<at:int,c:string>>"))
+
+    return F.flatten(F.transform(pieces, of))
+
+
+def _cut(pieces: Column, start: Column, end: Column) -> Column:
+    """The characters from start to end, which lie in one stretch of pieces."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor(F.greatest(end - 1, start) / PIECE).cast("int")
+    return F.array_join(F.slice(pieces, first + 1, last - first + 1), "").substr(start % PIECE + 1, F.greatest(end - start, F.lit(0)))
+
+
+def facts(df: DataFrame) -> DataFrame:
+    """What the score needs of each document, without its text.
+
+    doc_id, length, red (whether anything is mandatory), marked (distinct spans with the characters at their ends),
+    predictions, signs (delimiters of texts with anything contextual). Spans of other categories, and empty ones, are left out.
+    """
+    empty = F.array().cast("array<struct<start:int,end:int,category:string>>")
+    own = F.filter(F.coalesce("spans", empty), lambda s: s["category"].isin("mandatory", "contextual") & (s["start"] >= 0) & (s["start"] < s["end"]))
+    slim = F.transform(own, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), (s["category"] == "contextual").cast("int").alias("colour")))
+    length, text = F.length("text"), F.col("text")
+    pieces = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(length - 1, F.lit(0)) / PIECE).cast("int")), lambda i: text.substr(i * PIECE + 1, F.lit(PIECE)))
+    docs = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.array_distinct(slim).alias("own"), "predictions")
+    docs = docs.select("doc_id", length.alias("length"), pieces.alias("pieces"), "own", "predictions")
+
+    def mark(s: Column) -> Column:
+        piece = _cut(F.col("pieces"), s["start"], s["end"])
+        after = _cut(F.col("pieces"), s["end"], s["end"] + 2)
+        return F.struct(
+            *(s[c].alias(c) for c in ("start", "end", "colour")),
+            piece.substr(F.lit(-1), F.lit(1)).alias("tail"), piece.rlike(r"\A[0-9]*\z").alias("digits"),
+            F.when(F.length(piece) == 1, piece).alias("lone"), after.alias("after"),
+        )
+
+    yellow = F.exists("own", lambda s: s["colour"] == 1)
+    signs = F.when(yellow, _delimiters(F.col("pieces"))).otherwise(F.array().cast("array<struct<at:int,c:string>>"))
+    red = F.exists("own", lambda s: s["colour"] == 0)
+    return docs.select("doc_id", "length", red.alias("red"), F.transform("own", mark).alias("marked"), "predictions", signs.alias("signs"))
+
+
+def linked(told: DataFrame) -> DataFrame:
+    """Spans of facts() with grp, the number of their group of connected neighbours, and marks, what connects them to the next."""
+    rows = told.select("doc_id", "length", "red", F.explode("marked").alias("s")).select("doc_id", "length", "red", "s.*")
+    order = Window.partitionBy("doc_id").orderBy("start", "end", "colour")
+    follow = lambda c: F.lead(c).over(order)
+    rows = rows.withColumn("_start", follow("start")).withColumn("_digits", follow("digits"))
+    gap = F.greatest(F.least("_start", "length") - F.least("end", "length"), F.lit(0))
+    one, two = F.col("after").substr(1, 1), F.col("after").substr(2, 1)
+    closers = list(BRACKETS.values())
+    no_join = [*NO_CONNECTORS]
+    closed = (gap >= 1) & (one == " ") & F.col("tail").isin(closers)
+    plain = (gap == 1) & ~one.isin(no_join) & ~one.rlike("[A-Za-z0-9]")
+    fraction = (gap == 1) & (one == "/") & F.col("digits") & F.col("_digits")
+    bracket = (gap == 2) & one.isin(closers) & two.isin(" ", "\t")
+    none = F.array().cast("array<string>")
+    marks = F.when(closed, F.array("tail", one)).when(plain | fraction, F.array(one)).when(bracket, F.array(one, two)).otherwise(none)
+    how = F.when(closed, 1).when(plain, 2).when(fraction | bracket, 1).otherwise(0)
+    rows = rows.withColumn("marks", marks).withColumn("_how", how)
+    behind = lambda c: F.lag(c).over(order)
+    # mandatory neighbours join by plain connectors only, contextual ones by all
+    joined = (behind("colour") == F.col("colour")) & (behind("_how") >= F.when(F.col("colour") == 0, 2).otherwise(1))
+    rows = rows.withColumn("_fresh", F.when(F.coalesce(joined, F.lit(False)), 0).otherwise(1))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn("grp", F.sum("_fresh").over(so_far)).drop("_start", "_digits", "_how", "_fresh", "tail", "digits", "after")
+
+
+def kept_pairs(told: DataFrame, spans: DataFrame) -> DataFrame:
+    """Pairs of delimiters (doc_id, o, e, opener, closer; start and end around both) that touch something contextual and hold nothing mandatory."""
+    pairs = told.where(F.size("signs") > 1).select("doc_id", F.explode(matched_pairs("signs")).alias("p")).select("doc_id", "p.*", F.col("p.o").alias("start"), (F.col("p.e") + 1).alias("end"))
+    near = intervals.touched(pairs, spans.where("colour = 1"))
+    return intervals.holding(near, spans.where("colour = 0")).where("not _holds").drop("_holds")
+
+
+def _behind(at: Column, late: int, *columns: Column, side: str) -> list[Column]:
+    return [F.col("doc_id"), at.alias("_at"), F.lit(late).alias("_late"), F.struct(*columns).alias(side)]
+
+
+def _latest(asked: DataFrame, given: DataFrame, order: list[Column]) -> DataFrame:
+    """asked with the last of given that stands at or before it in the order of a document."""
+    so_far = Window.partitionBy("doc_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    points = asked.unionByName(given, allowMissingColumns=True)
+    return points.withColumn("given", F.last("given", True).over(so_far)).where("_late = 1")
+
+
+def entities(yellow: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Contextual spans with entity: groups of neighbours, joined where an outermost pair holds spans of both."""
+    before = Window.partitionBy("doc_id").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    outer = pairs.withColumn("_reach", F.max("e").over(before)).where("_reach is null or e > _reach")
+    given = outer.select(*_behind(F.col("o"), 0, F.col("o"), F.col("e"), side="given"))
+    asked = yellow.select(*_behind(F.col("start"), 1, *(F.col(c) for c in yellow.columns), side="row"))
+    rows = _latest(asked, given, [F.col("_at"), F.col("_late")])
+    inside = F.col("row.end") <= F.col("given.e") + 1
+    rows = rows.select("row.*", F.when(inside, F.col("given.o")).alias("_pair"))
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    held = F.col("_pair").isNotNull()
+    rows = rows.withColumn("_grp", F.last(F.when(held, F.col("grp")), True).over(earlier)).withColumn("_before", F.last("_pair", True).over(earlier))
+    same = (F.col("_grp") == F.col("grp")) | (F.col("_before") == F.col("_pair"))
+    fresh = F.when(held & ~F.coalesce(same, F.lit(False)), 1).otherwise(0)
+    rows = rows.withColumn("_n", F.sum(fresh).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    of_group = F.max(F.when(held, F.col("_n"))).over(Window.partitionBy("doc_id", "grp"))
+    # a group without a held span is an entity by itself; its number is told apart by its sign
+    return rows.withColumn("entity", F.coalesce(of_group, -F.col("grp"))).drop("_pair", "_grp", "_before", "_n")
+
+
+def _ends(yellow: DataFrame, pairs: DataFrame) -> DataFrame:
+    """doc_id, o, e, grp of the first contextual span that holds the opener or the closer of a pair, as far as there is one."""
+    order = Window.partitionBy("doc_id").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    # the first span that reaches beyond a place is one that reaches further than all before it
+    records = yellow.withColumn("_reach", F.max("end").over(order)).where("_reach is null or end > _reach")
+    given = records.select(*_behind(F.col("end") - 1, 0, F.col("start"), F.col("grp"), side="given"))
+    places = pairs.select("doc_id", "o", "e", F.explode(F.array("o", "e")).alias("_p"))
+    asked = places.select(*_behind(F.col("_p"), 1, F.col("o"), F.col("e"), side="row"))
+    rows = _latest(asked, given, [F.col("_at").desc(), F.col("_late")])
+    return rows.where("given.start <= _at").select("doc_id", "row.o", "row.e", "given.grp").distinct()
+
+
+def hit_groups(yellow: DataFrame, pairs: DataFrame, predictions: DataFrame) -> DataFrame:
+    """doc_id, grp of the contextual groups that the prediction touches, and of all that these carry along.
+
+    A group that holds an end of a pair carries along what lies inside of the pair. Each round follows only the groups
+    that the last one has added; it ends when there are none, after as many rounds as the longest chain has pairs.
+    """
+    added = found = stored(intervals.touched(yellow, predictions).select("doc_id", "grp").distinct())
+    ends = stored(_ends(yellow, pairs))
+    while not ends.isEmpty() and not added.isEmpty():
+        reached = ends.join(added, ["doc_id", "grp"], "left_semi").select("doc_id", F.col("o").alias("_at"), F.lit(0).alias("_late"), F.col("e").alias("_reach"))
+        asked = yellow.select("doc_id", F.col("start").alias("_at"), F.lit(1).alias("_late"), "end", "grp")
+        so_far = Window.partitionBy("doc_id").orderBy("_at", "_late").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = asked.unionByName(reached, allowMissingColumns=True).withColumn("_reach", F.max("_reach").over(so_far))
+        held = rows.where("_late = 1 and end <= _reach").select("doc_id", "grp").distinct()
+        added = stored(held.join(found, ["doc_id", "grp"], "left_anti"))
+        found = found.unionByName(added)
+    return found
 
 
 def score_terms(df: DataFrame) -> DataFrame:
-    """doc_id and terms of df (doc_id, text, spans array<struct<start,end,category>>, predictions array<struct<start,end>>)."""
-    term = pa.struct([("kind", pa.string()), ("n", pa.float64()), ("d", pa.float64())])
-    kind = df.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                of = lambda c, row=row: [(s["start"], s["end"]) for s in row["spans"] or [] if s["category"] == c]
-                predicted = [(s["start"], s["end"]) for s in row["predictions"] or []]
-                found = terms(row["text"] or "", of("mandatory"), of("contextual"), predicted)
-                out.append([{"kind": k, "n": n, "d": d} for k, n, d in found])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.list_(term))], names=["doc_id", "terms"])
-
-    return df.select("doc_id", "text", "spans", "predictions").mapInArrow(
-        run, f"doc_id {kind}, terms array<struct<kind:string,n:double,d:double>>"
+    """doc_id, kind, n, d of every entity and false positive of df's documents; skipped entities have zeros.
+
+    df has doc_id, text, spans array<struct<start,end,category>>, predictions array<struct<start,end>>. An id names one
+    document; documents without an id are left out. Null texts are empty, null arrays have no elements.
+    """
+    told = stored(facts(df.where("doc_id is not null")))
+    lengths = told.select("doc_id", "length")
+    predictions = told.select("doc_id", F.explode("predictions").alias("p")).select("doc_id", "p.start", "p.end")
+    spans = stored(linked(told))
+    runs = stored(intervals.union(predictions, lengths))
+    support = stored(intervals.union(spans.select("doc_id", "start", "end"), lengths))
+    key = F.concat_ws("-", "colour", "start", "end").alias("span_id")
+    covered = intervals.coverage(spans.select("doc_id", key, "start", "end"), runs).select("doc_id", "span_id", "coverage")
+    spans = spans.withColumn("span_id", F.concat_ws("-", "colour", "start", "end")).join(covered, ["doc_id", "span_id"])
+    mandatory = spans.where("colour = 0").groupBy("doc_id", "grp").agg(F.avg("coverage").alias("n")).select("doc_id", F.lit("mandatory").alias("kind"), "n", F.lit(1.0).alias("d"))
+
+    rows = stored(spans)
+    pairs = stored(kept_pairs(told, rows))
+    yellow = rows.where("colour = 1").drop("colour", "span_id")
+    hit = hit_groups(yellow, pairs, predictions).withColumn("hit", F.lit(True))
+    by_entity = entities(yellow, pairs).join(hit, ["doc_id", "grp"], "left").groupBy("doc_id", "entity").agg(
+        F.count("*").alias("_size"), F.max("lone").alias("mark"), F.max("red").alias("red"), F.avg(F.when(F.col("hit"), F.col("coverage"))).alias("share")
+    )
+    signs = pairs.select("doc_id", F.explode(F.array("opener", "closer")).alias("mark"))
+    marks = rows.select("doc_id", F.explode("marks").alias("mark")).unionByName(signs).distinct().withColumn("_known", F.lit(True))
+    by_entity = by_entity.join(marks, ["doc_id", "mark"], "left").where("_known is null or _size > 1")
+    share, zero = F.col("share"), F.lit(0.0)
+    contextual = by_entity.select(
+        "doc_id",
+        F.when(share.isNull(), "skipped").otherwise("contextual").alias("kind"),
+        F.when(share.isNull() | F.col("red"), zero).otherwise(share).alias("n"),
+        F.when(share.isNull(), zero).when(F.col("red"), 1.0 - share).otherwise(1.0).alias("d"),
     )
 
+    gaps = intervals.gaps(support, lengths).where(F.col("end") - F.col("start") >= LEAST_GAP)
+    false = intervals.holding(intervals.difference(runs, support), gaps)
+    false = false.select("doc_id", F.lit("false_positive").alias("kind"), zero.alias("n"), F.when(F.col("_holds"), 2.0).otherwise(1.0).alias("d"))
+    return mandatory.unionByName(contextual).unionByName(false)
 
-def scores(scored: DataFrame) -> DataFrame:
-    """n, d, r and the number of terms of each kind, a row for each document of score_terms()."""
-    total = lambda part: F.aggregate("terms", F.lit(0.0), lambda acc, t: acc + t[part])
-
-    def number(kind: str):
-        return F.size(F.filter("terms", lambda t: t["kind"] == kind)).cast("long")
 
-    summed = scored.select(
-        "doc_id",
-        total("n").alias("n"),
-        total("d").alias("d"),
-        number("mandatory").alias("n_mandatory"),
-        number("contextual").alias("n_contextual"),
-        number("false_positive").alias("n_fp"),
-        number("skipped").alias("skipped"),
+def scores(df: DataFrame) -> DataFrame:
+    """n, d, r and the number of terms of each kind, a row for each document of df (as score_terms() takes it); without terms all are zero."""
+    number = lambda kind: F.count(F.when(F.col("kind") == kind, 1))
+    summed = score_terms(df).groupBy("doc_id").agg(
+        F.sum("n").alias("n"), F.sum("d").alias("d"), number("mandatory").alias("n_mandatory"), number("contextual").alias("n_contextual"),
+        number("false_positive").alias("n_fp"), number("skipped").alias("skipped"),
     )
-    return summed.withColumn("r", F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(0.0))
+    rows = df.select("doc_id").join(summed, "doc_id", "left").fillna(0, summed.columns[1:])
+    return rows.withColumn("r", F.when(F.col("d") > 0, F.col("n") / F.col("d")).otherwise(0.0))
 
 
 def report(score: DataFrame, categories: DataFrame) -> DataFrame:

@@ -337,6 +337,68 @@ for name, rows in _rows.items():
 ORACLES["rscore_report"] = """SELECT category, round(mean::DOUBLE, 9) AS mean, p20::DOUBLE AS p20, p50::DOUBLE AS p50, n::BIGINT AS n FROM (VALUES
  (NULL, 1 / 6, 0, 0, 6), ('emails', 1 / 3, 0, 0, 3), ('financial', 0, 0, 0, 1), ('operations', 0, 0, 0, 2)) AS t(category, mean, p20, p50, n)"""
 # p20 of emails interpolates between zeros
+
+
+def scored(source: str, key: str, text: str) -> str:
+    """Scores of texts: a stack machine by delimiters, edges between spans followed to the end, joins for all that overlaps."""
+    pattern = {"red": "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "yel": "[A-Z][a-z]*|[0-9]+", "pred": "[A-M][a-z]+ [a-z]+|[5-9]+|[N-P][a-z]+[^A-Z0-9@]{1,40}[A-Z]"}
+    found = ", ".join(f"""{n} AS MATERIALIZED (SELECT id, "start"::INT AS a, "end"::INT AS b FROM ({spans('X', 't', 'id', 'text', p)}))""" for n, p in pattern.items())
+
+    def merged(name: str, of: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT id, min(a) AS a, max(b) AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM (
+          SELECT *, CASE WHEN a <= max(b) OVER (PARTITION BY id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM ({of}))) GROUP BY id, k)"""
+
+    numbers = ", ".join(f"count(*) FILTER (WHERE kind = '{k}') AS {c}" for k, c in (("m", "n_mandatory"), ("c", "n_contextual"), ("f", "n_fp"), ("s", "skipped")))
+    return rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT {key} AS id, coalesce({text}, '') AS text FROM {source}), {found},
+ s AS (SELECT *, 0 AS k FROM red UNION ALL SELECT *, 1 FROM yel),
+ nb AS MATERIALIZED (SELECT s.*, row_number() OVER w AS i, lead(k) OVER w AS nk, substr(text, b, 1) AS tail, substr(text, a + 1, b - a) AS piece,
+  CASE WHEN lead(a) OVER w - b BETWEEN 1 AND 2 THEN substr(text, b + 1, lead(a) OVER w - b) WHEN lead(a) OVER w - b > 2 THEN substr(text, b + 1, 1) || '...' ELSE '' END AS z,
+  substr(text, lead(a) OVER w + 1, lead(b) OVER w - lead(a) OVER w) AS follows
+  FROM s JOIN t USING (id) WINDOW w AS (PARTITION BY id ORDER BY a, b, k)),
+ con AS MATERIALIZED (SELECT *, CASE WHEN nk IS NULL THEN 0 WHEN z[1] = ' ' AND tail IN (')', ']', '}}', '>') THEN 1
+  WHEN length(z) = 1 AND NOT regexp_matches(z, '[\\/@\[\]{{}}()<>"''`A-Za-z0-9]') THEN 2 WHEN z = '/' AND regexp_full_match(piece || follows, '[0-9]+') THEN 1
+  WHEN regexp_full_match(z, '[)\]}}>][ \t]') THEN 1 ELSE 0 END AS how FROM nb),
+ dl AS MATERIALIZED (SELECT id, row_number() OVER (PARTITION BY id ORDER BY pos) AS j, pos, c FROM (
+  SELECT id, unnest(range(length(text)))::INT AS pos, unnest(string_split(text, '')) AS c FROM t) WHERE regexp_matches(c, '[\[\](){{}}<>"''`]')),
+ st(id, j, places, cs, o, e, oc, ec) AS (SELECT id, 0::BIGINT, []::INT[], []::VARCHAR[], NULL::INT, NULL::INT, NULL::VARCHAR, NULL::VARCHAR FROM t UNION ALL
+  SELECT id, j, CASE step WHEN 'push' THEN list_append(places, pos) WHEN 'stay' THEN places ELSE places[:-2] END, CASE step WHEN 'push' THEN list_append(cs, c) WHEN 'stay' THEN cs ELSE cs[:-2] END,
+   CASE step WHEN 'pair' THEN places[-1] END, pos, cs[-1], c
+  FROM (SELECT st.id, dl.j, places, cs, pos, c, CASE WHEN c IN ('"', '''', '`') AND cs[-1] = c THEN 'pair' WHEN c IN ('"', '''', '`', '(', '[', '{{', '<') THEN 'push'
+   WHEN len(cs) = 0 THEN 'stay' WHEN cs[-1] || c IN ('()', '[]', '{{}}', '<>') THEN 'pair' ELSE 'drop' END AS step FROM st JOIN dl ON dl.id = st.id AND dl.j = st.j + 1)),
+ pairs AS MATERIALIZED (SELECT id, o, e, oc, ec FROM st WHERE o IS NOT NULL AND EXISTS (FROM yel y WHERE y.id = st.id AND y.a < e + 1 AND y.b > o)
+  AND NOT EXISTS (FROM red r WHERE r.id = st.id AND r.a >= o AND r.b <= e + 1)),
+ marks AS MATERIALIZED (SELECT id, unnest(CASE WHEN z[1] = ' ' AND tail IN (')', ']', '}}', '>') THEN [tail, ' '] ELSE string_split(z, '') END) AS m FROM con WHERE how > 0
+  UNION SELECT id, oc FROM pairs UNION SELECT id, ec FROM pairs),
+ near AS (SELECT id, i AS x, i + 1 AS y FROM con WHERE nk = k AND how > 1 - k),
+ y AS MATERIALIZED (SELECT id, i, a, b, piece FROM nb WHERE k = 1),
+ inner_ AS (SELECT p.id, o, y.i, min(y.i) OVER (PARTITION BY p.id, o) AS f FROM pairs p JOIN y ON y.id = p.id AND y.a >= o AND y.b <= e + 1),
+ both_ AS MATERIALIZED (SELECT id, x, y FROM near UNION SELECT id, y, x FROM near),
+ edges AS MATERIALIZED (SELECT * FROM both_ UNION SELECT id, i, f FROM inner_ UNION SELECT id, f, i FROM inner_),
+ reach(id, i, r) AS (SELECT id, i, i FROM nb UNION SELECT h.id, h.i, e.y FROM reach h JOIN edges e ON e.id = h.id AND e.x = h.r),
+ ent AS MATERIALIZED (SELECT id, i, min(r) AS g FROM reach GROUP BY id, i),
+ held AS (SELECT p.id, p.o, p.e, min(y.i) AS x FROM (SELECT id, o, e, unnest([o, e]) AS pos FROM pairs) p JOIN y ON y.id = p.id AND y.a <= pos AND y.b > pos GROUP BY p.id, p.o, p.e, pos),
+ steps AS MATERIALIZED (SELECT * FROM both_ UNION SELECT h.id, h.x, y.i FROM held h JOIN y ON y.id = h.id AND y.a >= o AND y.b <= e),
+ hit(id, i) AS (SELECT y.id, y.i FROM y JOIN pred p ON p.id = y.id AND p.a < y.b AND y.a < p.b UNION SELECT h.id, e.y FROM hit h JOIN steps e ON e.id = h.id AND e.x = h.i),
+ {merged('pr', 'SELECT * FROM pred')}, {merged('su', 'SELECT id, a, b FROM s')},
+ cov AS MATERIALIZED (SELECT n.id, n.i, n.k, n.piece, sum(CASE WHEN p.a IS NULL THEN 0 ELSE least(n.b, p.b) - greatest(n.a, p.a) END) / (n.b - n.a) AS c
+  FROM nb n LEFT JOIN pr p ON p.id = n.id AND p.a < n.b AND p.b > n.a GROUP BY n.id, n.i, n.k, n.piece, n.a, n.b),
+ grp AS (SELECT cov.id, k, g, count(*) AS size, min(piece) AS piece, avg(c) AS whole, avg(c) FILTER (WHERE hit.i IS NOT NULL) AS share
+  FROM cov JOIN ent USING (id, i) LEFT JOIN hit ON hit.id = cov.id AND hit.i = cov.i GROUP BY cov.id, k, g),
+ own AS (SELECT *, bool_or(k = 0) OVER (PARTITION BY id) AS has FROM grp),
+ ctx AS (SELECT id, CASE WHEN share IS NULL THEN 's' ELSE 'c' END AS kind, CASE WHEN share IS NULL OR has THEN 0 ELSE share END AS n,
+  CASE WHEN share IS NULL THEN 0 WHEN has THEN 1 - share ELSE 1 END AS d FROM own WHERE k = 1 AND (size > 1 OR (id, piece) NOT IN (SELECT (id, m) FROM marks))),
+ ga AS MATERIALIZED (SELECT id, lag(b, 1, 0) OVER (PARTITION BY id ORDER BY a) AS a, a AS b FROM (SELECT * FROM su UNION ALL SELECT id, length(text), length(text) FROM t)),
+ fp AS (SELECT ga.id, 'f' AS kind, 0.0 AS n, CASE WHEN pr.a <= ga.a AND ga.b <= pr.b AND ga.b - ga.a >= 3 THEN 2.0 ELSE 1.0 END AS d FROM ga JOIN pr ON pr.id = ga.id AND pr.a < ga.b AND pr.b > ga.a AND ga.a < ga.b),
+ terms AS (SELECT id, 'm' AS kind, whole::DOUBLE AS n, 1::DOUBLE AS d FROM own WHERE k = 0 UNION ALL SELECT id, kind, n, d FROM ctx UNION ALL SELECT id, kind, n, d FROM fp),
+ sums AS (SELECT t.id, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(d), 0)::DOUBLE AS d, {numbers} FROM t LEFT JOIN terms USING (id) GROUP BY t.id)
+ SELECT id AS doc_id, round(n, 9) AS n, round(d, 9) AS d, n_mandatory, n_contextual, n_fp, skipped, round(CASE WHEN d > 0 THEN n / d ELSE 0 END, 9) AS r FROM sums"""
+
+
+ORACLES["rscore_pages"] = scored("pages", "page_id", "html")
+ORACLES["rscore_texts"] = scored("documents", "doc_id", "text")
+ORACLES["rscore_report_sources"] = f"""WITH j AS (SELECT d.source, s.r FROM ({scored('documents', 'doc_id', 'text')}) s JOIN documents d USING (doc_id))
+ SELECT NULL AS category, round(avg(r), 9) AS mean, round(quantile_cont(r, 0.2), 9) AS p20, round(quantile_cont(r, 0.5), 9) AS p50, count(*) AS n FROM j
+ UNION ALL SELECT source, round(avg(r), 9), round(quantile_cont(r, 0.2), 9), round(quantile_cont(r, 0.5), 9), count(*) FROM j WHERE source <> '' GROUP BY source"""
 ORACLES["corpus_structures"] = """SELECT category, CASE WHEN category IN ('code', 'files', 'logs', 'terminal') THEN 'structured' ELSE 'unstructured' END AS structure
  FROM (VALUES ('emails'), ('medical'), ('legal'), ('academic'), ('financial'), ('government'), ('operations'), ('code'), ('files'), ('logs'), ('terminal')) AS t(category)"""
 ORACLES["template_rows"] = """SELECT id::BIGINT AS id, ['User bob logged in from 10.1.1.1', 'export KEY=abc', 'see a@b.org'][id % 3 + 1] AS text,

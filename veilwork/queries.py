@@ -608,13 +608,13 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 for _which in ("RULES", "PREDICTIONS", "EMPTY"):
-    QUERIES[f"rscore_per_doc_{_which.lower()}"] = lambda spark, sf_dir, which=_which: _rounded(scoring.scores(scoring.score_terms(_corpus(spark, which))))
+    QUERIES[f"rscore_per_doc_{_which.lower()}"] = lambda spark, sf_dir, which=_which: _rounded(scoring.scores(_corpus(spark, which)))
 
 
 @query
 def rscore_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus_ = _corpus(spark, "RULES")
-    return _rounded(scoring.report(scoring.scores(scoring.score_terms(corpus_)), corpus_.select("doc_id", "category")))
+    return _rounded(scoring.report(scoring.scores(corpus_), corpus_.select("doc_id", "category")))
 
 
 @query
@@ -624,7 +624,43 @@ def rscore_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("gold", S.dedupe(S.detect(F.col("text"))))
     spans = F.transform("gold", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("mandatory").alias("category")))
     docs = docs.withColumn("spans", spans).withColumn("predictions", as_pairs(detection.demo_spans(F.col("text"))))
-    return _rounded(scoring.scores(scoring.score_terms(docs)))
+    return _rounded(scoring.scores(docs))
+
+
+#: What is mandatory, contextual and predicted where whole tables are scored.
+SCORED = {"mandatory": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "contextual": r"[A-Z][a-z]*|[0-9]+", "predicted": r"[A-M][a-z]+ [a-z]+|[5-9]+|[N-P][a-z]+[^A-Z0-9@]{1,40}[A-Z]"}
+
+
+def _scored(df: DataFrame, key: str, text: str) -> DataFrame:
+    def found(kind: str) -> Column:
+        return S.matches(F.col("text"), SCORED[kind])
+
+    def own(kind: str) -> Column:
+        return F.transform(found(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("category")))
+
+    docs = df.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    predicted = F.transform(found("predicted"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return docs.select("doc_id", "text", F.concat(own("mandatory"), own("contextual")).alias("spans"), predicted.alias("predictions"))
+
+
+@query
+def rscore_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all pages: mail addresses are mandatory, capitalised words and numbers contextual; markup has nested delimiters."""
+    return _rounded(scoring.scores(_scored(table(spark, sf_dir, "pages"), "page_id", "html")))
+
+
+@query
+def rscore_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the same patterns."""
+    return _rounded(scoring.scores(_scored(table(spark, sf_dir, "documents"), "doc_id", "text")))
+
+
+@query
+def rscore_report_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and quantiles of the scores of all documents, over all and by source."""
+    docs = table(spark, sf_dir, "documents")
+    score = scoring.scores(_scored(docs, "doc_id", "text"))
+    return _rounded(scoring.report(score, docs.select("doc_id", F.col("source").alias("category"))))
 
 
 @query
