@@ -339,7 +339,7 @@ ORACLES["rscore_report"] = """SELECT category, round(mean::DOUBLE, 9) AS mean, p
 # p20 of emails interpolates between zeros
 
 
-def scored(source: str, key: str, text: str) -> str:
+def scored(source: str, key: str, text: str, digits: int = 9) -> str:
     """Scores of texts: a stack machine by delimiters, edges between spans followed to the end, joins for all that overlaps."""
     pattern = {"red": "[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "yel": "[A-Z][a-z]*|[0-9]+", "pred": "[A-M][a-z]+ [a-z]+|[5-9]+|[N-P][a-z]+[^A-Z0-9@]{1,40}[A-Z]"}
     found = ", ".join(f"""{n} AS MATERIALIZED (SELECT id, "start"::INT AS a, "end"::INT AS b FROM ({spans('X', 't', 'id', 'text', p)}))""" for n, p in pattern.items())
@@ -391,12 +391,12 @@ def scored(source: str, key: str, text: str) -> str:
  fp AS (SELECT ga.id, 'f' AS kind, 0.0 AS n, CASE WHEN pr.a <= ga.a AND ga.b <= pr.b AND ga.b - ga.a >= 3 THEN 2.0 ELSE 1.0 END AS d FROM ga JOIN pr ON pr.id = ga.id AND pr.a < ga.b AND pr.b > ga.a AND ga.a < ga.b),
  terms AS (SELECT id, 'm' AS kind, whole::DOUBLE AS n, 1::DOUBLE AS d FROM own WHERE k = 0 UNION ALL SELECT id, kind, n, d FROM ctx UNION ALL SELECT id, kind, n, d FROM fp),
  sums AS (SELECT t.id, coalesce(sum(n), 0)::DOUBLE AS n, coalesce(sum(d), 0)::DOUBLE AS d, {numbers} FROM t LEFT JOIN terms USING (id) GROUP BY t.id)
- SELECT id AS doc_id, round(n, 9) AS n, round(d, 9) AS d, n_mandatory, n_contextual, n_fp, skipped, round(CASE WHEN d > 0 THEN n / d ELSE 0 END, 9) AS r FROM sums"""
+ SELECT id AS doc_id, round(n, {digits}) AS n, round(d, {digits}) AS d, n_mandatory, n_contextual, n_fp, skipped, round(CASE WHEN d > 0 THEN n / d ELSE 0 END, {digits}) AS r FROM sums"""
 
 
 ORACLES["rscore_pages"] = scored("pages", "page_id", "html")
 ORACLES["rscore_texts"] = scored("documents", "doc_id", "text")
-ORACLES["rscore_report_sources"] = f"""WITH j AS (SELECT d.source, s.r FROM ({scored('documents', 'doc_id', 'text')}) s JOIN documents d USING (doc_id))
+ORACLES["rscore_report_sources"] = f"""WITH j AS (SELECT d.source, s.r FROM ({scored('documents', 'doc_id', 'text', 15)}) s JOIN documents d USING (doc_id))
  SELECT NULL AS category, round(avg(r), 9) AS mean, round(quantile_cont(r, 0.2), 9) AS p20, round(quantile_cont(r, 0.5), 9) AS p50, count(*) AS n FROM j
  UNION ALL SELECT source, round(avg(r), 9), round(quantile_cont(r, 0.2), 9), round(quantile_cont(r, 0.5), 9), count(*) FROM j WHERE source <> '' GROUP BY source"""
 ORACLES["corpus_structures"] = """SELECT category, CASE WHEN category IN ('code', 'files', 'logs', 'terminal') THEN 'structured' ELSE 'unstructured' END AS structure
