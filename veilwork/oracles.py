@@ -228,6 +228,26 @@ _sides = f"""r AS MATERIALIZED (SELECT doc_id, "start" - 40 AS a, "end" + 40 AS
  rg AS MATERIALIZED (SELECT doc_id, p AS a, a AS b FROM (SELECT doc_id, a, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a, b) AS p
   FROM (SELECT doc_id, a, b FROM ru UNION ALL SELECT doc_id, length(text), length(text) FROM documents)) WHERE p < a)"""
 _hits = "EXISTS (SELECT 1 FROM r WHERE r.doc_id = d.doc_id AND r.a < d.\"end\" AND d.\"start\" < r.b)"
+_judged = f"""(SELECT type, count(*) FILTER (WHERE g AND p) AS tp, count(*) FILTER (WHERE g IS NULL) AS fp, count(*) FILTER (WHERE p IS NULL) AS fn FROM
+ (SELECT DISTINCT doc_id, "start", "end", type, true AS g FROM ({DOC_SPANS})) FULL JOIN
+ (SELECT DISTINCT doc_id, "start", "end", split_part(span_id, '-', 1) AS type, true AS p FROM ({_demo_spans()})) USING (doc_id, "start", "end", type) GROUP BY type)"""
+ORACLES["eval_documents"] = f"SELECT * FROM {_judged}"
+ORACLES["eval_documents_prf1"] = f"""WITH c AS (SELECT coalesce(type, 'OVERALL') AS type, sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM {_judged} GROUP BY ROLLUP (type)),
+ s AS (SELECT *, coalesce(tp / nullif(tp + fp, 0), 0) AS p, coalesce(tp / nullif(tp + fn, 0), 0) AS r FROM c)
+ SELECT type, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(coalesce(2 * p * r / nullif(p + r, 0), 0), 9) AS f1 FROM s"""
+_words = spans("X", "(SELECT conv_id || '/' || turn AS id, text FROM conversations)", "id", "text", "[A-Za-z0-9]+")
+ORACLES["bio_conversations"] = f"""WITH w AS (SELECT *, CASE WHEN regexp_matches(value, '^[A-Z]') THEN 'NAME' WHEN regexp_matches(value, '^[0-9]') THEN 'NUM' END AS kind,
+  regexp_matches(value, '^[A-Z]') AND length(value) % 2 = 0 AS fresh FROM ({_words})),
+ m AS (SELECT *, sum(CASE WHEN fresh OR kind IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY "start") AS k FROM (
+  SELECT *, lag(kind) OVER (PARTITION BY id ORDER BY "start") AS before FROM w))
+ SELECT id, min("start") AS "start", max("end") AS "end", kind AS type FROM m WHERE kind IS NOT NULL GROUP BY id, k, kind"""
+ORACLES["model_output_documents"] = """SELECT doc_id, (instr(text, value) - 1)::BIGINT AS "start", (instr(text, value) - 1 + length(value))::BIGINT AS "end", type, confidence::DOUBLE AS confidence
+ FROM documents, (VALUES ('PERSON', 'Anna', 0.9), ('WORD', 'the', 0.8), ('PLACE', 'no such place', 0.7), ('MARK', '@', 0.6)) AS a(type, value, confidence) WHERE instr(text, value) > 0"""
+ORACLES["audit_retention_events"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'at ' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts FROM events
+ WHERE event_type = 'error' OR date_trunc('second', ts) >= TIMESTAMP '2024-01-10'"""
+ORACLES["disagreement_of_events"] = """WITH u AS (SELECT date_trunc('hour', ts) AS unit, count(*) AS m, count(*) FILTER (WHERE value > 50) AS k FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+ s AS (SELECT count(*) AS q, sum(m) AS n, sum(k) AS n1, sum(2.0 * k * (m - k) / (m - 1)) AS apart FROM u)
+ SELECT q AS n_qualifying_units, n1::BIGINT AS n_redact_votes, (n - n1)::BIGINT AS n_no_redact_votes, round(1 - (apart / n) / (2.0 * n1 * (n - n1) / (n * (n - 1))), 9) AS global_alpha FROM s"""
 ORACLES["document_interval_gaps"] = f'WITH {_sides} SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end" FROM rg'
 ORACLES["document_interval_difference"] = f"""WITH {_sides} SELECT du.doc_id, greatest(du.a, rg.a)::BIGINT AS "start", least(du.b, rg.b)::BIGINT AS "end"
  FROM du JOIN rg ON du.doc_id = rg.doc_id AND du.a < rg.b AND rg.a < du.b"""

@@ -576,6 +576,62 @@ def eval_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.summary(_fixture_outcomes(spark)).select("type", row.alias("line"))
 
 
+def _document_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What demonstration rules find, judged by what the rules find, over all documents."""
+    gold = detection.span_table(table(spark, sf_dir, "documents"), "doc_id", "text", list(SIDE_RULES))
+    _, demo, _ = _document_sides(spark, sf_dir)
+    return evaluation.outcomes(gold, demo.withColumn("type", F.substring_index("span_id", "-", 1)))
+
+
+@query
+def eval_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_outcomes(spark, sf_dir)
+
+
+@query
+def eval_documents_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(evaluation.summary(_document_outcomes(spark, sf_dir)))
+
+
+@query
+def bio_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tagged words of all conversations: capitals begin or go on with a name by their length, figures go on with a number."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), "text")
+
+    def tag(word: Column) -> Column:
+        name = F.when(F.length(word) % 2 == 0, "B-NAME").otherwise("I-NAME")
+        return F.when(word.rlike("^[A-Z]"), name).when(word.rlike("^[0-9]"), "I-NUM").otherwise("O")
+
+    tokens = F.transform(S.matches(F.col("text"), "[A-Za-z0-9]+"), lambda w: F.struct(tag(w["value"]).alias("tag"), w["start"].alias("start"), w["end"].alias("end")))
+    tagged = rows.select("id", F.explode(detection.bio_spans(tokens)).alias("s"))
+    return numbered(tagged.select("id", "s.start", "s.end", "s.type"))
+
+
+@query
+def model_output_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answers without offsets, for all documents: first places of the values that are there."""
+    answers = [("person", "Anna", 0.9), ("word", "the", 0.8), ("place", "no such place", 0.7), ("mark", "@", 0.6)]
+    found = F.array(*(F.struct(F.lit(a).alias("label"), F.lit(v).alias("value"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("int").alias("end"), F.lit(c).alias("score")) for a, v, c in answers))
+    docs = table(spark, sf_dir, "documents")
+    spans = docs.select("doc_id", F.explode(detection.normalize_model_output(F.col("text"), found)).alias("s"))
+    return numbered(spans.select("doc_id", "s.start", "s.end", "s.type", F.round("s.confidence", 3).alias("confidence")))
+
+
+@query
+def audit_retention_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events from a day on; those whose time cannot be read stay."""
+    events_ = table(spark, sf_dir, "events")
+    written = F.when(F.col("event_type") == "error", F.concat(F.lit("at "), F.col("event_id"))).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    return operations.retained(events_.select("event_id", written.alias("ts")), "ts", "2024-01-10 00:00:00")
+
+
+@query
+def disagreement_of_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units, votes and alpha over all events."""
+    rows = table(spark, sf_dir, "events").select(F.date_trunc("hour", "ts").cast("string").alias("unit_id"), F.col("user_id").alias("rater"), (F.col("value") > 50).alias("redacted"))
+    return _rounded(agreement.report(rows.withColumn("kind", F.lit("hour"))))
+
+
 @query
 def labels_by_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (F.size(S.detect(F.col("text"))) > 0).alias("pii"))
