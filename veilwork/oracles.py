@@ -245,9 +245,6 @@ ORACLES["model_output_documents"] = """SELECT doc_id, (instr(text, value) - 1)::
  FROM documents, (VALUES ('PERSON', 'Anna', 0.9), ('WORD', 'the', 0.8), ('PLACE', 'no such place', 0.7), ('MARK', '@', 0.6)) AS a(type, value, confidence) WHERE instr(text, value) > 0"""
 ORACLES["audit_retention_events"] = """SELECT event_id, CASE WHEN event_type = 'error' THEN 'at ' || event_id ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS ts FROM events
  WHERE event_type = 'error' OR date_trunc('second', ts) >= TIMESTAMP '2024-01-10'"""
-ORACLES["disagreement_of_events"] = """WITH u AS (SELECT date_trunc('hour', ts) AS unit, count(*) AS m, count(*) FILTER (WHERE value > 50) AS k FROM events WHERE value IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
- s AS (SELECT count(*) AS q, sum(m) AS n, sum(k) AS n1, sum(2.0 * k * (m - k) / (m - 1)) AS apart FROM u)
- SELECT q AS n_qualifying_units, n1::BIGINT AS n_redact_votes, (n - n1)::BIGINT AS n_no_redact_votes, round(1 - (apart / n) / (2.0 * n1 * (n - n1) / (n * (n - 1))), 9) AS global_alpha FROM s"""
 ORACLES["document_interval_gaps"] = f'WITH {_sides} SELECT doc_id, a::BIGINT AS "start", b::BIGINT AS "end" FROM rg'
 ORACLES["document_interval_difference"] = f"""WITH {_sides} SELECT du.doc_id, greatest(du.a, rg.a)::BIGINT AS "start", least(du.b, rg.b)::BIGINT AS "end"
  FROM du JOIN rg ON du.doc_id = rg.doc_id AND du.a < rg.b AND rg.a < du.b"""
@@ -454,6 +451,9 @@ ORACLES["alpha_pooled_gaps"] = _alpha(f"(SELECT unit_id, CASE WHEN kind LIKE 'ga
 ORACLES["disagreement_report"] = f"""SELECT (SELECT count(*) FROM {_units(_ratings)} WHERE m >= 2) AS n_qualifying_units, (SELECT count(*) FROM {_ratings} WHERE redacted) AS n_redact_votes,
  (SELECT count(*) FROM {_ratings} WHERE NOT redacted) AS n_no_redact_votes, ({_alpha(_ratings, '')}) AS global_alpha"""
 _events = "(SELECT date_trunc('hour', ts)::VARCHAR AS unit_id, event_type AS kind, value > 50 AS redacted FROM events)"
+_hours = "(SELECT date_trunc('hour', ts)::VARCHAR AS unit_id, 'hour' AS kind, value > 50 AS redacted FROM events)"
+ORACLES["disagreement_of_events"] = f"""SELECT (SELECT count(*) FROM {_units(_hours)} WHERE m >= 2) AS n_qualifying_units, (SELECT count(*) FROM {_hours} WHERE redacted) AS n_redact_votes,
+ (SELECT count(*) FROM {_hours} WHERE NOT redacted) AS n_no_redact_votes, ({_alpha(_hours, '')}) AS global_alpha"""
 ORACLES["agreement_of_events"] = f"SELECT * FROM ({_kinds(_events)}) JOIN ({_alpha(_events, 'kind,')}) USING (kind)"
 _p, _z = "(k / n)", 1.96
 _half = f"{_z} / (1 + {_z * _z} / n) * sqrt({_p} * (1 - {_p}) / n + {_z * _z} / (4.0 * n * n))"
