@@ -196,3 +196,65 @@ def test_every_document_has_its_event_stream(spark, sf_dir):
         want |= {(doc_id, i, f'data: {{"chunk_ix":{i}}}\n\n') for i in range(n)} | {(doc_id, n, "data: [DONE]\n\n")}
     rows = QUERIES["sse_stream_all"](spark, sf_dir).collect()
     assert len(rows) == len(want) and {(r["doc_id"], r["event_ix"], r["line"]) for r in rows} == want
+
+
+@pytest.mark.parametrize("n", [0, 1, 15, 16, 17, 300])
+def test_walks_carry_their_state_over_blocks(spark, n):
+    rows = [(i * 7) % 11 for i in range(n)]
+    df = spark.createDataFrame([(rows,)], "rows array<int>")
+    step = lambda s, r: (s + r, F.when(r % 3 == 0, F.array(s)).otherwise(S.empty("array<int>")))
+    got = df.select(S.walked(F.col("rows"), F.lit(0), step, "array<int>", lambda s: F.array(s))).first()[0]
+    want, total = [], 0
+    for r in rows:
+        want += [total] if r % 3 == 0 else []
+        total += r
+    assert got == [*want, total]
+
+
+def test_pieces_of_texts(spark):
+    text = "".join(chr(0x1F600 + i % 50) if i % 7 == 0 else "\n" if i % 5 == 0 else chr(97 + i % 26) for i in range(2000))
+    places = [(0, 0), (0, 2000), (511, 513), (512, 512), (512, 1024), (1023, 1024), (1999, 2000), (5, 1700), (1990, 2500), (3000, 3001)]
+    df = spark.createDataFrame([(text, places)], "text string, places array<struct<start:int,end:int>>")
+    got = df.select(S.with_values(F.col("text"), F.col("places"), lambda v, *_: v)).first()[0]
+    assert got == [text[a:b] for a, b in places]
+
+
+def test_long_lists_of_spans_by_plain_loops(spark):
+    """Folds, placeholders and consensus over many spans of one text, with chains, ties and values that come again."""
+    rng = random.Random(11)
+    text = " ".join(rng.choice(["anna", "bert", "cleo", "dörte", "😀"]) for _ in range(4000))
+    some = lambda: [(a, a + rng.randrange(1, 30), rng.choice("ABc"), rng.choice([0.2, 0.5, 0.9])) for a in rng.choices(range(len(text) - 30), k=1500)]
+    rules, model = some()[:400], some()
+    df = spark.createDataFrame([(text, rules, model)], f"text string, rules {S.SPANS}, model {S.SPANS}")
+    t, kept = F.col("text"), S.dedupe(F.col("model"))
+    fused = S.fuse(F.col("rules"), F.col("model"))
+    r = df.select(kept.alias("kept"), fused.alias("fused"), redaction.relex_pairs(t, kept).alias("relex"), redaction.typed_pairs(kept).alias("typed")).first()
+    want = plain.dedupe(model)
+    assert [tuple(s) for s in r["kept"]] == want
+    added = [m for m in model if m[3] >= 0.5 and not any(plain.overlap(x, m) for x in rules)]
+    assert [tuple(s) for s in r["fused"]] == plain.dedupe(rules + added)
+    names, counts, typed = {}, {}, []
+    for start, end, kind, _ in want:
+        mine = names.setdefault(kind.upper(), {})
+        mine.setdefault(text[start:end], len(mine) + 1)
+        counts[kind.upper()] = counts.get(kind.upper(), 0) + 1
+        typed.append(f"[{kind.upper()}_{counts[kind.upper()]:04d}]")
+    assert [p["replacement"] for p in r["relex"]] == [f"[{k.upper()}_{names[k.upper()][text[a:b]]:04d}]" for a, b, k, _ in want]
+    assert [p["replacement"] for p in r["typed"]] == typed
+
+
+def test_relex_with_a_cache_that_knows_some_values(spark):
+    spans = [(0, 1, "P", 1.0), (2, 3, "P", 1.0), (4, 5, "P", 1.0), (6, 7, "Q", 1.0)]
+    df = spark.createDataFrame([("a b a c", spans)], f"text string, spans {S.SPANS}")
+    pairs = redaction.relex_pairs(F.col("text"), F.col("spans"), cache=F.create_map(F.lit("P|a"), F.lit("[X]")))
+    assert [p["replacement"] for p in df.select(pairs).first()[0]] == ["[X]", "[P_0001]", "[X]", "[Q_0001]"]
+
+
+def test_a_hundred_thousand_spans_in_one_text(spark):
+    """The work is that of a sort: a quadratic one would not end within the test's patience."""
+    n = 100_000
+    df = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.concat(F.lit("é u"), i % 5000, F.lit("@ab.de"))), " ").alias("text"))
+    done = redaction.plain(df).withColumn("relexed", S.splice_disjoint(F.col("text"), redaction.relex_pairs(F.col("text"), F.col("spans"))))
+    r = done.select(F.size("spans").alias("n"), "redacted", "relexed").first()
+    assert r["n"] == n and r["redacted"] == " ".join(["é [REDACTED]"] * n)
+    assert r["relexed"] == " ".join(f"é [EMAIL_{i % 5000 + 1:04d}]" for i in range(n))

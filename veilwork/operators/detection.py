@@ -11,10 +11,9 @@ from veilwork.functions.text import lookup
 
 def exploded(df: DataFrame, key: str, text: str, spans: Column) -> DataFrame:
     """key, ord, start, end, type, value, a row for each span in its order (from 0)."""
-    df = df.select(key, F.col(text).alias("_text"), F.posexplode(spans).alias("ord", "span"))
-    return df.select(
-        key, "ord", "span.start", "span.end", "span.type", S.value_of(F.col("_text"), F.col("span")).alias("value"), "span.confidence"
-    )
+    valued = S.with_values(F.col(text), spans, lambda value, s, _: F.struct(s.alias("span"), value.alias("value")))
+    df = df.select(key, F.posexplode(valued).alias("ord", "one"))
+    return df.select(key, "ord", *(f"one.span.{c}" for c in ("start", "end", "type")), "one.value", "one.span.confidence")
 
 
 def span_table(df: DataFrame, key: str, text: str, entity_types: list[str] | None = None) -> DataFrame:

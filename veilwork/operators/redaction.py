@@ -40,50 +40,74 @@ def apply_hash(text: Column, spans: Column, salt: str = "", length: int = 8) ->
     return S.splice_disjoint(text, S.with_replacements(text, spans, tag))
 
 
-NUMBERED = "array<struct<key:string,type:string,replacement:string>>"
+COUNTED = "array<struct<type:string,n:int>>"
+
+
+def _numbers(rows: Column) -> Column:
+    """The number within its type of each row (type, counts) that counts, from 1; null for the others."""
+
+    def step(seen: Column, r: Column) -> tuple[Column, Column]:
+        n = F.coalesce(F.get(F.filter(seen, lambda c: c["type"].eqNullSafe(r["type"])), F.lit(0))["n"], F.lit(0)) + 1
+        others = F.filter(seen, lambda c: ~c["type"].eqNullSafe(r["type"]))
+        after = F.concat(others, F.array(F.struct(r["type"].alias("type"), n.alias("n")))).cast(COUNTED)
+        return F.when(r["counts"], after).otherwise(seen), F.array(F.when(r["counts"], n))
+
+    return S.walked(rows, S.empty(COUNTED), step, "array<int>")
+
+
+FIRSTS = "array<struct<i:int,first:int>>"
+
+
+def _firsts(keys: Column) -> Column:
+    """For each key the place of the first one that equals it."""
+    order = F.array_sort(F.transform(keys, lambda k, i: F.struct(k.alias("key"), i.alias("i"))))
+    start = F.expr("cast(null as struct<key:string,i:int>)")
+
+    def step(run: Column, k: Column) -> tuple[Column, Column]:
+        same = run.isNotNull() & run["key"].eqNullSafe(k["key"])
+        first = F.when(same, run["i"]).otherwise(k["i"])
+        return F.struct(k["key"].alias("key"), first.alias("i")), F.array(F.struct(k["i"].alias("i"), first.alias("first")))
+
+    return F.transform(F.array_sort(S.walked(order, start, step, FIRSTS)), lambda f: f["first"])
 
 
 def relex_pairs(text: Column, spans: Column, seed: str | None = None, cache: Column | None = None) -> Column:
     """(span, placeholder): per type numbered in the order of first appearance, equal values alike.
 
-    cache is a map from "[seed|]TYPE|value" to placeholders that go first and use up no number.
+    cache is a map from "[seed|]TYPE|value" to placeholders that go first and use up no number. The work is that of a sort
+    of the spans, times the number of types (and, with a cache, that of its entries).
     """
     prefix = f"{seed}|" if seed else ""
-    cached = cache if cache is not None else F.expr("cast(map() as map<string,string>)")
+    cached = (lambda key: cache[key]) if cache is not None else (lambda key: F.lit(None).cast("string"))
+    key = lambda value, s, _: F.concat(F.lit(prefix), F.upper(s["type"]), F.lit("|"), value)
 
-    def key(s: Column) -> Column:
-        return F.concat(F.lit(prefix), F.upper(s["type"]), F.lit("|"), S.value_of(text, s))
+    def paired(spans: Column, keys: Column, firsts: Column) -> Column:
+        def row(s: Column, i: Column) -> Column:
+            return F.struct(F.upper(s["type"]).alias("type"), ((F.get(firsts, i) == i) & cached(F.get(keys, i)).isNull()).alias("counts"))
 
-    def step(acc: Column, s: Column) -> Column:
-        known = F.exists(acc, lambda a: a["key"] == key(s)) | cached[key(s)].isNotNull()
-        number = F.size(F.filter(acc, lambda a: a["type"] == F.upper(s["type"]))) + 1
-        name = T.placeholder(s["type"], number)
-        name = T.seed_signature(name, seed) if seed is not None else name
-        fresh = F.struct(key(s).alias("key"), F.upper(s["type"]).alias("type"), name.alias("replacement"))
-        return F.when(known, acc).otherwise(F.concat(acc, F.array(fresh)))
+        def named(numbers: Column) -> Column:
+            def pair(s: Column, i: Column) -> Column:
+                name = T.placeholder(s["type"], F.get(numbers, F.get(firsts, i)))
+                name = T.seed_signature(name, seed) if seed is not None else name
+                return F.struct(s.alias("span"), F.coalesce(cached(F.get(keys, i)), name).alias("replacement"))
 
-    minted = F.aggregate(spans, S.empty(NUMBERED), step)
-    names = F.map_from_entries(F.transform(minted, lambda m: F.struct(m["key"], m["replacement"])))
-    return F.transform(spans, lambda s: F.struct(s.alias("span"), F.coalesce(cached[key(s)], names[key(s)]).alias("replacement")))
+            return F.transform(spans, pair)
 
+        return S.let(_numbers(F.transform(spans, row)), named)
 
-TYPED = f"array<struct<span:{S.SPAN},replacement:string>>"
-COUNTED = "array<struct<type:string,n:int>>"
+    keyed = lambda ss: S.let(S.with_values(text, ss, key), lambda ks: S.let(_firsts(ks), lambda fs: paired(ss, ks, fs)))
+    return S.let(spans, keyed)
 
 
 def typed_pairs(spans: Column) -> Column:
     """(span, placeholder): per type numbered from 1, every occurrence anew."""
-    start = F.struct(S.empty(COUNTED).alias("seen"), S.empty(TYPED).alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        kind = F.upper(s["type"])
-        n = F.coalesce(F.get(F.filter(acc["seen"], lambda c: c["type"] == kind), F.lit(0))["n"], F.lit(0)) + 1
-        others = F.filter(acc["seen"], lambda c: c["type"] != kind)
-        seen = F.concat(others, F.array(F.struct(kind.alias("type"), n.alias("n")))).cast(COUNTED)
-        pair = F.struct(s.alias("span"), T.placeholder(s["type"], n).alias("replacement"))
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(pair)).cast(TYPED).alias("out"))
+    def paired(spans: Column) -> Column:
+        rows = F.transform(spans, lambda s: F.struct(F.upper(s["type"]).alias("type"), F.lit(True).alias("counts")))
+        pair = lambda ns: F.transform(spans, lambda s, i: F.struct(s.alias("span"), T.placeholder(s["type"], F.get(ns, i)).alias("replacement")))
+        return S.let(_numbers(rows), pair)
 
-    return F.aggregate(spans, start, step, lambda acc: acc["out"])
+    return S.let(spans, paired)
 
 
 def staged(df: DataFrame, text: str, model_spans: Column, circuit_open: Column, salt: str = "", fail: bool = False) -> DataFrame:
