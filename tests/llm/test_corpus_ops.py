@@ -3,10 +3,12 @@
 import math
 import os
 import random
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import brute
@@ -330,6 +332,27 @@ def test_scores_of_dirty_rows(spark, monkeypatch):
     assert [r["train_tokens"] for r in gru_lm.score_documents(lone).collect()] == [6, 6]
 
 
+def test_numbering_holds_little_at_once(spark):
+    """Texts of 8 MB whose words a worker does not know."""
+
+    class Caught:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = gru_lm.numbered(Caught(), gru_lm.Vocabulary({"a": 3}, 3, 1))
+    texts = [" ".join(f"w{k}-{i}" for i in range(20_000)) + " a a" for k in range(40)]
+    batch = pa.RecordBatch.from_pydict({"row": list(range(40)), "doc_id": list(range(40)), "text": texts})
+    tracemalloc.start()
+    found = [(out.column("n_known").to_pylist(), out.column("n_tokens").to_pylist()) for out in run(iter([batch]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [n for known, _ in found for n in known] == [2] * 40 and {n for _, sizes in found for n in sizes} == {20_003}
+    assert peak < 100e6
+
+
 def test_network_beats_the_base_on_held_out_documents(spark, sf_dir):
     rows = QUERIES["op10_gru_scores"](spark, sf_dir.replace("sf0.001", "sf0.01")).where("held_out").collect()
     assert sum(r["score"] for r in rows) > 0.97 * sum(r["base_score"] for r in rows) and len(rows) > 50

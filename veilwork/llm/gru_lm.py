@@ -30,6 +30,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, fields
+from itertools import chain, pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,7 @@ SHARD_WORDS, AVERAGED, GROUP_WORDS = 2_000_000, 32, 1_000_000
 #: Steps of a window, and lanes in training and in scoring.
 TRAIN_WINDOW, TRAIN_LANES, WINDOW, LANES = 16, 512, 32, 512
 #: Distinct words that a task counts before it hands them on, bytes of text numbered together, and words scored together.
-COUNTED_WORDS, NUMBERED_BYTES, SCORED_WORDS = 300_000, 8_000_000, 4_000_000
+COUNTED_WORDS, NUMBERED_BYTES, SCORED_WORDS = 300_000, 1_000_000, 4_000_000
 
 
 def is_held_out(doc_id: int | None) -> bool:
@@ -414,28 +415,42 @@ NUMBERED = """row long, doc_id long, held_out boolean, n_tokens long, n_known lo
 
 def numbered(df: DataFrame, vocab: Vocabulary) -> DataFrame:
     """What a worker can tell of each row: its words by number, two bytes each, and words whose counts it does not have."""
-    other = pa.struct([("word", pa.string()), ("n", pa.int64())])
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(other)]
     names = [c.split()[0] for c in NUMBERED.replace("<word: string, n: long>", "").split(",")]
-    schema = pa.schema(list(zip(names, kinds)))
 
     def rows_of(codes: dict[bytes, int], logs: np.ndarray, keys: list, texts: list[bytes]) -> pa.RecordBatch:
-        rows = []
-        for row, doc_id, text in zip(*keys, texts):
-            tokens = tokens_of(text)
-            at = np.array([codes.get(t, -1) for t in tokens], np.int64)
-            numbers = np.where(at < 0, RARE, np.minimum(at, RARE))
-            strange = Counter(tokens[i] for i in np.flatnonzero(at < 0).tolist())
-            known = len(tokens) - strange.total()
-            all_logs, rare_logs = float(logs[at[at >= 0]].sum()), float(logs[at[at >= RARE]].sum())
-            others = [{"word": w.decode(), "n": n} for w, n in strange.items()]
-            n_rare = int((numbers == RARE).sum())
-            rows.append([row, doc_id, is_held_out(doc_id), len(tokens), known, all_logs, n_rare, rare_logs, numbers.astype("<u2").tobytes(), others])
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], schema=schema)
+        """All texts at once; logs ends with a zero, which unknown words (-1) get."""
+        parts = [tokens_of(text) for text in texts]
+        sizes = np.array([len(p) for p in parts], np.int64)
+        ends = np.cumsum(sizes)
+        flat = list(chain.from_iterable(parts))
+        at = np.fromiter(map(codes.get, flat, repeat(-1)), np.int64, len(flat))
+        numbers = np.where(at < 0, RARE, np.minimum(at, RARE)).astype("<u2")
+        per_row = lambda x: np.add.reduceat(x, ends - sizes)  # noqa: E731 (no row is without tokens)
+        of_known = logs[at]
+        strange = np.flatnonzero(at < 0).tolist()
+        bounds, words, times, offsets = np.searchsorted(strange, np.r_[0, ends]).tolist(), [], [], [0]
+        for begin, end in pairwise(bounds):
+            own = Counter(flat[i] for i in strange[begin:end])
+            words += own.keys()
+            times += own.values()
+            offsets.append(len(words))
+        other = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array(times, pa.int64())], ["word", "n"])
+        columns = [
+            *(pa.array(k, pa.int64()) for k in keys),
+            pa.array([is_held_out(doc_id) for doc_id in keys[1]], pa.bool_()),
+            pa.array(sizes),
+            pa.array(per_row((at >= 0).astype(np.int64))),
+            pa.array(per_row(of_known)),
+            pa.array(per_row((numbers == RARE).astype(np.int64))),
+            pa.array(per_row(np.where(at >= RARE, of_known, 0.0))),
+            pa.array([numbers[e - n : e].tobytes() for e, n in zip(ends.tolist(), sizes.tolist())], pa.binary()),
+            pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), other),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = {w.encode(): i for i, w in enumerate(vocab.counts)}
-        logs = np.log10(np.array([*vocab.counts.values()], float) + 1)
+        logs = np.r_[np.log10(np.array([*vocab.counts.values()], float) + 1), 0.0]
         for batch in batches:
             keys = [batch.column("row").to_pylist(), batch.column("doc_id").to_pylist()]
             texts, begin, size = utf8_of(batch), 0, 0
@@ -560,11 +575,9 @@ def score_documents(df: DataFrame) -> DataFrame:
     scored = with_scores(rows, train(rows, vocab))
     words = rows.select("row", F.explode("others").alias("other")).select("row", "other.word", F.col("other.n").alias("times"))
     met = words.join(counts, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    logs = stored(
-        met.groupBy("row").agg(
-            F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("other_logs"),
-            F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("other_known"),
-        )
+    logs = met.groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("other_logs"),
+        F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("other_known"),
     )
     rare_words = vocab.distinct - len(vocab.place)
     of_all, of_rare = math.log10(vocab.total + vocab.distinct + 1), math.log10(vocab.total - vocab.placed + rare_words + 1)
