@@ -169,3 +169,22 @@ def test_quantiles(spark, monkeypatch, exclusive):
         cuts = statistics.quantiles(own, n=100, method=method) if len(own) > 1 else own * 99
         assert [out[k]["low"], out[k]["mid"], out[k]["high"]] == pytest.approx([cuts[4], cuts[49], cuts[94]]), k
     assert evaluation.quantiles(df.limit(0), ["g"], "v", {"p": 0.5}).collect() == []
+
+
+SCORED = "doc_id long, text string, spans array<struct<start:int,end:int,category:string>>, predictions array<struct<start:int,end:int>>"
+
+
+def test_what_follows_the_last_span_connects_nothing(spark):
+    df = spark.createDataFrame([(1, "b   .   b.", [(4, 5, "contextual"), (8, 9, "contextual")], [(4, 5)])], SCORED)
+    found = sorted((r["kind"], r["n"], r["d"]) for r in scoring.score_terms(df).collect())
+    assert found == sorted(plain.terms("b   .   b.", [], [(4, 5), (8, 9)], [(4, 5)])) == [("contextual", 1.0, 1.0), ("skipped", 0.0, 0.0)]
+
+
+def test_texts_without_pairs_move_once(spark):
+    """The scores of texts without pairs of delimiters come from one shuffle of places, and nothing is stored but what facts() tells."""
+    df = spark.createDataFrame([(i, "Ab cd, 12 3. Ef", [(0, 2, "contextual"), (7, 9, "contextual")], [(0, 5)]) for i in range(50)], SCORED)
+    rows = scoring._plain_terms(scoring.facts(df)).groupBy("doc_id").agg(F.sum(F.col("d") + F.col("fp") + F.col("whole")).alias("d"))
+    plan = rows._jdf.queryExecution().sparkPlan().toString()
+    shuffles = rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    assert shuffles == 1 and "Python" not in plan
+    assert {r["d"] for r in rows.collect()} == {sum(d for _, _, d in plain.terms("Ab cd, 12 3. Ef", [], [(0, 2), (7, 9)], [(0, 5)]))}

@@ -258,3 +258,14 @@ def test_a_hundred_thousand_spans_in_one_text(spark):
     r = done.select(F.size("spans").alias("n"), "redacted", "relexed").first()
     assert r["n"] == n and r["redacted"] == " ".join(["é [REDACTED]"] * n)
     assert r["relexed"] == " ".join(f"é [EMAIL_{i % 5000 + 1:04d}]" for i in range(n))
+
+
+def test_matches_by_characters(spark):
+    """Dense or not, with and without the sign that parts matches; null texts have none."""
+    rng = random.Random(11)
+    texts = ["".join(rng.choice("Ab1 é😀\x01\n"[: rng.choice([6, 8])]) for _ in range(rng.choice([0, 1, 5, 40, 700]))) for _ in range(120)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None])], "i int, t string")
+    for pattern in (r"[A-Z][a-z]*|[0-9]+", r"[^ ]"):
+        for dense in (False, True):
+            found = {r["i"]: [tuple(m) for m in r["m"]] for r in df.select("i", S.matches(F.col("t"), pattern, dense=dense).alias("m")).collect()}
+            assert found == {i: [(*m.span(), m.group()) for m in re.finditer(pattern, t or "")] for i, t in enumerate([*texts, None])}

@@ -83,34 +83,53 @@ def cut(of: Column, start: Column, end: Column) -> Column:
     """From start up to end of a text in pieces()."""
     start = F.greatest(start, F.lit(0))
     first = F.shiftright(start, PIECE_BITS)
-    near = F.slice(of, first + 1, F.greatest(F.shiftright(end - 1, PIECE_BITS) - first + 1, F.lit(0)))
-    return F.substring(F.array_join(near, ""), start.bitwiseAND((1 << PIECE_BITS) - 1) + 1, end - start)
+    last = F.shiftright(end - 1, PIECE_BITS)
+    several = F.array_join(F.slice(of, first + 1, F.greatest(last - first + 1, F.lit(0))), "")
+    near = F.when(first == last, F.coalesce(F.get(of, first), F.lit(""))).otherwise(several)
+    return F.substring(near, start.bitwiseAND((1 << PIECE_BITS) - 1) + 1, end - start)
 
 
-def matches(text: Column, pattern: str, literal: str = "", hint: str = "") -> Column:
+#: Parts what a pattern has matched from what lies between; texts that have it themselves are cut in another way.
+PARTING = "\x01"
+
+
+def _parted(text: Column, pattern: str) -> Column:
+    """What lies before the first match of a pattern, the match, what lies between it and the next one, and so on."""
+    twice = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("value"), F.split(text, pattern, -1).alias("gap"))
+    # there is one more gap than matches: the last one has no value
+    twice = F.flatten(F.transform(twice, lambda x: F.when(x["value"].isNull(), F.array(x["gap"])).otherwise(F.array(x["gap"], x["value"]))))
+    once = F.split(F.regexp_replace(text, pattern, f"{PARTING}$0{PARTING}"), PARTING, -1)
+    return F.when(F.contains(text, F.lit(PARTING)), twice).otherwise(once)
+
+
+def matches(text: Column, pattern: str, literal: str = "", hint: str = "", dense: bool = False) -> Column:
     """(start, end, value) of the non-overlapping matches of a pattern, from the left.
 
     The texts between matches give their offsets; no builtin has them. Texts without the literal or the hint, which
-    every match contains, are told apart first.
+    every match contains, are told apart first, and, unless most texts have a match (dense), those without a match.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     ddl = "array<struct<start:int,end:int,value:string>>"
     none = empty(ddl)
-    # there is one more gap than matches: the last one has no value
-    pairs = F.arrays_zip(found.alias("value"), F.split(text, pattern, -1).alias("gap"))
 
-    def step(at: Column, x: Column) -> tuple[Column, Column]:
-        start = at + F.length(x["gap"])
-        end = start + F.length(x["value"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.coalesce(end, at), F.when(x["value"].isNull(), none).otherwise(one)
+    def placed(parts: Column, sizes: Column) -> Column:
+        order = F.sequence(F.lit(0), F.shiftright(F.size(parts), 1) - 1)
+        steps = F.transform(order, lambda i: F.get(sizes, 2 * i) + F.get(sizes, 2 * i + 1))
+        ends = walked(steps, F.lit(0), lambda at, n: (at + n, F.array(at + n)), "array<int>")
+
+        def one(end: Column, i: Column) -> Column:
+            return F.struct((end - F.get(sizes, 2 * i + 1)).alias("start"), end.alias("end"), F.get(parts, 2 * i + 1).alias("value"))
+
+        return F.transform(ends, one).cast(ddl)
+
+    def found(parts: Column) -> Column:
+        spots = let(F.transform(parts, F.length), lambda sizes: placed(parts, sizes))
+        return F.when(F.size(parts) > 1, spots).otherwise(none)
 
-    spots = walked(pairs, F.lit(0), step, ddl)
     # most texts have no match: the cheapest test that shows it comes first
-    some = text.rlike(pattern)
+    some = text.isNotNull() if dense else text.rlike(pattern)
     some = text.rlike(hint) & some if hint else some
     some = F.contains(text, F.lit(literal)) & some if literal else some
-    return F.when(some, spots).otherwise(none)
+    return F.when(some, let(_parted(text, pattern), found)).otherwise(none)
 
 
 def luhn_ok(value: Column) -> Column:

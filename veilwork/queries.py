@@ -689,7 +689,8 @@ SCORED = {"mandatory": r"[A-Za-z0-9._-]+@[A-Za-z0-9.-]+", "contextual": r"[A-Z][
 
 def _scored(df: DataFrame, key: str, text: str) -> DataFrame:
     def found(kind: str) -> Column:
-        return S.matches(F.col("text"), SCORED[kind])
+        # every address has the sign, and most texts have none
+        return S.matches(F.col("text"), SCORED[kind], literal="@" if kind == "mandatory" else "", dense=kind != "mandatory")
 
     def own(kind: str) -> Column:
         return F.transform(found(kind), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("category")))
