@@ -396,3 +396,13 @@ def test_scores_do_not_depend_on_the_layout(spark, sf_dir, monkeypatch):
     seen = [{r["doc_id"]: r["score"] for r in gru_lm.score_documents(docs.repartition(n)).collect()} for n in (1, 4, 16)]
     for other in seen[1:]:
         assert max(abs(other[d] / s - 1) for d, s in seen[0].items()) < 1e-6
+
+
+def test_blobs_travel_together():
+    """Rows grow with the product of chunks and buckets: small ones share a batch and a compressor, large ones do not pile up."""
+    small = [(b, 7, bytes([b])) for b in range(200)]
+    batches = list(suffix_dedup._batches(iter(small)))
+    assert len(batches) == 1 and [tuple(r.values()) for r in batches[0].to_pylist()] == small
+    large = [(b, 7, bytes(suffix_dedup.BATCH_BYTES // 2)) for b in range(5)]
+    assert [b.num_rows for b in suffix_dedup._batches(large)] == [2, 2, 1] and list(suffix_dedup._batches([])) == []
+    assert suffix_dedup._press(1) is suffix_dedup._press(1) and suffix_dedup._unpress() is suffix_dedup._unpress()
